@@ -7,9 +7,10 @@ rules live here once. All of them are plain column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: Mapping[str, str]) -> DataFrame:
+    """A few constant rows, built inside the JVM."""
+    cells = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, schema.items())])
+        for row in rows
+    ]
+    if not cells:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in schema.items()])
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def require(df: DataFrame, names: list[str]) -> None:
     """Raise ``ValueError`` when a name is not a column of ``df``."""
     unknown = [n for n in names if n not in df.columns]
@@ -59,14 +71,12 @@ def strip(c: Column) -> Column:
 
 def finite(c: Column) -> Column:
     """A double, with NaN and the infinities turned into NULL."""
-    inf = F.lit(float("inf"))
-    return F.when((c < inf) & (c > -inf), c)
+    return F.when(F.abs(c) < float("inf"), c)
 
 
-def text_to_number(c: Column) -> Column:
-    """Numeric read of a text cell; anything else is NULL, never an error."""
-    s = strip(c)
-    return finite(F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double")))
+def cast_number(s: Column) -> Column:
+    """Trimmed decimal text as a double; anything else is NULL, never an error."""
+    return F.when(s.rlike(NUMERIC_TEXT), finite(s.try_cast("double")))
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -79,7 +89,7 @@ def number(df: DataFrame, name: str) -> Column:
     if isinstance(t, (T.FloatType, T.DoubleType)):
         return finite(c.cast("double"))
     if isinstance(t, T.StringType):
-        return text_to_number(c)
+        return cast_number(strip(c))
     return F.lit(None).cast("double")
 
 
@@ -107,30 +117,25 @@ class Key:
 
     name: str
     group: Column
-    kind: str
+    text: Callable[[Column], Column]
+
 
-    def text(self, grouped: Column) -> Column:
-        if self.kind == "text":
-            return grouped
-        if self.kind == "double":
-            return F.coalesce(double_text(grouped), F.lit(""))
-        if self.kind == "nested":
-            return F.coalesce(F.to_json(grouped), F.lit(""))
-        return F.coalesce(grouped.cast("string"), F.lit(""))
+def _plain_text(grouped: Column) -> Column:
+    return F.coalesce(grouped.cast("string"), F.lit(""))
 
 
 def group_key(df: DataFrame, name: str) -> Key:
     t, c = dtype(df, name), col(name)
     if isinstance(t, T.StringType):
-        return Key(name, F.coalesce(c, F.lit("")), "text")
-    if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return Key(name, c.cast("double"), "double")
+        return Key(name, F.coalesce(c, F.lit("")), lambda g: g)
+    if isinstance(t, FRACTIONAL):
+        return Key(name, c.cast("double"), lambda g: F.coalesce(double_text(g), F.lit("")))
     if isinstance(t, TIMESTAMPS):
-        return Key(name, c.cast("date"), "plain")
+        return Key(name, c.cast("date"), _plain_text)
     if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
         # Maps cannot be grouped on, so nested values are keyed by their JSON.
-        return Key(name, F.coalesce(F.to_json(c), F.lit("")), "text")
-    return Key(name, c, "plain")
+        return Key(name, F.coalesce(F.to_json(c), F.lit("")), lambda g: g)
+    return Key(name, c, _plain_text)
 
 
 def key_text(df: DataFrame, name: str) -> Column:

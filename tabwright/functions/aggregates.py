@@ -29,17 +29,21 @@ def last_value(x: Column, order: Sequence[Column]) -> Column:
     return F.max_by(x, F.when(x.isNotNull(), F.struct(*order)))
 
 
-def aggregate(x: Column, how: str, order: Sequence[Column] = (), approx: bool = False) -> Column:
-    """One aggregate expression over the number column ``x``."""
-    check(how)
+def aggregate(x: Column, how: str, order: Sequence[Column] = ()) -> Column:
+    """One aggregate over the number column ``x``; NULL when there is no number.
+
+    Medians are not here: they go through :mod:`tabwright.functions.quantiles`.
+    """
     if how == "count":
-        return F.count(x)
+        return F.nullif(F.count(x), F.lit(0))
     if how == "last":
-        return zero_if_empty(last_value(x, order))
-    if how == "median":
-        exact = F.percentile(x, 0.5)
-        return zero_if_empty(F.percentile_approx(x, 0.5).cast("double") if approx else exact)
-    return zero_if_empty({"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[how](x))
+        return last_value(x, order)
+    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[how](x)
+
+
+def empty_value(how: str) -> Column:
+    """What an aggregate of nothing gives where NULL is not wanted."""
+    return F.lit(0).cast("bigint") if how == "count" else F.lit(0.0)
 
 
 def sample_std(x: Column) -> Column:

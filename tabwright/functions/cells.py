@@ -2,7 +2,8 @@
 
 Everything is a built-in column expression, so a whole table is read in one
 ``select`` inside code generation. ``try_cast`` and ``try_to_date`` keep bad
-cells NULL under ANSI mode.
+cells NULL under ANSI mode. The expressions mention their input as few times as
+possible, because every mention is compiled again.
 """
 
 from __future__ import annotations
@@ -10,99 +11,84 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabwright.columns import NUMERIC_TEXT, finite, strip
+from tabwright.columns import finite, strip
 
 # What a number, date or boolean cell may look like.
-CURRENCY_PREFIX = r"^[￥¥$€£\s]+"
-COMMAS = ",，"
-GROUPED_NUMBER = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
-PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
-WIDE_GROUPED_NUMBER = r"^-?[0-9]{1,3}(，[0-9]{3})+$"
+PERCENT = r"[%％]$"
+CURRENCY = r"^[￥¥$€£]"
+# A sign without digits counts as zero.
+BARE_SIGN = r"^([,，\s]*[%％]|[￥¥$€£][￥¥$€£,，\s]*)$"
+# What is removed before a percentage or an amount is read.
+PERCENT_NOISE = r"\s*[%％]$|[,，]"
+CURRENCY_NOISE = r"^[￥¥$€£\s]+|[,，\s]"
+# Without a sign: plain, grouped by commas, or grouped by full-width commas.
+UNSIGNED = (
+    r"^-?([0-9]+(\.[0-9]+)?|[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?|[0-9]{1,3}(，[0-9]{3})+)$"
+)
+LOOSE_NUMBER = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\s*$"
 YEAR_FIRST = (
     r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})"
     r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
 )
 CHINESE_DATE = r"^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日?$"
 YEAR_LAST = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})$"
-CANONICAL_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+# Years 1900 to 2100.
+CANONICAL_DATE = r"^(((19|20)[0-9]{2}|2100)-[0-9]{1,2}-[0-9]{1,2})$"
+LONGEST_DATE = 19
 TRUE_WORDS = ["true", "是", "1", "yes", "y", "t"]
 FALSE_WORDS = ["false", "否", "0", "no", "n", "f"]
-FIRST_YEAR, LAST_YEAR = 1900, 2100
-
 
-def _loose_double(c: Column) -> Column:
-    """What is left after a sign was cut off: blank counts as zero."""
-    s = strip(c)
-    return finite(
-        F.when(s == "", F.lit(0.0)).when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
-    )
 
+def number_of(s: Column) -> Column:
+    """Number in a trimmed text.
 
-def _number_readings(c: Column) -> list[tuple[str, Column]]:
-    """The readings in order of preference, each NULL where it does not apply."""
-    s = strip(c)
-    blank = s == ""
-    percent = F.when(
-        ~blank & (s.endswith("%") | s.endswith("％")),
-        _loose_double(F.translate(F.substring(s, F.lit(1), F.length(s) - 1), COMMAS, "")) / 100,
-    )
-    currency = F.when(
-        ~blank & s.rlike(CURRENCY_PREFIX),
-        _loose_double(
-            F.regexp_replace(F.regexp_replace(s, CURRENCY_PREFIX, ""), r"[,，\s]", "")
-        ),
+    The kinds exclude each other by their first or last character, so one chain
+    picks the digits and one cast reads them.
+    """
+    digits = (
+        F.when(s.rlike(BARE_SIGN), "0")
+        .when(s.rlike(PERCENT), F.regexp_replace(s, PERCENT_NOISE, ""))
+        .when(s.rlike(CURRENCY), F.regexp_replace(s, CURRENCY_NOISE, ""))
+        .when(s.rlike(UNSIGNED), F.translate(s, ",，", ""))
     )
-    grouped = F.when(
-        s.rlike(GROUPED_NUMBER), finite(F.translate(s, ",", "").try_cast("double"))
+    value = F.regexp_extract(digits, LOOSE_NUMBER, 1).try_cast("double")
+    return finite(value / F.when(s.rlike(PERCENT), 100.0).otherwise(1.0))
+
+
+def format_of(s: Column, value: Column) -> Column:
+    """Format tag of a trimmed text, given the number that was read from it."""
+    return (
+        F.when(value.isNull(), "plain")
+        .when(s.rlike(PERCENT), "percentage")
+        .when(s.rlike(CURRENCY), "currency")
+        .when(s.contains(",") | s.contains("，"), "decimal")
+        .when(F.floor(value).cast("double") == value, "integer")
+        .otherwise("decimal")
     )
-    plain = F.when(s.rlike(PLAIN_NUMBER), finite(s.try_cast("double")))
-    wide = F.when(
-        s.rlike(WIDE_GROUPED_NUMBER), finite(F.translate(s, "，", "").try_cast("double"))
-    )
-    return [
-        ("percentage", percent),
-        ("currency", currency),
-        ("decimal", grouped),
-        ("plain", plain),
-        ("decimal", wide),
-    ]
+
+
+def date_of(s: Column) -> Column:
+    """Date in a trimmed text; impossible calendar days are NULL."""
+    ymd = F.regexp_replace(s, YEAR_FIRST, "$1-$2-$3")
+    ymd = F.regexp_replace(ymd, CHINESE_DATE, "$1-$2-$3")
+    ymd = F.regexp_replace(ymd, YEAR_LAST, "$3-$1-$2")
+    day = F.try_to_date(F.regexp_extract(ymd, CANONICAL_DATE, 1), "yyyy-M-d")
+    return F.when(F.length(s) <= LONGEST_DATE, day)
 
 
 def parse_number(c: Column) -> Column:
     """Number in a text cell: percent, currency, thousands or plain; else NULL."""
-    return F.coalesce(*[value for _, value in _number_readings(c)])
+    return number_of(strip(c))
 
 
 def number_format(c: Column) -> Column:
     """Format tag of a text cell; ``plain`` when it is not a number."""
-    chain = None
-    for tag, value in _number_readings(c):
-        if tag == "plain":
-            label = F.when(F.floor(value).cast("double") == value, "integer").otherwise("decimal")
-        else:
-            label = F.lit(tag)
-        chain = (
-            F.when(value.isNotNull(), label)
-            if chain is None
-            else chain.when(value.isNotNull(), label)
-        )
-    return chain.otherwise("plain")
-
-
-def _calendar_date(y_m_d: Column) -> Column:
-    d = F.try_to_date(y_m_d, "yyyy-M-d")
-    return F.when(F.year(d).between(FIRST_YEAR, LAST_YEAR), d)
+    return format_of(strip(c), number_of(strip(c)))
 
 
 def parse_date(c: Column) -> Column:
-    """Date in a text cell, as a ``date``; impossible calendar days are NULL."""
-    s = strip(c)
-    ymd = F.regexp_replace(s, YEAR_FIRST, "$1-$2-$3")
-    ymd = F.regexp_replace(ymd, CHINESE_DATE, "$1-$2-$3")
-    ymd = F.regexp_replace(ymd, YEAR_LAST, "$3-$1-$2")
-    ymd = F.when(ymd.rlike(CANONICAL_DATE), ymd)
-    # A date has 8 to 19 characters: longer text skips the patterns altogether.
-    return F.when(F.length(s).between(8, 19), _calendar_date(ymd))
+    """Date in a text cell, as a ``date``."""
+    return date_of(strip(c))
 
 
 def parse_boolean(c: Column) -> Column:

@@ -37,48 +37,66 @@ def quantiles(
     metrics: Mapping[str, Column],
     probs: Sequence[float],
     method: str = "auto",
+    extra: Sequence[Column] = (),
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per group: the keys, and per metric an array with one value per prob.
+    """One row per group: the keys, ``extra`` aggregates and one struct per metric.
 
-    ``keys`` are columns of ``df``; ``metrics`` are double columns that may be
-    NULL. A group without any number has NULL. ``method`` is ``auto``,
+    The struct is ``n`` (how many numbers) and ``q`` (one value per prob, or NULL
+    when there is no number). ``keys`` are columns of ``df`` and never NULL in
+    the ``narrow`` method; ``metrics`` are double columns that may be NULL;
+    ``extra`` aggregates ride along in the same pass. ``method`` is ``auto``,
     ``one_pass`` (Spark's ``percentile``), ``narrow`` or ``approx``.
     """
-    if method not in ("auto", "one_pass", "narrow", "approx"):
-        raise ValueError(f"unknown quantile method {method!r}")
-    if method == "auto":
-        method = "one_pass" if estimated_bytes(df) <= SMALL_INPUT_BYTES else "narrow"
+    method = resolve_method(df, method)
     if method == "narrow":
-        return _narrowed(df, list(keys), dict(metrics), list(probs), accuracy)
-    at = [float(p) for p in probs]
+        return _narrowed(df, list(keys), dict(metrics), list(probs), list(extra), accuracy)
     function = F.percentile if method == "one_pass" else F.percentile_approx
+    at = F.array(*[F.lit(float(p)) for p in probs])
     aggs = [
-        function(x, F.array(*[F.lit(p) for p in at])).cast("array<double>").alias(m)
+        F.struct(F.count(x).alias("n"), function(x, at).cast("array<double>").alias("q")).alias(m)
         for m, x in metrics.items()
     ]
-    return df.groupBy(*[col(k) for k in keys]).agg(*aggs)
+    return df.groupBy(*[col(k) for k in keys]).agg(*extra, *aggs)
 
 
-def _brackets(
-    df: DataFrame, keys: list[str], metrics: dict[str, Column], probs: list[float], accuracy: int
+def resolve_method(df: DataFrame, method: str) -> str:
+    if method not in ("auto", "one_pass", "narrow", "approx"):
+        raise ValueError(f"unknown quantile method {method!r}")
+    if method == "auto":
+        return "one_pass" if estimated_bytes(df) <= SMALL_INPUT_BYTES else "narrow"
+    return method
+
+
+def _sketches(
+    df: DataFrame,
+    keys: list[str],
+    metrics: dict[str, Column],
+    probs: list[float],
+    extra: list[Column],
+    accuracy: int,
 ) -> DataFrame:
-    """Per group, metric and prob: the bracket [lo, hi] and the two ranks wanted."""
+    """Per group and metric the count and a few values around each quantile."""
     margin = 4.0 / accuracy
     ends = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     at = F.array(*[F.lit(e) for e in ends])
-    inf = F.lit(float("inf"))
     aggs = [
-        F.struct(
-            F.lit(m).alias("_metric"),
-            F.count(x).alias("n"),
-            F.percentile_approx(x, at, accuracy).alias("ends"),
-        ).alias(f"_sketch_{i}")
-        for i, (m, x) in enumerate(metrics.items())
+        F.struct(F.count(x).alias("n"), F.percentile_approx(x, at, accuracy).alias("ends")).alias(
+            f"_sketch_{i}"
+        )
+        for i, x in enumerate(metrics.values())
     ]
-    sketches = df.groupBy(*[col(k) for k in keys]).agg(*aggs)
+    return df.groupBy(*[col(k) for k in keys]).agg(*extra, *aggs)
+
+
+def _brackets(
+    sketches: DataFrame, keys: list[str], metrics: list[str], probs: list[float], accuracy: int
+) -> DataFrame:
+    """Per group, metric and prob: the bracket [lo, hi] and the two ranks wanted."""
+    margin = 4.0 / accuracy
+    inf = F.lit(float("inf"))
     rows = []
-    for i in range(len(metrics)):
+    for i, m in enumerate(metrics):
         s = col(f"_sketch_{i}")
         for j, p in enumerate(probs):
             position = (s["n"] - 1) * F.lit(float(p))
@@ -86,7 +104,7 @@ def _brackets(
             few = s["n"] <= 4 * accuracy
             rows.append(
                 F.struct(
-                    s["_metric"].alias("_metric"),
+                    F.lit(m).alias("_metric"),
                     F.lit(j).alias("_prob"),
                     s["n"].alias("_n"),
                     F.when(few | F.lit(p <= margin), -inf).otherwise(s["ends"][2 * j]).alias("_lo"),
@@ -96,31 +114,41 @@ def _brackets(
                     (position - F.floor(position)).alias("_fraction"),
                 )
             )
-    return sketches.select(*[col(k) for k in keys], F.inline(F.array(*rows)))
+    return sketches.select(*[col(k) for k in keys], F.inline(F.array(*rows))).filter("_n > 0")
 
 
 def _narrowed(
-    df: DataFrame, keys: list[str], metrics: dict[str, Column], probs: list[float], accuracy: int
+    df: DataFrame,
+    keys: list[str],
+    metrics: dict[str, Column],
+    probs: list[float],
+    extra: list[Column],
+    accuracy: int,
 ) -> DataFrame:
-    brackets = materialize(_brackets(df, keys, metrics, probs, accuracy))
-    group = keys + ["_metric"]
+    sketches = _sketches(df, keys, metrics, probs, extra, accuracy)
+    if not keys:
+        # A constant key lets the joins below serve the global case too.
+        sketches, df = sketches.withColumn("_all", F.lit(0)), df.withColumn("_all", F.lit(0))
+    group_keys = keys or ["_all"]
+    sketches = materialize(sketches)
+    brackets = _brackets(sketches, group_keys, list(metrics), probs, accuracy)
+    group = group_keys + ["_metric"]
     point = group + ["_prob"]
-    grouped_by = [col(k) for k in point]
+    at_point = [col(k) for k in point]
 
     # One bracket row per group and metric, so each value meets it once.
-    per_metric = (
-        brackets.filter("_n > 0")
-        .groupBy(*[col(k) for k in group])
-        .agg(F.sort_array(F.collect_list(F.struct("_prob", "_lo", "_hi"))).alias("_cuts"))
+    cuts = brackets.groupBy(*[col(k) for k in group]).agg(
+        F.sort_array(F.collect_list(F.struct("_prob", "_lo", "_hi"))).alias("_cuts")
+    )
+    long_form = [
+        F.struct(F.lit(m).alias("_metric"), x.alias("_v")) for m, x in metrics.items()
+    ]
+    values = df.select(*[col(k) for k in group_keys], F.inline(F.array(*long_form))).filter(
+        col("_v").isNotNull()
     )
-    values = df.select(
-        *[col(k) for k in keys],
-        F.inline(
-            F.array(*[F.struct(F.lit(m).alias("_metric"), x.alias("_v")) for m, x in metrics.items()])
-        ),
-    ).filter(col("_v").isNotNull())
-    near = (
-        values.join(broadcast_if_few(per_metric), group)
+    # Rows above a bracket go; rows below it lose their value and become a count.
+    near = materialize(
+        values.join(broadcast_if_few(cuts), group)
         .select(*[col(k) for k in group], "_v", F.explode("_cuts").alias("_cut"))
         .filter(col("_v") <= col("_cut")["_hi"])
         .select(
@@ -128,69 +156,80 @@ def _narrowed(
             col("_cut")["_prob"].alias("_prob"),
             F.when(col("_v") >= col("_cut")["_lo"], col("_v")).alias("_v"),
         )
-        .groupBy(*grouped_by, col("_v"))
+        .groupBy(*at_point, col("_v"))
         .agg(F.count("*").alias("_rows"))
     )
-    near = materialize(near)
-
-    below = near.filter(col("_v").isNull()).select(*grouped_by, col("_rows").alias("_below"))
-    wanted = brackets.filter("_n > 0").join(broadcast_if_few(below), point, "left").withColumn(
+    below = near.filter(col("_v").isNull()).select(*at_point, col("_rows").alias("_below"))
+    wanted = brackets.join(broadcast_if_few(below), point, "left").withColumn(
         "_below", F.coalesce(col("_below"), F.lit(0))
     )
 
     # Equal-width bins inside each bracket, with the running count before each.
-    inside = near.filter(col("_v").isNotNull()).join(
-        broadcast_if_few(brackets.select(*grouped_by, "_lo", "_hi")), point
-    )
     width = col("_hi") - col("_lo")
-    binned = inside.select(
-        *grouped_by,
-        "_v",
-        "_rows",
-        F.when(
-            (width > 0) & (width < float("inf")),
-            F.least(F.floor((col("_v") - col("_lo")) / width * BINS), F.lit(BINS - 1)),
-        ).otherwise(F.lit(0)).alias("_bin"),
+    binned = (
+        near.filter(col("_v").isNotNull())
+        .join(broadcast_if_few(brackets.select(*at_point, "_lo", "_hi")), point)
+        .select(
+            *at_point,
+            "_v",
+            "_rows",
+            F.when(
+                (width > 0) & (width < float("inf")),
+                F.least(F.floor((col("_v") - col("_lo")) / width * BINS), F.lit(BINS - 1)),
+            ).otherwise(F.lit(0)).alias("_bin"),
+        )
     )
-    by_bin = Window.partitionBy(*grouped_by).orderBy("_bin")
+    by_bin = Window.partitionBy(*at_point).orderBy("_bin")
+    before, after = col("_before"), col("_before") + col("_in_bin")
     bins = (
-        binned.groupBy(*grouped_by, "_bin")
+        binned.groupBy(*at_point, "_bin")
         .agg(F.sum("_rows").alias("_in_bin"))
-        .withColumn("_before", F.sum("_in_bin").over(by_bin) - col("_in_bin"))
+        .withColumn("_earlier", F.sum("_in_bin").over(by_bin) - col("_in_bin"))
         .join(broadcast_if_few(wanted), point)
-        .withColumn("_before", col("_before") + col("_below"))
-        .withColumn("_after", col("_before") + col("_in_bin"))
+        .withColumn("_before", col("_earlier") + col("_below"))
         .filter(
-            ((col("_before") <= col("_rank_lo")) & (col("_rank_lo") < col("_after")))
-            | ((col("_before") <= col("_rank_hi")) & (col("_rank_hi") < col("_after")))
+            ((before <= col("_rank_lo")) & (col("_rank_lo") < after))
+            | ((before <= col("_rank_hi")) & (col("_rank_hi") < after))
         )
-        .select(*grouped_by, "_bin", "_before", "_rank_lo", "_rank_hi", "_fraction")
+        .select(*at_point, "_bin", "_before", "_rank_lo", "_rank_hi")
     )
 
-    in_bin = Window.partitionBy(*grouped_by, "_bin").orderBy("_v")
-    ranked = binned.join(broadcast_if_few(bins), point + ["_bin"]).withColumn(
-        "_through", col("_before") + F.sum("_rows").over(in_bin)
-    )
-    picked = ranked.groupBy(*grouped_by).agg(
-        F.min(F.when(col("_through") > col("_rank_lo"), col("_v"))).alias("_at_lo"),
-        F.min(F.when(col("_through") > col("_rank_hi"), col("_v"))).alias("_at_hi"),
-        F.first("_fraction").alias("_fraction"),
+    in_bin = Window.partitionBy(*at_point, "_bin").orderBy("_v")
+    picked = (
+        binned.join(broadcast_if_few(bins), point + ["_bin"])
+        .withColumn("_through", col("_before") + F.sum("_rows").over(in_bin))
+        .groupBy(*at_point)
+        .agg(
+            F.min(F.when(col("_through") > col("_rank_lo"), col("_v"))).alias("_at_lo"),
+            F.min(F.when(col("_through") > col("_rank_hi"), col("_v"))).alias("_at_hi"),
+        )
     )
-    result = brackets.select(*grouped_by, "_n").join(broadcast_if_few(picked), point, "left")
-    at_lo, at_hi, f = col("_at_lo"), col("_at_hi"), col("_fraction")
+    lo, hi, f = col("_at_lo"), col("_at_hi"), col("_fraction")
+    lost = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
     value = (
-        F.when(col("_n") == 0, F.lit(None).cast("double"))
-        .when(at_lo.isNull() | at_hi.isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .when(f == 0, at_lo)
-        .otherwise(at_lo * (1 - f) + at_hi * f)
+        F.when(lo.isNull() | hi.isNull(), lost)
+        .when(f == 0, lo)
+        .otherwise(lo * (1 - f) + hi * f)
     )
-    per_point = result.select(*grouped_by, value.alias("_value"))
-    aggs = []
-    for m in metrics:
-        entries = [
-            F.max(F.when((col("_metric") == m) & (col("_prob") == j), col("_value")))
-            for j in range(len(probs))
+    found = brackets.join(broadcast_if_few(picked), point, "left").withColumn("_value", value)
+    per_group = found.groupBy(*[col(k) for k in group_keys]).agg(
+        *[
+            F.array(
+                *[
+                    F.max(F.when((col("_metric") == m) & (col("_prob") == j), col("_value")))
+                    for j in range(len(probs))
+                ]
+            ).alias(f"_q_{i}")
+            for i, m in enumerate(metrics)
         ]
-        filled = F.max(F.when(col("_metric") == m, col("_value"))).isNotNull()
-        aggs.append(F.when(filled, F.array(*entries)).alias(m))
-    return per_point.groupBy(*[col(k) for k in keys]).agg(*aggs)
+    )
+    out = sketches.join(broadcast_if_few(per_group), group_keys, "left")
+    kept = [c for c in sketches.columns if not c.startswith("_sketch_") and c != "_all"]
+    structs = [
+        F.struct(
+            col(f"_sketch_{i}")["n"].alias("n"),
+            F.when(col(f"_sketch_{i}")["n"] > 0, col(f"_q_{i}")).alias("q"),
+        ).alias(m)
+        for i, m in enumerate(metrics)
+    ]
+    return out.select(*[col(c) for c in kept], *structs)

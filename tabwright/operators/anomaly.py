@@ -30,17 +30,16 @@ def anomaly_bounds(
     if method not in METHODS:
         raise ValueError(f"anomaly method must be one of {', '.join(METHODS)}, not {method!r}")
     values = df.select(number(df, metric).alias("_x"))
-    enough = F.count("_x") >= MIN_SAMPLES
     if method == "iqr":
-        fences = quantiles(values, [], {"q": col("_x")}, [0.25, 0.75], quantile_method)
-        q1, q3 = col("q")[0], col("q")[1]
+        found = quantiles(values, [], {"x": col("_x")}, [0.25, 0.75], quantile_method)
+        q1, q3 = col("x")["q"][0], col("x")["q"][1]
         reach = (q3 - q1) * FENCE
-        n = values.agg(enough).scalar()
-        return fences.select(
-            F.when(n, q1 - reach).alias("lower"), F.when(n, q3 + reach).alias("upper")
+        enough = col("x")["n"] >= MIN_SAMPLES
+        return found.select(
+            F.when(enough, q1 - reach).alias("lower"), F.when(enough, q3 + reach).alias("upper")
         )
     mean, deviation = F.avg("_x"), F.stddev_samp("_x")
-    usable = enough & (deviation > 0)
+    usable = (F.count("_x") >= MIN_SAMPLES) & (deviation > 0)
     return values.agg(
         F.when(usable, mean - deviation * Z_LIMIT).alias("lower"),
         F.when(usable, mean + deviation * Z_LIMIT).alias("upper"),

@@ -73,9 +73,8 @@ def _bins(df: DataFrame, field: str, requested: int) -> DataFrame:
     # At most MAX_BINS rows on either side, so broadcasting is bounded.
     slots = (
         df.sparkSession.range(requested)
-        .select(F.lit(0).alias("_pad"), col("id").cast("int").alias("_bin"))
+        .select(col("id").cast("int").alias("_bin"))
         .filter(col("_bin") < s["bins"])
-        .drop("_pad")
     )
     filled = slots.join(F.broadcast(counts), "_bin", "left")
     single = s["bins"] == 1

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.columns import Key, col, group_key, number, require
 from tabwright.functions import aggregates
-from tabwright.functions.quantiles import quantiles
-from tabwright.scale import SMALL_INPUT_BYTES, estimated_bytes
+from tabwright.functions.quantiles import quantiles, resolve_method
 
 
 def order_columns(df: DataFrame, order_by: Sequence[str] | None) -> list[Column]:
@@ -18,8 +17,8 @@ def order_columns(df: DataFrame, order_by: Sequence[str] | None) -> list[Column]
     return [col(c) for c in order_by or []]
 
 
-def _distributed_median(df: DataFrame, method: str) -> bool:
-    return method == "narrow" or (method == "auto" and estimated_bytes(df) > SMALL_INPUT_BYTES)
+def keys_of(df: DataFrame, dimensions: Sequence[str]) -> list[Key]:
+    return [group_key(df, d) for d in dimensions]
 
 
 def group_metrics(
@@ -28,58 +27,53 @@ def group_metrics(
     metrics: Mapping[str, str],
     order_by: Sequence[str] | None = None,
     quantile_method: str = "auto",
-    keep_empty: bool = True,
+    drop_missing: bool = False,
+    empty_as_zero: bool = True,
 ) -> DataFrame:
-    """Group by ``keys`` and apply one aggregate per metric.
+    """Group by ``keys`` and apply one aggregate per metric, all in one pass.
 
-    ``metrics`` maps a number column to its aggregate. All metrics are computed
-    in one pass. Keys come out as text. Without keys there is one row, or none
-    when no row survived. ``keep_empty=False`` first drops the rows that miss
-    the metric, so that no group is made of missing values only.
+    ``metrics`` maps a number column to its aggregate. Keys come out as text.
+    Without keys there is one row, or none when no row survived.
+    ``drop_missing`` first drops the rows without any of the metrics;
+    ``empty_as_zero=False`` leaves an aggregate of nothing NULL.
     """
-    order = order_columns(df, order_by)
     for how in metrics.values():
         aggregates.check(how)
+    order = order_columns(df, order_by)
     medians = [m for m, how in metrics.items() if how == "median"]
-    narrow = bool(medians) and _distributed_median(df, quantile_method)
+    narrow = bool(medians) and resolve_method(df, quantile_method) == "narrow"
 
-    names = [f"_key_{i}" for i in range(len(keys))]
-    inputs = [f"_in_{i}" for i in range(len(metrics))]
-    # Joins need keys that are never NULL, so the median path groups on the text.
-    grouped_as = [k.text(k.group) if narrow else k.group for k in keys]
+    names = [f"_key_{i}" for i in range(len(keys))] or ["_key_all"]
+    inputs = {m: f"_in_{i}" for i, m in enumerate(metrics)}
+    # The narrowing joins on its keys, so there they are text, never NULL.
+    groups = [k.text(k.group) if narrow else k.group for k in keys] or [F.lit(0)]
     base = df.select(
-        *[g.alias(n) for g, n in zip(grouped_as, names)],
-        *[number(df, m).alias(i) for m, i in zip(metrics, inputs)],
+        *[g.alias(n) for g, n in zip(groups, names)],
+        *[number(df, m).alias(i) for m, i in inputs.items()],
         *[o.alias(f"_order_{i}") for i, o in enumerate(order)],
     )
-    if not keep_empty:
-        base = base.dropna(how="all", subset=inputs)
+    if drop_missing:
+        base = base.dropna(how="all", subset=list(inputs.values()))
     order = [col(f"_order_{i}") for i in range(len(order))]
-
     simple = [
-        aggregates.aggregate(col(i), how, order, approx=quantile_method == "approx").alias(m)
-        for (m, how), i in zip(metrics.items(), inputs)
-        if not (narrow and how == "median")
+        aggregates.aggregate(col(inputs[m]), how, order).alias(m)
+        for m, how in metrics.items()
+        if how != "median"
     ]
-    out = base.groupBy(*names).agg(F.count("*").alias("_rows"), *simple)
-    if not keys:
-        out = out.filter("_rows > 0")
-    if narrow:
-        wanted = {m: col(i) for m, i in zip(metrics, inputs) if m in medians}
-        found = quantiles(base, names, wanted, [0.5], method="narrow")
-        found = found.select(
-            *names, *[aggregates.zero_if_empty(col(m)[0]).alias(m) for m in medians]
-        )
-        out = out.join(found, names) if names else out.select("_rows", *_extra(found, medians, out))
-    texts = [(col(n) if narrow else k.text(col(n))).alias(k.name) for k, n in zip(keys, names)]
-    return out.select(*texts, *[col(m) for m in metrics])
-
-
-def _extra(found: DataFrame, medians: list[str], out: DataFrame) -> list[Column]:
-    """Columns of two one-row tables side by side, as scalar subqueries."""
-    kept = [col(c) for c in out.columns if c != "_rows"]
-    return kept + [found.select(col(m)).scalar().alias(m) for m in medians]
-
-
-def keys_of(df: DataFrame, dimensions: Sequence[str]) -> list[Key]:
-    return [group_key(df, d) for d in dimensions]
+    if medians:
+        wanted = {m: col(inputs[m]) for m in medians}
+        method = "narrow" if narrow else quantile_method
+        out = quantiles(base, names, wanted, [0.5], method, simple)
+    else:
+        out = base.groupBy(*names).agg(*simple)
+
+    values = []
+    for m, how in metrics.items():
+        value = col(m)["q"][0] if how == "median" else col(m)
+        if empty_as_zero:
+            value = F.coalesce(value, aggregates.empty_value(how))
+        values.append(value.alias(m))
+    texts = [
+        (col(n) if narrow else k.text(col(n))).alias(k.name) for k, n in zip(keys, names)
+    ]
+    return out.select(*texts, *values)

@@ -36,7 +36,7 @@ def growth(
         raise ValueError(f"growth mode must be one of {', '.join(MODES)}, not {mode!r}")
     kept, bucket = dated(apply_filters(df, filters), time, grain)
     series = group_metrics(
-        kept, [bucket], {metric: aggregation}, order_by, quantile_method, keep_empty=False
+        kept, [bucket], {metric: aggregation}, order_by, quantile_method, drop_missing=True
     )
     # One partition is enough here: the window sees one row per calendar bucket.
     previous = F.lag(col(metric)).over(Window.orderBy(col(time)))

@@ -45,24 +45,16 @@ def pivot(
     rows, across = list(dimensions[:-1]), dimensions[-1]
     if values is None:
         values = pivot_values(kept, across)
-    how = dict.fromkeys(metrics, aggregation)
-    cells = group_metrics(kept, keys_of(kept, dimensions), how, order_by, quantile_method)
-    if aggregation == "count":
-        filled = {m: col(m) for m in metrics}
-    else:
-        # Tell an aggregate of 0 from a cell in which no number was found.
-        counted = group_metrics(kept, keys_of(kept, dimensions), dict.fromkeys(metrics, "count"))
-        names = {m: f"_n_{i}" for i, m in enumerate(metrics)}
-        counted = counted.select(
-            *[col(d) for d in dimensions], *[col(m).alias(n) for m, n in names.items()]
-        )
-        cells = cells.join(counted, list(dimensions))
-        filled = {m: F.when(col(n) > 0, col(m)) for m, n in names.items()}
-    if aggregation == "count":
-        filled = {m: F.when(col(m) > 0, col(m)) for m in metrics}
+    cells = group_metrics(
+        kept,
+        keys_of(kept, dimensions),
+        dict.fromkeys(metrics, aggregation),
+        order_by,
+        quantile_method,
+        empty_as_zero=False,
+    )
     wide = (
-        cells.select(*[col(d) for d in dimensions], *[v.alias(m) for m, v in filled.items()])
-        .groupBy(*[col(r) for r in rows])
+        cells.groupBy(*[col(r) for r in rows])
         .pivot(across, list(values))
         .agg(*[F.first(col(m)).alias(m) for m in metrics])
     )

@@ -35,39 +35,37 @@ def profile(
         if f in numbers:
             x = number(kept, f)
             aggs += [
-                F.count(x).alias(f"count_{i}"),
-                zero_if_empty(F.min(x)).alias(f"min_{i}"),
-                zero_if_empty(F.max(x)).alias(f"max_{i}"),
-                zero_if_empty(F.avg(x)).alias(f"mean_{i}"),
+                F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"),
             ]
         else:
             aggs.append(F.count(present).alias(f"count_{i}"))
-    wide = kept.agg(*aggs)
-    medians = None
     if numbers:
-        picked = {f"m_{i}": number(kept, f) for i, f in enumerate(numbers)}
-        medians = quantiles(kept, [], picked, [0.5], quantile_method).select(
-            F.struct(*[col(m)[0].alias(m) for m in picked])
-        ).scalar()
+        picked = {f"number_{i}": number(kept, f) for i, f in enumerate(fields) if f in numbers}
+        wide = quantiles(kept, [], picked, [0.5], quantile_method, aggs)
+    else:
+        wide = kept.agg(*aggs)
     nothing = F.lit(None).cast("double")
     rows = []
     for i, f in enumerate(fields):
         is_number = f in numbers
-        rate = F.when(col("rows") > 0, (col("rows") - col(f"count_{i}")) / col("rows"))
+        count = col(f"number_{i}")["n"] if is_number else col(f"count_{i}")
+        rate = F.when(col("rows") > 0, (col("rows") - count) / col("rows"))
+        statistics = (
+            [col(f"min_{i}"), col(f"max_{i}"), col(f"mean_{i}"), col(f"number_{i}")["q"][0]]
+            if is_number
+            else []
+        )
         rows.append(
             F.struct(
                 F.lit(f).alias("field"),
                 F.lit(kind(kept, f)).alias("type"),
-                col(f"count_{i}").alias("count"),
+                count.alias("count"),
                 col(f"distinct_{i}").alias("distinctCount"),
                 zero_if_empty(rate).alias("nullRate"),
                 *[
-                    (col(f"{s}_{i}") if is_number else nothing).alias(s)
-                    for s in ("min", "max", "mean")
+                    (zero_if_empty(statistics[j]) if is_number else nothing).alias(name)
+                    for j, name in enumerate(("min", "max", "mean", "median"))
                 ],
-                (
-                    zero_if_empty(medians[f"m_{numbers.index(f)}"]) if is_number else nothing
-                ).alias("median"),
             )
         )
     return wide.select(F.inline(F.array(*rows)))

@@ -13,24 +13,15 @@ from tabwright.operators.checks import check_columns
 from tabwright.operators.grouping import group_metrics
 
 
-class BucketKey(Key):
-    """Groups on the first day of the bucket and shows its label."""
+def dated(df: DataFrame, time: str, grain: str) -> tuple[DataFrame, Key]:
+    """Rows with a readable date, and the key that puts them into buckets.
 
-    grain: str = "month"
-
-    def __init__(self, name: str, group, grain: str) -> None:
-        super().__init__(name, group, "bucket")
-        object.__setattr__(self, "grain", grain)
-
-    def text(self, grouped):
-        return bucket_label(grouped, self.grain)
-
-
-def dated(df: DataFrame, time: str, grain: str) -> tuple[DataFrame, BucketKey]:
-    """Rows with a readable date, and the key that puts them into buckets."""
+    Buckets are grouped by their first day and labelled afterwards.
+    """
     check_grain(grain)
     with_day = df.withColumn("_day", read_date(df, time)).filter(col("_day").isNotNull())
-    return with_day, BucketKey(time, bucket_start(col("_day"), grain), grain)
+    start = bucket_start(col("_day"), grain)
+    return with_day, Key(time, start, lambda g: bucket_label(g, grain))
 
 
 def timeseries(
