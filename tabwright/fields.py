@@ -15,6 +15,8 @@ FORMATS = (
     "plain", "integer", "decimal", "percentage",
     "currency", "duration", "date", "datetime",
 )
+# What a field's default may be; median and last are for explicit requests only.
+DEFAULT_AGGREGATIONS = ("sum", "avg", "count", "max", "min")
 BEHAVIORS = (
     "flow", "stock", "rate", "duration", "score", "currency", "count", "unknown",
 )
@@ -106,7 +108,7 @@ def check_aggregation(spec: FieldSpec, aggregation: str) -> None:
 
 def resolve_aggregation(spec: FieldSpec) -> str:
     """The user's choice when it is legal, else the rule for the field's format."""
-    if spec.aggregation and allows(spec, spec.aggregation):
+    if spec.aggregation in DEFAULT_AGGREGATIONS and allows(spec, spec.aggregation):
         return spec.aggregation
     if spec.type != "number" or spec.role == "identifier":
         return "count"
