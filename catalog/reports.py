@@ -14,25 +14,30 @@ from tabwright.plans import stats, tasks, trends
 STATS_SQL = """
     SELECT '{f}' AS field, count({f}) AS count, count(*) - count({f}) AS "nullCount",
            round((count(*) - count({f})) / count(*), 2) AS "nullRate",
-           round(sum({f}), 2) AS sum, round(avg({f}), 2) AS avg, round(min({f}), 2)::DOUBLE AS min,
-           round(max({f}), 2)::DOUBLE AS max, round(quantile_cont({f}::DOUBLE, 0.5), 2) AS median,
-           round(quantile_cont({f}::DOUBLE, 0.25), 2) AS p25, round(quantile_cont({f}::DOUBLE, 0.75), 2) AS p75,
-           round(stddev_samp({f}), 2) AS std, count_if({f} = 0) AS "zeroCount",
+           round(sum({f}), 2) AS sum, round(avg({f}), 4) AS avg, round(min({f}), 4)::DOUBLE AS min,
+           round(max({f}), 4)::DOUBLE AS max, round(quantile_cont({f}::DOUBLE, 0.5), 4) AS median,
+           round(quantile_cont({f}::DOUBLE, 0.25), 4) AS p25, round(quantile_cont({f}::DOUBLE, 0.75), 4) AS p75,
+           round(stddev_samp({f}), 4) AS std, count_if({f} = 0) AS "zeroCount",
            count_if({f} < 0) AS "negativeCount"
     FROM {table}
 """
 STATS_FIELDS = [PRICE, QTY, "l_discount", "l_tax"]
 
 
-@query(" UNION ALL ".join(STATS_SQL.format(f=f, table="lineitem") for f in STATS_FIELDS), 2)
+def rounded_sum(df):
+    """Sums of cents differ in the last bits with the order of adding."""
+    return df.withColumn("sum", F.round("sum", 2))
+
+
+@query(" UNION ALL ".join(STATS_SQL.format(f=f, table="lineitem") for f in STATS_FIELDS))
 def numeric_stats(t):
-    return stats.numeric_stats(t.lineitem, STATS_FIELDS)
+    return rounded_sum(stats.numeric_stats(t.lineitem, STATS_FIELDS))
 
 
-@query(" UNION ALL ".join(STATS_SQL.format(f=f, table="lineitem") for f in STATS_FIELDS), 2)
+@query(" UNION ALL ".join(STATS_SQL.format(f=f, table="lineitem") for f in STATS_FIELDS))
 def numeric_stats_narrowed(t):
     """The same numbers by the way that large tables take."""
-    return stats.numeric_stats(t.lineitem, STATS_FIELDS, "narrow")
+    return rounded_sum(stats.numeric_stats(t.lineitem, STATS_FIELDS, "narrow"))
 
 
 @query(

@@ -21,11 +21,10 @@ UNKNOWN = 1 << 62
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's size estimate for the plan, or a huge number when it has none."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:  # no JVM plan behind this session
+    if not hasattr(df, "_jdf"):
         return UNKNOWN
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
