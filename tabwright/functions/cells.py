@@ -14,53 +14,55 @@ from pyspark.sql import functions as F
 from tabwright.columns import finite, strip
 
 # What a number, date or boolean cell may look like.
-PERCENT = r"[%％]$"
-CURRENCY = r"^[￥¥$€£]"
-# A sign without digits counts as zero.
-BARE_SIGN = r"^([,，\s]*[%％]|[￥¥$€£][￥¥$€£,，\s]*)$"
+PERCENT_SIGNS = ["%", "％"]
+CURRENCY_SIGNS = ["￥", "¥", "$", "€", "£"]
 # What is removed before a percentage or an amount is read.
-PERCENT_NOISE = r"\s*[%％]$|[,，]"
-CURRENCY_NOISE = r"^[￥¥$€£\s]+|[,，\s]"
+SIGNED_NOISE = r"^[￥¥$€£\s]+|\s*[%％]$|[,，\s]"
+LOOSE_NUMBER = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)$"
 # Without a sign: plain, grouped by commas, or grouped by full-width commas.
 UNSIGNED = (
     r"^-?([0-9]+(\.[0-9]+)?|[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?|[0-9]{1,3}(，[0-9]{3})+)$"
 )
-LOOSE_NUMBER = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\s*$"
+# Years 1900 to 2100.
+YEAR = r"((19|20)[0-9]{2}|2100)"
 YEAR_FIRST = (
-    r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})"
-    r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
+    rf"^{YEAR}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}([ T][0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?)?$"
 )
-CHINESE_DATE = r"^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日?$"
-YEAR_LAST = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})$"
-# Years 1900 to 2100.
-CANONICAL_DATE = r"^(((19|20)[0-9]{2}|2100)-[0-9]{1,2}-[0-9]{1,2})$"
-LONGEST_DATE = 19
+CHINESE_DATE = rf"^{YEAR}年[0-9]{{1,2}}月[0-9]{{1,2}}日?$"
+YEAR_LAST = rf"^[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.]{YEAR}$"
 TRUE_WORDS = ["true", "是", "1", "yes", "y", "t"]
 FALSE_WORDS = ["false", "否", "0", "no", "n", "f"]
 
 
+def _is_percent(s: Column) -> Column:
+    return s.endswith(PERCENT_SIGNS[0]) | s.endswith(PERCENT_SIGNS[1])
+
+
+def _is_currency(s: Column) -> Column:
+    return F.substring(s, 1, 1).isin(CURRENCY_SIGNS)
+
+
 def number_of(s: Column) -> Column:
     """Number in a trimmed text.
 
     The kinds exclude each other by their first or last character, so one chain
-    picks the digits and one cast reads them.
+    picks the digits and one cast reads them. A sign alone counts as zero; an
+    amount never ends in a percent sign.
     """
-    digits = (
-        F.when(s.rlike(BARE_SIGN), "0")
-        .when(s.rlike(PERCENT), F.regexp_replace(s, PERCENT_NOISE, ""))
-        .when(s.rlike(CURRENCY), F.regexp_replace(s, CURRENCY_NOISE, ""))
-        .when(s.rlike(UNSIGNED), F.translate(s, ",，", ""))
-    )
-    value = F.regexp_extract(digits, LOOSE_NUMBER, 1).try_cast("double")
-    return finite(value / F.when(s.rlike(PERCENT), 100.0).otherwise(1.0))
+    rest = F.regexp_replace(F.regexp_replace(s, SIGNED_NOISE, ""), "^$", "0")
+    digits = F.when(
+        _is_percent(s) != _is_currency(s), F.regexp_extract(rest, LOOSE_NUMBER, 1)
+    ).when(s.rlike(UNSIGNED), F.translate(s, ",，", ""))
+    scale = F.when(_is_percent(s), 100.0).otherwise(1.0)
+    return finite(digits.try_cast("double") / scale)
 
 
 def format_of(s: Column, value: Column) -> Column:
     """Format tag of a trimmed text, given the number that was read from it."""
     return (
         F.when(value.isNull(), "plain")
-        .when(s.rlike(PERCENT), "percentage")
-        .when(s.rlike(CURRENCY), "currency")
+        .when(_is_percent(s), "percentage")
+        .when(_is_currency(s), "currency")
         .when(s.contains(",") | s.contains("，"), "decimal")
         .when(F.floor(value).cast("double") == value, "integer")
         .otherwise("decimal")
@@ -68,12 +70,22 @@ def format_of(s: Column, value: Column) -> Column:
 
 
 def date_of(s: Column) -> Column:
-    """Date in a trimmed text; impossible calendar days are NULL."""
-    ymd = F.regexp_replace(s, YEAR_FIRST, "$1-$2-$3")
-    ymd = F.regexp_replace(ymd, CHINESE_DATE, "$1-$2-$3")
-    ymd = F.regexp_replace(ymd, YEAR_LAST, "$3-$1-$2")
-    day = F.try_to_date(F.regexp_extract(ymd, CANONICAL_DATE, 1), "yyyy-M-d")
-    return F.when(F.length(s) <= LONGEST_DATE, day)
+    """Date in a trimmed text; impossible calendar days are NULL.
+
+    The pattern is checked once and the parts are put in order without another;
+    ``try_cast`` then accepts one-digit months and days but no 31 February.
+    """
+    day_part = F.substring_index(F.substring_index(s, " ", 1), "T", 1)
+    year_first = F.translate(day_part, "/.", "--")
+    chinese = F.translate(s, "年月日", "--")
+    month_day = F.translate(F.substring(s, F.lit(1), F.length(s) - 5), "/.", "--")
+    year_last = F.concat(F.right(s, F.lit(4)), F.lit("-"), month_day)
+    ordered = (
+        F.when(s.rlike(YEAR_FIRST), year_first)
+        .when(s.rlike(CHINESE_DATE), chinese)
+        .when(s.rlike(YEAR_LAST), year_last)
+    )
+    return F.when(F.substring(s, 1, 1).between("0", "9"), ordered.try_cast("date"))
 
 
 def parse_number(c: Column) -> Column:

@@ -14,14 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwright.columns import col, group_key, key_text, kind, literal_rows, missing, number, strip
+from tabwright.columns import col, key_text, kind, literal_rows, missing, number, strip
 from tabwright.fields import FieldSpec, default_aggregation, infer_role
 from tabwright.functions.cells import date_of, format_of, is_boolean_text, number_of
-from tabwright.scale import broadcast_if_few
 from tabwright.sources.tables import ROW_ID, rows_at
 
 SAMPLE_ROWS = 500
 SAMPLE_VALUES = 5
+PREFIX = 1000
+# Longer than this, a text is a number only if it is made of these characters.
+LONG_TEXT = 64
+NUMBER_CHARACTERS = r"^[0-9eE+.,，\s￥¥$€£%％-]*$"
 # Shares of the votes a type needs.
 BOOLEAN_SHARE, DATE_SHARE, NUMBER_SHARE = 0.9, 0.8, 0.8
 
@@ -39,19 +42,29 @@ def sampled_rows(df: DataFrame, rows: int = SAMPLE_ROWS, row_id: str = ROW_ID) -
 
 
 def _cell(df: DataFrame, name: str) -> Column:
-    """A cell in long form: its text to be read, or the vote its type implies."""
+    """A cell in long form: its text, or the vote that needs no reading.
+
+    A text longer than any number and with other characters is a string for
+    sure; it is represented by its SHA-256, so that long texts are not shuffled.
+    """
     have, absent = kind(df, name), missing(df, name)
-    nothing, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
     if have == "string":
         c = key_text(df, name)
-        known = F.when(absent, "none").when(is_boolean_text(c), "boolean")
-        return F.struct(
-            F.lit(name).alias("field"), strip(c).alias("text"), known.alias("known"), no_number.alias("value")
+        long_text = (F.length(c) > LONG_TEXT) & ~c.rlike(NUMBER_CHARACTERS)
+        known = (
+            F.when(absent, "none").when(is_boolean_text(c), "boolean").when(long_text, "string")
         )
-    value = number(df, name) if have == "number" else no_number
-    absent = absent | value.isNull() if have == "number" else absent
-    known = F.when(absent, "none").otherwise(have)
-    return F.struct(F.lit(name).alias("field"), nothing.alias("text"), known.alias("known"), value.alias("value"))
+        text, value = F.when(long_text, F.sha2(c, 256)).otherwise(c), no_number
+    else:
+        value = number(df, name) if have == "number" else no_number
+        if have == "number":
+            absent = absent | value.isNull()
+        known = F.when(absent, "none").otherwise(have)
+        text = no_text if have == "number" else key_text(df, name)
+    return F.struct(
+        F.lit(name).alias("field"), text.alias("text"), known.alias("known"), value.alias("value")
+    )
 
 
 def long_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -59,20 +72,25 @@ def long_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*[_cell(df, f) for f in fields])))
 
 
-def type_votes(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: votes per type, then the formats of the number votes.
+def distinct_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``long_cells`` with equal cells added up to ``n``.
 
-    Cells are read in long form without a shuffle; only one row of counters per
-    column and task is exchanged.
+    The key holds the value, so a column is spread over all tasks and a hot
+    value is one row per task. Everything after this reads each value once.
     """
-    fields = list(fields or data_columns(df))
+    cells = long_cells(df, fields)
+    return cells.groupBy(*cells.columns).agg(F.count("*").alias("n"))
+
+
+def read_cells(cells: DataFrame) -> DataFrame:
+    """Add ``vote`` and, for numbers, ``value`` and ``tag``; for dates ``date``."""
+    trimmed = cells.withColumn("trimmed", strip(col("text")))
     unread = col("known").isNull()
-    read = long_cells(df, fields).select(
-        "field",
-        "text",
-        "known",
-        F.when(unread, number_of(col("text"))).otherwise(col("value")).alias("value"),
-        F.when(unread, date_of(col("text"))).alias("date"),
+    read = trimmed.withColumns(
+        {
+            "value": F.when(unread, number_of(col("trimmed"))).otherwise(col("value")),
+            "date": F.when(unread, date_of(col("trimmed"))),
+        }
     )
     vote = (
         F.when(col("known").isNotNull(), col("known"))
@@ -83,20 +101,54 @@ def type_votes(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     whole = F.floor(col("value")).cast("double") == col("value")
     tag = F.when(
         col("text").isNull(), F.when(whole, "integer").otherwise("decimal")
-    ).otherwise(format_of(col("text"), col("value")))
-    voted = read.select(
-        "field", vote.alias("vote"), F.when(vote == "number", tag).alias("tag"), whole.alias("whole")
-    )
-    counted = voted.groupBy("field").agg(
-        *[F.count_if(col("vote") == t).alias(t) for t in ("boolean", "number", "date", "string")],
-        F.count_if(col("tag") == "percentage").alias("percentages"),
-        F.count_if(col("tag") == "currency").alias("currencies"),
-        F.count_if(col("tag").isin("integer", "decimal")).alias("plains"),
-        F.count_if((col("vote") == "number") & ~col("whole")).alias("fractions"),
-    )
-    # Every column gets its row, also when the table has none.
-    named = literal_rows(df.sparkSession, [(f,) for f in fields], {"field": "string"})
-    return named.join(F.broadcast(counted), "field", "left").na.fill(0)
+    ).otherwise(format_of(col("trimmed"), col("value")))
+    return read.withColumn("vote", vote).withColumn("tag", F.when(col("vote") == "number", tag))
+
+
+def vote_counts(n: Column) -> list[Column]:
+    """Aggregates over read cells of weight ``n``."""
+
+    def votes(condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).alias(name)
+
+    is_number = col("vote") == "number"
+    fraction = F.floor(col("value")).cast("double") != col("value")
+    return [
+        *[votes(col("vote") == t, t) for t in ("boolean", "number", "date", "string")],
+        votes(col("tag") == "percentage", "percentages"),
+        votes(col("tag") == "currency", "currencies"),
+        votes(col("tag").isin("integer", "decimal"), "plains"),
+        votes(is_number & fraction, "fractions"),
+    ]
+
+
+def count_columns(n: Column) -> list[Column]:
+    present = col("vote") != "none"
+    return [
+        F.sum(n).alias("rows"),
+        F.coalesce(F.sum(F.when(~present, n)), F.lit(0)).alias("nullCount"),
+    ]
+
+
+def with_rates(counts: DataFrame) -> DataFrame:
+    rate = F.coalesce(F.try_divide(col("nullCount"), col("rows")), F.lit(0.0))
+    return counts.withColumn("nullRate", rate).withColumn("nullable", col("nullCount") > 0)
+
+
+def every_field(counts: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A row for each field, also when the table has no rows at all."""
+    named = literal_rows(counts.sparkSession, [(f,) for f in fields], {"field": "string"})
+    return named.join(F.broadcast(counts), "field", "left").na.fill(0)
+
+
+def type_votes(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: votes per type, then the formats of the number votes.
+
+    Every cell is read where it lies; only counters are exchanged.
+    """
+    fields = list(fields or data_columns(df))
+    voted = read_cells(long_cells(df, fields)).groupBy("field").agg(*vote_counts(F.lit(1)))
+    return every_field(voted, fields)
 
 
 def decided_types(votes: DataFrame) -> DataFrame:
@@ -149,31 +201,36 @@ def column_counts(
     approx_distinct: bool = False,
 ) -> DataFrame:
     """One row per column: rows, missing, distinct and the first sample values."""
-    fields = list(fields or data_columns(df))
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-    aggs = [F.count("*").alias("rows")]
-    for i, f in enumerate(fields):
-        present = F.when(~missing(df, f), group_key(df, f).group)
-        aggs += [F.count(present).alias(f"n{i}"), distinct(present).alias(f"d{i}")]
-    wide = df.agg(*aggs)
-    rows = []
-    for i, f in enumerate(fields):
-        absent = col("rows") - col(f"n{i}")
-        rate = F.coalesce(F.try_divide(absent, col("rows")), F.lit(0.0))
-        rows.append(
-            F.struct(
-                F.lit(f).alias("field"),
-                col("rows").alias("rows"),
-                absent.alias("nullCount"),
-                rate.alias("nullRate"),
-                col(f"d{i}").alias("distinctCount"),
-                (absent > 0).alias("nullable"),
-            )
-        )
-    counts = wide.select(F.inline(F.array(*rows)))
+    return _profile(df, list(fields or data_columns(df)), row_id, approx_distinct, [])
+
+
+def _profile(
+    df: DataFrame,
+    fields: list[str],
+    row_id: str | None,
+    approx_distinct: bool,
+    more: list[Column],
+) -> DataFrame:
+    """Counts per column, and ``more`` vote counts, from one scan.
+
+    Exact distinct counts need every distinct cell once; approximate ones need
+    no shuffle of cells.
+    """
+    present = col("vote") != "none"
+    if approx_distinct:
+        cells, n = long_cells(df, fields), F.lit(1)
+        identity = F.when(present, F.coalesce(col("text"), col("value").cast("string")))
+        distinct = F.approx_count_distinct(identity)
+    else:
+        cells, n = distinct_cells(df, fields), col("n")
+        distinct = F.count_if(present)
+    read = read_cells(cells) if more else cells.withColumn("vote", F.coalesce("known", F.lit("some")))
+    counted = read.groupBy("field").agg(*more, *count_columns(n), distinct.alias("distinctCount"))
+    counts = with_rates(every_field(counted, fields))
     if row_id is None:
         return counts
-    return counts.join(broadcast_if_few(first_values(df, fields, row_id)), "field", "left")
+    samples = first_values(df, fields, row_id)
+    return counts.join(F.broadcast(samples), "field", "left")
 
 
 def first_values(
@@ -181,39 +238,53 @@ def first_values(
 ) -> DataFrame:
     """The first ``k`` non-missing values of each column, in row order.
 
-    ``row_number() <= k`` lets Spark keep only k rows per column and task before
-    the shuffle, so no column is ever gathered whole.
+    Most columns have them among the first rows: ids below ``PREFIX`` come before
+    all others. Only columns that do not are looked up in the whole table.
     """
-    cells = df.select(
-        col(row_id).alias("_at"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f).alias("field"),
-                        F.when(~missing(df, f), key_text(df, f)).alias("value"),
-                    )
-                    for f in fields
-                ]
-            )
-        ),
-    ).filter(col("value").isNotNull())
-    place = F.row_number().over(Window.partitionBy("field").orderBy("_at"))
-    first = cells.withColumn("_place", place).filter(col("_place") <= k)
-    ordered = F.array_sort(F.collect_list(F.struct("_place", "value")))
+    prefix = df.filter(col(row_id) < PREFIX)
+    full = prefix.agg(
+        *[(F.count_if(~missing(df, f)) >= k).alias(f"f{i}") for i, f in enumerate(fields)]
+    ).first()
+    early = [f for i, f in enumerate(fields) if full[f"f{i}"]]
+    late = [f for f in fields if f not in early]
+    parts = [_first_cells(d, fs, row_id, k) for d, fs in ((prefix, early), (df, late)) if fs]
+    first = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    ordered = F.array_sort(F.collect_list(F.struct("place", "value")))
     return first.groupBy("field").agg(F.transform(ordered, lambda s: s["value"]).alias("sampleValues"))
 
 
+def _first_cells(df: DataFrame, fields: Sequence[str], row_id: str, k: int) -> DataFrame:
+    """``row_number() <= k`` lets Spark keep k rows per column and task early."""
+    cells = [
+        F.struct(
+            F.lit(f).alias("field"), F.when(~missing(df, f), key_text(df, f)).alias("value")
+        )
+        for f in fields
+    ]
+    place = F.row_number().over(Window.partitionBy("field").orderBy("at"))
+    return (
+        df.select(col(row_id).alias("at"), F.inline(F.array(*cells)))
+        .filter(col("value").isNotNull())
+        .withColumn("place", place)
+        .filter(col("place") <= k)
+        .drop("at")
+    )
+
+
 def infer_columns(
     df: DataFrame, sample_rows: int | None = None, approx_distinct: bool = False
 ) -> DataFrame:
     """The column profile: votes, type, format, confidence, counts; one row each."""
-    voters = df if sample_rows is None else sampled_rows(df, sample_rows)
-    decided = decided_types(type_votes(voters, data_columns(df)))
+    fields = data_columns(df)
     row_id = ROW_ID if ROW_ID in df.columns else None
-    counts = column_counts(df, data_columns(df), row_id, approx_distinct)
+    if sample_rows is None:
+        return decided_types(_profile(df, fields, row_id, approx_distinct, vote_counts(
+            F.lit(1) if approx_distinct else col("n")
+        )))
+    votes = type_votes(sampled_rows(df, sample_rows), fields)
+    counts = column_counts(df, fields, row_id, approx_distinct)
     # Both sides have one row per column of the table.
-    return decided.join(F.broadcast(counts), "field")
+    return decided_types(votes.join(F.broadcast(counts), "field"))
 
 
 @dataclass(frozen=True)

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from tabwright.columns import col, key_text, literal_rows, missing
 from tabwright.fields import FieldSpec
-from tabwright.plans.infer import column_counts, data_columns, type_votes
-from tabwright.plans.normalize import normalization_counts, normalize
+from tabwright.functions.cells import parse_boolean
+from tabwright.plans.infer import data_columns, distinct_cells, read_cells, vote_counts, with_rates
+from tabwright.plans.normalize import normalize
 
 HIGH_NULL_RATE = 0.3
 MIN_VOTES, SECOND_SHARE, MAIN_SHARE = 5, 0.1, 0.9
@@ -106,6 +107,53 @@ def _column_findings(columns: DataFrame) -> Column:
     )
 
 
+def _checked_columns(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
+    """One row per column: votes of the raw cells, counts of the final cells.
+
+    One scan. Every distinct raw cell is read once and becomes a final value;
+    equal final values are then added up for the distinct count.
+    """
+    described = literal_rows(
+        df.sparkSession,
+        [(s.name, s.type, s.role) for s in specs],
+        {"field": "string", "type": "string", "role": "string"},
+    )
+    # The other side of this join has one row per column of the table.
+    cells = read_cells(distinct_cells(df, [s.name for s in specs])).join(
+        F.broadcast(described), "field"
+    )
+    want, text = col("type"), col("text")
+    number_text = col("value").cast("string")
+    final = (
+        F.when(col("vote") == "none", None)
+        .when(col("role") == "ignored", F.coalesce(text, number_text))
+        .when(want == "number", number_text)
+        .when(want == "date", F.when(col("known") == "date", text).otherwise(col("date").cast("string")))
+        .when(want == "boolean", parse_boolean(text).cast("string"))
+        .otherwise(F.coalesce(text, number_text))
+    )
+    checked = cells.withColumn("final", final).withColumn(
+        "unread", (col("vote") != "none") & col("final").isNull()
+    )
+    n = col("n")
+    votes = vote_counts(n)
+    vote_names = ["boolean", "number", "date", "string"]
+    by_value = checked.groupBy("field", "type", "role", "final").agg(
+        *votes[: len(vote_names)],
+        F.sum(n).alias("n"),
+        F.coalesce(F.sum(F.when(col("unread"), n)), F.lit(0)).alias("unread"),
+    )
+    counted = by_value.groupBy("field", "type", "role").agg(
+        *[F.sum(v).alias(v) for v in vote_names],
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum(F.when(col("final").isNull(), col("n"))), F.lit(0)).alias("nullCount"),
+        F.count_if(col("final").isNotNull()).alias("distinctCount"),
+        F.sum(F.when(col("type") == "number", col("unread")).otherwise(0)).alias("invalidNumber"),
+        F.sum(F.when(col("type") == "date", col("unread")).otherwise(0)).alias("invalidDate"),
+    )
+    return with_rates(counted)
+
+
 def quality_report(
     df: DataFrame,
     specs: Sequence[FieldSpec],
@@ -121,17 +169,7 @@ def quality_report(
     spark = df.sparkSession
     fields = [s.name for s in specs]
     final = normalize(df, specs)
-    described = literal_rows(
-        spark,
-        [(s.name, s.type, s.role) for s in specs],
-        {"field": "string", "type": "string", "role": "string"},
-    )
-    # Each side has one row per column of the table.
-    columns = (
-        described.join(F.broadcast(type_votes(df, fields)), "field")
-        .join(F.broadcast(column_counts(final, fields)), "field")
-        .join(F.broadcast(normalization_counts(df, specs)), "field")
-    )
+    columns = _checked_columns(df, specs)
     found = columns.select(F.explode(F.array_compact(_column_findings(columns))).alias("f")).select(
         *[col("f")[c].alias(c) for c in COLUMNS]
     )
