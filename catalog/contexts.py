@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from tabwright.fields import specs_of
-from tabwright.functions.dates import read_date
+from tabwright.functions.dates import date_sql
 from tabwright.functions.masking import mask, mask_columns
 from tabwright.plans import context, stats
 from tabwright.plans.context import HEAD, MIDDLE, RANDOM, SAMPLE_ROWS, TAIL
@@ -126,7 +126,7 @@ def anomaly_candidates(t):
     """
 )
 def date_stats(t):
-    return stats.date_stats(t.events, {"ts": read_date(t.events, "ts")})
+    return stats.date_stats(t.events, {"ts": date_sql(t.events, "ts")})
 
 
 @query(
@@ -152,5 +152,5 @@ def fingerprint(t):
 @query(f"SELECT conv_id, turn, {MASK_SQL.format('role')} AS role, length(text) AS n FROM conversations")
 def masked_roles(t):
     return t.conversations.select(
-        "conv_id", "turn", mask(F.col("role")).alias("role"), F.length("text").cast("bigint").alias("n")
+        "conv_id", "turn", mask("role").alias("role"), F.length("text").cast("bigint").alias("n")
     )

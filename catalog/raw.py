@@ -87,7 +87,7 @@ def normalize_cells(t):
     """
 )
 def number_formats(t):
-    return raw_orders(t).select("o_orderkey", number_format(F.col("amount")).alias("tag"))
+    return raw_orders(t).select("o_orderkey", number_format("amount").alias("tag"))
 
 
 @query(

@@ -1,8 +1,12 @@
 """How a column of any Spark type is read: by name, as a number, as a key text.
 
 A cell is *missing* when it is NULL or the empty string. Every operator reads
-numbers through :func:`number` and group keys through :func:`group_key`, so the
-rules live here once. All of them are plain column expressions.
+numbers through :func:`number_sql` and group keys through :func:`group_key`, so
+the rules live here once.
+
+Expressions are written as Spark SQL text (``*_sql`` functions give the text)
+and handed over with ``expr``: one call for a whole expression keeps the
+building of wide plans fast.
 """
 
 from __future__ import annotations
@@ -17,33 +21,65 @@ from pyspark.sql import types as T
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 TIMESTAMPS = (T.TimestampType, T.TimestampNTZType)
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 # Decimal text with an optional exponent: what a numeric read accepts.
 NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 # Characters removed around a cell before it is read.
-BLANKS = " \t\n\r\f\u000b   　﻿"
+BLANKS = " \t\n\r\f\u000b 　﻿"
+INFINITY = "double('Infinity')"
+
+
+def quoted(name: str) -> str:
+    """A column name in SQL text, safe for dots, brackets and backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(value: str) -> str:
+    """A text literal in SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def list_sql(values: Sequence[str]) -> str:
+    return ", ".join(text_sql(v) for v in values)
+
+
+def struct_sql(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {c}" for n, c in fields.items()) + ")"
+
+
+def inline_sql(structs: Sequence[str]) -> str:
+    """One output row per struct, in the same task."""
+    return "inline(array(" + ", ".join(structs) + "))"
 
 
 def col(name: str) -> Column:
-    """Column by exact name, safe for dots, brackets and backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column by exact name."""
+    return F.col(quoted(name))
 
 
-def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: Mapping[str, str]) -> DataFrame:
+def literal_rows(
+    spark: SparkSession, rows: Sequence[tuple], schema: Mapping[str, str]
+) -> DataFrame:
     """A few constant rows, built inside the JVM."""
-    cells = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, schema.items())])
-        for row in rows
+
+    def cell(value, type_: str) -> str:
+        literal = "NULL" if value is None else text_sql(str(value))
+        return f"cast({literal} AS {type_})"
+
+    if not rows:
+        return spark.range(0).selectExpr(*[f"{cell(None, t)} AS {quoted(n)}" for n, t in schema.items()])
+    structs = [
+        struct_sql(**{n: cell(v, t) for v, (n, t) in zip(row, schema.items())}) for row in rows
     ]
-    if not cells:
-        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in schema.items()])
-    return spark.range(1).select(F.inline(F.array(*cells)))
+    return spark.range(1).selectExpr(inline_sql(structs))
 
 
-def require(df: DataFrame, names: list[str]) -> None:
+def require(df: DataFrame, names: Sequence[str]) -> None:
     """Raise ``ValueError`` when a name is not a column of ``df``."""
-    unknown = [n for n in names if n not in df.columns]
+    have = set(df.columns)
+    unknown = [n for n in names if n not in have]
     if unknown:
         raise ValueError(f"unknown field(s): {', '.join(unknown)}")
 
@@ -65,46 +101,49 @@ def kind(df: DataFrame, name: str) -> str:
     return "string"
 
 
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+def strip_sql(c: str) -> str:
+    return f"btrim({c}, {text_sql(BLANKS)})"
 
 
-def finite(c: Column) -> Column:
+def finite_sql(c: str) -> str:
     """A double, with NaN and the infinities turned into NULL."""
-    return F.when(F.abs(c) < float("inf"), c)
-
-
-def cast_number(s: Column) -> Column:
-    """Trimmed decimal text as a double; anything else is NULL, never an error."""
-    return F.when(s.rlike(NUMERIC_TEXT), finite(s.try_cast("double")))
+    return f"CASE WHEN abs({c}) < {INFINITY} THEN {c} END"
 
 
-def number(df: DataFrame, name: str) -> Column:
-    """The lenient numeric read: missing and non-finite values are NULL."""
-    t, c = dtype(df, name), col(name)
+def number_sql(df: DataFrame, name: str) -> str:
+    """The lenient numeric read: missing, unreadable and non-finite cells are NULL."""
+    t, c = dtype(df, name), quoted(name)
     if isinstance(t, INTEGRAL + (T.DecimalType,)):
-        return c.cast("double")
+        return f"double({c})"
     if isinstance(t, T.BooleanType):
-        return c.cast("int").cast("double")
+        return f"double(int({c}))"
     if isinstance(t, (T.FloatType, T.DoubleType)):
-        return finite(c.cast("double"))
+        return finite_sql(c if isinstance(t, T.DoubleType) else f"double({c})")
     if isinstance(t, T.StringType):
-        return cast_number(strip(c))
-    return F.lit(None).cast("double")
+        s = strip_sql(c)
+        cast = finite_sql(f"try_cast({s} AS DOUBLE)")
+        return f"CASE WHEN {s} RLIKE {text_sql(NUMERIC_TEXT)} THEN {cast} END"
+    return "cast(NULL AS DOUBLE)"
+
+
+def number(df: DataFrame, name: str) -> Column:
+    return F.expr(number_sql(df, name))
 
 
-def double_text(c: Column) -> Column:
+def double_text_sql(c: str) -> str:
     """Text of a double without a trailing ``.0`` on whole numbers."""
-    whole = (F.abs(c) < 1e15) & (F.floor(c).cast("double") == c)
-    return F.when(whole, F.floor(c).cast("string")).otherwise(c.cast("string"))
+    return (
+        f"CASE WHEN abs({c}) < 1e15 AND double(floor({c})) = {c} "
+        f"THEN string(floor({c})) ELSE string({c}) END"
+    )
 
 
-def missing(df: DataFrame, name: str) -> Column:
+def missing_sql(df: DataFrame, name: str) -> str:
     """True where the cell is NULL or the empty string."""
-    c = col(name)
+    c = quoted(name)
     if isinstance(dtype(df, name), T.StringType):
-        return c.isNull() | (c == "")
-    return c.isNull()
+        return f"({c} IS NULL OR {c} = '')"
+    return f"({c} IS NULL)"
 
 
 @dataclass(frozen=True)
@@ -116,29 +155,29 @@ class Key:
     """
 
     name: str
-    group: Column
-    text: Callable[[Column], Column]
+    group: str
+    text: Callable[[str], str]
 
 
-def _plain_text(grouped: Column) -> Column:
-    return F.coalesce(grouped.cast("string"), F.lit(""))
+def _plain_text(grouped: str) -> str:
+    return f"coalesce(string({grouped}), '')"
 
 
 def group_key(df: DataFrame, name: str) -> Key:
-    t, c = dtype(df, name), col(name)
+    t, c = dtype(df, name), quoted(name)
     if isinstance(t, T.StringType):
-        return Key(name, F.coalesce(c, F.lit("")), lambda g: g)
+        return Key(name, f"coalesce({c}, '')", lambda g: g)
     if isinstance(t, FRACTIONAL):
-        return Key(name, c.cast("double"), lambda g: F.coalesce(double_text(g), F.lit("")))
+        return Key(name, f"double({c})", lambda g: f"coalesce({double_text_sql(g)}, '')")
     if isinstance(t, TIMESTAMPS):
-        return Key(name, c.cast("date"), _plain_text)
-    if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+        return Key(name, f"date({c})", _plain_text)
+    if isinstance(t, NESTED):
         # Maps cannot be grouped on, so nested values are keyed by their JSON.
-        return Key(name, F.coalesce(F.to_json(c), F.lit("")), lambda g: g)
+        return Key(name, f"coalesce(to_json({c}), '')", lambda g: g)
     return Key(name, c, _plain_text)
 
 
-def key_text(df: DataFrame, name: str) -> Column:
+def key_sql(df: DataFrame, name: str) -> str:
     """The key text of a cell, ``""`` for a missing one; never NULL."""
     k = group_key(df, name)
     return k.text(k.group)

@@ -7,9 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 AGGREGATIONS = ("sum", "avg", "count", "min", "max", "median", "last")
 
 
@@ -18,34 +15,21 @@ def check(how: str) -> None:
         raise ValueError(f"aggregation must be one of {', '.join(AGGREGATIONS)}, not {how!r}")
 
 
-def zero_if_empty(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
-
-
-def last_value(x: Column, order: Sequence[Column]) -> Column:
-    """The last valid number in row order: rows without a number do not count."""
-    if not order:
-        raise ValueError("aggregation 'last' needs order_by: a DataFrame has no row order")
-    return F.max_by(x, F.when(x.isNotNull(), F.struct(*order)))
-
+def aggregate_sql(x: str, how: str, order: Sequence[str] = ()) -> str:
+    """One aggregate over the number ``x``; NULL when there is no number.
 
-def aggregate(x: Column, how: str, order: Sequence[Column] = ()) -> Column:
-    """One aggregate over the number column ``x``; NULL when there is no number.
-
-    Medians are not here: they go through :mod:`tabwright.functions.quantiles`.
+    ``last`` is the last valid number in row order: rows without a number do not
+    count. Medians go through :mod:`tabwright.functions.quantiles`.
     """
     if how == "count":
-        return F.nullif(F.count(x), F.lit(0))
+        return f"nullif(count({x}), 0)"
     if how == "last":
-        return last_value(x, order)
-    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[how](x)
-
-
-def empty_value(how: str) -> Column:
-    """What an aggregate of nothing gives where NULL is not wanted."""
-    return F.lit(0).cast("bigint") if how == "count" else F.lit(0.0)
+        if not order:
+            raise ValueError("aggregation 'last' needs order_by: a DataFrame has no row order")
+        return f"max_by({x}, struct({', '.join(order)})) FILTER (WHERE {x} IS NOT NULL)"
+    return f"{how}({x})"
 
 
-def sample_std(x: Column) -> Column:
-    """Standard deviation over n - 1; one value alone has 0."""
-    return zero_if_empty(F.stddev_samp(x))
+def or_zero(value: str, how: str = "sum") -> str:
+    """The value of an aggregate, 0 where there was nothing to aggregate."""
+    return f"coalesce({value}, {'0L' if how == 'count' else '0D'})"

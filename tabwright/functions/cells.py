@@ -1,9 +1,9 @@
 """Reading text cells as numbers, dates and booleans.
 
-Everything is a built-in column expression, so a whole table is read in one
-``select`` inside code generation. ``try_cast`` and ``try_to_date`` keep bad
-cells NULL under ANSI mode. The expressions mention their input as few times as
-possible, because every mention is compiled again.
+Everything is a built-in expression, so a whole table is read in one projection
+inside code generation. ``try_cast`` keeps bad cells NULL under ANSI mode.
+Functions ending in ``_sql`` take and give SQL text; the others take a column
+name.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabwright.columns import finite, strip
+from tabwright.columns import finite_sql, list_sql, quoted, strip_sql, text_sql
 
 # What a number, date or boolean cell may look like.
 PERCENT_SIGNS = ["%", "％"]
@@ -34,80 +34,88 @@ TRUE_WORDS = ["true", "是", "1", "yes", "y", "t"]
 FALSE_WORDS = ["false", "否", "0", "no", "n", "f"]
 
 
-def _is_percent(s: Column) -> Column:
-    return s.endswith(PERCENT_SIGNS[0]) | s.endswith(PERCENT_SIGNS[1])
+def _percent_sql(s: str) -> str:
+    return "(" + " OR ".join(f"endswith({s}, {text_sql(p)})" for p in PERCENT_SIGNS) + ")"
 
 
-def _is_currency(s: Column) -> Column:
-    return F.substring(s, 1, 1).isin(CURRENCY_SIGNS)
+def _currency_sql(s: str) -> str:
+    return f"(substring({s}, 1, 1) IN ({list_sql(CURRENCY_SIGNS)}))"
 
 
-def number_of(s: Column) -> Column:
+def number_of_sql(s: str) -> str:
     """Number in a trimmed text.
 
     The kinds exclude each other by their first or last character, so one chain
     picks the digits and one cast reads them. A sign alone counts as zero; an
     amount never ends in a percent sign.
     """
-    rest = F.regexp_replace(F.regexp_replace(s, SIGNED_NOISE, ""), "^$", "0")
-    digits = F.when(
-        _is_percent(s) != _is_currency(s), F.regexp_extract(rest, LOOSE_NUMBER, 1)
-    ).when(s.rlike(UNSIGNED), F.translate(s, ",，", ""))
-    scale = F.when(_is_percent(s), 100.0).otherwise(1.0)
-    return finite(digits.try_cast("double") / scale)
+    percent, currency = _percent_sql(s), _currency_sql(s)
+    rest = f"regexp_replace(regexp_replace({s}, {text_sql(SIGNED_NOISE)}, ''), '^$', '0')"
+    digits = (
+        f"CASE WHEN {percent} <> {currency} THEN regexp_extract({rest}, {text_sql(LOOSE_NUMBER)}, 1) "
+        f"WHEN {s} RLIKE {text_sql(UNSIGNED)} THEN translate({s}, ',，', '') END"
+    )
+    return finite_sql(
+        f"(try_cast({digits} AS DOUBLE) / CASE WHEN {percent} THEN 100D ELSE 1D END)"
+    )
 
 
-def format_of(s: Column, value: Column) -> Column:
+def format_of_sql(s: str, value: str) -> str:
     """Format tag of a trimmed text, given the number that was read from it."""
     return (
-        F.when(value.isNull(), "plain")
-        .when(_is_percent(s), "percentage")
-        .when(_is_currency(s), "currency")
-        .when(s.contains(",") | s.contains("，"), "decimal")
-        .when(F.floor(value).cast("double") == value, "integer")
-        .otherwise("decimal")
+        f"CASE WHEN {value} IS NULL THEN 'plain' WHEN {_percent_sql(s)} THEN 'percentage' "
+        f"WHEN {_currency_sql(s)} THEN 'currency' "
+        f"WHEN contains({s}, ',') OR contains({s}, '，') THEN 'decimal' "
+        f"WHEN double(floor({value})) = {value} THEN 'integer' ELSE 'decimal' END"
     )
 
 
-def date_of(s: Column) -> Column:
+def date_of_sql(s: str) -> str:
     """Date in a trimmed text; impossible calendar days are NULL.
 
     The pattern is checked once and the parts are put in order without another;
     ``try_cast`` then accepts one-digit months and days but no 31 February.
     """
-    day_part = F.substring_index(F.substring_index(s, " ", 1), "T", 1)
-    year_first = F.translate(day_part, "/.", "--")
-    chinese = F.translate(s, "年月日", "--")
-    month_day = F.translate(F.substring(s, F.lit(1), F.length(s) - 5), "/.", "--")
-    year_last = F.concat(F.right(s, F.lit(4)), F.lit("-"), month_day)
+    day_part = f"substring_index(substring_index({s}, ' ', 1), 'T', 1)"
+    month_day = f"translate(substring({s}, 1, length({s}) - 5), '/.', '--')"
     ordered = (
-        F.when(s.rlike(YEAR_FIRST), year_first)
-        .when(s.rlike(CHINESE_DATE), chinese)
-        .when(s.rlike(YEAR_LAST), year_last)
+        f"CASE WHEN {s} RLIKE {text_sql(YEAR_FIRST)} THEN translate({day_part}, '/.', '--') "
+        f"WHEN {s} RLIKE {text_sql(CHINESE_DATE)} THEN translate({s}, '年月日', '--') "
+        f"WHEN {s} RLIKE {text_sql(YEAR_LAST)} THEN concat(right({s}, 4), '-', {month_day}) END"
+    )
+    return (
+        f"CASE WHEN substring({s}, 1, 1) BETWEEN '0' AND '9' "
+        f"THEN try_cast({ordered} AS DATE) END"
+    )
+
+
+def boolean_of_sql(s: str) -> str:
+    return (
+        f"CASE WHEN lower({s}) IN ({list_sql(TRUE_WORDS)}) THEN true "
+        f"WHEN lower({s}) IN ({list_sql(FALSE_WORDS)}) THEN false END"
     )
-    return F.when(F.substring(s, 1, 1).between("0", "9"), ordered.try_cast("date"))
 
 
-def parse_number(c: Column) -> Column:
+def is_boolean_sql(c: str) -> str:
+    """Only the two literal words vote for a boolean column."""
+    return f"({c} IN ('true', 'false'))"
+
+
+def parse_number(name: str) -> Column:
     """Number in a text cell: percent, currency, thousands or plain; else NULL."""
-    return number_of(strip(c))
+    return F.expr(number_of_sql(strip_sql(quoted(name))))
 
 
-def number_format(c: Column) -> Column:
+def number_format(name: str) -> Column:
     """Format tag of a text cell; ``plain`` when it is not a number."""
-    return format_of(strip(c), number_of(strip(c)))
+    s = strip_sql(quoted(name))
+    return F.expr(format_of_sql(s, number_of_sql(s)))
 
 
-def parse_date(c: Column) -> Column:
+def parse_date(name: str) -> Column:
     """Date in a text cell, as a ``date``."""
-    return date_of(strip(c))
+    return F.expr(date_of_sql(strip_sql(quoted(name))))
 
 
-def parse_boolean(c: Column) -> Column:
-    word = F.lower(strip(c))
-    return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
-
-
-def is_boolean_text(c: Column) -> Column:
-    """Only the two literal words vote for a boolean column."""
-    return c.isin("true", "false")
+def parse_boolean(name: str) -> Column:
+    return F.expr(boolean_of_sql(strip_sql(quoted(name))))

@@ -1,4 +1,4 @@
-"""Lenient date reads and calendar buckets."""
+"""Lenient date reads and calendar buckets, as SQL text."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.columns import INTEGRAL, TIMESTAMPS, col, dtype
-from tabwright.functions.cells import parse_date
+from tabwright.columns import INTEGRAL, TIMESTAMPS, dtype, quoted, strip_sql
+from tabwright.functions.cells import date_of_sql
 
 GRAINS = ("day", "week", "month", "quarter", "year")
 
@@ -17,45 +17,45 @@ def check_grain(grain: str) -> None:
         raise ValueError(f"grain must be one of {', '.join(GRAINS)}, not {grain!r}")
 
 
-def read_date(df: DataFrame, name: str) -> Column:
+def date_sql(df: DataFrame, name: str) -> str:
     """Date of a cell, whatever the column's type; unreadable cells are NULL.
 
     Text may be an ISO prefix, a year-month, a year or any form accepted at
     import; a bare year-month or year means its first day.
     """
-    t, c = dtype(df, name), col(name)
+    t, c = dtype(df, name), quoted(name)
     if isinstance(t, (T.DateType,) + TIMESTAMPS):
-        return c.cast("date")
+        return f"date({c})"
     if isinstance(t, INTEGRAL):
-        c = c.cast("string")
+        c = f"string({c})"
     elif not isinstance(t, T.StringType):
-        return F.lit(None).cast("date")
-    iso = F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
+        return "cast(NULL AS DATE)"
     return (
-        F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), iso)
-        .when(c.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.try_to_date(F.concat(c, F.lit("-01")), "yyyy-MM-dd"))
-        .when(c.rlike(r"^[0-9]{4}$"), F.try_to_date(F.concat(c, F.lit("-01-01")), "yyyy-MM-dd"))
-        .otherwise(parse_date(c))
+        f"CASE WHEN {c} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}' THEN try_cast(left({c}, 10) AS DATE) "
+        f"WHEN {c} RLIKE '^[0-9]{{4}}-[0-9]{{2}}$' THEN try_cast(concat({c}, '-01') AS DATE) "
+        f"WHEN {c} RLIKE '^[0-9]{{4}}$' THEN try_cast(concat({c}, '-01-01') AS DATE) "
+        f"ELSE {date_of_sql(strip_sql(c))} END"
     )
 
 
-def bucket_start(d: Column, grain: str) -> Column:
+def read_date(df: DataFrame, name: str) -> Column:
+    return F.expr(date_sql(df, name))
+
+
+def bucket_sql(day: str, grain: str) -> str:
     """First day of the bucket. Grouping on a date is cheaper than on a label."""
     check_grain(grain)
-    return d if grain == "day" else F.trunc(d, grain)
+    return day if grain == "day" else f"trunc({day}, '{grain}')"
 
 
-def bucket_label(start: Column, grain: str) -> Column:
+def label_sql(start: str, grain: str) -> str:
     """Text of a bucket: 2026-07-01, 2026-W27, 2026-07, 2026-Q3 or 2026."""
     check_grain(grain)
     if grain == "week":
         # The Thursday of an ISO week decides the year the week belongs to.
-        iso_year = F.date_format(F.date_add(start, 3), "yyyy")
-        week = F.lpad(F.weekofyear(start).cast("string"), 2, "0")
-        return F.concat(iso_year, F.lit("-W"), week)
+        year = f"date_format(date_add({start}, 3), 'yyyy')"
+        return f"concat({year}, '-W', lpad(string(weekofyear({start})), 2, '0'))"
     if grain == "quarter":
-        return F.concat(
-            F.date_format(start, "yyyy"), F.lit("-Q"), F.quarter(start).cast("string")
-        )
+        return f"concat(date_format({start}, 'yyyy'), '-Q', string(quarter({start})))"
     pattern = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}[grain]
-    return F.date_format(start, pattern)
+    return f"date_format({start}, '{pattern}')"

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import number
+from tabwright.columns import number_sql
 
 MAX_DEPTH = 8
 MAX_NODES = 40
@@ -30,6 +30,14 @@ OPERANDS = {
     "abs": ("value",),
     "round": ("value",),
 }
+TEMPLATES = {
+    "add": "({0} + {1})",
+    "subtract": "({0} - {1})",
+    "multiply": "({0} * {1})",
+    "divide": "try_divide({0}, {1})",
+    "safe_divide": "try_divide({0}, {1})",
+    "abs": "abs({0})",
+}
 
 
 def walk(node: Mapping[str, Any], depth: int = 1) -> Iterator[tuple[Mapping[str, Any], int]]:
@@ -61,36 +69,28 @@ def check(node: Mapping[str, Any], available: list[str]) -> None:
         raise ValueError(f"formula uses unknown field(s): {', '.join(unknown)}")
 
 
-def _expression(df: DataFrame, node: Mapping[str, Any]) -> Column:
+def _sql(df: DataFrame, node: Mapping[str, Any]) -> str:
     op = node["op"]
     if op == "field":
-        return number(df, node["field"])
+        return f"({number_sql(df, node['field'])})"
     if op == "const":
-        return F.lit(float(node["value"]))
-    args = [_expression(df, node[k]) for k in OPERANDS[op]]
-    if op == "abs":
-        return F.abs(args[0])
+        return f"({float(node['value'])!r}D)"
+    args = [_sql(df, node[k]) for k in OPERANDS[op]]
     if op == "round":
-        scale = float(10 ** int(node.get("digits") or 0))
+        scale = f"{float(10 ** int(node.get('digits') or 0))!r}D"
         # Halves go up, also for negative numbers.
-        return F.floor(args[0] * scale + 0.5).cast("double") / scale
-    a, b = args
-    if op == "add":
-        return a + b
-    if op == "subtract":
-        return a - b
-    if op == "multiply":
-        return a * b
-    quotient = F.try_divide(a, b)
+        return f"(double(floor({args[0]} * {scale} + 0.5D)) / {scale})"
+    quotient = TEMPLATES[op].format(*args)
     if op == "safe_divide" and node.get("whenZero", "null") == "zero":
-        return F.when(a.isNotNull() & (b == 0), 0.0).otherwise(quotient)
+        a, b = args
+        return f"CASE WHEN {a} IS NOT NULL AND {b} = 0 THEN 0D ELSE {quotient} END"
     return quotient
 
 
 def compile_formula(df: DataFrame, node: Mapping[str, Any]) -> Column:
     """The checked formula as a double column over ``df``."""
     check(node, df.columns)
-    return _expression(df, node)
+    return F.expr(_sql(df, node))
 
 
 def with_derived(df: DataFrame, name: str, node: Mapping[str, Any]) -> DataFrame:

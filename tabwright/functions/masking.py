@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, key_text
+from tabwright.columns import key_sql, quoted, text_sql
 
 # What makes a column sensitive by name or by content.
 SENSITIVE_WORDS = [
@@ -20,29 +20,26 @@ SENSITIVE_PATTERNS = {
 }
 
 
-def looks_sensitive(text: Column) -> Column:
+def looks_sensitive_sql(text: str) -> str:
     """True where a text matches one of the personal-data patterns."""
-    found = F.lit(False)
-    for pattern in SENSITIVE_PATTERNS.values():
-        found = found | text.rlike(pattern)
-    # Every pattern is short: longer text is settled by its length alone.
-    return F.length(text).between(6, 254) & found
+    return "(" + " OR ".join(f"{text} RLIKE {text_sql(p)}" for p in SENSITIVE_PATTERNS.values()) + ")"
 
 
-def mask(text: Column) -> Column:
+def mask_sql(text: str) -> str:
     """Keep the first and last character; NULL and ``""`` stay as they are."""
-    n = F.length(text)
-    hidden = F.concat(
-        F.left(text, F.lit(1)), F.repeat(F.lit("*"), n - 2), F.right(text, F.lit(1))
-    )
+    n = f"length({text})"
     return (
-        F.when(n <= 0, text)
-        .when(n == 1, F.lit("*"))
-        .when(n == 2, F.concat(F.left(text, F.lit(1)), F.lit("*")))
-        .otherwise(hidden)
+        f"CASE WHEN {n} <= 0 THEN {text} WHEN {n} = 1 THEN '*' "
+        f"WHEN {n} = 2 THEN concat(left({text}, 1), '*') "
+        f"ELSE concat(left({text}, 1), repeat('*', {n} - 2), right({text}, 1)) END"
     )
 
 
+def mask(name: str) -> Column:
+    """The mask of a text column."""
+    return F.expr(mask_sql(quoted(name)))
+
+
 def mask_columns(
     df: DataFrame, names: list[str], join_salt: str | None = None
 ) -> DataFrame:
@@ -53,8 +50,8 @@ def mask_columns(
     """
     masked, tokens = {}, {}
     for name in names:
-        text = F.when(col(name).isNotNull(), key_text(df, name))
-        masked[name] = mask(text)
+        text = f"CASE WHEN {quoted(name)} IS NOT NULL THEN {key_sql(df, name)} END"
+        masked[name] = F.expr(mask_sql(text))
         if join_salt is not None:
-            tokens[f"{name}_token"] = F.sha2(F.concat(F.lit(join_salt), text), 256)
+            tokens[f"{name}_token"] = F.expr(f"sha2(concat({text_sql(join_salt)}, {text}), 256)")
     return df.withColumns({**tokens, **masked})

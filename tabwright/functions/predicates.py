@@ -12,18 +12,23 @@ import datetime as dt
 import math
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.columns import FRACTIONAL, INTEGRAL, NUMERIC_TEXT, TIMESTAMPS, col, dtype, key_text, number
+from tabwright.columns import (
+    FRACTIONAL, INFINITY, INTEGRAL, NUMERIC_TEXT, TIMESTAMPS, col, dtype, key_sql, list_sql,
+    number_sql, quoted, text_sql,
+)
 
 OPERATORS = (
     "eq", "neq", "in", "not_in", "gt", "gte", "lt", "lte", "between", "contains",
 )
+SIGNS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
+DATES = (T.DateType,) + TIMESTAMPS
+DOUBLES = (T.FloatType, T.DoubleType)
 
 
 def value_text(v: Any) -> str:
@@ -45,7 +50,8 @@ def value_number(v: Any) -> float | None:
     if isinstance(v, (int, float)):
         return float(v) if math.isfinite(v) else None
     if isinstance(v, str) and re.match(NUMERIC_TEXT, v.strip()):
-        return float(v)
+        n = float(v)
+        return n if math.isfinite(n) else None
     return None
 
 
@@ -60,105 +66,99 @@ def _value_date(v: Any) -> dt.date | None:
         return None
 
 
-def _number_literal(df: DataFrame, field: str, n: float) -> Column:
+def _number_literal(df: DataFrame, field: str, n: float) -> str:
     """A literal in the column's own type where it fits, so no cast is added."""
     if isinstance(dtype(df, field), INTEGRAL) and n.is_integer() and abs(n) < 2**53:
-        return F.lit(int(n))
-    return F.lit(n)
+        return str(int(n))
+    return f"{n!r}D"
 
 
-def _day_bounds(day: dt.date) -> tuple[Column, Column]:
-    return F.lit(day), F.lit(day + dt.timedelta(days=1))
+def _day_bounds(day: dt.date) -> tuple[str, str]:
+    return f"DATE'{day}'", f"DATE'{day + dt.timedelta(days=1)}'"
 
 
-def _equals_text(df: DataFrame, field: str, text: str) -> Column:
+def _equals_sql(df: DataFrame, field: str, text: str) -> str:
     """Never NULL: the key text of the cell is ``text``."""
-    t, c = dtype(df, field), col(field)
-    if isinstance(t, T.StringType):
-        if text == "":
-            return c.isNull() | (c == "")
-        return c.isNotNull() & (c == text)
+    t, c = dtype(df, field), quoted(field)
     if text == "":
-        return c.isNull()
-    if isinstance(t, INTEGRAL + (T.FloatType, T.DoubleType)):
+        return f"({c} IS NULL OR {c} = '')" if isinstance(t, T.StringType) else f"({c} IS NULL)"
+    if isinstance(t, T.StringType):
+        return f"({c} IS NOT NULL AND {c} = {text_sql(text)})"
+    if isinstance(t, INTEGRAL + DOUBLES):
         n = value_number(text)
         # "05" is not how any number is written, so no cell can equal it.
         if n is None or value_text(n) != text or (isinstance(t, INTEGRAL) and not n.is_integer()):
-            return F.lit(False)
-        return c.isNotNull() & (c == _number_literal(df, field, n))
-    if isinstance(t, (T.DateType,) + TIMESTAMPS):
+            return "false"
+        return f"({c} IS NOT NULL AND {c} = {_number_literal(df, field, n)})"
+    if isinstance(t, DATES):
         day = _value_date(text)
         if day is None or value_text(day) != text:
-            return F.lit(False)
+            return "false"
         start, end = _day_bounds(day)
-        return c.isNotNull() & (c >= start) & (c < end)
-    return key_text(df, field) == text
+        return f"({c} IS NOT NULL AND {c} >= {start} AND {c} < {end})"
+    return f"({key_sql(df, field)} = {text_sql(text)})"
 
 
-def _in_texts(df: DataFrame, field: str, texts: list[str]) -> Column:
-    t = dtype(df, field)
-    plain = [x for x in texts if x != ""]
-    if isinstance(t, T.StringType) and plain:
-        c = col(field)
-        hit = c.isNotNull() & c.isin(plain)
-        return hit | (c.isNull() | (c == "")) if "" in texts else hit
-    return reduce(lambda a, b: a | b, [_equals_text(df, field, x) for x in texts], F.lit(False))
+def _in_sql(df: DataFrame, field: str, texts: list[str]) -> str:
+    c = quoted(field)
+    if isinstance(dtype(df, field), T.StringType) and any(texts):
+        hit = f"({c} IS NOT NULL AND {c} IN ({list_sql([x for x in texts if x])}))"
+        return f"({hit} OR {_equals_sql(df, field, '')})" if "" in texts else hit
+    return "(" + " OR ".join([_equals_sql(df, field, x) for x in texts] or ["false"]) + ")"
 
 
-def _ordered(df: DataFrame, field: str, op: str, value: Any) -> Column:
-    t, c = dtype(df, field), col(field)
-    if isinstance(t, (T.DateType,) + TIMESTAMPS):
+def _ordered_sql(df: DataFrame, field: str, op: str, value: Any) -> str:
+    t, c = dtype(df, field), quoted(field)
+    if isinstance(t, DATES):
         day = _value_date(value)
         if day is None:
-            return F.lit(False)
+            return "false"
         start, end = _day_bounds(day)
-        return {"gt": c >= end, "gte": c >= start, "lt": c < start, "lte": c < end}[op]
+        return {"gt": f"{c} >= {end}", "gte": f"{c} >= {start}", "lt": f"{c} < {start}", "lte": f"{c} < {end}"}[op]
     n = value_number(value)
     if n is None:
-        return F.lit(False)
+        return "false"
     bare = isinstance(t, INTEGRAL + FRACTIONAL)
-    x, v = (c, _number_literal(df, field, n)) if bare else (number(df, field), F.lit(n))
-    test = {"gt": x > v, "gte": x >= v, "lt": x < v, "lte": x <= v}[op]
-    if isinstance(t, (T.FloatType, T.DoubleType)):
+    x, v = (c, _number_literal(df, field, n)) if bare else (number_sql(df, field), f"{n!r}D")
+    test = f"{x} {SIGNS[op]} {v}"
+    if isinstance(t, DOUBLES):
         # NaN sorts above every number; infinities are not values either.
-        edge = F.lit(float("inf"))
-        test = test & ((c < edge) if op in ("gt", "gte") else (c > -edge))
-    return test
+        edge = f"{c} < {INFINITY}" if op in ("gt", "gte") else f"{c} > -{INFINITY}"
+        return f"({test} AND {edge})"
+    return f"({test})"
 
 
-def predicate(df: DataFrame, flt: Mapping[str, Any]) -> Column:
-    """One filter as a boolean column."""
+def predicate_sql(df: DataFrame, flt: Mapping[str, Any]) -> str:
+    """One filter as a condition."""
     field, op, value = flt["field"], flt["operator"], flt.get("value")
     if op not in OPERATORS:
         raise ValueError(f"unknown filter operator {op!r}")
-    dtype(df, field)
-    if op == "eq":
-        return _equals_text(df, field, value_text(value))
-    if op == "neq":
-        return ~_equals_text(df, field, value_text(value))
+    t = dtype(df, field)
+    if op in ("eq", "neq"):
+        hit = _equals_sql(df, field, value_text(value))
+        return hit if op == "eq" else f"(NOT {hit})"
     if op in ("in", "not_in"):
         if not isinstance(value, (list, tuple)):
-            return F.lit(False)
-        hit = _in_texts(df, field, [value_text(v) for v in value])
-        return hit if op == "in" else ~hit
+            return "false"
+        hit = _in_sql(df, field, [value_text(v) for v in value])
+        return hit if op == "in" else f"(NOT {hit})"
     if op == "contains":
         text = value_text(value)
-        t, c = dtype(df, field), col(field)
-        if isinstance(t, T.StringType) and text:
-            return c.contains(text)
-        return key_text(df, field).contains(text)
+        whole = quoted(field) if isinstance(t, T.StringType) and text else key_sql(df, field)
+        return f"contains({whole}, {text_sql(text)})"
     if op == "between":
         if not isinstance(value, (list, tuple)) or len(value) < 2:
-            return F.lit(False)
-        return _ordered(df, field, "gte", value[0]) & _ordered(df, field, "lte", value[1])
-    return _ordered(df, field, op, value)
+            return "false"
+        low, high = (_ordered_sql(df, field, o, v) for o, v in (("gte", value[0]), ("lte", value[1])))
+        return f"({low} AND {high})"
+    return _ordered_sql(df, field, op, value)
 
 
 def apply_filters(df: DataFrame, filters: Sequence[Mapping[str, Any]] | None) -> DataFrame:
     """Keep the rows that pass every filter."""
     if not filters:
         return df
-    return df.filter(reduce(lambda a, b: a & b, [predicate(df, f) for f in filters]))
+    return df.filter(" AND ".join(predicate_sql(df, f) for f in filters))
 
 
 def sort_columns(
@@ -172,6 +172,7 @@ def sort_columns(
             raise ValueError(f"sort direction must be asc or desc, not {direction!r}")
         c = col(field)
         if isinstance(dtype(df, field), T.StringType):
-            c = F.nullif(c, F.lit(""))
+            c = F.expr(f"nullif({quoted(field)}, '')")
         order.append(c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last())
     return order + [col(t).asc() for t in ties if not sort or t != sort["field"]]
+

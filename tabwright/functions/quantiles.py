@@ -20,73 +20,81 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabwright.columns import col
-from tabwright.scale import SMALL_INPUT_BYTES, broadcast_if_few, estimated_bytes, materialize
+from tabwright.columns import INFINITY, inline_sql, quoted, struct_sql, text_sql
+from tabwright.scale import BROADCAST_ROWS, SMALL_INPUT_BYTES, estimated_bytes, materialize
 
 ACCURACY = 10_000
 BINS = 1024
+METHODS = ("auto", "one_pass", "narrow", "approx")
+
+
+def resolve_method(df: DataFrame, method: str) -> str:
+    if method not in METHODS:
+        raise ValueError(f"unknown quantile method {method!r}")
+    if method == "auto":
+        return "one_pass" if estimated_bytes(df) <= SMALL_INPUT_BYTES else "narrow"
+    return method
 
 
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
-    metrics: Mapping[str, Column],
+    metrics: Mapping[str, str],
     probs: Sequence[float],
     method: str = "auto",
-    extra: Sequence[Column] = (),
+    extra: Sequence[str] = (),
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group: the keys, ``extra`` aggregates and one struct per metric.
 
     The struct is ``n`` (how many numbers) and ``q`` (one value per prob, or NULL
-    when there is no number). ``keys`` are columns of ``df`` and never NULL in
-    the ``narrow`` method; ``metrics`` are double columns that may be NULL;
+    when there is no number). ``keys`` are columns of ``df``, never NULL in the
+    ``narrow`` method; ``metrics`` are SQL texts of doubles that may be NULL;
     ``extra`` aggregates ride along in the same pass. ``method`` is ``auto``,
     ``one_pass`` (Spark's ``percentile``), ``narrow`` or ``approx``.
     """
     method = resolve_method(df, method)
     if method == "narrow":
         return _narrowed(df, list(keys), dict(metrics), list(probs), list(extra), accuracy)
-    function = F.percentile if method == "one_pass" else F.percentile_approx
-    at = F.array(*[F.lit(float(p)) for p in probs])
+    function = "percentile" if method == "one_pass" else "percentile_approx"
+    at = _array([f"{float(p)!r}D" for p in probs])
     aggs = [
-        F.struct(F.count(x).alias("n"), function(x, at).cast("array<double>").alias("q")).alias(m)
+        struct_sql(n=f"count({x})", q=f"cast({function}({x}, {at}) AS ARRAY<DOUBLE>)")
+        + f" AS {quoted(m)}"
         for m, x in metrics.items()
     ]
-    return df.groupBy(*[col(k) for k in keys]).agg(*extra, *aggs)
+    return _aggregated(df, keys, [*extra, *aggs])
 
 
-def resolve_method(df: DataFrame, method: str) -> str:
-    if method not in ("auto", "one_pass", "narrow", "approx"):
-        raise ValueError(f"unknown quantile method {method!r}")
-    if method == "auto":
-        return "one_pass" if estimated_bytes(df) <= SMALL_INPUT_BYTES else "narrow"
-    return method
+def _array(items: Sequence[str]) -> str:
+    return "array(" + ", ".join(items) + ")"
+
+
+def _aggregated(df: DataFrame, keys: Sequence[str], aggs: Sequence[str]) -> DataFrame:
+    return df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(*[F.expr(a) for a in aggs])
 
 
 def _sketches(
     df: DataFrame,
     keys: list[str],
-    metrics: dict[str, Column],
+    metrics: dict[str, str],
     probs: list[float],
-    extra: list[Column],
+    extra: list[str],
     accuracy: int,
 ) -> DataFrame:
     """Per group and metric the count and a few values around each quantile."""
     margin = 4.0 / accuracy
     ends = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    at = F.array(*[F.lit(e) for e in ends])
+    at = _array([f"{e!r}D" for e in ends])
     aggs = [
-        F.struct(F.count(x).alias("n"), F.percentile_approx(x, at, accuracy).alias("ends")).alias(
-            f"_sketch_{i}"
-        )
+        struct_sql(n=f"count({x})", ends=f"percentile_approx({x}, {at}, {accuracy})")
+        + f" AS _sketch_{i}"
         for i, x in enumerate(metrics.values())
     ]
-    return df.groupBy(*[col(k) for k in keys]).agg(*extra, *aggs)
+    return _aggregated(df, keys, [*extra, *aggs])
 
 
 def _brackets(
@@ -94,142 +102,133 @@ def _brackets(
 ) -> DataFrame:
     """Per group, metric and prob: the bracket [lo, hi] and the two ranks wanted."""
     margin = 4.0 / accuracy
-    inf = F.lit(float("inf"))
     rows = []
     for i, m in enumerate(metrics):
-        s = col(f"_sketch_{i}")
+        n, ends = f"_sketch_{i}.n", f"_sketch_{i}.ends"
+        # Few rows: keep all of them, a sketch's error is given in rows.
+        few = f"{n} <= {4 * accuracy}"
         for j, p in enumerate(probs):
-            position = (s["n"] - 1) * F.lit(float(p))
-            # Few rows: keep all of them, a sketch's error is given in rows.
-            few = s["n"] <= 4 * accuracy
+            position = f"(({n} - 1) * {float(p)!r}D)"
+            open_below, open_above = str(p <= margin).lower(), str(p >= 1 - margin).lower()
             rows.append(
-                F.struct(
-                    F.lit(m).alias("_metric"),
-                    F.lit(j).alias("_prob"),
-                    s["n"].alias("_n"),
-                    F.when(few | F.lit(p <= margin), -inf).otherwise(s["ends"][2 * j]).alias("_lo"),
-                    F.when(few | F.lit(p >= 1 - margin), inf).otherwise(s["ends"][2 * j + 1]).alias("_hi"),
-                    F.floor(position).alias("_rank_lo"),
-                    F.ceil(position).alias("_rank_hi"),
-                    (position - F.floor(position)).alias("_fraction"),
+                struct_sql(
+                    _metric=text_sql(m),
+                    _prob=str(j),
+                    _n=n,
+                    _lo=f"CASE WHEN {few} OR {open_below} THEN -{INFINITY} ELSE {ends}[{2 * j}] END",
+                    _hi=f"CASE WHEN {few} OR {open_above} THEN {INFINITY} ELSE {ends}[{2 * j + 1}] END",
+                    _rank_lo=f"floor({position})",
+                    _rank_hi=f"ceil({position})",
+                    _fraction=f"{position} - floor({position})",
                 )
             )
-    return sketches.select(*[col(k) for k in keys], F.inline(F.array(*rows))).filter("_n > 0")
+    return sketches.selectExpr(*[quoted(k) for k in keys], inline_sql(rows)).filter("_n > 0")
 
 
 def _narrowed(
     df: DataFrame,
     keys: list[str],
-    metrics: dict[str, Column],
+    metrics: dict[str, str],
     probs: list[float],
-    extra: list[Column],
+    extra: list[str],
     accuracy: int,
 ) -> DataFrame:
     sketches = _sketches(df, keys, metrics, probs, extra, accuracy)
     if not keys:
         # A constant key lets the joins below serve the global case too.
         sketches, df = sketches.withColumn("_all", F.lit(0)), df.withColumn("_all", F.lit(0))
-    group_keys = keys or ["_all"]
     sketches = materialize(sketches)
-    brackets = _brackets(sketches, group_keys, list(metrics), probs, accuracy)
-    group = group_keys + ["_metric"]
-    point = group + ["_prob"]
-    at_point = [col(k) for k in point]
+    groups = sketches.count() if keys else 1
+    group_keys = keys or ["_all"]
+    group, point = group_keys + ["_metric"], group_keys + ["_metric", "_prob"]
+    by_group = ", ".join(quoted(k) for k in group_keys)
+    by_point = f"{by_group}, _metric, _prob"
+    # Every side joined below has at most two rows per group, metric and prob.
+    short = 2 * groups * len(metrics) * len(probs) <= BROADCAST_ROWS
 
+    def side(part: DataFrame) -> DataFrame:
+        return F.broadcast(part) if short else part
+
+    brackets = _brackets(sketches, group_keys, list(metrics), probs, accuracy)
     # One bracket row per group and metric, so each value meets it once.
-    cuts = brackets.groupBy(*[col(k) for k in group]).agg(
-        F.sort_array(F.collect_list(F.struct("_prob", "_lo", "_hi"))).alias("_cuts")
-    )
-    long_form = [
-        F.struct(F.lit(m).alias("_metric"), x.alias("_v")) for m, x in metrics.items()
-    ]
-    values = df.select(*[col(k) for k in group_keys], F.inline(F.array(*long_form))).filter(
-        col("_v").isNotNull()
+    cuts = _aggregated(
+        brackets, group, ["sort_array(collect_list(struct(_prob, _lo, _hi))) AS _cuts"]
     )
+    long_form = [struct_sql(_metric=text_sql(m), _v=x) for m, x in metrics.items()]
+    values = df.selectExpr(*[quoted(k) for k in group_keys], inline_sql(long_form))
     # Rows above a bracket go; rows below it lose their value and become a count.
     near = materialize(
-        values.join(broadcast_if_few(cuts), group)
-        .select(*[col(k) for k in group], "_v", F.explode("_cuts").alias("_cut"))
-        .filter(col("_v") <= col("_cut")["_hi"])
-        .select(
-            *[col(k) for k in group],
-            col("_cut")["_prob"].alias("_prob"),
-            F.when(col("_v") >= col("_cut")["_lo"], col("_v")).alias("_v"),
+        values.filter("_v IS NOT NULL")
+        .join(side(cuts), group)
+        .selectExpr(*[quoted(k) for k in group], "_v", "explode(_cuts) AS _cut")
+        .filter("_v <= _cut._hi")
+        .selectExpr(
+            *[quoted(k) for k in group],
+            "_cut._prob AS _prob",
+            "CASE WHEN _v >= _cut._lo THEN _v END AS _v",
         )
-        .groupBy(*at_point, col("_v"))
-        .agg(F.count("*").alias("_rows"))
-    )
-    below = near.filter(col("_v").isNull()).select(*at_point, col("_rows").alias("_below"))
-    wanted = brackets.join(broadcast_if_few(below), point, "left").withColumn(
-        "_below", F.coalesce(col("_below"), F.lit(0))
+        .groupBy(*point, "_v")
+        .agg(F.expr("count(*) AS _rows"))
     )
+    below = near.filter("_v IS NULL").drop("_v").withColumnRenamed("_rows", "_below")
+    wanted = brackets.join(side(below), point, "left").na.fill(0, ["_below"])
 
     # Equal-width bins inside each bracket, with the running count before each.
-    width = col("_hi") - col("_lo")
+    bin_of = (
+        f"CASE WHEN _hi > _lo AND _hi - _lo < {INFINITY} "
+        f"THEN least(floor((_v - _lo) / (_hi - _lo) * {BINS}), {BINS - 1}) ELSE 0 END"
+    )
     binned = (
-        near.filter(col("_v").isNotNull())
-        .join(broadcast_if_few(brackets.select(*at_point, "_lo", "_hi")), point)
-        .select(
-            *at_point,
-            "_v",
-            "_rows",
-            F.when(
-                (width > 0) & (width < float("inf")),
-                F.least(F.floor((col("_v") - col("_lo")) / width * BINS), F.lit(BINS - 1)),
-            ).otherwise(F.lit(0)).alias("_bin"),
-        )
+        near.filter("_v IS NOT NULL")
+        .join(side(brackets.select(*point, "_lo", "_hi")), point)
+        .selectExpr(*[quoted(k) for k in point], "_v", "_rows", f"{bin_of} AS _bin")
     )
-    by_bin = Window.partitionBy(*at_point).orderBy("_bin")
-    before, after = col("_before"), col("_before") + col("_in_bin")
     bins = (
-        binned.groupBy(*at_point, "_bin")
-        .agg(F.sum("_rows").alias("_in_bin"))
-        .withColumn("_earlier", F.sum("_in_bin").over(by_bin) - col("_in_bin"))
-        .join(broadcast_if_few(wanted), point)
-        .withColumn("_before", col("_earlier") + col("_below"))
+        binned.groupBy(*point, "_bin")
+        .agg(F.expr("sum(_rows) AS _in_bin"))
+        .withColumn(
+            "_earlier",
+            F.expr(f"sum(_in_bin) OVER (PARTITION BY {by_point} ORDER BY _bin) - _in_bin"),
+        )
+        .join(side(wanted), point)
+        .withColumn("_before", F.expr("_earlier + _below"))
         .filter(
-            ((before <= col("_rank_lo")) & (col("_rank_lo") < after))
-            | ((before <= col("_rank_hi")) & (col("_rank_hi") < after))
+            "(_before <= _rank_lo AND _rank_lo < _before + _in_bin) "
+            "OR (_before <= _rank_hi AND _rank_hi < _before + _in_bin)"
         )
-        .select(*at_point, "_bin", "_before", "_rank_lo", "_rank_hi")
+        .select(*point, "_bin", "_before", "_rank_lo", "_rank_hi")
     )
-
-    in_bin = Window.partitionBy(*at_point, "_bin").orderBy("_v")
+    through = f"_before + sum(_rows) OVER (PARTITION BY {by_point}, _bin ORDER BY _v)"
     picked = (
-        binned.join(broadcast_if_few(bins), point + ["_bin"])
-        .withColumn("_through", col("_before") + F.sum("_rows").over(in_bin))
-        .groupBy(*at_point)
+        binned.join(side(bins), point + ["_bin"])
+        .withColumn("_through", F.expr(through))
+        .groupBy(*point)
         .agg(
-            F.min(F.when(col("_through") > col("_rank_lo"), col("_v"))).alias("_at_lo"),
-            F.min(F.when(col("_through") > col("_rank_hi"), col("_v"))).alias("_at_hi"),
+            F.expr("min(CASE WHEN _through > _rank_lo THEN _v END) AS _at_lo"),
+            F.expr("min(CASE WHEN _through > _rank_hi THEN _v END) AS _at_hi"),
         )
     )
-    lo, hi, f = col("_at_lo"), col("_at_hi"), col("_fraction")
-    lost = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
     value = (
-        F.when(lo.isNull() | hi.isNull(), lost)
-        .when(f == 0, lo)
-        .otherwise(lo * (1 - f) + hi * f)
-    )
-    found = brackets.join(broadcast_if_few(picked), point, "left").withColumn("_value", value)
-    per_group = found.groupBy(*[col(k) for k in group_keys]).agg(
-        *[
-            F.array(
-                *[
-                    F.max(F.when((col("_metric") == m) & (col("_prob") == j), col("_value")))
-                    for j in range(len(probs))
-                ]
-            ).alias(f"_q_{i}")
-            for i, m in enumerate(metrics)
-        ]
+        "CASE WHEN _at_lo IS NULL OR _at_hi IS NULL "
+        "THEN cast(raise_error('a quantile lies outside its bracket') AS DOUBLE) "
+        "WHEN _fraction = 0 THEN _at_lo ELSE _at_lo * (1 - _fraction) + _at_hi * _fraction END"
     )
-    out = sketches.join(broadcast_if_few(per_group), group_keys, "left")
+    found = brackets.join(side(picked), point, "left").withColumn("_value", F.expr(value))
+    arrays = [
+        _array(
+            [
+                f"max(CASE WHEN _metric = {text_sql(m)} AND _prob = {j} THEN _value END)"
+                for j in range(len(probs))
+            ]
+        )
+        + f" AS _q_{i}"
+        for i, m in enumerate(metrics)
+    ]
+    out = sketches.join(side(_aggregated(found, group_keys, arrays)), group_keys, "left")
     kept = [c for c in sketches.columns if not c.startswith("_sketch_") and c != "_all"]
     structs = [
-        F.struct(
-            col(f"_sketch_{i}")["n"].alias("n"),
-            F.when(col(f"_sketch_{i}")["n"] > 0, col(f"_q_{i}")).alias("q"),
-        ).alias(m)
+        struct_sql(n=f"_sketch_{i}.n", q=f"CASE WHEN _sketch_{i}.n > 0 THEN _q_{i} END")
+        + f" AS {quoted(m)}"
         for i, m in enumerate(metrics)
     ]
-    return out.select(*[col(c) for c in kept], *structs)
+    return out.selectExpr(*[quoted(c) for c in kept], *structs)

@@ -6,7 +6,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, number
+from tabwright.columns import col, number, number_sql
 from tabwright.functions.predicates import apply_filters
 from tabwright.functions.quantiles import quantiles
 from tabwright.operators.checks import check_columns, check_limit
@@ -29,20 +29,18 @@ def anomaly_bounds(
     """
     if method not in METHODS:
         raise ValueError(f"anomaly method must be one of {', '.join(METHODS)}, not {method!r}")
-    values = df.select(number(df, metric).alias("_x"))
+    values = df.selectExpr(f"{number_sql(df, metric)} AS x")
     if method == "iqr":
-        found = quantiles(values, [], {"x": col("_x")}, [0.25, 0.75], quantile_method)
-        q1, q3 = col("x")["q"][0], col("x")["q"][1]
-        reach = (q3 - q1) * FENCE
-        enough = col("x")["n"] >= MIN_SAMPLES
-        return found.select(
-            F.when(enough, q1 - reach).alias("lower"), F.when(enough, q3 + reach).alias("upper")
+        found = quantiles(values, [], {"v": "x"}, [0.25, 0.75], quantile_method)
+        reach = f"(v.q[1] - v.q[0]) * {FENCE}D"
+        return found.selectExpr(
+            f"CASE WHEN v.n >= {MIN_SAMPLES} THEN v.q[0] - {reach} END AS lower",
+            f"CASE WHEN v.n >= {MIN_SAMPLES} THEN v.q[1] + {reach} END AS upper",
         )
-    mean, deviation = F.avg("_x"), F.stddev_samp("_x")
-    usable = (F.count("_x") >= MIN_SAMPLES) & (deviation > 0)
+    usable = f"count(x) >= {MIN_SAMPLES} AND stddev_samp(x) > 0"
     return values.agg(
-        F.when(usable, mean - deviation * Z_LIMIT).alias("lower"),
-        F.when(usable, mean + deviation * Z_LIMIT).alias("upper"),
+        F.expr(f"CASE WHEN {usable} THEN avg(x) - stddev_samp(x) * {Z_LIMIT}D END AS lower"),
+        F.expr(f"CASE WHEN {usable} THEN avg(x) + stddev_samp(x) * {Z_LIMIT}D END AS upper"),
     )
 
 
@@ -64,17 +62,15 @@ def anomaly(
     kept = apply_filters(df, filters)
     bounds = anomaly_bounds(kept, metric, method, quantile_method)
     # One row of bounds: a scalar subquery, evaluated once before the scan.
-    b = bounds.select(F.struct("lower", "upper")).scalar()
-    x = col("_x")
+    direction = "CASE WHEN _x < _b.lower THEN 'lower' WHEN _x > _b.upper THEN 'upper' END"
     found = (
-        kept.withColumn("_x", number(kept, metric))
-        .withColumn(
-            "_direction",
-            F.when(x < b["lower"], F.lit("lower")).when(x > b["upper"], F.lit("upper")),
+        kept.withColumns(
+            {"_x": number(kept, metric), "_b": bounds.select(F.struct("lower", "upper")).scalar()}
         )
-        .filter(col("_direction").isNotNull())
-        .withColumn(metric, x)
-        .drop("_x")
+        .withColumn("_direction", F.expr(direction))
+        .filter("_direction IS NOT NULL")
+        .withColumn(metric, col("_x"))
+        .drop("_x", "_b")
     )
     if limit is None:
         return found

@@ -6,7 +6,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, number
+from tabwright.columns import number_sql, text_sql
 from tabwright.functions.predicates import apply_filters
 from tabwright.operators.checks import check_columns
 
@@ -26,13 +26,13 @@ def correlation(
     """
     check_columns(df, [], [first, second], (0, 0), (2, 2), "correlation")
     kept = apply_filters(df, filters)
-    pairs = kept.select(number(kept, first).alias("_x"), number(kept, second).alias("_y")).dropna()
-    x, y = col("_x"), col("_y")
-    spread = F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y))
-    n = F.count("*")
+    pairs = kept.selectExpr(
+        f"{number_sql(kept, first)} AS x", f"{number_sql(kept, second)} AS y"
+    ).dropna()
+    pearson = "try_divide(regr_sxy(x, y), sqrt(regr_sxx(x, y) * regr_syy(x, y)))"
     return pairs.agg(
-        F.lit(first).alias("metric1"),
-        F.lit(second).alias("metric2"),
-        F.when(n >= MIN_PAIRS, F.try_divide(F.regr_sxy(x, y), spread)).alias("pearson"),
-        n.alias("sampleSize"),
+        F.expr(f"{text_sql(first)} AS metric1"),
+        F.expr(f"{text_sql(second)} AS metric2"),
+        F.expr(f"CASE WHEN count(*) >= {MIN_PAIRS} THEN {pearson} END AS pearson"),
+        F.expr("count(*) AS sampleSize"),
     )

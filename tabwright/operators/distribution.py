@@ -6,7 +6,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, double_text, group_key, kind, missing, number
+from tabwright.columns import col, double_text_sql, group_key, kind, missing_sql, number_sql, quoted
 from tabwright.functions.predicates import apply_filters
 from tabwright.operators.checks import check_columns, check_limit
 
@@ -37,13 +37,13 @@ def distribution(
 def _classes(df: DataFrame, dimension: str, limit: int) -> DataFrame:
     key = group_key(df, dimension)
     counts = (
-        df.filter(~missing(df, dimension))
-        .groupBy(key.group.alias("_key"))
-        .agg(F.count("*").alias("count"))
+        df.filter(f"NOT {missing_sql(df, dimension)}")
+        .groupBy(F.expr(key.group).alias("_key"))
+        .agg(F.expr("count(*) AS count"))
     )
     total = counts.agg(F.sum("count")).scalar()
     return (
-        counts.select(key.text(col("_key")).alias(dimension), "count")
+        counts.selectExpr(f"{key.text('_key')} AS {quoted(dimension)}", "count")
         .withColumn("rate", col("count") / total)
         .orderBy(col("count").desc(), col(dimension).asc())
         .limit(limit)
@@ -51,46 +51,36 @@ def _classes(df: DataFrame, dimension: str, limit: int) -> DataFrame:
 
 
 def _bins(df: DataFrame, field: str, requested: int) -> DataFrame:
-    values = df.select(number(df, field).alias("_x")).filter(col("_x").isNotNull())
-    lowest, highest, n = F.min("_x"), F.max("_x"), F.count("_x")
+    values = df.selectExpr(f"{number_sql(df, field)} AS x").filter("x IS NOT NULL")
+    bins = f"CASE WHEN min(x) = max(x) THEN 1 ELSE least({requested}, int(count(x))) END"
+    # The shape is one row, looked at first; the rows are then only counted.
     shape = values.agg(
-        F.struct(
-            lowest.alias("low"),
-            highest.alias("high"),
-            n.alias("n"),
-            F.when(lowest == highest, F.lit(1))
-            .otherwise(F.least(F.lit(requested), n.cast("int")))
-            .alias("bins"),
-        ).alias("shape")
+        F.expr(f"struct(min(x) AS low, max(x) AS high, count(x) AS n, {bins} AS bins)").alias("s")
     )
-    # The shape is one row, read as a scalar subquery wherever it is needed.
-    s = shape.scalar()
-    width = F.try_divide(s["high"] - s["low"], s["bins"])
-    index = F.when(s["bins"] <= 1, F.lit(0)).otherwise(
-        F.least(F.floor((col("_x") - s["low"]) / width), s["bins"] - 1)
+    placed = values.withColumn("s", shape.scalar()).selectExpr(
+        "s",
+        "CASE WHEN s.bins <= 1 THEN 0 ELSE "
+        "int(least(floor((x - s.low) / ((s.high - s.low) / s.bins)), s.bins - 1)) END AS bin",
     )
-    counts = values.groupBy(index.cast("int").alias("_bin")).agg(F.count("*").alias("count"))
+    counts = placed.groupBy("bin").agg(F.expr("count(*) AS count"))
+    slots = df.sparkSession.range(requested).selectExpr("int(id) AS bin")
+    slots = slots.withColumn("s", shape.scalar()).filter("bin < s.bins")
     # At most MAX_BINS rows on either side, so broadcasting is bounded.
-    slots = (
-        df.sparkSession.range(requested)
-        .select(col("id").cast("int").alias("_bin"))
-        .filter(col("_bin") < s["bins"])
+    filled = slots.join(F.broadcast(counts), "bin", "left").selectExpr(
+        "s",
+        "bin = s.bins - 1 AS closed",
+        "CASE WHEN s.bins = 1 THEN s.low ELSE s.low + bin * ((s.high - s.low) / s.bins) END AS lower",
+        "CASE WHEN s.bins = 1 THEN s.high ELSE s.low + (bin + 1) * ((s.high - s.low) / s.bins) END AS upper",
+        "coalesce(count, 0L) AS count",
     )
-    filled = slots.join(F.broadcast(counts), "_bin", "left")
-    single = s["bins"] == 1
-    lower = F.when(single, s["low"]).otherwise(s["low"] + col("_bin") * width)
-    upper = F.when(single, s["high"]).otherwise(s["low"] + (col("_bin") + 1) * width)
-    closed = col("_bin") == s["bins"] - 1
-    span = F.concat(
-        F.format_string("%.6g", lower),
-        F.when(closed, F.lit(" ≤ x ≤ ")).otherwise(F.lit(" ≤ x < ")),
-        F.format_string("%.6g", upper),
+    span = (
+        "concat(format_string('%.6g', lower), CASE WHEN closed THEN ' ≤ x ≤ ' ELSE ' ≤ x < ' END, "
+        "format_string('%.6g', upper))"
     )
-    count = F.coalesce(col("count"), F.lit(0)).cast("bigint")
-    return filled.select(
-        F.when(single, double_text(s["low"])).otherwise(span).alias(field),
-        lower.alias("lower"),
-        upper.alias("upper"),
-        count.alias("count"),
-        F.try_divide(count.cast("double"), s["n"]).alias("rate"),
+    return filled.selectExpr(
+        f"CASE WHEN s.bins = 1 THEN {double_text_sql('s.low')} ELSE {span} END AS {quoted(field)}",
+        "lower",
+        "upper",
+        "count",
+        "try_divide(double(count), s.n) AS rate",
     ).orderBy("lower")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import Key, col, group_key, number, require
+from tabwright.columns import Key, col, group_key, number_sql, quoted, require
 from tabwright.functions import aggregates
 from tabwright.functions.quantiles import quantiles, resolve_method
 
@@ -39,41 +39,41 @@ def group_metrics(
     """
     for how in metrics.values():
         aggregates.check(how)
-    order = order_columns(df, order_by)
+    order_by = list(order_by or [])
+    require(df, [*metrics, *order_by])
     medians = [m for m, how in metrics.items() if how == "median"]
     narrow = bool(medians) and resolve_method(df, quantile_method) == "narrow"
 
     names = [f"_key_{i}" for i in range(len(keys))] or ["_key_all"]
     inputs = {m: f"_in_{i}" for i, m in enumerate(metrics)}
+    order = [f"_order_{i}" for i in range(len(order_by))]
     # The narrowing joins on its keys, so there they are text, never NULL.
-    groups = [k.text(k.group) if narrow else k.group for k in keys] or [F.lit(0)]
-    base = df.select(
-        *[g.alias(n) for g, n in zip(groups, names)],
-        *[number(df, m).alias(i) for m, i in inputs.items()],
-        *[o.alias(f"_order_{i}") for i, o in enumerate(order)],
+    groups = [k.text(k.group) if narrow else k.group for k in keys] or ["0"]
+    base = df.selectExpr(
+        *[f"{g} AS {n}" for g, n in zip(groups, names)],
+        *[f"{number_sql(df, m)} AS {i}" for m, i in inputs.items()],
+        *[f"{quoted(c)} AS {o}" for c, o in zip(order_by, order)],
     )
     if drop_missing:
         base = base.dropna(how="all", subset=list(inputs.values()))
-    order = [col(f"_order_{i}") for i in range(len(order))]
     simple = [
-        aggregates.aggregate(col(inputs[m]), how, order).alias(m)
+        f"{aggregates.aggregate_sql(inputs[m], how, order)} AS {quoted(m)}"
         for m, how in metrics.items()
         if how != "median"
     ]
     if medians:
-        wanted = {m: col(inputs[m]) for m in medians}
+        wanted = {m: inputs[m] for m in medians}
         method = "narrow" if narrow else quantile_method
         out = quantiles(base, names, wanted, [0.5], method, simple)
     else:
-        out = base.groupBy(*names).agg(*simple)
+        out = base.groupBy(*names).agg(*[F.expr(a) for a in simple])
 
     values = []
     for m, how in metrics.items():
-        value = col(m)["q"][0] if how == "median" else col(m)
-        if empty_as_zero:
-            value = F.coalesce(value, aggregates.empty_value(how))
-        values.append(value.alias(m))
+        value = f"{quoted(m)}.q[0]" if how == "median" else quoted(m)
+        value = aggregates.or_zero(value, how) if empty_as_zero else value
+        values.append(f"{value} AS {quoted(m)}")
     texts = [
-        (col(n) if narrow else k.text(col(n))).alias(k.name) for k, n in zip(keys, names)
+        f"{n if narrow else k.text(n)} AS {quoted(k.name)}" for k, n in zip(keys, names)
     ]
-    return out.select(*texts, *values)
+    return out.selectExpr(*texts, *values)

@@ -5,9 +5,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabwright.columns import col
+from tabwright.columns import col, quoted
 from tabwright.functions.predicates import apply_filters
 from tabwright.operators.checks import check_columns
 from tabwright.operators.compare import MODES
@@ -39,12 +38,12 @@ def growth(
         kept, [bucket], {metric: aggregation}, order_by, quantile_method, drop_missing=True
     )
     # One partition is enough here: the window sees one row per calendar bucket.
-    previous = F.lag(col(metric)).over(Window.orderBy(col(time)))
-    rate = F.try_divide(col("change"), F.abs(col("_previous")))
+    m, t = quoted(metric), quoted(time)
+    rate = "try_divide(change, abs(_previous))" if mode == "rate" else "cast(NULL AS DOUBLE)"
     return (
-        series.withColumn("_previous", previous.cast("double"))
-        .withColumn("change", col(metric) - col("_previous"))
-        .withColumn("growthRate", rate if mode == "rate" else F.lit(None).cast("double"))
+        series.withColumn("_previous", F.expr(f"double(lag({m}) OVER (ORDER BY {t}))"))
+        .withColumn("change", F.expr(f"{m} - _previous"))
+        .withColumn("growthRate", F.expr(rate))
         .drop("_previous")
         .orderBy(col(time))
     )

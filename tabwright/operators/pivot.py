@@ -6,7 +6,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, key_text
+from tabwright.columns import col, key_sql
 from tabwright.functions import aggregates
 from tabwright.functions.predicates import apply_filters
 from tabwright.operators.checks import check_columns
@@ -18,7 +18,7 @@ MANY_COLUMNS = 20
 def pivot_values(df: DataFrame, dimension: str) -> list[str]:
     """The sorted values that become columns, within Spark's own pivot bound."""
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    found = df.select(key_text(df, dimension).alias("v")).distinct().limit(most + 1).collect()
+    found = df.selectExpr(f"{key_sql(df, dimension)} AS v").distinct().limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"{dimension} has more than {most} values: too many pivot columns")
     return sorted(r["v"] for r in found)

@@ -6,8 +6,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, group_key, kind, missing, number, require
-from tabwright.functions.aggregates import zero_if_empty
+from tabwright.columns import (
+    group_key, inline_sql, kind, missing_sql, number_sql, require, struct_sql, text_sql,
+)
+from tabwright.functions.aggregates import or_zero
 from tabwright.functions.predicates import apply_filters
 from tabwright.functions.quantiles import quantiles
 
@@ -26,46 +28,46 @@ def profile(
     fields = list(fields or df.columns)
     require(df, fields)
     kept = apply_filters(df, filters)
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
+    distinct = "approx_count_distinct({})" if approx_distinct else "count(DISTINCT {})"
     numbers = [f for f in fields if kind(kept, f) == "number"]
-    aggs = [F.count("*").alias("rows")]
-    for i, f in enumerate(fields):
-        present = F.when(~missing(kept, f), group_key(kept, f).group)
-        aggs.append(distinct(present).alias(f"distinct_{i}"))
+    names = {f: f"_f{i}" for i, f in enumerate(fields)}
+    # What is counted, in its own type; a missing cell is NULL.
+    base = kept.selectExpr(
+        *[
+            f"CASE WHEN NOT {missing_sql(kept, f)} THEN {group_key(kept, f).group} END AS {n}"
+            for f, n in names.items()
+        ],
+        *[f"{number_sql(kept, f)} AS {names[f]}x" for f in numbers],
+    )
+    aggs = ["count(*) AS rows"]
+    for f, n in names.items():
+        aggs += [f"{distinct.format(n)} AS {n}_distinct", f"count({n}) AS {n}_count"]
         if f in numbers:
-            x = number(kept, f)
-            aggs += [
-                F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"),
-            ]
-        else:
-            aggs.append(F.count(present).alias(f"count_{i}"))
+            aggs.append(
+                struct_sql(count=f"count({n}x)", min=f"min({n}x)", max=f"max({n}x)", mean=f"avg({n}x)")
+                + f" AS {n}_stats"
+            )
     if numbers:
-        picked = {f"number_{i}": number(kept, f) for i, f in enumerate(fields) if f in numbers}
-        wide = quantiles(kept, [], picked, [0.5], quantile_method, aggs)
+        inputs = {f"{names[f]}_q": f"{names[f]}x" for f in numbers}
+        wide = quantiles(base, [], inputs, [0.5], quantile_method, aggs)
     else:
-        wide = kept.agg(*aggs)
-    nothing = F.lit(None).cast("double")
+        wide = base.agg(*[F.expr(a) for a in aggs])
     rows = []
-    for i, f in enumerate(fields):
-        is_number = f in numbers
-        count = col(f"number_{i}")["n"] if is_number else col(f"count_{i}")
-        rate = F.when(col("rows") > 0, (col("rows") - count) / col("rows"))
-        statistics = (
-            [col(f"min_{i}"), col(f"max_{i}"), col(f"mean_{i}"), col(f"number_{i}")["q"][0]]
-            if is_number
-            else []
-        )
+    for f, n in names.items():
+        count = f"{n}_stats.count" if f in numbers else f"{n}_count"
+        if f in numbers:
+            statistics = {k: or_zero(f"{n}_stats.{k}") for k in ("min", "max", "mean")}
+            statistics["median"] = or_zero(f"{n}_q.q[0]")
+        else:
+            statistics = dict.fromkeys(("min", "max", "mean", "median"), "cast(NULL AS DOUBLE)")
         rows.append(
-            F.struct(
-                F.lit(f).alias("field"),
-                F.lit(kind(kept, f)).alias("type"),
-                count.alias("count"),
-                col(f"distinct_{i}").alias("distinctCount"),
-                zero_if_empty(rate).alias("nullRate"),
-                *[
-                    (zero_if_empty(statistics[j]) if is_number else nothing).alias(name)
-                    for j, name in enumerate(("min", "max", "mean", "median"))
-                ],
+            struct_sql(
+                field=text_sql(f),
+                type=text_sql(kind(kept, f)),
+                count=count,
+                distinctCount=f"{n}_distinct",
+                nullRate=or_zero(f"try_divide(rows - {count}, rows)"),
+                **statistics,
             )
         )
-    return wide.select(F.inline(F.array(*rows)))
+    return wide.selectExpr(inline_sql(rows))

@@ -6,7 +6,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, require
+from tabwright.columns import col, quoted, require
 from tabwright.functions.formula import compile_formula
 from tabwright.functions.predicates import apply_filters
 from tabwright.operators.checks import check_limit
@@ -58,14 +58,12 @@ def ratio_scalar(
     """
     require(df, list(dimensions))
     computed = _computed(df, formula, output, filters)
-    no_value = F.count_if(col(output).isNull()).alias("null_count")
+    o = quoted(output)
+    no_value = F.expr(f"count_if({o} IS NULL) AS null_count")
     if not dimensions:
-        return computed.agg(F.avg(col(output)).alias("scalar"), no_value)
-    keys = keys_of(computed, dimensions)
-    groups = computed.groupBy(*[k.group.alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(
-        F.avg(col(output)).alias("_mean"), no_value
-    )
+        return computed.agg(F.expr(f"avg({o}) AS scalar"), no_value)
+    keys = [F.expr(k.group).alias(f"_key_{i}") for i, k in enumerate(keys_of(computed, dimensions))]
+    groups = computed.groupBy(*keys).agg(F.expr(f"avg({o}) AS mean"), no_value)
     return groups.agg(
-        F.avg("_mean").alias("scalar"),
-        F.coalesce(F.sum("null_count"), F.lit(0)).cast("bigint").alias("null_count"),
+        F.expr("avg(mean) AS scalar"), F.expr("coalesce(sum(null_count), 0L) AS null_count")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 from tabwright.columns import Key, col
 from tabwright.fields import FieldSpec, behavior_aggregation
-from tabwright.functions.dates import bucket_label, bucket_start, check_grain, read_date
+from tabwright.functions.dates import bucket_sql, check_grain, label_sql, read_date
 from tabwright.functions.predicates import apply_filters
 from tabwright.operators.checks import check_columns
 from tabwright.operators.grouping import group_metrics
@@ -19,9 +19,8 @@ def dated(df: DataFrame, time: str, grain: str) -> tuple[DataFrame, Key]:
     Buckets are grouped by their first day and labelled afterwards.
     """
     check_grain(grain)
-    with_day = df.withColumn("_day", read_date(df, time)).filter(col("_day").isNotNull())
-    start = bucket_start(col("_day"), grain)
-    return with_day, Key(time, start, lambda g: bucket_label(g, grain))
+    with_day = df.withColumn("_day", read_date(df, time)).filter("_day IS NOT NULL")
+    return with_day, Key(time, bucket_sql("_day", grain), lambda g: label_sql(g, grain))
 
 
 def timeseries(

@@ -9,16 +9,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tabwright.columns import col, key_text, kind, missing, number
+from tabwright.columns import (
+    col, inline_sql, key_sql, kind, missing_sql, number_sql, quoted, struct_sql, text_sql,
+)
 from tabwright.fields import FieldSpec, mentions
-from tabwright.functions.dates import read_date
-from tabwright.functions.masking import SENSITIVE_WORDS, looks_sensitive, mask_columns
+from tabwright.functions.dates import date_sql
+from tabwright.functions.masking import SENSITIVE_WORDS, looks_sensitive_sql, mask_columns
 from tabwright.functions.quantiles import quantiles
 from tabwright.operators.anomaly import anomaly
 from tabwright.plans import stats
-from tabwright.plans.infer import data_columns
+from tabwright.plans.infer import data_columns, grouped
 from tabwright.sources.tables import ROW_ID, ids_at
 
 SAMPLE_ROWS = 40
@@ -35,17 +36,18 @@ def fingerprint(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame
     Row hashes are combined by XOR and by a wide sum, both on the map side.
     """
     fields = list(fields or data_columns(df))
-    cells = [F.to_json(col(f)) if isinstance(df.schema[f].dataType, T.MapType) else col(f) for f in fields]
-    # A NULL does not change a hash, so each cell also says whether it is there.
-    marks = [F.concat(*[F.when(col(f).isNull(), "0").otherwise("1") for f in fields])]
-    row = F.xxhash64(*cells, *marks)
-    digest = F.concat_ws(
-        ":",
-        F.count("*").cast("string"),
-        F.coalesce(F.bit_xor(row), F.lit(0)).cast("string"),
-        F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string"),
+    cells = [
+        f"to_json({quoted(f)})" if isinstance(df.schema[f].dataType, T.MapType) else quoted(f)
+        for f in fields
+    ]
+    # A NULL does not change a hash, so the row also says which cells are there.
+    present = ", ".join(f"CASE WHEN {quoted(f)} IS NULL THEN '0' ELSE '1' END" for f in fields)
+    rows = df.selectExpr(f"xxhash64({', '.join(cells)}, concat({present})) AS h")
+    digest = (
+        "concat_ws(':', string(count(*)), string(coalesce(bit_xor(h), 0L)), "
+        "string(coalesce(sum(cast(h AS DECIMAL(38, 0))), 0)))"
     )
-    return df.agg(F.sha2(digest, 256).alias("fingerprint"))
+    return rows.agg(F.expr(f"sha2({digest}, 256) AS fingerprint"))
 
 
 def sensitive_columns(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
@@ -54,25 +56,23 @@ def sensitive_columns(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     By values means that over half of all the present values look like a phone
     number, an e-mail address, an identity card or a bank card.
     """
-    cells = []
-    for s in specs:
-        named = mentions(s.name, SENSITIVE_WORDS)
-        text = F.when(~missing(df, s.name), key_text(df, s.name))
-        cells.append(
-            F.struct(
-                F.lit(s.name).alias("field"),
-                F.lit(named).alias("byName"),
-                F.lit(s.role == "identifier").alias("byRole"),
-                text.alias("text"),
-            )
+    cells = [
+        struct_sql(
+            field=text_sql(s.name),
+            byName=str(mentions(s.name, SENSITIVE_WORDS)).lower(),
+            byRole=str(s.role == "identifier").lower(),
+            text=f"CASE WHEN NOT {missing_sql(df, s.name)} THEN {key_sql(df, s.name)} END",
         )
-    shares = (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("field", "byName", "byRole")
-        .agg(F.coalesce(F.avg(looks_sensitive(col("text")).cast("int")), F.lit(0.0)).alias("matchRate"))
+        for s in specs
+    ]
+    shares = grouped(
+        df.selectExpr(inline_sql(cells)),
+        ["field", "byName", "byRole"],
+        [f"coalesce(avg(int({looks_sensitive_sql('text')})), 0D) AS matchRate"],
+    )
+    return shares.selectExpr(
+        "*", f"byName OR byRole OR matchRate > {SENSITIVE_SHARE}D AS sensitive"
     )
-    sensitive = col("byName") | col("byRole") | (col("matchRate") > SENSITIVE_SHARE)
-    return shares.withColumn("sensitive", sensitive)
 
 
 def sensitive_names(df: DataFrame, specs: Sequence[FieldSpec]) -> list[str]:
@@ -100,16 +100,12 @@ def category_ids(
     """
     if not fields:
         return []
-    cells = [F.struct(F.lit(f).alias("field"), key_text(df, f).alias("value")) for f in fields]
-    firsts = (
-        df.select(col(row_id).alias("id"), F.inline(F.array(*cells)))
-        .filter(col("value") != "")
-        .groupBy("field", "value")
-        .agg(F.min("id").alias("id"))
-    )
+    cells = [struct_sql(field=text_sql(f), value=key_sql(df, f)) for f in fields]
+    rows = df.selectExpr(f"{quoted(row_id)} AS id", inline_sql(cells)).filter("value <> ''")
+    firsts = grouped(rows, ["field", "value"], ["min(id) AS id"])
     # More than `most` values decide against a field, so no more are looked at.
-    place = F.row_number().over(Window.partitionBy("field").orderBy("id"))
-    listed = firsts.withColumn("place", place).filter(col("place") <= most + 1).collect()
+    place = "row_number() OVER (PARTITION BY field ORDER BY id)"
+    listed = firsts.withColumn("place", F.expr(place)).filter(f"place <= {most + 1}").collect()
     by_field: dict[str, list[int]] = {f: [] for f in fields}
     for r in listed:
         by_field[r["field"]].append(r["id"])
@@ -160,32 +156,28 @@ def boundary_rows(
 
     Edges are the minimum, the maximum and the quartiles; ties go to the first row.
     """
-    inputs = {f"x{i}": number(df, m) for i, m in enumerate(metrics)}
-    quartiles = quantiles(df, [], inputs, [0.25, 0.75], quantile_method)
-    q = quartiles.select(F.struct(*[col(x)["q"].alias(x) for x in inputs])).scalar()
+    base = df.selectExpr(
+        f"{quoted(row_id)} AS at", *[f"{number_sql(df, m)} AS v{i}" for i, m in enumerate(metrics)]
+    )
+    inputs = {f"x{i}": f"v{i}" for i in range(len(metrics))}
+    quartiles = quantiles(base, [], inputs, [0.25, 0.75], quantile_method)
+    edges = quartiles.selectExpr(f"struct({', '.join(inputs)}) AS e").scalar()
     aggs = []
     for i, m in enumerate(metrics):
-        x, at = number(df, m), col(row_id)
-        present = x.isNotNull()
-
-        def nearest(distance):
-            # NULL distances are skipped, so a row without a number never wins.
-            return F.min_by(F.struct(at.alias(row_id), x.alias("value")), F.when(present, F.struct(distance, at)))
-
-        for edge, distance in (
-            ("min", x),
-            ("max", -x),
-            ("p25", F.abs(x - q[f"x{i}"][0])),
-            ("p75", F.abs(x - q[f"x{i}"][1])),
-        ):
-            aggs.append(
-                F.struct(F.lit(m).alias("field"), F.lit(edge).alias("edge"), nearest(distance).alias("row"))
-            )
-    wide = df.agg(*[a.alias(f"e{i}") for i, a in enumerate(aggs)])
+        distances = {
+            "min": f"v{i}",
+            "max": f"-v{i}",
+            "p25": f"abs(v{i} - e.x{i}.q[0])",
+            "p75": f"abs(v{i} - e.x{i}.q[1])",
+        }
+        for edge, distance in distances.items():
+            nearest = f"min_by(named_struct('at', at, 'value', v{i}), struct({distance}, at)) FILTER (WHERE v{i} IS NOT NULL)"
+            aggs.append(struct_sql(field=text_sql(m), edge=f"'{edge}'", row=nearest))
+    wide = base.withColumn("e", edges).agg(*[F.expr(f"{a} AS r{i}") for i, a in enumerate(aggs)])
     return (
-        wide.select(F.inline(F.array(*[col(f"e{i}") for i in range(len(aggs))])))
-        .filter(col("row").isNotNull())
-        .select("field", "edge", "row.*")
+        wide.selectExpr(inline_sql([f"r{i}" for i in range(len(aggs))]))
+        .filter("row IS NOT NULL")
+        .selectExpr("field", "edge", f"row.at AS {quoted(row_id)}", "row.value AS value")
     )
 
 
@@ -194,8 +186,8 @@ def anomaly_rows(
 ) -> DataFrame:
     """The first outlier rows by the interquartile rule over the number fields."""
     found = [
-        anomaly(df, m, order_by=[row_id], limit=limit).select(
-            F.lit(m).alias("field"), col(row_id), col("_direction").alias("direction"), col(m).alias("value")
+        anomaly(df, m, order_by=[row_id], limit=limit).selectExpr(
+            f"{text_sql(m)} AS field", quoted(row_id), "_direction AS direction", f"{quoted(m)} AS value"
         )
         for m in metrics
     ]
@@ -209,7 +201,7 @@ def column_context(
     """Number, date and value summaries of the columns, with masked texts."""
     shown = mask_columns(df, list(masked)) if masked else df
     numbers = [s.name for s in specs if kind(df, s.name) == "number"]
-    dates = {s.name: read_date(df, s.name) for s in specs if s.type == "date"}
+    dates = {s.name: date_sql(df, s.name) for s in specs if s.type == "date"}
     texts = [s.name for s in specs if s.name not in numbers and s.name not in dates]
     out = {}
     if numbers:

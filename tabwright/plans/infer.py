@@ -10,15 +10,18 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabwright.columns import col, key_text, kind, literal_rows, missing, number, strip
+from tabwright.columns import (
+    inline_sql, key_sql, kind, literal_rows, missing_sql, number_sql, quoted, strip_sql,
+    struct_sql, text_sql,
+)
 from tabwright.fields import FieldSpec, default_aggregation, infer_role
-from tabwright.functions.cells import date_of, format_of, is_boolean_text, number_of
+from tabwright.functions.cells import date_of_sql, format_of_sql, is_boolean_sql, number_of_sql
 from tabwright.sources.tables import ROW_ID, rows_at
 
+VOTES = ("boolean", "number", "date", "string")
 SAMPLE_ROWS = 500
 SAMPLE_VALUES = 5
 PREFIX = 1000
@@ -41,35 +44,31 @@ def sampled_rows(df: DataFrame, rows: int = SAMPLE_ROWS, row_id: str = ROW_ID) -
     return rows_at(df, [i * (total - 1) // (rows - 1) for i in range(rows)], row_id)
 
 
-def _cell(df: DataFrame, name: str) -> Column:
+def _cell_sql(df: DataFrame, name: str) -> str:
     """A cell in long form: its text, or the vote that needs no reading.
 
     A text longer than any number and with other characters is a string for
     sure; it is represented by its SHA-256, so that long texts are not shuffled.
     """
-    have, absent = kind(df, name), missing(df, name)
-    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    have, c, absent = kind(df, name), quoted(name), missing_sql(df, name)
+    text, value = key_sql(df, name), "cast(NULL AS DOUBLE)"
+    known = f"CASE WHEN {absent} THEN 'none' ELSE '{have}' END"
     if have == "string":
-        c = key_text(df, name)
-        long_text = (F.length(c) > LONG_TEXT) & ~c.rlike(NUMBER_CHARACTERS)
+        long_text = f"(length({text}) > {LONG_TEXT} AND NOT {text} RLIKE {text_sql(NUMBER_CHARACTERS)})"
         known = (
-            F.when(absent, "none").when(is_boolean_text(c), "boolean").when(long_text, "string")
+            f"CASE WHEN {absent} THEN 'none' WHEN {is_boolean_sql(text)} THEN 'boolean' "
+            f"WHEN {long_text} THEN 'string' END"
         )
-        text, value = F.when(long_text, F.sha2(c, 256)).otherwise(c), no_number
-    else:
-        value = number(df, name) if have == "number" else no_number
-        if have == "number":
-            absent = absent | value.isNull()
-        known = F.when(absent, "none").otherwise(have)
-        text = no_text if have == "number" else key_text(df, name)
-    return F.struct(
-        F.lit(name).alias("field"), text.alias("text"), known.alias("known"), value.alias("value")
-    )
+        text = f"CASE WHEN {long_text} THEN sha2({text}, 256) ELSE {text} END"
+    elif have == "number":
+        text, value = "cast(NULL AS STRING)", number_sql(df, name)
+        known = f"CASE WHEN {absent} OR ({value}) IS NULL THEN 'none' ELSE 'number' END"
+    return struct_sql(field=text_sql(name), text=text, known=known, value=value)
 
 
 def long_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per cell, so that the reading code is compiled once, not per column."""
-    return df.select(F.inline(F.array(*[_cell(df, f) for f in fields])))
+    return df.selectExpr(inline_sql([_cell_sql(df, f) for f in fields]))
 
 
 def distinct_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -79,60 +78,52 @@ def distinct_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     value is one row per task. Everything after this reads each value once.
     """
     cells = long_cells(df, fields)
-    return cells.groupBy(*cells.columns).agg(F.count("*").alias("n"))
+    return cells.groupBy(*cells.columns).agg(F.expr("count(*) AS n"))
 
 
 def read_cells(cells: DataFrame) -> DataFrame:
     """Add ``vote`` and, for numbers, ``value`` and ``tag``; for dates ``date``."""
-    trimmed = cells.withColumn("trimmed", strip(col("text")))
-    unread = col("known").isNull()
-    read = trimmed.withColumns(
-        {
-            "value": F.when(unread, number_of(col("trimmed"))).otherwise(col("value")),
-            "date": F.when(unread, date_of(col("trimmed"))),
-        }
+    kept = [c for c in cells.columns if c not in ("value",)]
+    read = cells.selectExpr("*", f"{strip_sql('text')} AS trimmed").selectExpr(
+        *kept,
+        "trimmed",
+        f"CASE WHEN known IS NULL THEN {number_of_sql('trimmed')} ELSE value END AS value",
+        f"CASE WHEN known IS NULL THEN {date_of_sql('trimmed')} END AS date",
     )
-    vote = (
-        F.when(col("known").isNotNull(), col("known"))
-        .when(col("value").isNotNull(), "number")
-        .when(col("date").isNotNull(), "date")
-        .otherwise("string")
+    voted = read.selectExpr(
+        "*",
+        "coalesce(known, CASE WHEN value IS NOT NULL THEN 'number' "
+        "WHEN date IS NOT NULL THEN 'date' ELSE 'string' END) AS vote",
     )
-    whole = F.floor(col("value")).cast("double") == col("value")
-    tag = F.when(
-        col("text").isNull(), F.when(whole, "integer").otherwise("decimal")
-    ).otherwise(format_of(col("trimmed"), col("value")))
-    return read.withColumn("vote", vote).withColumn("tag", F.when(col("vote") == "number", tag))
+    # A number column has no text: its tag follows from the value alone.
+    tag = format_of_sql("coalesce(trimmed, '')", "value")
+    return voted.selectExpr("*", f"CASE WHEN vote = 'number' THEN {tag} END AS tag")
 
 
-def vote_counts(n: Column) -> list[Column]:
+def vote_counts(n: str) -> list[str]:
     """Aggregates over read cells of weight ``n``."""
-
-    def votes(condition: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).alias(name)
-
-    is_number = col("vote") == "number"
-    fraction = F.floor(col("value")).cast("double") != col("value")
+    conditions = {t: f"vote = '{t}'" for t in VOTES} | {
+        "percentages": "tag = 'percentage'",
+        "currencies": "tag = 'currency'",
+        "plains": "tag IN ('integer', 'decimal')",
+        "fractions": "vote = 'number' AND double(floor(value)) <> value",
+    }
     return [
-        *[votes(col("vote") == t, t) for t in ("boolean", "number", "date", "string")],
-        votes(col("tag") == "percentage", "percentages"),
-        votes(col("tag") == "currency", "currencies"),
-        votes(col("tag").isin("integer", "decimal"), "plains"),
-        votes(is_number & fraction, "fractions"),
+        f"coalesce(sum(CASE WHEN {c} THEN {n} END), 0L) AS {name}" for name, c in conditions.items()
     ]
 
 
-def count_columns(n: Column) -> list[Column]:
-    present = col("vote") != "none"
+def count_columns(n: str) -> list[str]:
     return [
-        F.sum(n).alias("rows"),
-        F.coalesce(F.sum(F.when(~present, n)), F.lit(0)).alias("nullCount"),
+        f"sum({n}) AS rows",
+        f"coalesce(sum(CASE WHEN vote = 'none' THEN {n} END), 0L) AS nullCount",
     ]
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
-    rate = F.coalesce(F.try_divide(col("nullCount"), col("rows")), F.lit(0.0))
-    return counts.withColumn("nullRate", rate).withColumn("nullable", col("nullCount") > 0)
+    return counts.selectExpr(
+        "*", "coalesce(try_divide(nullCount, rows), 0D) AS nullRate", "nullCount > 0 AS nullable"
+    )
 
 
 def every_field(counts: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -141,56 +132,45 @@ def every_field(counts: DataFrame, fields: Sequence[str]) -> DataFrame:
     return named.join(F.broadcast(counts), "field", "left").na.fill(0)
 
 
+def grouped(df: DataFrame, keys: Sequence[str], aggs: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+
+
 def type_votes(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """One row per column: votes per type, then the formats of the number votes.
 
     Every cell is read where it lies; only counters are exchanged.
     """
     fields = list(fields or data_columns(df))
-    voted = read_cells(long_cells(df, fields)).groupBy("field").agg(*vote_counts(F.lit(1)))
+    voted = grouped(read_cells(long_cells(df, fields)), ["field"], vote_counts("1L"))
     return every_field(voted, fields)
 
 
 def decided_types(votes: DataFrame) -> DataFrame:
-    """Type, confidence and format from the votes, all as columns."""
-    total = col("boolean") + col("number") + col("date") + col("string")
-
-    def share(name: str) -> Column:
-        return F.coalesce(F.try_divide(col(name), total), F.lit(0.0))
-
-    typed = votes.withColumns(
-        {
-            "type": F.when(share("boolean") >= BOOLEAN_SHARE, "boolean")
-            .when(share("date") >= DATE_SHARE, "date")
-            .when(share("number") >= NUMBER_SHARE, "number")
-            .otherwise("string")
-        }
-    ).withColumn(
-        "confidence",
-        F.when(col("type") == "boolean", share("boolean"))
-        .when(col("type") == "date", share("date"))
-        .when(col("type") == "number", share("number"))
-        .otherwise(share("string")),
+    """Type, confidence and format from the votes, all as columns.
+
+    A number column takes its most frequent format, ties by name; a plain number
+    column is integer when no value has a fraction.
+    """
+    total = "(boolean + number + date + string)"
+    share = {t: f"coalesce(try_divide({t}, {total}), 0D)" for t in VOTES}
+    typed = votes.selectExpr(
+        "*",
+        f"CASE WHEN {share['boolean']} >= {BOOLEAN_SHARE}D THEN 'boolean' "
+        f"WHEN {share['date']} >= {DATE_SHARE}D THEN 'date' "
+        f"WHEN {share['number']} >= {NUMBER_SHARE}D THEN 'number' ELSE 'string' END AS type",
     )
-    # The most frequent number format, ties by name; a plain number column is
-    # integer when no value has a fraction.
-    plain_tag = F.when(col("fractions") == 0, "integer").otherwise("decimal")
-    tagged = F.array(
-        *[
-            F.struct((-col(votes_of)).alias("rank"), tag.alias("tag"))
-            for votes_of, tag in (
-                ("currencies", F.lit("currency")),
-                ("plains", plain_tag),
-                ("percentages", F.lit("percentage")),
-            )
-        ]
+    chosen = " ".join(f"WHEN '{t}' THEN {share[t]}" for t in VOTES)
+    plain = "CASE WHEN fractions = 0 THEN 'integer' ELSE 'decimal' END"
+    tags = ", ".join(
+        struct_sql(rank=f"-{n}", tag=tag)
+        for n, tag in (("currencies", "'currency'"), ("plains", plain), ("percentages", "'percentage'"))
     )
-    number_tag = F.array_min(tagged)["tag"]
-    return typed.withColumn(
-        "format",
-        F.when(col("type") == "number", number_tag)
-        .when(col("type") == "date", "date")
-        .otherwise("plain"),
+    return typed.selectExpr(
+        "*",
+        f"CASE type {chosen} END AS confidence",
+        f"CASE type WHEN 'number' THEN array_min(array({tags})).tag "
+        "WHEN 'date' THEN 'date' ELSE 'plain' END AS format",
     )
 
 
@@ -209,23 +189,23 @@ def _profile(
     fields: list[str],
     row_id: str | None,
     approx_distinct: bool,
-    more: list[Column],
+    more: Sequence[str],
 ) -> DataFrame:
     """Counts per column, and ``more`` vote counts, from one scan.
 
     Exact distinct counts need every distinct cell once; approximate ones need
     no shuffle of cells.
     """
-    present = col("vote") != "none"
     if approx_distinct:
-        cells, n = long_cells(df, fields), F.lit(1)
-        identity = F.when(present, F.coalesce(col("text"), col("value").cast("string")))
-        distinct = F.approx_count_distinct(identity)
+        cells, n = long_cells(df, fields), "1L"
+        identity = "CASE WHEN vote <> 'none' THEN coalesce(text, string(value)) END"
+        distinct = f"approx_count_distinct({identity})"
     else:
-        cells, n = distinct_cells(df, fields), col("n")
-        distinct = F.count_if(present)
-    read = read_cells(cells) if more else cells.withColumn("vote", F.coalesce("known", F.lit("some")))
-    counted = read.groupBy("field").agg(*more, *count_columns(n), distinct.alias("distinctCount"))
+        cells, n, distinct = distinct_cells(df, fields), "n", "count_if(vote <> 'none')"
+    read = read_cells(cells) if more else cells.selectExpr("*", "coalesce(known, 'some') AS vote")
+    counted = grouped(
+        read, ["field"], [*more, *count_columns(n), f"{distinct} AS distinctCount"]
+    )
     counts = with_rates(every_field(counted, fields))
     if row_id is None:
         return counts
@@ -241,32 +221,33 @@ def first_values(
     Most columns have them among the first rows: ids below ``PREFIX`` come before
     all others. Only columns that do not are looked up in the whole table.
     """
-    prefix = df.filter(col(row_id) < PREFIX)
-    full = prefix.agg(
-        *[(F.count_if(~missing(df, f)) >= k).alias(f"f{i}") for i, f in enumerate(fields)]
-    ).first()
+    prefix = df.filter(f"{quoted(row_id)} < {PREFIX}")
+    enough = [
+        f"count_if(NOT {missing_sql(df, f)}) >= {k} AS f{i}" for i, f in enumerate(fields)
+    ]
+    full = prefix.agg(*[F.expr(e) for e in enough]).first()
     early = [f for i, f in enumerate(fields) if full[f"f{i}"]]
     late = [f for f in fields if f not in early]
     parts = [_first_cells(d, fs, row_id, k) for d, fs in ((prefix, early), (df, late)) if fs]
     first = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    ordered = F.array_sort(F.collect_list(F.struct("place", "value")))
-    return first.groupBy("field").agg(F.transform(ordered, lambda s: s["value"]).alias("sampleValues"))
+    ordered = "transform(array_sort(collect_list(struct(place, value))), s -> s.value)"
+    return grouped(first, ["field"], [f"{ordered} AS sampleValues"])
 
 
 def _first_cells(df: DataFrame, fields: Sequence[str], row_id: str, k: int) -> DataFrame:
     """``row_number() <= k`` lets Spark keep k rows per column and task early."""
     cells = [
-        F.struct(
-            F.lit(f).alias("field"), F.when(~missing(df, f), key_text(df, f)).alias("value")
+        struct_sql(
+            field=text_sql(f),
+            value=f"CASE WHEN NOT {missing_sql(df, f)} THEN {key_sql(df, f)} END",
         )
         for f in fields
     ]
-    place = F.row_number().over(Window.partitionBy("field").orderBy("at"))
     return (
-        df.select(col(row_id).alias("at"), F.inline(F.array(*cells)))
-        .filter(col("value").isNotNull())
-        .withColumn("place", place)
-        .filter(col("place") <= k)
+        df.selectExpr(f"{quoted(row_id)} AS at", inline_sql(cells))
+        .filter("value IS NOT NULL")
+        .withColumn("place", F.expr("row_number() OVER (PARTITION BY field ORDER BY at)"))
+        .filter(f"place <= {k}")
         .drop("at")
     )
 
@@ -278,9 +259,8 @@ def infer_columns(
     fields = data_columns(df)
     row_id = ROW_ID if ROW_ID in df.columns else None
     if sample_rows is None:
-        return decided_types(_profile(df, fields, row_id, approx_distinct, vote_counts(
-            F.lit(1) if approx_distinct else col("n")
-        )))
+        weight = "1L" if approx_distinct else "n"
+        return decided_types(_profile(df, fields, row_id, approx_distinct, vote_counts(weight)))
     votes = type_votes(sampled_rows(df, sample_rows), fields)
     counts = column_counts(df, fields, row_id, approx_distinct)
     # Both sides have one row per column of the table.

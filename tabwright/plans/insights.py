@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col
+from tabwright.columns import text_sql
 from tabwright.fields import FieldSpec, split_roles
 from tabwright.plans import stats, trends
 from tabwright.plans.quality import duplicate_rows
@@ -20,6 +20,8 @@ GAP_WARNING = 2
 WARN_SHARE_WARNING = 0.15
 TREND_METRICS = COMPARED_METRICS = 3
 CATEGORY_FIELDS = 5
+# SQL texts of the two levels, and the place of a row's own field.
+INFO, WARNING, FIELD = "'info'", "'warning'", "field"
 SCHEMA = {
     "kind": "string",
     "level": "string",
@@ -32,23 +34,25 @@ SCHEMA = {
 }
 
 
-def _insight(df: DataFrame, kind: str, level: Column | str, fields: Sequence, **values) -> DataFrame:
-    """Rows of ``df`` as insights of one kind; numbers not given are NULL."""
+def _insight(df: DataFrame, kind: str, level: str, fields: Sequence[str], **values: str) -> DataFrame:
+    """Rows of ``df`` as insights of one kind; columns not given are NULL.
+
+    ``level`` and ``values`` are SQL text; ``fields`` are texts of their own, or
+    ``FIELD`` for the row's own field.
+    """
     named = {
-        "kind": F.lit(kind),
-        "level": F.lit(level) if isinstance(level, str) else level,
-        "fields": F.array(*[F.lit(f) if isinstance(f, str) else f for f in fields])
-        if fields
-        else F.array().cast("array<string>"),
+        "kind": f"'{kind}'",
+        "level": level,
+        "fields": "array(" + ", ".join(f if f == FIELD else text_sql(f) for f in fields) + ")",
         **values,
     }
-    return df.select(
-        *[named.get(n, F.lit(None)).cast(t).alias(n) for n, t in SCHEMA.items()]
+    return df.selectExpr(
+        *[f"cast({named.get(n, 'NULL')} AS {t}) AS {n}" for n, t in SCHEMA.items()]
     )
 
 
-def _warn_if(condition: Column) -> Column:
-    return F.when(condition, "warning").otherwise("info")
+def _warn_if(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN {WARNING} ELSE {INFO} END"
 
 
 def report(
@@ -113,82 +117,75 @@ def insights(df: DataFrame, specs: Sequence[FieldSpec], **options) -> DataFrame:
 def _metric_insights(numeric: DataFrame, outliers: DataFrame) -> list[DataFrame]:
     return [
         _insight(
-            numeric, "statistics", "info", [col("field")],
-            count=col("count"), value=col("avg"), other=col("median"), rate=col("nullRate"),
+            numeric, "statistics", INFO, [FIELD],
+            count="count", value="avg", other="median", rate="nullRate",
         ),
         _insight(
-            stats.missingness(numeric, MISSING_OVER), "missing", "warning", [col("field")],
-            count=col("nullCount"), rate=col("nullRate"),
+            stats.missingness(numeric, MISSING_OVER), "missing", WARNING, [FIELD],
+            count="nullCount", rate="nullRate",
         ),
         _insight(
-            outliers.filter("detected AND outlierCount > 0"), "outliers", "warning", [col("field")],
-            count=col("outlierCount"), value=col("lowerBound"), other=col("upperBound"),
+            outliers.filter("detected AND outlierCount > 0"), "outliers", WARNING, [FIELD],
+            count="outlierCount", value="lowerBound", other="upperBound",
         ),
     ]
 
 
 def _category_insights(categories: DataFrame, values: DataFrame) -> list[DataFrame]:
-    long_tail = (col("longTailRate") > LONG_TAIL_OVER) & (col("distinctCount") > LONG_TAIL_VALUES)
+    long_tail = f"longTailRate > {LONG_TAIL_OVER}D AND distinctCount > {LONG_TAIL_VALUES}"
     return [
         _insight(
-            categories.filter(long_tail), "long_tail", "info", [col("field")],
-            count=col("distinctCount"), rate=col("longTailRate"),
+            categories.filter(long_tail), "long_tail", INFO, [FIELD],
+            count="distinctCount", rate="longTailRate",
         ),
         _insight(
-            values.filter((col("side") == "top") & (col("rank") == 1)),
-            "top_value", "info", [col("field")],
-            label=col("value"), count=col("count"), rate=col("rate"),
+            values.filter("side = 'top' AND rank = 1"), "top_value", INFO, [FIELD],
+            label="value", count="count", rate="rate",
         ),
     ]
 
 
 def _trend_insight(points: DataFrame, time: str) -> DataFrame:
-    change = trends.trend_changes(points).filter(col("changeRate").isNotNull())
+    change = trends.trend_changes(points).filter("changeRate IS NOT NULL")
     return _insight(
-        change, "trend", _warn_if(F.abs("changeRate") > TREND_WARNING), [col("field"), time],
-        label=F.when(col("absoluteChange") > 0, "up").otherwise("down"),
-        count=col("periods"), value=col("first"), other=col("last"), rate=col("changeRate"),
+        change, "trend", _warn_if(f"abs(changeRate) > {TREND_WARNING}D"), [FIELD, time],
+        label="CASE WHEN absoluteChange > 0 THEN 'up' ELSE 'down' END",
+        count="periods", value="first", other="last", rate="changeRate",
     )
 
 
 def _gap_insight(top: DataFrame, dimension: str) -> DataFrame:
-    gap = trends.group_gaps(top).filter(col("ratio").isNotNull())
+    gap = trends.group_gaps(top).filter("ratio IS NOT NULL")
     return _insight(
-        gap, "group_gap", _warn_if(F.abs("ratio") > GAP_WARNING), [col("field"), dimension],
-        label=F.concat(col("topLabel"), F.lit(" / "), col("bottomLabel")),
-        value=col("topValue"), other=col("bottomValue"), rate=col("ratio"),
+        gap, "group_gap", _warn_if(f"abs(ratio) > {GAP_WARNING}"), [FIELD, dimension],
+        label="concat(topLabel, ' / ', bottomLabel)",
+        value="topValue", other="bottomValue", rate="ratio",
     )
 
 
 def _status_insights(summary: DataFrame, status: str, metric: str | None) -> list[DataFrame]:
-    found = [
-        _insight(
-            summary.filter("warnCount > 0"), "warning_share",
-            _warn_if(col("warnRate") > WARN_SHARE_WARNING), [status],
-            count=col("warnCount"), rate=col("warnRate"),
-        )
-    ]
-    if metric:
-        found.append(
-            _insight(
-                summary.filter(col("diff").isNotNull()), "warning_gap", "info", [status, metric],
-                value=col("warnAvg"), other=col("normalAvg"), rate=col("diff"),
-            )
-        )
-    return found
+    share = _insight(
+        summary.filter("warnCount > 0"), "warning_share",
+        _warn_if(f"warnRate > {WARN_SHARE_WARNING}D"), [status],
+        count="warnCount", rate="warnRate",
+    )
+    if not metric:
+        return [share]
+    gap = _insight(
+        summary.filter("diff IS NOT NULL"), "warning_gap", INFO, [status, metric],
+        value="warnAvg", other="normalAvg", rate="diff",
+    )
+    return [share, gap]
 
 
 def _table_insights(
     df: DataFrame, fields: list[str], original_rows: int | None
 ) -> list[DataFrame]:
     repeats = duplicate_rows(df, fields).filter("duplicateRowCount > 0")
-    found = [_insight(repeats, "duplicate_rows", "warning", [], count=col("duplicateRowCount"))]
+    found = [_insight(repeats, "duplicate_rows", WARNING, [], count="duplicateRowCount")]
     if original_rows is not None:
-        stored = df.agg(F.count("*").alias("rows")).filter(col("rows") < original_rows)
+        stored = df.agg(F.expr("count(*) AS rows")).filter(f"rows < {original_rows}")
         found.append(
-            _insight(
-                stored, "truncated", "warning", [],
-                count=col("rows"), value=F.lit(float(original_rows)),
-            )
+            _insight(stored, "truncated", WARNING, [], count="rows", value=str(original_rows))
         )
     return found

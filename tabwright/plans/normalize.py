@@ -4,26 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tabwright.columns import col, double_text, key_text, kind, literal_rows, missing, number, strip
+from tabwright.columns import (
+    double_text_sql, inline_sql, key_sql, kind, missing_sql, number_sql, quoted, strip_sql,
+    struct_sql, text_sql,
+)
 from tabwright.fields import FieldSpec
-from tabwright.functions.cells import date_of, number_of, parse_boolean, parse_date, parse_number
+from tabwright.functions.cells import boolean_of_sql, date_of_sql, number_of_sql
+from tabwright.plans.infer import every_field, grouped
 
 
-def normalized(df: DataFrame, spec: FieldSpec) -> Column:
+def normalized_sql(df: DataFrame, spec: FieldSpec) -> str:
     """The cell under its final type; what cannot be read is NULL."""
     name, have = spec.name, kind(df, spec.name)
-    if spec.role == "ignored":
-        return col(name)
+    c = quoted(name)
+    if spec.role == "ignored" or have == spec.type:
+        if have == "number":
+            return number_sql(df, name)
+        return f"date({c})" if have == "date" else c
     if spec.type == "string":
-        return col(name) if have == "string" else F.when(~missing(df, name), key_text(df, name))
-    if spec.type == "number":
-        return number(df, name) if have != "string" else parse_number(key_text(df, name))
-    if spec.type == "date":
-        return col(name).cast("date") if have == "date" else parse_date(key_text(df, name))
-    return col(name) if have == "boolean" else parse_boolean(key_text(df, name))
+        return f"CASE WHEN NOT {missing_sql(df, name)} THEN {key_sql(df, name)} END"
+    if have != "string" and spec.type == "number":
+        return number_sql(df, name)
+    text = strip_sql(key_sql(df, name))
+    read = {"number": number_of_sql, "date": date_of_sql, "boolean": boolean_of_sql}
+    return read[spec.type](text)
 
 
 def normalize(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
@@ -33,9 +39,9 @@ def normalize(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     without losing what an earlier type could not read.
     """
     by_name = {s.name: s for s in specs}
-    return df.select(
+    return df.selectExpr(
         *[
-            normalized(df, by_name[c]).alias(c) if c in by_name else col(c)
+            f"{normalized_sql(df, by_name[c])} AS {quoted(c)}" if c in by_name else quoted(c)
             for c in df.columns
         ]
     )
@@ -47,34 +53,30 @@ def normalization_counts(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame
     Read in long form, like the type votes: number and date code is compiled
     once for the whole table.
     """
-    cells = []
-    for s in specs:
-        have = kind(df, s.name)
-        if s.type not in ("number", "date") or s.role == "ignored" or have == s.type:
-            continue
-        cells.append(
-            F.struct(
-                F.lit(s.name).alias("field"),
-                F.lit(s.type).alias("type"),
-                F.when(~missing(df, s.name), strip(key_text(df, s.name))).alias("text"),
-            )
+    cells = [
+        struct_sql(
+            field=text_sql(s.name),
+            type=f"'{s.type}'",
+            text=f"CASE WHEN NOT {missing_sql(df, s.name)} THEN {strip_sql(key_sql(df, s.name))} END",
         )
-    names = literal_rows(df.sparkSession, [(s.name,) for s in specs], {"field": "string"})
-    counters = ["invalidNumber", "invalidDate", "changed"]
-    if not cells:
-        return names.select("field", *[F.lit(0).cast("bigint").alias(c) for c in counters])
-    is_number = col("type") == "number"
-    read = df.select(F.inline(F.array(*cells))).select(
-        "field",
-        "type",
-        "text",
-        F.when(is_number, number_of(col("text"))).alias("number"),
-        F.when(~is_number, date_of(col("text"))).alias("date"),
+        for s in specs
+        if s.type in ("number", "date") and s.role != "ignored" and kind(df, s.name) == "string"
+    ]
+    # Without a column to read there is still one row per field.
+    cells = cells or [struct_sql(field="''", type="''", text="cast(NULL AS STRING)")]
+    read = df.selectExpr(inline_sql(cells)).selectExpr(
+        "*",
+        f"CASE WHEN type = 'number' THEN {number_of_sql('text')} END AS number",
+        f"CASE WHEN type = 'date' THEN {date_of_sql('text')} END AS date",
     )
-    unread = col("text").isNotNull() & col("number").isNull() & col("date").isNull()
-    counted = read.groupBy("field").agg(
-        F.count_if(is_number & unread).alias("invalidNumber"),
-        F.count_if(~is_number & unread).alias("invalidDate"),
-        F.count_if(double_text(col("number")) != col("text")).alias("changed"),
+    unread = "text IS NOT NULL AND number IS NULL AND date IS NULL"
+    counted = grouped(
+        read,
+        ["field"],
+        [
+            f"count_if(type = 'number' AND {unread}) AS invalidNumber",
+            f"count_if(type = 'date' AND {unread}) AS invalidDate",
+            f"count_if({double_text_sql('number')} <> text) AS changed",
+        ],
     )
-    return names.join(F.broadcast(counted), "field", "left").na.fill(0)
+    return every_field(counted, [s.name for s in specs])

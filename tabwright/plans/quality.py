@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.columns import col, key_text, literal_rows, missing
+from tabwright.columns import key_sql, literal_rows, missing_sql, quoted, struct_sql
 from tabwright.fields import FieldSpec
-from tabwright.functions.cells import parse_boolean
-from tabwright.plans.infer import data_columns, distinct_cells, read_cells, vote_counts, with_rates
+from tabwright.functions.cells import boolean_of_sql
+from tabwright.plans.infer import (
+    VOTES, data_columns, distinct_cells, grouped, read_cells, vote_counts, with_rates,
+)
 from tabwright.plans.normalize import normalize
 
 HIGH_NULL_RATE = 0.3
@@ -20,14 +21,12 @@ MIN_VOTES, SECOND_SHARE, MAIN_SHARE = 5, 0.1, 0.9
 MANY_VALUES = 50
 MIN_ROWS_FOR_IDENTIFIER = 10
 NARROW_ROW = 4
-COLUMNS = ["code", "level", "field", "count", "rate"]
+SCHEMA = {
+    "code": "string", "level": "string", "field": "string", "count": "bigint", "rate": "double",
+}
 
 
-def all_missing(df: DataFrame, fields: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [missing(df, f) for f in fields])
-
-
-def _row_identity(df: DataFrame, fields: Sequence[str]) -> list[Column]:
+def _row_identity(df: DataFrame, fields: Sequence[str]) -> list[str]:
     """What two equal rows share. Wide or text rows are compared by SHA-256.
 
     Hashing on the map side sends 32 bytes per distinct row through the shuffle
@@ -37,12 +36,12 @@ def _row_identity(df: DataFrame, fields: Sequence[str]) -> list[Column]:
     variable = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
     fixed = not any(isinstance(df.schema[f].dataType, variable) for f in fields)
     if fixed and len(fields) <= NARROW_ROW:
-        return [col(f) for f in fields]
+        return [quoted(f) for f in fields]
     parts = []
     for f in fields:
-        text = key_text(df, f)
-        parts += [F.when(col(f).isNull(), F.lit("-")).otherwise(F.length(text).cast("string")), text]
-    return [F.unhex(F.sha2(F.concat_ws(":", *parts), 256)).alias("_identity")]
+        text = key_sql(df, f)
+        parts += [f"CASE WHEN {quoted(f)} IS NULL THEN '-' ELSE string(length({text})) END", text]
+    return [f"unhex(sha2(concat_ws(':', {', '.join(parts)}), 256))"]
 
 
 def duplicate_rows(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
@@ -52,59 +51,51 @@ def duplicate_rows(df: DataFrame, fields: Sequence[str] | None = None) -> DataFr
     costs no more than a few.
     """
     fields = list(fields or data_columns(df))
-    empty = all_missing(df, fields)
-    ids = [c.alias(f"_id{i}") for i, c in enumerate(_row_identity(df, fields))]
-    groups = df.select(empty.alias("_empty"), *ids)
-    counted = groups.groupBy(*groups.columns).agg(F.count("*").alias("n"))
-    repeats, blanks = F.when(~col("_empty"), col("n") - 1), F.when(col("_empty"), col("n"))
+    empty = " AND ".join(missing_sql(df, f) for f in fields)
+    ids = [f"{c} AS id{i}" for i, c in enumerate(_row_identity(df, fields))]
+    rows = df.selectExpr(f"({empty}) AS empty", *ids)
+    counted = grouped(rows, rows.columns, ["count(*) AS n"])
     return counted.agg(
-        F.coalesce(F.sum(repeats), F.lit(0)).cast("bigint").alias("duplicateRowCount"),
-        F.coalesce(F.sum(blanks), F.lit(0)).cast("bigint").alias("emptyRowCount"),
+        F.expr("coalesce(sum(CASE WHEN NOT empty THEN n - 1 END), 0L) AS duplicateRowCount"),
+        F.expr("coalesce(sum(CASE WHEN empty THEN n END), 0L) AS emptyRowCount"),
     )
 
 
-def _column_findings(columns: DataFrame) -> Column:
+def _findings_sql() -> str:
     """All findings of one column as an array, NULL where a rule does not fire."""
-    votes = F.array_sort(F.array("boolean", "number", "date", "string"))
-    total = col("boolean") + col("number") + col("date") + col("string")
-    main, second = votes[3], votes[2]
-    mixed = (total >= MIN_VOTES) & (
-        (second >= total * SECOND_SHARE) | (main < total * MAIN_SHARE)
+    votes = "array_sort(array(boolean, number, date, string))"
+    total = "(boolean + number + date + string)"
+    main, second = f"{votes}[3]", f"{votes}[2]"
+    mixed = (
+        f"{total} >= {MIN_VOTES} AND ({second} >= {total} * {SECOND_SHARE}D "
+        f"OR {main} < {total} * {MAIN_SHARE}D)"
     )
-
-    def finding(fires: Column, code: str, level: str, count: Column, rate: Column) -> Column:
-        return F.when(
-            fires,
-            F.struct(
-                F.lit(code).alias("code"),
-                F.lit(level).alias("level"),
-                col("field").alias("field"),
-                count.cast("bigint").alias("count"),
-                rate.cast("double").alias("rate"),
-            ),
-        )
-
-    null_rate, distinct, rows = col("nullRate"), col("distinctCount"), col("rows")
-    no_rate = F.lit(None)
-    is_empty = (rows > 0) & (null_rate >= 1)
-    return F.array(
-        finding(is_empty, "EMPTY_COLUMN", "error", col("nullCount"), null_rate),
-        finding(
-            ~is_empty & (null_rate > HIGH_NULL_RATE),
-            "HIGH_NULL_RATE", "warning", col("nullCount"), null_rate,
-        ),
-        finding(mixed, "MIXED_TYPE", "warning", second, F.try_divide(second, total)),
-        finding(
-            (col("type") == "string") & (distinct > MANY_VALUES) & (distinct < rows),
-            "HIGH_CARDINALITY", "info", distinct, no_rate,
+    is_empty = "(rows > 0 AND nullRate >= 1)"
+    no_rate = "NULL"
+    rules = [
+        (is_empty, "EMPTY_COLUMN", "error", "nullCount", "nullRate"),
+        (f"NOT {is_empty} AND nullRate > {HIGH_NULL_RATE}D", "HIGH_NULL_RATE", "warning", "nullCount", "nullRate"),
+        (mixed, "MIXED_TYPE", "warning", second, f"try_divide({second}, {total})"),
+        (
+            f"type = 'string' AND distinctCount > {MANY_VALUES} AND distinctCount < rows",
+            "HIGH_CARDINALITY", "info", "distinctCount", no_rate,
         ),
-        finding(
-            (rows > MIN_ROWS_FOR_IDENTIFIER) & (distinct == rows) & (col("role") != "identifier"),
-            "POSSIBLE_IDENTIFIER", "info", distinct, no_rate,
+        (
+            f"rows > {MIN_ROWS_FOR_IDENTIFIER} AND distinctCount = rows AND role <> 'identifier'",
+            "POSSIBLE_IDENTIFIER", "info", "distinctCount", no_rate,
         ),
-        finding(col("invalidDate") > 0, "INVALID_DATE", "warning", col("invalidDate"), no_rate),
-        finding(col("invalidNumber") > 0, "INVALID_NUMBER", "warning", col("invalidNumber"), no_rate),
-    )
+        ("invalidDate > 0", "INVALID_DATE", "warning", "invalidDate", no_rate),
+        ("invalidNumber > 0", "INVALID_NUMBER", "warning", "invalidNumber", no_rate),
+    ]
+    return "array(" + ", ".join(
+        f"CASE WHEN {fires} THEN "
+        + struct_sql(
+            code=f"'{code}'", level=f"'{level}'", field="field",
+            count=f"bigint({count})", rate=f"cast({rate} AS DOUBLE)",
+        )
+        + " END"
+        for fires, code, level, count, rate in rules
+    ) + ")"
 
 
 def _checked_columns(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
@@ -122,34 +113,34 @@ def _checked_columns(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     cells = read_cells(distinct_cells(df, [s.name for s in specs])).join(
         F.broadcast(described), "field"
     )
-    want, text = col("type"), col("text")
-    number_text = col("value").cast("string")
+    as_text = "coalesce(text, string(value))"
     final = (
-        F.when(col("vote") == "none", None)
-        .when(col("role") == "ignored", F.coalesce(text, number_text))
-        .when(want == "number", number_text)
-        .when(want == "date", F.when(col("known") == "date", text).otherwise(col("date").cast("string")))
-        .when(want == "boolean", parse_boolean(text).cast("string"))
-        .otherwise(F.coalesce(text, number_text))
-    )
-    checked = cells.withColumn("final", final).withColumn(
-        "unread", (col("vote") != "none") & col("final").isNull()
+        f"CASE WHEN vote = 'none' THEN NULL WHEN role = 'ignored' THEN {as_text} "
+        "WHEN type = 'number' THEN string(value) "
+        "WHEN type = 'date' THEN CASE WHEN known = 'date' THEN text ELSE string(date) END "
+        f"WHEN type = 'boolean' THEN string({boolean_of_sql('trimmed')}) ELSE {as_text} END"
     )
-    n = col("n")
-    votes = vote_counts(n)
-    vote_names = ["boolean", "number", "date", "string"]
-    by_value = checked.groupBy("field", "type", "role", "final").agg(
-        *votes[: len(vote_names)],
-        F.sum(n).alias("n"),
-        F.coalesce(F.sum(F.when(col("unread"), n)), F.lit(0)).alias("unread"),
+    checked = cells.selectExpr("*", f"{final} AS final")
+    by_value = grouped(
+        checked,
+        ["field", "type", "role", "final"],
+        [
+            *vote_counts("n")[: len(VOTES)],
+            "sum(n) AS n",
+            "coalesce(sum(CASE WHEN vote <> 'none' AND final IS NULL THEN n END), 0L) AS unread",
+        ],
     )
-    counted = by_value.groupBy("field", "type", "role").agg(
-        *[F.sum(v).alias(v) for v in vote_names],
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(col("final").isNull(), col("n"))), F.lit(0)).alias("nullCount"),
-        F.count_if(col("final").isNotNull()).alias("distinctCount"),
-        F.sum(F.when(col("type") == "number", col("unread")).otherwise(0)).alias("invalidNumber"),
-        F.sum(F.when(col("type") == "date", col("unread")).otherwise(0)).alias("invalidDate"),
+    counted = grouped(
+        by_value,
+        ["field", "type", "role"],
+        [
+            *[f"sum({v}) AS {v}" for v in VOTES],
+            "sum(n) AS rows",
+            "coalesce(sum(CASE WHEN final IS NULL THEN n END), 0L) AS nullCount",
+            "count(final) AS distinctCount",
+            "sum(CASE WHEN type = 'number' THEN unread ELSE 0 END) AS invalidNumber",
+            "sum(CASE WHEN type = 'date' THEN unread ELSE 0 END) AS invalidDate",
+        ],
     )
     return with_rates(counted)
 
@@ -166,22 +157,13 @@ def quality_report(
     Column rules read the votes, the counts of the normalized cells and the
     cells that could not be read; table rules read the rows as a whole.
     """
-    spark = df.sparkSession
-    fields = [s.name for s in specs]
-    final = normalize(df, specs)
-    columns = _checked_columns(df, specs)
-    found = columns.select(F.explode(F.array_compact(_column_findings(columns))).alias("f")).select(
-        *[col("f")[c].alias(c) for c in COLUMNS]
-    )
+    found = _checked_columns(df, specs).selectExpr(f"inline(array_compact({_findings_sql()}))")
     repeats = (
-        duplicate_rows(final, fields)
+        duplicate_rows(normalize(df, specs), [s.name for s in specs])
         .filter("duplicateRowCount > 0")
-        .select(
-            F.lit("DUPLICATE_ROWS").alias("code"),
-            F.lit("warning").alias("level"),
-            F.lit(None).cast("string").alias("field"),
-            col("duplicateRowCount").alias("count"),
-            F.lit(None).cast("double").alias("rate"),
+        .selectExpr(
+            "'DUPLICATE_ROWS' AS code", "'warning' AS level", "cast(NULL AS STRING) AS field",
+            "duplicateRowCount AS count", "cast(NULL AS DOUBLE) AS rate",
         )
     )
     table = []
@@ -189,11 +171,5 @@ def quality_report(
         table.append(("TRUNCATED", "warning", None, original_rows - stored_rows, None))
     if duplicate_names:
         table.append(("DUPLICATE_COLUMN_NAME", "warning", None, None, None))
-    noted = literal_rows(
-        spark,
-        table,
-        {"code": "string", "level": "string", "field": "string", "count": "bigint", "rate": "double"},
-    )
-    return noted.unionByName(found).unionByName(repeats)
-
-
+    out = found.unionByName(repeats)
+    return literal_rows(df.sparkSession, table, SCHEMA).unionByName(out) if table else out

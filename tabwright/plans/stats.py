@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabwright.columns import col, key_text, number, require
-from tabwright.functions.aggregates import zero_if_empty
+from tabwright.columns import (
+    inline_sql, key_sql, number_sql, quoted, require, struct_sql, text_sql,
+)
+from tabwright.functions.aggregates import or_zero
 from tabwright.functions.quantiles import quantiles
 from tabwright.operators.anomaly import FENCE, MIN_SAMPLES
+from tabwright.plans.infer import grouped
 
 TOP_N = 10
 LOW_CARDINALITY = 30
@@ -24,49 +26,45 @@ def numeric_stats(
     df: DataFrame, metrics: Sequence[str], quantile_method: str = "auto"
 ) -> DataFrame:
     """Thirteen statistics per metric, all 0 when there is no number."""
-    require(df, list(metrics))
-    base = df.select(*[number(df, m).alias(f"x{i}") for i, m in enumerate(metrics)])
-    aggs = [F.count("*").alias("rows")]
-    for i in range(len(metrics)):
-        x = col(f"x{i}")
-        aggs.append(
-            F.struct(
-                F.sum(x).alias("sum"),
-                F.avg(x).alias("avg"),
-                F.min(x).alias("min"),
-                F.max(x).alias("max"),
-                F.stddev_samp(x).alias("std"),
-                F.count_if(x == 0).alias("zeroCount"),
-                F.count_if(x < 0).alias("negativeCount"),
-            ).alias(f"s{i}")
+    require(df, metrics)
+    base = df.selectExpr(*[f"{number_sql(df, m)} AS x{i}" for i, m in enumerate(metrics)])
+    aggs = ["count(*) AS rows"] + [
+        struct_sql(
+            sum=f"sum(x{i})",
+            avg=f"avg(x{i})",
+            min=f"min(x{i})",
+            max=f"max(x{i})",
+            std=f"stddev_samp(x{i})",
+            zeros=f"count_if(x{i} = 0)",
+            negatives=f"count_if(x{i} < 0)",
         )
-    inputs = {f"q{i}": col(f"x{i}") for i in range(len(metrics))}
+        + f" AS s{i}"
+        for i in range(len(metrics))
+    ]
+    inputs = {f"q{i}": f"x{i}" for i in range(len(metrics))}
     wide = quantiles(base, [], inputs, QUARTILES, quantile_method, aggs)
-    rows = []
-    for i, m in enumerate(metrics):
-        s, n, q = col(f"s{i}"), col(f"q{i}")["n"], col(f"q{i}")["q"]
-        absent = col("rows") - n
-        rows.append(
-            F.struct(
-                F.lit(m).alias("field"),
-                n.alias("count"),
-                absent.alias("nullCount"),
-                zero_if_empty(F.try_divide(absent, col("rows"))).alias("nullRate"),
-                *[zero_if_empty(s[k]).alias(k) for k in ("sum", "avg", "min", "max")],
-                zero_if_empty(q[1]).alias("median"),
-                zero_if_empty(q[0]).alias("p25"),
-                zero_if_empty(q[2]).alias("p75"),
-                zero_if_empty(s["std"]).alias("std"),
-                s["zeroCount"].alias("zeroCount"),
-                s["negativeCount"].alias("negativeCount"),
-            )
+    rows = [
+        struct_sql(
+            field=text_sql(m),
+            count=f"q{i}.n",
+            nullCount=f"rows - q{i}.n",
+            nullRate=or_zero(f"try_divide(rows - q{i}.n, rows)"),
+            **{k: or_zero(f"s{i}.{k}") for k in ("sum", "avg", "min", "max")},
+            median=or_zero(f"q{i}.q[1]"),
+            p25=or_zero(f"q{i}.q[0]"),
+            p75=or_zero(f"q{i}.q[2]"),
+            std=or_zero(f"s{i}.std"),
+            zeroCount=f"s{i}.zeros",
+            negativeCount=f"s{i}.negatives",
         )
-    return wide.select(F.inline(F.array(*rows)))
+        for i, m in enumerate(metrics)
+    ]
+    return wide.selectExpr(inline_sql(rows))
 
 
 def missingness(stats: DataFrame, over: float = 0.3) -> DataFrame:
     """Fields whose share of missing cells is too high, from the statistics."""
-    return stats.filter(col("nullRate") > over).select("field", "nullCount", "nullRate")
+    return stats.filter(f"nullRate > {over}").select("field", "nullCount", "nullRate")
 
 
 def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -75,51 +73,46 @@ def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     The shuffle key includes the value and equal values are added up before it,
     so neither a long column nor a hot value gathers in one task.
     """
-    require(df, list(fields))
-    cells = [F.struct(F.lit(f).alias("field"), key_text(df, f).alias("value")) for f in fields]
-    return (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("field", "value")
-        .agg(F.count("*").alias("count"))
-    )
+    require(df, fields)
+    cells = [struct_sql(field=text_sql(f), value=key_sql(df, f)) for f in fields]
+    return grouped(df.selectExpr(inline_sql(cells)), ["field", "value"], ["count(*) AS count"])
 
 
-def _ranked(counts: DataFrame, descending: bool, keep: int) -> DataFrame:
+def _ranked(counts: DataFrame, direction: str, keep: int) -> DataFrame:
     """The first values per field. Spark drops the rest before the shuffle."""
-    by_count = col("count").desc() if descending else col("count").asc()
-    place = F.row_number().over(Window.partitionBy("field").orderBy(by_count, col("value").asc()))
-    return counts.filter(col("value") != "").withColumn("rank", place).filter(col("rank") <= keep)
+    place = f"row_number() OVER (PARTITION BY field ORDER BY count {direction}, value)"
+    return counts.filter("value <> ''").withColumn("rank", F.expr(place)).filter(f"rank <= {keep}")
 
 
 def category_totals(counts: DataFrame) -> DataFrame:
     """One row per field: distinct values, missing cells and all cells."""
-    is_value = col("value") != ""
-    return counts.groupBy("field").agg(
-        F.count_if(is_value).alias("distinctCount"),
-        F.coalesce(F.sum(F.when(~is_value, col("count"))), F.lit(0)).alias("nullCount"),
-        F.sum("count").alias("total"),
+    return grouped(
+        counts,
+        ["field"],
+        [
+            "count_if(value <> '') AS distinctCount",
+            "coalesce(sum(CASE WHEN value = '' THEN count END), 0L) AS nullCount",
+            "sum(count) AS total",
+        ],
     )
 
 
 def category_stats(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per field with its counts, long-tail share and cardinality flag."""
     counts = value_counts(df, fields)
-    head = (
-        _ranked(counts, True, LONG_TAIL_HEAD).groupBy("field").agg(F.sum("count").alias("head"))
-    )
-    valid = col("total") - col("nullCount")
-    tail = F.try_divide(valid - F.coalesce(col("head"), F.lit(0)), valid)
+    head = grouped(_ranked(counts, "DESC", LONG_TAIL_HEAD), ["field"], ["sum(count) AS head"])
+    tail = "try_divide(total - nullCount - coalesce(head, 0L), total - nullCount)"
+    # Both sides have one row per field.
     return (
         category_totals(counts)
-        # Both sides have one row per field.
         .join(F.broadcast(head), "field", "left")
-        .select(
+        .selectExpr(
             "field",
             "distinctCount",
             "nullCount",
             "total",
-            F.coalesce(tail, F.lit(1.0)).alias("longTailRate"),
-            (col("distinctCount") <= LOW_CARDINALITY).alias("lowCardinality"),
+            f"coalesce({tail}, 1D) AS longTailRate",
+            f"distinctCount <= {LOW_CARDINALITY} AS lowCardinality",
         )
     )
 
@@ -133,62 +126,58 @@ def category_values(
     """
     counts = value_counts(df, fields)
     totals = F.broadcast(category_totals(counts))
-    parts = [_ranked(counts, True, top).withColumn("side", F.lit("top")).join(totals, "field")]
+    listed = _ranked(counts, "DESC", top).selectExpr("*", "'top' AS side")
     if bottom:
-        parts.append(
-            _ranked(counts, False, bottom)
-            .withColumn("side", F.lit("bottom"))
-            .join(totals, "field")
-            .filter(col("distinctCount") > top)
+        last = _ranked(counts, "ASC", bottom).selectExpr("*", "'bottom' AS side")
+        listed = listed.unionByName(last)
+    return (
+        listed.join(totals, "field")
+        .filter(f"side = 'top' OR distinctCount > {top}")
+        .selectExpr(
+            "field", "side", "rank", "value", "count",
+            "try_divide(double(count), total - nullCount) AS rate",
         )
-    listed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    share = F.try_divide(col("count"), col("total") - col("nullCount"))
-    return listed.select("field", "side", "rank", "value", "count", share.alias("rate"))
-
-
-def _fences(q1: Column, q3: Column) -> list[Column]:
-    reach = (q3 - q1) * FENCE
-    return [(q1 - reach).alias("lowerBound"), (q3 + reach).alias("upperBound")]
+    )
 
 
 def outlier_bounds(
     df: DataFrame, metrics: Sequence[str], quantile_method: str = "auto"
 ) -> DataFrame:
     """One row per metric: quartiles and fences; 0 below eight values."""
-    inputs = {f"x{i}": number(df, m) for i, m in enumerate(metrics)}
-    wide = quantiles(df, [], inputs, [0.25, 0.75], quantile_method)
-    rows = []
-    for i, m in enumerate(metrics):
-        n, q = col(f"x{i}")["n"], col(f"x{i}")["q"]
-        enough = n >= MIN_SAMPLES
-        q1, q3 = F.when(enough, q[0]).otherwise(0.0), F.when(enough, q[1]).otherwise(0.0)
-        rows.append(
-            F.struct(
-                F.lit(m).alias("field"),
-                enough.alias("detected"),
-                n.alias("sampleSize"),
-                q1.alias("q1"),
-                q3.alias("q3"),
-                (q3 - q1).alias("iqr"),
-                *_fences(q1, q3),
-            )
+    base = df.selectExpr(*[f"{number_sql(df, m)} AS v{i}" for i, m in enumerate(metrics)])
+    inputs = {f"x{i}": f"v{i}" for i in range(len(metrics))}
+    wide = quantiles(base, [], inputs, [0.25, 0.75], quantile_method)
+    rows = [
+        struct_sql(
+            field=text_sql(m),
+            detected=f"x{i}.n >= {MIN_SAMPLES}",
+            sampleSize=f"x{i}.n",
+            q1=f"CASE WHEN x{i}.n >= {MIN_SAMPLES} THEN x{i}.q[0] ELSE 0D END",
+            q3=f"CASE WHEN x{i}.n >= {MIN_SAMPLES} THEN x{i}.q[1] ELSE 0D END",
         )
-    return wide.select(F.inline(F.array(*rows)))
+        for i, m in enumerate(metrics)
+    ]
+    return wide.selectExpr(inline_sql(rows)).selectExpr(
+        "*",
+        "q3 - q1 AS iqr",
+        f"q1 - (q3 - q1) * {FENCE}D AS lowerBound",
+        f"q3 + (q3 - q1) * {FENCE}D AS upperBound",
+    )
 
 
-def _outside(df: DataFrame, metrics: Sequence[str], bounds: DataFrame, keep: Sequence[Column] = ()):
+def _outside(
+    df: DataFrame, metrics: Sequence[str], bounds: DataFrame, keep: Sequence[str] = ()
+) -> DataFrame:
     """Values outside the fences in long form, tested against one row per metric."""
-    cells = [
-        F.struct(F.lit(m).alias("field"), number(df, m).alias("value")) for m in metrics
-    ]
-    values = df.select(*keep, F.inline(F.array(*cells))).filter(col("value").isNotNull())
-    direction = F.when(col("value") < col("lowerBound"), "lower").when(
-        col("value") > col("upperBound"), "upper"
+    cells = [struct_sql(field=text_sql(m), value=number_sql(df, m)) for m in metrics]
+    direction = (
+        "CASE WHEN value < lowerBound THEN 'lower' WHEN value > upperBound THEN 'upper' END"
     )
     return (
-        values.join(F.broadcast(bounds.filter("detected")), "field")
-        .withColumn("direction", direction)
-        .filter(col("direction").isNotNull())
+        df.selectExpr(*keep, inline_sql(cells))
+        .join(F.broadcast(bounds.filter("detected")), "field")
+        .selectExpr("*", f"{direction} AS direction")
+        .filter("direction IS NOT NULL")
     )
 
 
@@ -197,7 +186,7 @@ def outliers(
 ) -> DataFrame:
     """Bounds per metric and how many values lie strictly outside them."""
     bounds = outlier_bounds(df, metrics, quantile_method)
-    found = _outside(df, metrics, bounds).groupBy("field").agg(F.count("*").alias("outlierCount"))
+    found = grouped(_outside(df, metrics, bounds), ["field"], ["count(*) AS outlierCount"])
     return bounds.join(F.broadcast(found), "field", "left").na.fill(0, ["outlierCount"])
 
 
@@ -209,41 +198,41 @@ def outlier_samples(
     quantile_method: str = "auto",
 ) -> DataFrame:
     """The first ``k`` outliers of each metric in row order."""
-    require(df, list(order_by))
-    keep = [col(c).alias(f"_at_{i}") for i, c in enumerate(order_by)]
+    require(df, order_by)
+    order = [f"_at_{i}" for i in range(len(order_by))]
+    keep = [f"{quoted(c)} AS {o}" for c, o in zip(order_by, order)]
     found = _outside(df, metrics, outlier_bounds(df, metrics, quantile_method), keep)
-    order = [col(f"_at_{i}") for i in range(len(order_by))]
-    place = F.row_number().over(Window.partitionBy("field").orderBy(*order))
+    place = f"row_number() OVER (PARTITION BY field ORDER BY {', '.join(order)})"
     return (
-        found.withColumn("rank", place)
-        .filter(col("rank") <= k)
-        .select(
-            "field",
-            "rank",
-            "value",
-            "direction",
-            *[o.alias(c) for o, c in zip(order, order_by)],
+        found.withColumn("rank", F.expr(place))
+        .filter(f"rank <= {k}")
+        .selectExpr(
+            "field", "rank", "value", "direction",
+            *[f"{o} AS {quoted(c)}" for o, c in zip(order, order_by)],
         )
     )
 
 
-def date_stats(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
-    """One row per date field: first and last day, and how many different days."""
+def date_stats(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """One row per date field: first and last day, and how many different days.
+
+    ``fields`` maps a name to the SQL text of its date.
+    """
+    parts = {"min": "min({0})", "max": "max({0})", "distinctDays": "count(DISTINCT {0})"}
     wide = df.agg(
         *[
-            F.struct(
-                F.min(d).alias("min"), F.max(d).alias("max"), F.count_distinct(d).alias("distinctDays")
-            ).alias(f"d{i}")
+            F.expr(f"{sql.format(f'({d})')} AS d{i}_{k}")
             for i, d in enumerate(fields.values())
+            for k, sql in parts.items()
         ]
     )
     rows = [
-        F.struct(
-            F.lit(name).alias("field"),
-            *[col(f"d{i}")[k].cast("string").alias(k) for k in ("min", "max")],
-            col(f"d{i}")["distinctDays"].alias("distinctDays"),
+        struct_sql(
+            field=text_sql(name),
+            min=f"string(d{i}_min)",
+            max=f"string(d{i}_max)",
+            distinctDays=f"d{i}_distinctDays",
         )
         for i, name in enumerate(fields)
     ]
-    return wide.select(F.inline(F.array(*rows)))
-
+    return wide.selectExpr(inline_sql(rows))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright import operators as ops
-from tabwright.columns import col, missing, number
+from tabwright.columns import col, missing_sql, number_sql
 from tabwright.fields import FieldSpec, check_aggregation
 from tabwright.functions.formula import compile_formula
 from tabwright.functions.predicates import apply_filters
@@ -120,16 +120,15 @@ def sample_size(df: DataFrame, task: Mapping[str, Any]) -> DataFrame:
     """One row ``sampleSize``: rows after the filter, or the values that counted."""
     kept = apply_filters(df, task.get("filters"))
     name, metrics = task["operator"], list(task.get("metrics") or [])
+    counted = "count(*)"
     if name == "correlation":
-        pair = [number(kept, m).isNotNull() for m in metrics[:2]]
-        counted = F.count_if(pair[0] & pair[1])
+        pair = [f"({number_sql(kept, m)}) IS NOT NULL" for m in metrics[:2]]
+        counted = f"count_if({' AND '.join(pair)})"
     elif name == "anomaly":
-        counted = F.count(number(kept, metrics[0]))
+        counted = f"count({number_sql(kept, metrics[0])})"
     elif name == "distribution":
-        counted = F.count_if(~missing(kept, task["dimensions"][0]))
-    else:
-        counted = F.count("*")
-    return kept.agg(counted.alias("sampleSize"))
+        counted = f"count_if(NOT {missing_sql(kept, task['dimensions'][0])})"
+    return kept.agg(F.expr(f"{counted} AS sampleSize"))
 
 
 def null_count(df: DataFrame, task: Mapping[str, Any]) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabwright.columns import col, group_key, key_text, missing, number
+from tabwright.columns import (
+    group_key, inline_sql, key_sql, missing_sql, number_sql, struct_sql, text_sql,
+)
 from tabwright.fields import FieldSpec, resolve_aggregation
-from tabwright.functions import aggregates
-from tabwright.functions.dates import bucket_label, bucket_start, read_date
+from tabwright.functions.dates import bucket_sql, date_sql, label_sql
+from tabwright.plans.infer import grouped
 
 DAILY_SPAN, WEEKLY_SPAN = 31, 365
 TOP_GROUPS = 10
@@ -21,32 +22,34 @@ WARNING_WORDS = [
 ]
 
 
-def _metric_parts(metrics: Sequence[FieldSpec], inputs: Sequence[str]) -> list[Column]:
+def _metric_parts(metrics: Sequence[FieldSpec], inputs: Sequence[str]) -> list[str]:
     """Per metric the parts every aggregate is made of; parts of parts add up."""
     return [
-        F.struct(
-            F.lit(m.name).alias("field"),
-            F.lit(resolve_aggregation(m)).alias("how"),
-            F.count(col(x)).alias("n"),
-            F.sum(col(x)).alias("total"),
-            F.min(col(x)).alias("low"),
-            F.max(col(x)).alias("high"),
-        ).alias(f"_part_{i}")
-        for i, (m, x) in enumerate(zip(metrics, inputs))
+        struct_sql(
+            field=text_sql(m.name),
+            how=f"'{resolve_aggregation(m)}'",
+            n=f"count({x})",
+            total=f"sum({x})",
+            low=f"min({x})",
+            high=f"max({x})",
+        )
+        + f" AS _part{x}"
+        for m, x in zip(metrics, inputs)
     ]
 
 
-def _parts_value(n: Column, total: Column, low: Column, high: Column) -> Column:
-    how = col("how")
+def _value_sql(n: str, total: str, low: str, high: str) -> str:
     return (
-        F.when(how == "count", n.cast("double"))
-        .when(how == "avg", total / n)
-        .when(how == "min", low)
-        .when(how == "max", high)
-        .otherwise(total)
+        f"CASE how WHEN 'count' THEN double({n}) WHEN 'avg' THEN {total} / {n} "
+        f"WHEN 'min' THEN {low} WHEN 'max' THEN {high} ELSE {total} END"
     )
 
 
+def _inputs(df: DataFrame, metrics: Sequence[FieldSpec]) -> tuple[list[str], list[str]]:
+    names = [f"_x{i}" for i in range(len(metrics))]
+    return names, [f"{number_sql(df, m.name)} AS {x}" for m, x in zip(metrics, names)]
+
+
 def trends(
     df: DataFrame, time: str, metrics: Sequence[FieldSpec], grain: str | None = None
 ) -> DataFrame:
@@ -56,41 +59,37 @@ def trends(
     each metric gets day, week or month by the span of days it has. Rows without
     the metric do not count.
     """
-    inputs = [f"_x{i}" for i in range(len(metrics))]
-    rows = df.select(
-        read_date(df, time).alias("day"),
-        *[number(df, m.name).alias(x) for m, x in zip(metrics, inputs)],
-    ).filter(col("day").isNotNull())
-    parts = [f"_part_{i}" for i in range(len(metrics))]
+    names, inputs = _inputs(df, metrics)
+    rows = df.selectExpr(f"{date_sql(df, time)} AS day", *inputs).filter("day IS NOT NULL")
     daily = (
-        rows.groupBy("day")
-        .agg(*_metric_parts(metrics, inputs))
-        .select("day", F.inline(F.array(*parts)))
+        grouped(rows, ["day"], _metric_parts(metrics, names))
+        .selectExpr("day", inline_sql([f"_part{x}" for x in names]))
         .filter("n > 0")
     )
     if grain is None:
         # The window sees one row per day and metric.
-        per_field = Window.partitionBy("field")
-        span = F.datediff(F.max("day").over(per_field), F.min("day").over(per_field))
+        span = "datediff(max(day) OVER (PARTITION BY field), min(day) OVER (PARTITION BY field))"
+        daily = daily.selectExpr("*", f"{span} AS span")
         chosen = (
-            F.when(span <= DAILY_SPAN, "day").when(span <= WEEKLY_SPAN, "week").otherwise("month")
+            f"CASE WHEN span <= {DAILY_SPAN} THEN 'day' "
+            f"WHEN span <= {WEEKLY_SPAN} THEN 'week' ELSE 'month' END"
         )
         grains = ["day", "week", "month"]
     else:
-        chosen, grains = F.lit(grain), [grain]
-    dated = daily.withColumn("grain", chosen)
-    start = F.coalesce(
-        *[F.when(col("grain") == g, bucket_start(col("day"), g)) for g in grains]
-    )
-    label = F.coalesce(
-        *[F.when(col("grain") == g, bucket_label(col("start"), g)) for g in grains]
+        chosen, grains = f"'{grain}'", [grain]
+
+    def by_grain(sql, column: str) -> str:
+        return "CASE grain " + " ".join(f"WHEN '{g}' THEN {sql(column, g)}" for g in grains) + " END"
+
+    dated = daily.selectExpr("*", f"{chosen} AS grain").selectExpr(
+        "*", f"{by_grain(bucket_sql, 'day')} AS start"
     )
-    value = _parts_value(F.sum("n"), F.sum("total"), F.min("low"), F.max("high"))
+    value = _value_sql("sum(n)", "sum(total)", "min(low)", "max(high)")
     return (
-        dated.withColumn("start", start)
-        .groupBy("field", "how", "grain", "start")
-        .agg(value.alias("value"), F.sum("n").alias("count"))
-        .select("field", "grain", label.alias("label"), "value", "count")
+        grouped(
+            dated, ["field", "how", "grain", "start"], [f"{value} AS value", "sum(n) AS count"]
+        )
+        .selectExpr("field", "grain", f"{by_grain(label_sql, 'start')} AS label", "value", "count")
         .orderBy("field", "label")
     )
 
@@ -100,20 +99,24 @@ def trend_changes(points: DataFrame) -> DataFrame:
 
     The change needs two periods; the rate also a first value other than 0.
     """
-    ends = points.groupBy("field", "grain").agg(
-        F.min_by("value", "label").alias("first"),
-        F.max_by("value", "label").alias("last"),
-        F.count("*").alias("periods"),
-        F.sum("count").alias("sampleSize"),
+    ends = grouped(
+        points,
+        ["field", "grain"],
+        [
+            "min_by(value, label) AS first",
+            "max_by(value, label) AS last",
+            "count(*) AS periods",
+            "sum(count) AS sampleSize",
+        ],
     )
-    change = F.when(col("periods") >= 2, col("last") - col("first"))
-    return ends.select(
+    change = "CASE WHEN periods >= 2 THEN last - first END"
+    return ends.selectExpr(
         "field",
         "grain",
         "first",
         "last",
-        change.alias("absoluteChange"),
-        F.try_divide(change, F.abs("first")).alias("changeRate"),
+        f"{change} AS absoluteChange",
+        f"try_divide({change}, abs(first)) AS changeRate",
         "periods",
         "sampleSize",
     )
@@ -125,83 +128,81 @@ def comparisons(df: DataFrame, dimension: str, metrics: Sequence[FieldSpec]) ->
     Rows without a label, or without the metric, do not count.
     """
     key = group_key(df, dimension)
-    inputs = [f"_x{i}" for i in range(len(metrics))]
-    parts = [f"_part_{i}" for i in range(len(metrics))]
-    value = _parts_value(col("n"), col("total"), col("low"), col("high"))
+    names, inputs = _inputs(df, metrics)
+    rows = df.filter(f"NOT {missing_sql(df, dimension)}").selectExpr(f"{key.group} AS _key", *inputs)
     return (
-        df.filter(~missing(df, dimension))
-        .select(
-            key.group.alias("_key"),
-            *[number(df, m.name).alias(x) for m, x in zip(metrics, inputs)],
-        )
-        .groupBy("_key")
-        .agg(*_metric_parts(metrics, inputs))
-        .select("_key", F.inline(F.array(*parts)))
+        grouped(rows, ["_key"], _metric_parts(metrics, names))
+        .selectExpr("_key", inline_sql([f"_part{x}" for x in names]))
         .filter("n > 0")
-        .select(
-            "field", key.text(col("_key")).alias("label"), value.alias("value"), col("n").alias("count")
+        .selectExpr(
+            "field",
+            f"{key.text('_key')} AS label",
+            f"{_value_sql('n', 'total', 'low', 'high')} AS value",
+            "n AS count",
         )
     )
 
 
 def top_groups(groups: DataFrame, n: int = TOP_GROUPS) -> DataFrame:
     """The first groups of each metric by value; Spark cuts before the shuffle."""
-    order = Window.partitionBy("field").orderBy(col("value").desc(), col("label").asc())
-    ranked = groups.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(col("rank") <= n).select("field", "rank", "label", "value", "count")
+    place = "row_number() OVER (PARTITION BY field ORDER BY value DESC, label)"
+    ranked = groups.withColumn("rank", F.expr(place)).filter(f"rank <= {n}")
+    return ranked.select("field", "rank", "label", "value", "count")
 
 
 def group_gaps(top: DataFrame) -> DataFrame:
-    """Per metric: best group, last of the listed ones, and how many times apart."""
-    group = F.struct("label", "value")
-    ends = top.groupBy("field").agg(
-        F.min_by(group, "rank").alias("top"), F.max_by(group, "rank").alias("bottom")
+    """Per metric: best group, last of the listed ones, and how many times apart.
+
+    Groups of equal value are not apart, nor is a group from itself.
+    """
+    ends = grouped(
+        top,
+        ["field"],
+        [
+            "min_by(struct(label, value), rank) AS top",
+            "max_by(struct(label, value), rank) AS bottom",
+        ],
     )
-    # Groups of equal value are not apart, nor is a group from itself.
-    best, last = col("top"), col("bottom")
-    ratio = F.try_divide(best["value"], F.abs(last["value"]))
-    return ends.select(
+    return ends.selectExpr(
         "field",
-        best["label"].alias("topLabel"),
-        best["value"].alias("topValue"),
-        last["label"].alias("bottomLabel"),
-        last["value"].alias("bottomValue"),
-        F.when(best["value"] != last["value"], ratio).alias("ratio"),
+        "top.label AS topLabel",
+        "top.value AS topValue",
+        "bottom.label AS bottomLabel",
+        "bottom.value AS bottomValue",
+        "CASE WHEN top.value <> bottom.value "
+        "THEN try_divide(top.value, abs(bottom.value)) END AS ratio",
     )
 
 
-def is_warning(text: Column, words: Sequence[str] | None = None) -> Column:
+def is_warning_sql(text: str, words: Sequence[str] | None = None) -> str:
     """True where a status text contains a warning word, in any letter case."""
-    lowered, found = F.lower(text), F.lit(False)
-    for word in words or WARNING_WORDS:
-        found = found | lowered.contains(word.lower())
-    return found
+    found = [f"contains(lower({text}), {text_sql(w.lower())})" for w in words or WARNING_WORDS]
+    return "(" + " OR ".join(found) + ")"
 
 
 def status_summary(
     df: DataFrame, status: str, metric: str | None = None, words: Sequence[str] | None = None
 ) -> DataFrame:
     """One row: warnings among the rows with a status, and the metric's mean on both sides."""
-    x = number(df, metric) if metric else F.lit(None).cast("double")
-    rows = df.filter(~missing(df, status)).select(
-        is_warning(key_text(df, status), words).alias("_warn"), x.alias("_x")
+    x = number_sql(df, metric) if metric else "cast(NULL AS DOUBLE)"
+    rows = df.filter(f"NOT {missing_sql(df, status)}").selectExpr(
+        f"{is_warning_sql(key_sql(df, status), words)} AS warn", f"{x} AS x"
     )
-    warn = col("_warn")
     found = rows.agg(
-        F.count("*").alias("total"),
-        F.count_if(warn).alias("warnCount"),
-        F.avg(F.when(warn, col("_x"))).alias("_warned"),
-        F.avg(F.when(~warn, col("_x"))).alias("_normal"),
-        F.count("_x").alias("_measured"),
+        F.expr("count(*) AS total"),
+        F.expr("count_if(warn) AS warnCount"),
+        F.expr("coalesce(avg(CASE WHEN warn THEN x END), 0D) AS warned"),
+        F.expr("coalesce(avg(CASE WHEN NOT warn THEN x END), 0D) AS normal"),
+        F.expr("count(x) AS measured"),
     )
-    side = [F.when(col("_measured") > 0, F.coalesce(col(c), F.lit(0.0))) for c in ("_warned", "_normal")]
-    return found.select(
-        F.lit(status).alias("field"),
+    name = text_sql(metric) if metric else "cast(NULL AS STRING)"
+    return found.selectExpr(
+        f"{text_sql(status)} AS field",
         "total",
         "warnCount",
-        aggregates.zero_if_empty(F.try_divide(col("warnCount"), col("total"))).alias("warnRate"),
-        F.lit(metric).alias("metric"),
-        side[0].alias("warnAvg"),
-        side[1].alias("normalAvg"),
-        (side[0] - side[1]).alias("diff"),
+        "coalesce(try_divide(warnCount, total), 0D) AS warnRate",
+        f"{name} AS metric",
+        "CASE WHEN measured > 0 THEN warned END AS warnAvg",
+        "CASE WHEN measured > 0 THEN normal END AS normalAvg",
+        "CASE WHEN measured > 0 THEN warned - normal END AS diff",
     )

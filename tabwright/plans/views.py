@@ -8,9 +8,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, key_text, kind, missing, number, require
+from tabwright.columns import (
+    col, inline_sql, key_sql, kind, missing_sql, number_sql, quoted, require, struct_sql, text_sql,
+)
 from tabwright.fields import FieldSpec, resolve_aggregation, split_roles
 from tabwright.operators.pivot import pivot_values
+from tabwright.plans.infer import grouped
 from tabwright.plans.stats import category_totals, value_counts
 from tabwright.sources.tables import preview
 
@@ -45,49 +48,45 @@ def series_matrix(df: DataFrame, view: View) -> DataFrame:
         raise ValueError(f"a view cannot be aggregated by {view.aggregation!r}")
     counting = view.aggregation == "count" or view.y == COUNT
     require(df, [view.x] + ([view.group] if view.group else []))
+    group = text_sql(ALL)
     if view.group:
         # Only an absent group is named; an empty text stays an empty text.
-        group = F.when(col(view.group).isNull(), OTHER).otherwise(key_text(df, view.group))
-    else:
-        group = F.lit(ALL)
-    value = F.lit(1.0) if counting else number(df, view.y)
-    rows = df.filter(~missing(df, view.x)).select(
-        key_text(df, view.x).alias("x"), group.alias("series"), value.alias("v")
+        g = quoted(view.group)
+        group = f"CASE WHEN {g} IS NULL THEN {text_sql(OTHER)} ELSE {key_sql(df, view.group)} END"
+    value = "1D" if counting else number_sql(df, view.y)
+    rows = df.filter(f"NOT {missing_sql(df, view.x)}").selectExpr(
+        f"{key_sql(df, view.x)} AS x", f"{group} AS series", f"{value} AS v"
     )
     how = "count" if counting else view.aggregation
-    reduce = {"sum": F.sum, "avg": F.avg, "count": F.count, "max": F.max, "min": F.min}[how]
-    cells = rows.groupBy("x", "series").agg(
-        F.coalesce(reduce("v").cast("double"), F.lit(0.0)).alias("value")
-    )
-    if view.type not in LINE_TYPES:
-        totals = cells.groupBy("x").agg(F.sum("value").alias("total"))
+    cells = grouped(rows, ["x", "series"], [f"coalesce(double({how}(v)), 0D) AS value"])
+    if view.type in LINE_TYPES:
+        order, cells = [col("x").asc()], cells.selectExpr("*", "0D AS total")
+    else:
+        totals = grouped(cells, ["x"], ["sum(value) AS total"])
         order = [col("total").desc(), col("x").asc()]
         if view.limit and view.type in CUT_TYPES:
             # A top-k of few rows, so the join can broadcast it.
             totals = F.broadcast(totals.orderBy(*order).limit(view.limit))
         cells = cells.join(totals, "x")
-    else:
-        order, cells = [col("x").asc()], cells.withColumn("total", F.lit(0.0))
     # Pivoting and unpivoting fills the grid without pairing x with series.
     names = pivot_values(rows, "series") if view.group else [ALL]
     wide = cells.groupBy("x", "total").pivot("series", names).agg(F.first("value"))
-    columns = [F.coalesce(col(n), F.lit(0.0)).alias(n) for n in names]
-    cell = [F.struct(F.lit(n).alias("series"), c.alias("value")) for n, c in zip(names, columns)]
-    grid = wide.select("x", "total", F.inline(F.array(*cell)))
+    filled = [struct_sql(series=text_sql(n), value=f"coalesce({quoted(n)}, 0D)") for n in names]
+    grid = wide.selectExpr("x", "total", inline_sql(filled))
     return grid.orderBy(*order, col("series")).select("x", "series", "value")
 
 
 def heatmap(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
     """Cells of an aggregated result; anything but a number is 0."""
-    v = number(df, value) if kind(df, value) == "number" else F.lit(0.0)
-    return df.select(
-        key_text(df, x).alias("x"), key_text(df, y).alias("y"), F.coalesce(v, F.lit(0.0)).alias("value")
+    v = number_sql(df, value) if kind(df, value) == "number" else "0D"
+    return df.selectExpr(
+        f"{key_sql(df, x)} AS x", f"{key_sql(df, y)} AS y", f"coalesce({v}, 0D) AS value"
     )
 
 
 def heatmap_max(cells: DataFrame) -> DataFrame:
     """One row: the top of the color scale, never below 0."""
-    return cells.agg(F.greatest(F.coalesce(F.max("value"), F.lit(0.0)), F.lit(0.0)).alias("max"))
+    return cells.agg(F.expr("greatest(coalesce(max(value), 0D), 0D) AS max"))
 
 
 def scatter(df: DataFrame, x: str | None = None, y: str | None = None) -> DataFrame:
@@ -97,7 +96,7 @@ def scatter(df: DataFrame, x: str | None = None, y: str | None = None) -> DataFr
         if len(numbers) < 2:
             raise ValueError("a scatter view needs two number columns")
         x, y = x or numbers[0], y or numbers[1]
-    return df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna()
+    return df.selectExpr(f"{number_sql(df, x)} AS x", f"{number_sql(df, y)} AS y").dropna()
 
 
 def kpi(rows: DataFrame, metric: str, scalar: DataFrame | None = None) -> DataFrame:
@@ -203,8 +202,3 @@ def view_data(df: DataFrame, view: View, order_by: Sequence[str] = ()) -> DataFr
         return scatter(df, view.x, view.y)
     return series_matrix(df, view)
 
-
-__all__ = [
-    "View", "check_view", "heatmap", "heatmap_max", "kpi", "recommend", "scatter",
-    "series_matrix", "usable_views", "view_data",
-]

@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Below this, every distinct value of the input fits one task's memory.
 SMALL_INPUT_BYTES = 128 * 1024 * 1024
@@ -41,11 +40,3 @@ def materialize(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side really is short.
-
-    Meant for sides derived from materialized tables, where the count is cheap;
-    beyond the bound the join shuffles and adaptive execution splits hot keys.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
