@@ -8,7 +8,9 @@ name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.columns import finite_sql, list_sql, quoted, strip_sql, text_sql
@@ -42,21 +44,60 @@ def _currency_sql(s: str) -> str:
     return f"(substring({s}, 1, 1) IN ({list_sql(CURRENCY_SIGNS)}))"
 
 
-def number_of_sql(s: str) -> str:
-    """Number in a trimmed text.
+def _digits_sql(s: str) -> str:
+    """The digits of a number in a trimmed text.
 
     The kinds exclude each other by their first or last character, so one chain
-    picks the digits and one cast reads them. A sign alone counts as zero; an
-    amount never ends in a percent sign.
+    decides. A sign alone counts as zero; an amount never ends in a percent sign.
     """
-    percent, currency = _percent_sql(s), _currency_sql(s)
     rest = f"regexp_replace(regexp_replace({s}, {text_sql(SIGNED_NOISE)}, ''), '^$', '0')"
-    digits = (
-        f"CASE WHEN {percent} <> {currency} THEN regexp_extract({rest}, {text_sql(LOOSE_NUMBER)}, 1) "
+    return (
+        f"CASE WHEN {_percent_sql(s)} <> {_currency_sql(s)} "
+        f"THEN regexp_extract({rest}, {text_sql(LOOSE_NUMBER)}, 1) "
         f"WHEN {s} RLIKE {text_sql(UNSIGNED)} THEN translate({s}, ',，', '') END"
     )
-    return finite_sql(
-        f"(try_cast({digits} AS DOUBLE) / CASE WHEN {percent} THEN 100D ELSE 1D END)"
+
+
+def _value_sql(digits: str, s: str) -> str:
+    scale = f"CASE WHEN {_percent_sql(s)} THEN 100D ELSE 1D END"
+    return f"(try_cast({digits} AS DOUBLE) / {scale})"
+
+
+def number_of_sql(s: str) -> str:
+    """Number in a trimmed text; NULL when there is none."""
+    return finite_sql(_value_sql(_digits_sql(s), s))
+
+
+def with_cells(
+    df: DataFrame,
+    numbers: Mapping[str, str] | None = None,
+    dates: Mapping[str, str] | None = None,
+    booleans: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Add columns read from texts; each mapping goes from a new name to SQL text.
+
+    The steps of a read are projections on top of each other, so that no step's
+    text is repeated inside the next and the generated code stays short however
+    many columns are read.
+    """
+    numbers, dates, booleans = dict(numbers or {}), dict(dates or {}), dict(booleans or {})
+    texts = [*numbers.values(), *dates.values(), *booleans.values()]
+    trimmed = [f"_trimmed_{i}" for i in range(len(texts))]
+    step = df.selectExpr("*", *[f"{strip_sql(t)} AS {n}" for t, n in zip(texts, trimmed)])
+    of_numbers = trimmed[: len(numbers)]
+    of_dates = trimmed[len(numbers) : len(numbers) + len(dates)]
+    of_booleans = trimmed[len(numbers) + len(dates) :]
+    step = step.selectExpr(
+        "*",
+        *[f"{_digits_sql(s)} AS _digits{s}" for s in of_numbers],
+        *[f"{date_of_sql(s)} AS {quoted(n)}" for n, s in zip(dates, of_dates)],
+        *[f"{boolean_of_sql(s)} AS {quoted(n)}" for n, s in zip(booleans, of_booleans)],
+    )
+    step = step.selectExpr("*", *[f"{_value_sql(f'_digits{s}', s)} AS _value{s}" for s in of_numbers])
+    return step.selectExpr(
+        *[quoted(c) for c in df.columns],
+        *[f"{finite_sql(f'_value{s}')} AS {quoted(n)}" for n, s in zip(numbers, of_numbers)],
+        *[quoted(n) for n in (*dates, *booleans)],
     )
 
 

@@ -12,13 +12,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.columns import (
-    inline_sql, key_sql, kind, literal_rows, missing_sql, number_sql, quoted, strip_sql,
+    dtype, inline_sql, key_sql, kind, literal_rows, missing_sql, number_sql, quoted, strip_sql,
     struct_sql, text_sql,
 )
 from tabwright.fields import FieldSpec, default_aggregation, infer_role
-from tabwright.functions.cells import date_of_sql, format_of_sql, is_boolean_sql, number_of_sql
+from tabwright.functions.cells import format_of_sql, is_boolean_sql, with_cells
 from tabwright.sources.tables import ROW_ID, rows_at
 
 VOTES = ("boolean", "number", "date", "string")
@@ -45,30 +46,36 @@ def sampled_rows(df: DataFrame, rows: int = SAMPLE_ROWS, row_id: str = ROW_ID) -
 
 
 def _cell_sql(df: DataFrame, name: str) -> str:
-    """A cell in long form: its text, or the vote that needs no reading.
-
-    A text longer than any number and with other characters is a string for
-    sure; it is represented by its SHA-256, so that long texts are not shuffled.
-    """
-    have, c, absent = kind(df, name), quoted(name), missing_sql(df, name)
-    text, value = key_sql(df, name), "cast(NULL AS DOUBLE)"
-    known = f"CASE WHEN {absent} THEN 'none' ELSE '{have}' END"
-    if have == "string":
-        long_text = f"(length({text}) > {LONG_TEXT} AND NOT {text} RLIKE {text_sql(NUMBER_CHARACTERS)})"
-        known = (
-            f"CASE WHEN {absent} THEN 'none' WHEN {is_boolean_sql(text)} THEN 'boolean' "
-            f"WHEN {long_text} THEN 'string' END"
-        )
-        text = f"CASE WHEN {long_text} THEN sha2({text}, 256) ELSE {text} END"
-    elif have == "number":
+    """A cell in long form: its text, or the vote that its type implies."""
+    have = kind(df, name)
+    text, known, value = quoted(name), "cast(NULL AS STRING)", "cast(NULL AS DOUBLE)"
+    if have == "number":
         text, value = "cast(NULL AS STRING)", number_sql(df, name)
-        known = f"CASE WHEN {absent} OR ({value}) IS NULL THEN 'none' ELSE 'number' END"
+        known = f"CASE WHEN ({value}) IS NULL THEN 'none' ELSE 'number' END"
+    elif have != "string" or not isinstance(dtype(df, name), T.StringType):
+        text = key_sql(df, name)
+        known = f"CASE WHEN {missing_sql(df, name)} THEN 'none' ELSE '{have}' END"
     return struct_sql(field=text_sql(name), text=text, known=known, value=value)
 
 
 def long_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per cell, so that the reading code is compiled once, not per column."""
-    return df.selectExpr(inline_sql([_cell_sql(df, f) for f in fields]))
+    """One row per cell, so that the reading code is compiled once, not per column.
+
+    A text longer than any number and with other characters is a string for
+    sure; it is represented by its SHA-256, so that long texts are not shuffled.
+    """
+    cells = df.selectExpr(inline_sql([_cell_sql(df, f) for f in fields]))
+    long_text = f"(length(text) > {LONG_TEXT} AND NOT text RLIKE {text_sql(NUMBER_CHARACTERS)})"
+    known = (
+        "CASE WHEN known IS NOT NULL THEN known WHEN text IS NULL OR text = '' THEN 'none' "
+        f"WHEN {is_boolean_sql('text')} THEN 'boolean' WHEN is_long THEN 'string' END"
+    )
+    return cells.selectExpr("*", f"known IS NULL AND {long_text} AS is_long").selectExpr(
+        "field",
+        "CASE WHEN is_long THEN sha2(text, 256) ELSE coalesce(text, '') END AS text",
+        f"{known} AS known",
+        "value",
+    )
 
 
 def distinct_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -83,20 +90,16 @@ def distinct_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def read_cells(cells: DataFrame) -> DataFrame:
     """Add ``vote`` and, for numbers, ``value`` and ``tag``; for dates ``date``."""
-    kept = [c for c in cells.columns if c not in ("value",)]
-    read = cells.selectExpr("*", f"{strip_sql('text')} AS trimmed").selectExpr(
-        *kept,
-        "trimmed",
-        f"CASE WHEN known IS NULL THEN {number_of_sql('trimmed')} ELSE value END AS value",
-        f"CASE WHEN known IS NULL THEN {date_of_sql('trimmed')} END AS date",
-    )
-    voted = read.selectExpr(
+    unread = "CASE WHEN known IS NULL THEN text END"
+    read = with_cells(cells, numbers={"read_value": unread}, dates={"date": unread})
+    voted = read.withColumn("value", F.expr("coalesce(value, read_value)")).drop("read_value")
+    voted = voted.selectExpr(
         "*",
         "coalesce(known, CASE WHEN value IS NOT NULL THEN 'number' "
         "WHEN date IS NOT NULL THEN 'date' ELSE 'string' END) AS vote",
     )
     # A number column has no text: its tag follows from the value alone.
-    tag = format_of_sql("coalesce(trimmed, '')", "value")
+    tag = format_of_sql(strip_sql("text"), "value")
     return voted.selectExpr("*", f"CASE WHEN vote = 'number' THEN {tag} END AS tag")
 
 
@@ -198,7 +201,7 @@ def _profile(
     """
     if approx_distinct:
         cells, n = long_cells(df, fields), "1L"
-        identity = "CASE WHEN vote <> 'none' THEN coalesce(text, string(value)) END"
+        identity = "CASE WHEN vote <> 'none' THEN coalesce(string(value), text) END"
         distinct = f"approx_count_distinct({identity})"
     else:
         cells, n, distinct = distinct_cells(df, fields), "n", "count_if(vote <> 'none')"

@@ -12,6 +12,7 @@ from tabwright.columns import text_sql
 from tabwright.fields import FieldSpec, split_roles
 from tabwright.plans import stats, trends
 from tabwright.plans.quality import duplicate_rows
+from tabwright.scale import pin
 
 MISSING_OVER = 0.3
 LONG_TAIL_OVER, LONG_TAIL_VALUES = 0.5, 5
@@ -67,7 +68,8 @@ def report(
     Roles decide what is computed: statistics and outliers of the metrics,
     values of the categories, trends over the time field, groups of the first
     dimension, warnings in the status fields, and ``insights`` over all of it.
-    Only the number of groups is looked up now; the rest is lazy.
+    The statistics and the number of groups are looked up now, one row per field;
+    the rest is lazy.
     """
     roles = split_roles(list(specs))
     metrics = [m.name for m in roles.metrics]
@@ -75,8 +77,8 @@ def report(
     facts: list[DataFrame] = []
 
     if metrics:
-        out["stats"] = stats.numeric_stats(df, metrics, quantile_method)
-        out["outliers"] = stats.outliers(df, metrics, quantile_method)
+        out["stats"] = pin(stats.numeric_stats(df, metrics, quantile_method))
+        out["outliers"] = stats.outliers_beyond(df, metrics, stats.bounds_of(out["stats"]))
         facts += _metric_insights(out["stats"], out["outliers"])
 
     lead = roles.dimension.name if roles.dimension else None

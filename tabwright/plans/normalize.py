@@ -11,40 +11,54 @@ from tabwright.columns import (
     struct_sql, text_sql,
 )
 from tabwright.fields import FieldSpec
-from tabwright.functions.cells import boolean_of_sql, date_of_sql, number_of_sql
+from tabwright.functions.cells import with_cells
 from tabwright.plans.infer import every_field, grouped
 
 
-def normalized_sql(df: DataFrame, spec: FieldSpec) -> str:
-    """The cell under its final type; what cannot be read is NULL."""
+def _reads_text(df: DataFrame, spec: FieldSpec) -> bool:
+    return (
+        spec.type != "string"
+        and spec.role != "ignored"
+        and kind(df, spec.name) != spec.type
+        and not (spec.type == "number" and kind(df, spec.name) == "boolean")
+    )
+
+
+def _typed_sql(df: DataFrame, spec: FieldSpec) -> str:
+    """A cell that needs no reading: its type is right, or it becomes a text."""
     name, have = spec.name, kind(df, spec.name)
-    c = quoted(name)
-    if spec.role == "ignored" or have == spec.type:
-        if have == "number":
-            return number_sql(df, name)
-        return f"date({c})" if have == "date" else c
-    if spec.type == "string":
-        return f"CASE WHEN NOT {missing_sql(df, name)} THEN {key_sql(df, name)} END"
-    if have != "string" and spec.type == "number":
+    if spec.role == "ignored":
+        return quoted(name)
+    if spec.type == "number":
         return number_sql(df, name)
-    text = strip_sql(key_sql(df, name))
-    read = {"number": number_of_sql, "date": date_of_sql, "boolean": boolean_of_sql}
-    return read[spec.type](text)
+    if spec.type == "string" and have != "string":
+        return f"CASE WHEN NOT {missing_sql(df, name)} THEN {key_sql(df, name)} END"
+    return f"date({quoted(name)})" if have == "date" else quoted(name)
 
 
 def normalize(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
-    """All rows under the final types, in one projection; other columns stay.
+    """All rows under the final types; other columns stay as they are.
 
     It always starts from the raw text, so a corrected type can be applied again
-    without losing what an earlier type could not read.
+    without losing what an earlier type could not read. Unreadable cells are NULL.
     """
     by_name = {s.name: s for s in specs}
-    return df.selectExpr(
-        *[
-            f"{normalized_sql(df, by_name[c])} AS {quoted(c)}" if c in by_name else quoted(c)
-            for c in df.columns
-        ]
-    )
+    read = {
+        s.name: (f"_final_{i}", s.type) for i, s in enumerate(specs) if _reads_text(df, s)
+    }
+
+    def texts(type_: str) -> dict[str, str]:
+        return {n: key_sql(df, name) for name, (n, t) in read.items() if t == type_}
+
+    out = []
+    for c in df.columns:
+        if c in read:
+            out.append(f"{read[c][0]} AS {quoted(c)}")
+        elif c in by_name:
+            out.append(f"{_typed_sql(df, by_name[c])} AS {quoted(c)}")
+        else:
+            out.append(quoted(c))
+    return with_cells(df, texts("number"), texts("date"), texts("boolean")).selectExpr(*out)
 
 
 def normalization_counts(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
@@ -64,10 +78,10 @@ def normalization_counts(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame
     ]
     # Without a column to read there is still one row per field.
     cells = cells or [struct_sql(field="''", type="''", text="cast(NULL AS STRING)")]
-    read = df.selectExpr(inline_sql(cells)).selectExpr(
-        "*",
-        f"CASE WHEN type = 'number' THEN {number_of_sql('text')} END AS number",
-        f"CASE WHEN type = 'date' THEN {date_of_sql('text')} END AS date",
+    read = with_cells(
+        df.selectExpr(inline_sql(cells)),
+        numbers={"number": "CASE WHEN type = 'number' THEN text END"},
+        dates={"date": "CASE WHEN type = 'date' THEN text END"},
     )
     unread = "text IS NOT NULL AND number IS NULL AND date IS NULL"
     counted = grouped(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.columns import key_sql, literal_rows, missing_sql, quoted, struct_sql
+from tabwright.columns import key_sql, literal_rows, missing_sql, quoted, strip_sql, struct_sql
 from tabwright.fields import FieldSpec
 from tabwright.functions.cells import boolean_of_sql
 from tabwright.plans.infer import (
@@ -113,12 +113,12 @@ def _checked_columns(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     cells = read_cells(distinct_cells(df, [s.name for s in specs])).join(
         F.broadcast(described), "field"
     )
-    as_text = "coalesce(text, string(value))"
+    as_text = "CASE WHEN known = 'number' THEN string(value) ELSE text END"
     final = (
         f"CASE WHEN vote = 'none' THEN NULL WHEN role = 'ignored' THEN {as_text} "
         "WHEN type = 'number' THEN string(value) "
         "WHEN type = 'date' THEN CASE WHEN known = 'date' THEN text ELSE string(date) END "
-        f"WHEN type = 'boolean' THEN string({boolean_of_sql('trimmed')}) ELSE {as_text} END"
+        f"WHEN type = 'boolean' THEN string({boolean_of_sql(strip_sql('text'))}) ELSE {as_text} END"
     )
     checked = cells.selectExpr("*", f"{final} AS final")
     by_value = grouped(

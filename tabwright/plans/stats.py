@@ -14,6 +14,7 @@ from tabwright.functions.aggregates import or_zero
 from tabwright.functions.quantiles import quantiles
 from tabwright.operators.anomaly import FENCE, MIN_SAMPLES
 from tabwright.plans.infer import grouped
+from tabwright.scale import pin
 
 TOP_N = 10
 LOW_CARDINALITY = 30
@@ -140,24 +141,16 @@ def category_values(
     )
 
 
-def outlier_bounds(
-    df: DataFrame, metrics: Sequence[str], quantile_method: str = "auto"
-) -> DataFrame:
-    """One row per metric: quartiles and fences; 0 below eight values."""
-    base = df.selectExpr(*[f"{number_sql(df, m)} AS v{i}" for i, m in enumerate(metrics)])
-    inputs = {f"x{i}": f"v{i}" for i in range(len(metrics))}
-    wide = quantiles(base, [], inputs, [0.25, 0.75], quantile_method)
-    rows = [
-        struct_sql(
-            field=text_sql(m),
-            detected=f"x{i}.n >= {MIN_SAMPLES}",
-            sampleSize=f"x{i}.n",
-            q1=f"CASE WHEN x{i}.n >= {MIN_SAMPLES} THEN x{i}.q[0] ELSE 0D END",
-            q3=f"CASE WHEN x{i}.n >= {MIN_SAMPLES} THEN x{i}.q[1] ELSE 0D END",
-        )
-        for i, m in enumerate(metrics)
-    ]
-    return wide.selectExpr(inline_sql(rows)).selectExpr(
+def bounds_of(stats: DataFrame) -> DataFrame:
+    """Fences from the quartiles of the statistics; 0 below eight values."""
+    quartile = "CASE WHEN count >= {n} THEN {q} ELSE 0D END AS {name}"
+    return stats.selectExpr(
+        "field",
+        f"count >= {MIN_SAMPLES} AS detected",
+        "count AS sampleSize",
+        quartile.format(n=MIN_SAMPLES, q="p25", name="q1"),
+        quartile.format(n=MIN_SAMPLES, q="p75", name="q3"),
+    ).selectExpr(
         "*",
         "q3 - q1 AS iqr",
         f"q1 - (q3 - q1) * {FENCE}D AS lowerBound",
@@ -165,6 +158,13 @@ def outlier_bounds(
     )
 
 
+def outlier_bounds(
+    df: DataFrame, metrics: Sequence[str], quantile_method: str = "auto"
+) -> DataFrame:
+    """One row per metric: quartiles and fences."""
+    return bounds_of(numeric_stats(df, metrics, quantile_method))
+
+
 def _outside(
     df: DataFrame, metrics: Sequence[str], bounds: DataFrame, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -185,7 +185,11 @@ def outliers(
     df: DataFrame, metrics: Sequence[str], quantile_method: str = "auto"
 ) -> DataFrame:
     """Bounds per metric and how many values lie strictly outside them."""
-    bounds = outlier_bounds(df, metrics, quantile_method)
+    return outliers_beyond(df, metrics, pin(outlier_bounds(df, metrics, quantile_method)))
+
+
+def outliers_beyond(df: DataFrame, metrics: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """The same for bounds that are known already."""
     found = grouped(_outside(df, metrics, bounds), ["field"], ["count(*) AS outlierCount"])
     return bounds.join(F.broadcast(found), "field", "left").na.fill(0, ["outlierCount"])
 
@@ -201,7 +205,7 @@ def outlier_samples(
     require(df, order_by)
     order = [f"_at_{i}" for i in range(len(order_by))]
     keep = [f"{quoted(c)} AS {o}" for c, o in zip(order_by, order)]
-    found = _outside(df, metrics, outlier_bounds(df, metrics, quantile_method), keep)
+    found = _outside(df, metrics, pin(outlier_bounds(df, metrics, quantile_method)), keep)
     place = f"row_number() OVER (PARTITION BY field ORDER BY {', '.join(order)})"
     return (
         found.withColumn("rank", F.expr(place))

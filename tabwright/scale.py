@@ -11,6 +11,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabwright.columns import literal_rows
+
 # Below this, every distinct value of the input fits one task's memory.
 SMALL_INPUT_BYTES = 128 * 1024 * 1024
 # A side with at most this many narrow rows is broadcast: a few tens of MB.
@@ -40,3 +42,13 @@ def materialize(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Compute now and keep as constants.
+
+    Only for results with a row per column of a table or less: what follows then
+    plans with known numbers instead of computing them again.
+    """
+    schema = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return literal_rows(df.sparkSession, [tuple(r) for r in df.collect()], schema)
