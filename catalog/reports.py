@@ -270,7 +270,11 @@ def event_specs(t) -> list[FieldSpec]:
          t AS (SELECT count(*) AS n, arg_min(x, day) AS a, arg_max(x, day) AS z FROM d),
          w AS (SELECT count(*) AS n, count_if(event_type LIKE '%err%') AS k,
                       avg(value) FILTER (event_type LIKE '%err%') AS wa,
-                      avg(value) FILTER (event_type NOT LIKE '%err%') AS na FROM events)
+                      avg(value) FILTER (event_type NOT LIKE '%err%') AS na FROM events),
+         g AS (SELECT user_id::VARCHAR AS k, sum(value) AS x FROM events GROUP BY 1),
+         r AS (SELECT *, row_number() OVER (ORDER BY x DESC, k) AS i, count(*) OVER () AS n FROM g),
+         e AS (SELECT a.k || ' / ' || z.k AS label, a.x AS hi, z.x AS lo, a.x / abs(z.x) AS q
+               FROM r a, r z WHERE a.n <= 30 AND a.i = 1 AND z.i = least(z.n, 10))
     SELECT 'statistics' AS kind, 'info' AS level, 'value' AS fields, NULL AS label, n AS count,
            round(m, 4) AS value, round(med, 4) AS other, 0.0::DOUBLE AS rate FROM s
     UNION ALL SELECT 'outliers', 'warning', 'value', NULL, n, round(lo, 4), round(hi, 4), NULL
@@ -280,6 +284,8 @@ def event_specs(t) -> list[FieldSpec]:
     UNION ALL SELECT 'trend', CASE WHEN abs((z - a) / a) > 0.2 THEN 'warning' ELSE 'info' END,
                      'value,ts', CASE WHEN z > a THEN 'up' ELSE 'down' END, n, round(a, 4),
                      round(z, 4), round((z - a) / abs(a), 4) FROM t
+    UNION ALL SELECT 'group_gap', CASE WHEN q > 2 THEN 'warning' ELSE 'info' END, 'value,user_id',
+                     label, NULL, round(hi, 4), round(lo, 4), round(q, 4) FROM e
     UNION ALL SELECT 'warning_share', CASE WHEN k / n > 0.15 THEN 'warning' ELSE 'info' END,
                      'event_type', NULL, k, NULL, NULL, round(k / n, 4) FROM w
     UNION ALL SELECT 'warning_gap', 'info', 'event_type,value', NULL, NULL, round(wa, 4),
