@@ -80,9 +80,13 @@ def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def _ranked(counts: DataFrame, direction: str, keep: int) -> DataFrame:
-    """The first values per field. Spark drops the rest before the shuffle."""
-    place = f"row_number() OVER (PARTITION BY field ORDER BY count {direction}, value)"
-    return counts.filter("value <> ''").withColumn("rank", F.expr(place)).filter(f"rank <= {keep}")
+    """The first values per field. Spark drops the rest before the shuffle.
+
+    A missing value is ranked last and removed afterwards: removed earlier, the
+    filter would sink into the scan and the counts could not be shared.
+    """
+    place = f"row_number() OVER (PARTITION BY field ORDER BY value = '', count {direction}, value)"
+    return counts.withColumn("rank", F.expr(place)).filter(f"rank <= {keep} AND value <> ''")
 
 
 def category_totals(counts: DataFrame) -> DataFrame:
