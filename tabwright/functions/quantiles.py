@@ -1,8 +1,8 @@
 """Exact quantiles, linear-interpolated, also where one group is huge.
 
 Spark's ``percentile`` holds every distinct value of a group in one task. That
-is fine while the whole input is small, and :func:`quantiles` uses it then. For
-larger inputs it narrows first:
+is fine while the whole input is small, and :func:`quantiles` uses it then, and
+for groups that turn out to have few values. A bigger group is narrowed:
 
 1. one aggregate with a bounded sketch (``percentile_approx``, combined on the
    map side) brackets each wanted quantile between two values;
@@ -12,7 +12,7 @@ larger inputs it narrows first:
 3. the bracket is cut into equal-width bins, the bins holding the wanted ranks
    are found from their counts, and only those bins are ranked.
 
-No step holds a whole group, and the result is exact: the sketch only decides
+No task holds a big group, and the result is exact: the sketch only decides
 which rows can be ignored, and a wanted rank outside its bracket is an error.
 """
 
@@ -58,8 +58,19 @@ def quantiles(
     """
     method = resolve_method(df, method)
     if method == "narrow":
-        return _narrowed(df, list(keys), dict(metrics), list(probs), list(extra), accuracy)
-    function = "percentile" if method == "one_pass" else "percentile_approx"
+        return _by_group_size(df, list(keys), dict(metrics), list(probs), list(extra), accuracy)
+    return _one_pass(df, keys, metrics, probs, extra, method)
+
+
+def _one_pass(
+    df: DataFrame,
+    keys: Sequence[str],
+    metrics: Mapping[str, str],
+    probs: Sequence[float],
+    extra: Sequence[str],
+    method: str,
+) -> DataFrame:
+    function = "percentile_approx" if method == "approx" else "percentile"
     at = _array([f"{float(p)!r}D" for p in probs])
     aggs = [
         struct_sql(n=f"count({x})", q=f"cast({function}({x}, {at}) AS ARRAY<DOUBLE>)")
@@ -77,6 +88,38 @@ def _aggregated(df: DataFrame, keys: Sequence[str], aggs: Sequence[str]) -> Data
     return df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(*[F.expr(a) for a in aggs])
 
 
+def _by_group_size(
+    df: DataFrame,
+    keys: list[str],
+    metrics: dict[str, str],
+    probs: list[float],
+    extra: list[str],
+    accuracy: int,
+) -> DataFrame:
+    """Narrow the big groups only.
+
+    A group with few values fits a task by count, so ``percentile`` serves it;
+    there can only be few big groups, and these are narrowed.
+    """
+    if not keys:
+        return _narrowed(df, keys, metrics, probs, extra, accuracy)
+    counts = [f"count({x}) AS _count_{i}" for i, x in enumerate(metrics.values())]
+    is_big = " OR ".join(f"_count_{i} > {_few(accuracy)}" for i in range(len(metrics)))
+    big = materialize(_aggregated(df, keys, counts).filter(is_big).select(*keys))
+    groups = big.count()
+    if groups == 0:
+        return _one_pass(df, keys, metrics, probs, extra, "one_pass")
+    side = F.broadcast(big) if groups <= BROADCAST_ROWS else big
+    small = _one_pass(df.join(side, keys, "left_anti"), keys, metrics, probs, extra, "one_pass")
+    narrowed = _narrowed(df.join(side, keys, "left_semi"), keys, metrics, probs, extra, accuracy)
+    return small.unionByName(narrowed)
+
+
+def _few(accuracy: int) -> int:
+    """Up to this many values a group is taken whole: a sketch's error is given in rows."""
+    return 4 * accuracy
+
+
 def _sketches(
     df: DataFrame,
     keys: list[str],
@@ -105,8 +148,7 @@ def _brackets(
     rows = []
     for i, m in enumerate(metrics):
         n, ends = f"_sketch_{i}.n", f"_sketch_{i}.ends"
-        # Few rows: keep all of them, a sketch's error is given in rows.
-        few = f"{n} <= {4 * accuracy}"
+        few = f"{n} <= {_few(accuracy)}"
         for j, p in enumerate(probs):
             position = f"(({n} - 1) * {float(p)!r}D)"
             open_below, open_above = str(p <= margin).lower(), str(p >= 1 - margin).lower()

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabwright.columns import literal_rows
 
-# Below this, every distinct value of the input fits one task's memory.
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
+# Below this, all distinct values of the input fit one task, in memory and time.
+SMALL_INPUT_BYTES = 16 * 1024 * 1024
 # A side with at most this many narrow rows is broadcast: a few tens of MB.
 BROADCAST_ROWS = 100_000
 UNKNOWN = 1 << 62
