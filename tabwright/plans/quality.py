@@ -30,17 +30,23 @@ def _row_identity(df: DataFrame, fields: Sequence[str]) -> list[str]:
     """What two equal rows share. Wide or text rows are compared by SHA-256.
 
     Hashing on the map side sends 32 bytes per distinct row through the shuffle
-    instead of the row itself. Every cell is preceded by its length, so that no
-    two different rows produce the same bytes.
+    instead of the row itself. A text is preceded by its length and a number or
+    date never holds the separator, so no two different rows give the same bytes.
     """
-    variable = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
-    fixed = not any(isinstance(df.schema[f].dataType, variable) for f in fields)
-    if fixed and len(fields) <= NARROW_ROW:
+    kinds = {f: df.schema[f].dataType for f in fields}
+    plain = (T.NumericType, T.BooleanType, T.DateType)
+    if len(fields) <= NARROW_ROW and all(isinstance(t, plain) for t in kinds.values()):
         return [quoted(f) for f in fields]
     parts = []
-    for f in fields:
-        text = key_sql(df, f)
-        parts += [f"CASE WHEN {quoted(f)} IS NULL THEN '-' ELSE string(length({text})) END", text]
+    for f, t in kinds.items():
+        c = quoted(f)
+        if isinstance(t, (T.FloatType, T.DoubleType)):
+            parts.append(f"coalesce(string({c} + 0D), '')")
+        elif isinstance(t, plain):
+            parts.append(f"coalesce(string({c}), '')")
+        else:
+            text = f"coalesce({c}, '')" if isinstance(t, T.StringType) else key_sql(df, f)
+            parts += [f"CASE WHEN {c} IS NULL THEN '-' ELSE string(length({text})) END", text]
     return [f"unhex(sha2(concat_ws(':', {', '.join(parts)}), 256))"]
 
 
