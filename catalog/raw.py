@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -272,7 +272,8 @@ def capped_rows(t):
 )
 def delimited_text(t):
     """Customers written as delimited text, read back, inferred, normalized, kept, summed."""
-    folder = tempfile.mktemp(prefix="delimited-", dir=_scratch(t))
+    # Intermediate files go where the cluster keeps them, into a folder of their own.
+    folder = f"{checkpoint_dir(t.spark)}/delimited-{uuid.uuid4().hex}"
     t.customer.write.option("header", True).option("sep", "|").csv(f"{folder}/text")
     raw = read_delimited(t.spark, f"{folder}/text")
     inferred = infer(raw.df, {"c_custkey": {"role": "metric"}})
@@ -280,11 +281,6 @@ def delimited_text(t):
     return aggregate(read_table(t.spark, f"{folder}/table"), ["c_mktsegment"], ["c_acctbal", "c_custkey"])
 
 
-def _scratch(t: Tables) -> str:
-    """A folder for intermediate files, shared by the cluster where it names one."""
-    return checkpoint_dir(t.spark).removeprefix("file:")
-
-
 def all_text(df: DataFrame) -> DataFrame:
     return reduce(lambda d, c: d.withColumn(c, F.col(c).cast("string")), df.columns, df)
 

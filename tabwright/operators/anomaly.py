@@ -62,15 +62,19 @@ def anomaly(
     kept = apply_filters(df, filters)
     bounds = anomaly_bounds(kept, metric, method, quantile_method)
     # One row of bounds: a scalar subquery, evaluated once before the scan.
-    direction = "CASE WHEN _x < _b.lower THEN 'lower' WHEN _x > _b.upper THEN 'upper' END"
+    value, fences = "_outlier_value", "_outlier_bounds"
+    direction = (
+        f"CASE WHEN {value} < {fences}.lower THEN 'lower' "
+        f"WHEN {value} > {fences}.upper THEN 'upper' END"
+    )
     found = (
         kept.withColumns(
-            {"_x": number(kept, metric), "_b": bounds.select(F.struct("lower", "upper")).scalar()}
+            {value: number(kept, metric), fences: bounds.select(F.struct("lower", "upper")).scalar()}
         )
         .withColumn("_direction", F.expr(direction))
         .filter("_direction IS NOT NULL")
-        .withColumn(metric, col("_x"))
-        .drop("_x", "_b")
+        .withColumn(metric, col(value))
+        .drop(value, fences)
     )
     if limit is None:
         return found

@@ -13,14 +13,17 @@ from tabwright.operators.checks import check_columns
 from tabwright.operators.grouping import group_metrics
 
 
+DAY = "_bucket_day"
+
+
 def dated(df: DataFrame, time: str, grain: str) -> tuple[DataFrame, Key]:
     """Rows with a readable date, and the key that puts them into buckets.
 
     Buckets are grouped by their first day and labelled afterwards.
     """
     check_grain(grain)
-    with_day = df.withColumn("_day", read_date(df, time)).filter("_day IS NOT NULL")
-    return with_day, Key(time, bucket_sql("_day", grain), lambda g: label_sql(g, grain))
+    with_day = df.withColumn(DAY, read_date(df, time)).filter(f"{DAY} IS NOT NULL")
+    return with_day, Key(time, bucket_sql(DAY, grain), lambda g: label_sql(g, grain))
 
 
 def timeseries(

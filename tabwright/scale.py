@@ -18,14 +18,18 @@ SMALL_INPUT_BYTES = 16 * 1024 * 1024
 # A side with at most this many narrow rows is broadcast: a few tens of MB.
 BROADCAST_ROWS = 100_000
 UNKNOWN = 1 << 62
+# Plan nodes that can give more rows than they take: the estimate misses that.
+GROWING = ("Generate ", "Expand ", "InPandas", "InArrow", "MapPartitions", "FlatMap")
 
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's size estimate for the plan, or a huge number when it has none."""
     if not hasattr(df, "_jdf"):
         return UNKNOWN
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in GROWING):
+        return UNKNOWN
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabwright.columns import col, require
+from tabwright.columns import col, quoted, require
 
 ROW_ID = "_row_id"
 PREVIEW_ROWS = 20
@@ -64,22 +63,23 @@ def ids_at(df: DataFrame, positions: Sequence[int], row_id: str = ROW_ID) -> lis
 
     Ids are consecutive inside an input split, so the splits' sizes are enough:
     one narrow aggregate instead of ranking the table. Ids must be unchanged
-    since :func:`with_row_id`, or be consecutive integers of the user's own.
+    since :func:`with_row_id`, or be consecutive integers of the user's own; a
+    split with gaps at a wanted position is an error.
     """
     wanted = sorted({int(p) for p in positions})
     if not wanted:
         return []
-    split = F.shiftright(col(row_id), SPLIT_BITS)
-    sizes = df.groupBy(split.alias("split")).agg(
-        F.min(row_id).alias("first_id"), F.count("*").alias("size")
+    c = quoted(row_id)
+    splits = df.groupBy(F.expr(f"shiftright({c}, {SPLIT_BITS})").alias("split")).agg(
+        F.expr(f"min({c}) AS first_id"), F.expr(f"max({c}) AS last_id"), F.expr("count(*) AS size")
     )
     # One row per input split; the window only sees these.
-    before = F.sum("size").over(Window.orderBy("split")) - col("size")
-    found = (
-        sizes.withColumn("before", before)
-        .withColumn("position", F.explode(F.array(*[F.lit(p).cast("bigint") for p in wanted])))
-        .filter((col("position") >= col("before")) & (col("position") < col("before") + col("size")))
-        .select((col("first_id") + col("position") - col("before")).alias("id"))
+    placed = splits.selectExpr("*", "sum(size) OVER (ORDER BY split) - size AS before").selectExpr(
+        "*", f"explode(array({', '.join(f'{p}L' for p in wanted)})) AS position"
+    )
+    found = placed.filter("position >= before AND position < before + size").selectExpr(
+        "CASE WHEN last_id - first_id + 1 = size THEN first_id + position - before "
+        "ELSE bigint(raise_error('row ids have gaps: attach them to the scanned table')) END AS id"
     )
     return sorted(r["id"] for r in found.collect())
 

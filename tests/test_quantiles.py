@@ -86,3 +86,9 @@ def test_size_decides(spark, monkeypatch):
     monkeypatch.setattr(q, "SMALL_INPUT_BYTES", 1)
     assert q.resolve_method(df, "auto") == "narrow"
     assert stats.numeric_stats(df, ["v"]).first()["median"] == 4.5
+
+
+def test_an_exploded_input_has_no_known_size(spark):
+    df = spark.range(10).selectExpr("explode(sequence(0, 9)) AS v").selectExpr("double(v) AS v")
+    assert q.resolve_method(df, "auto") == "narrow"
+    assert stats.numeric_stats(df, ["v"]).first()["median"] == 4.5

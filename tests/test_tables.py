@@ -161,6 +161,12 @@ def test_row_positions_across_splits(spark):
     assert found == [0, 142, 143, 500, 999]
 
 
+def test_row_ids_with_gaps_are_an_error(spark):
+    df = with_row_id(spark.range(100).selectExpr("id AS v")).filter("v % 2 = 0")
+    with pytest.raises(Exception, match="gaps"):
+        rows_at(df, [3])
+
+
 def test_caps_and_storage(spark, tmp_path):
     df = with_row_id(spark.range(100).selectExpr("id AS v"))
     capped = cap_rows(df, 30, ["_row_id"])
