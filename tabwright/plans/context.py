@@ -171,7 +171,8 @@ def boundary_rows(
             "p75": f"abs(v{i} - e.x{i}.q[1])",
         }
         for edge, distance in distances.items():
-            nearest = f"min_by(named_struct('at', at, 'value', v{i}), struct({distance}, at)) FILTER (WHERE v{i} IS NOT NULL)"
+            row = f"named_struct('at', at, 'value', v{i})"
+            nearest = f"min_by({row}, struct({distance}, at)) FILTER (WHERE v{i} IS NOT NULL)"
             aggs.append(struct_sql(field=text_sql(m), edge=f"'{edge}'", row=nearest))
     wide = base.withColumn("e", edges).agg(*[F.expr(f"{a} AS r{i}") for i, a in enumerate(aggs)])
     return (

@@ -24,6 +24,7 @@ VIEW_TYPES = LINE_TYPES + CUT_TYPES + ("table", "kpi", "scatter", "heatmap")
 VIEW_AGGREGATIONS = ("sum", "avg", "count", "max", "min")
 MAX_VIEWS, TREND_VIEWS, COMPARISON_VIEWS = 8, 3, 2
 PIE_MIN, PIE_MAX, TOP_N = 2, 6, 10
+FEW_CATEGORIES = 1000
 # Trends first, then comparisons, shares, the rest and the raw rows.
 VIEW_ORDER = {"line": 1, "bar": 2, "pie": 3, "table": 5}
 
@@ -65,8 +66,9 @@ def series_matrix(df: DataFrame, view: View) -> DataFrame:
         totals = grouped(cells, ["x"], ["sum(value) AS total"])
         order = [col("total").desc(), col("x").asc()]
         if view.limit and view.type in CUT_TYPES:
-            # A top-k of few rows, so the join can broadcast it.
-            totals = F.broadcast(totals.orderBy(*order).limit(view.limit))
+            totals = totals.orderBy(*order).limit(view.limit)
+            # A top-k is as short as its limit, so a small one can be broadcast.
+            totals = F.broadcast(totals) if view.limit <= FEW_CATEGORIES else totals
         cells = cells.join(totals, "x")
     # Pivoting and unpivoting fills the grid without pairing x with series.
     names = pivot_values(rows, "series") if view.group else [ALL]
