@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import simhash
+from tabwright.llm import decontaminate, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,49 @@ def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+# The rules of the contract.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.sql(
+        "select * from values " + ", ".join(map(str, URL_RULES)) + " as rules(host, path, verdict)"
+    )
+    return urls.judge(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op10_url_filters"] = """
+WITH rules(r_host, r_path, verdict) AS (VALUES """ + ", ".join(map(str, URL_RULES)) + r"""),
+cut AS (
+  SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest
+  FROM pages
+),
+split AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+)
+SELECT page_id, host, path,
+       (SELECT r_host || r_path FROM rules
+        WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+        ORDER BY length(r_host || r_path) DESC LIMIT 1) AS rule,
+       coalesce((SELECT verdict FROM rules
+        WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+        ORDER BY length(r_host || r_path) DESC LIMIT 1), 'allow') AS verdict
+FROM split
+"""
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
