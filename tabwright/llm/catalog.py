@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, quality, simhash, urls
+from tabwright.llm import decontaminate, langid, packing, quality, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,16 @@ def op3_language_filters(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out()))
     found = langid.predict(docs, model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def bpe_file() -> str:
+    """The byte-level BPE vocabulary that the box offers; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op9_bm25_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), bpe_file())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
