@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, lines, packing, quality, simhash, urls
+from tabwright.llm import decontaminate, langid, lines, packing, quality, simhash, urls, warc
+from tabwright.llm.common import drop, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +110,15 @@ def op9_bm25_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op4_line_alignment(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, removed="removed_lines")
+
+
+@query
+def op2_warc_members(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    whole, single = shared_folder(spark, "monoliths"), shared_folder(spark, "archives")
+    warc.write_monoliths(pages, whole)
+    warc.normalise(spark, whole, single)
+    drop(spark, whole)
+    records = warc.read_records(spark, single, warc.read_index(spark, single))
+    found = warc.with_types(warc.digests(records, "page_id", pages.schema["page_id"].dataType.simpleString()), "page_id")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")

@@ -54,3 +54,14 @@ def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
     """One text at a time, so that a batch is never held twice."""
     for value in batch.column(name):
         yield value.as_py()
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this process wrote and no longer needs."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
