@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, lines, packing, quality, simhash, urls, warc
+from tabwright.llm import decontaminate, langid, lines, packing, pages, quality, simhash, urls, warc
 from tabwright.llm.common import drop, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,11 +114,16 @@ def op4_line_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_warc_members(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
+    source = table(spark, folder, "pages")
     whole, single = shared_folder(spark, "monoliths"), shared_folder(spark, "archives")
-    warc.write_monoliths(pages, whole)
+    warc.write_monoliths(source, whole)
     warc.normalise(spark, whole, single)
     drop(spark, whole)
     records = warc.read_records(spark, single, warc.read_index(spark, single))
-    found = warc.with_types(warc.digests(records, "page_id", pages.schema["page_id"].dataType.simpleString()), "page_id")
+    found = warc.with_types(warc.digests(records, "page_id", source.schema["page_id"].dataType.simpleString()), "page_id")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+
+
+@query
+def op7_text_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
