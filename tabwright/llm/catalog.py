@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, lines, packing, pages, quality, simhash, urls, warc
+from tabwright.llm import decontaminate, langid, lines, packing, pages, quality, recount, simhash, urls, warc
 from tabwright.llm.common import drop, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,11 @@ def op2_warc_members(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_text_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages"))
+
+
+@query
+def op5_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return recount.recount(recount.with_mask_edits(docs), bpe_file(), PATTERN)
