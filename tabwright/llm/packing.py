@@ -159,8 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
-            for k, t in zip(batch.column("k").to_pylist(), texts_of(batch, "t")):
-                ids = encoder.ids(t)
+            for k, ids in zip(batch.column("k").to_pylist(), encoder.ids_of(texts_of(batch, "t"))):
                 keys.append(k)
                 shard.append(np.append(ids, ids.dtype.type(end)))
                 tokens += len(shard[-1])

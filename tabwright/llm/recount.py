@@ -32,8 +32,7 @@ class Counter:
     """Cuts texts into pre-tokens and counts the tokens of each, with a bounded cache."""
 
     def __init__(self, tokenizer: str, pattern: str) -> None:
-        self.tokenizer = Encoder(tokenizer).tokenizer
-        self.tokenizer.encode_special_tokens = True  # their names in a text are text
+        self.encoder = Encoder(tokenizer)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, int] = {}
 
@@ -44,7 +43,7 @@ class Counter:
         found = list(map(self.known.get, pieces))
         if None in found:
             missing = list({p for p, n in zip(pieces, found) if n is None})
-            new = dict(zip(missing, (len(x.ids) for x in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))))
+            new = dict(zip(missing, map(self.encoder.count, missing)))
             found = [new[p] if n is None else n for p, n in zip(pieces, found)]
             if len(self.known) + len(new) > CACHE_ENTRIES:
                 self.known.clear()
