@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import Tables, query
 from tabwright.fields import FieldSpec
-from tabwright.functions.cells import number_format
+from tabwright.functions.cells import number_format, parse_number
 from tabwright.operators import aggregate
 from tabwright.plans.infer import column_counts, infer, infer_columns, type_votes
 from tabwright.plans.normalize import normalization_counts, normalize
@@ -295,3 +295,45 @@ def all_text(df: DataFrame) -> DataFrame:
 )
 def inferred_customers(t):
     return infer_columns(all_text(t.customer)).select("field", "type", "format")
+
+
+# --- padded and spaced cells ---------------------------------------------------------
+
+PADDED = "concat(repeat(' ', 70), CASE WHEN o_orderkey % 8 = 3 THEN 'soon' ELSE date_format(o_orderdate, 'yyyy/MM/dd') END)"
+
+
+@query(
+    """
+    SELECT 'day' AS field, 0::BIGINT AS boolean, 0::BIGINT AS number, count_if(o_orderkey % 8 <> 3) AS date,
+           count_if(o_orderkey % 8 = 3) AS string FROM orders
+    """
+)
+def type_votes_padded(t):
+    """Dates after seventy blanks are dates."""
+    return type_votes(t.orders.selectExpr(f"{PADDED} AS day")).select("field", "boolean", "number", "date", "string")
+
+
+@query(
+    """
+    SELECT 'MIXED_TYPE' AS code, 'warning' AS level, 'day' AS field, count_if(o_orderkey % 8 = 3) AS count,
+           round(count_if(o_orderkey % 8 = 3) / count(*), 4) AS rate FROM orders
+    UNION ALL SELECT 'INVALID_DATE', 'warning', 'day', count_if(o_orderkey % 8 = 3), NULL FROM orders
+    """
+)
+def quality_padded(t):
+    df = t.orders.selectExpr(f"{PADDED} AS day", "o_orderkey")
+    return quality_report(df, [FieldSpec("day", "date", "time"), FieldSpec("o_orderkey", "string")]).filter("field = 'day'")
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 12.5 WHEN 1 THEN 1000.0 + o_orderkey % 100 END::DOUBLE AS n FROM orders
+    """
+)
+def spaced_numbers(t):
+    """Blanks inside a number are read in amounts, not in percentages."""
+    cell = (
+        "CASE o_orderkey % 3 WHEN 0 THEN ' 1250 % ' WHEN 1 THEN concat('$1 0', lpad(o_orderkey % 100, 2, '0')) "
+        "ELSE '1 000%' END AS cell"
+    )
+    return t.orders.selectExpr("o_orderkey", cell).select("o_orderkey", parse_number("cell").alias("n"))

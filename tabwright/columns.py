@@ -29,6 +29,7 @@ NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Characters removed around a cell before it is read.
 BLANKS = " \t\n\r\f\u000b 　﻿"
 INFINITY = "double('Infinity')"
+PADDING = r"\.?0+$"
 
 
 def quoted(name: str) -> str:
@@ -130,11 +131,20 @@ def number(df: DataFrame, name: str) -> Column:
     return F.expr(number_sql(df, name))
 
 
+def unpadded_sql(decimal: str) -> str:
+    """Text of a decimal without the zeros that only fill its scale."""
+    return f"regexp_replace(string({decimal}), {text_sql(PADDING)}, '')"
+
+
 def double_text_sql(c: str) -> str:
-    """Text of a double without a trailing ``.0`` on whole numbers."""
+    """Text of a double in plain digits from 1e-6 up to 1e21, with an exponent beyond."""
+    digits = {scale: unpadded_sql(f"cast(string({c}) AS DECIMAL(38, {scale}))") for scale in (10, 25)}
+    exponent = f"regexp_replace(regexp_replace(string({c}), '([.]0)?E', 'e'), 'e([0-9])', 'e+$1')"
     return (
-        f"CASE WHEN abs({c}) < 1e15 AND double(floor({c})) = {c} "
-        f"THEN string(floor({c})) ELSE string({c}) END"
+        f"CASE WHEN abs({c}) < 1e15 AND double(floor({c})) = {c} THEN string(floor({c})) "
+        f"WHEN abs({c}) >= 1e21 OR abs({c}) < 1e-6 THEN {exponent} "
+        f"WHEN abs({c}) >= 1e7 THEN {digits[10]} WHEN abs({c}) < 1e-3 THEN {digits[25]} "
+        f"ELSE string({c}) END"
     )
 
 
@@ -167,6 +177,9 @@ def group_key(df: DataFrame, name: str) -> Key:
     t, c = dtype(df, name), quoted(name)
     if isinstance(t, T.StringType):
         return Key(name, f"coalesce({c}, '')", lambda g: g)
+    if isinstance(t, T.DecimalType):
+        text = unpadded_sql if t.scale else "string({})".format
+        return Key(name, c, lambda g: f"coalesce({text(g)}, '')")
     if isinstance(t, FRACTIONAL):
         return Key(name, f"double({c})", lambda g: f"coalesce({double_text_sql(g)}, '')")
     if isinstance(t, TIMESTAMPS):

@@ -18,8 +18,9 @@ from tabwright.columns import finite_sql, list_sql, quoted, strip_sql, text_sql
 # What a number, date or boolean cell may look like.
 PERCENT_SIGNS = ["%", "％"]
 CURRENCY_SIGNS = ["￥", "¥", "$", "€", "£"]
-# What is removed before a percentage or an amount is read.
-SIGNED_NOISE = r"^[￥¥$€£\s]+|\s*[%％]$|[,，\s]"
+# What is removed before a percentage or an amount is read; blanks inside only from amounts.
+PERCENT_NOISE = r"\s*[%％]$|[,，]"
+CURRENCY_NOISE = r"^[￥¥$€£\s]+|[,，\s]"
 LOOSE_NUMBER = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)$"
 # Without a sign: plain, grouped by commas, or grouped by full-width commas.
 UNSIGNED = (
@@ -50,10 +51,14 @@ def _digits_sql(s: str) -> str:
     The kinds exclude each other by their first or last character, so one chain
     decides. A sign alone counts as zero; an amount never ends in a percent sign.
     """
-    rest = f"regexp_replace(regexp_replace({s}, {text_sql(SIGNED_NOISE)}, ''), '^$', '0')"
+
+    def rest(noise: str) -> str:
+        bare = f"regexp_replace(regexp_replace({s}, {text_sql(noise)}, ''), '^$', '0')"
+        return f"regexp_extract({bare}, {text_sql(LOOSE_NUMBER)}, 1)"
+
     return (
-        f"CASE WHEN {_percent_sql(s)} <> {_currency_sql(s)} "
-        f"THEN regexp_extract({rest}, {text_sql(LOOSE_NUMBER)}, 1) "
+        f"CASE WHEN {_percent_sql(s)} AND NOT {_currency_sql(s)} THEN {rest(PERCENT_NOISE)} "
+        f"WHEN {_currency_sql(s)} AND NOT {_percent_sql(s)} THEN {rest(CURRENCY_NOISE)} "
         f"WHEN {s} RLIKE {text_sql(UNSIGNED)} THEN translate({s}, ',，', '') END"
     )
 

@@ -12,6 +12,7 @@ import datetime as dt
 import math
 import re
 from collections.abc import Mapping, Sequence
+from decimal import ROUND_FLOOR, Decimal, localcontext
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,25 @@ OPERATORS = (
 SIGNS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
 DATES = (T.DateType,) + TIMESTAMPS
 DOUBLES = (T.FloatType, T.DoubleType)
+# Types that have a literal for every key text.
+LITERAL = INTEGRAL + DOUBLES + (T.DecimalType, T.DateType)
+
+
+def plain_text(d: Decimal) -> str:
+    """All digits of a decimal, without filling zeros."""
+    text = f"{d:f}"
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if text == "-0" else text
+
+
+def number_text(x: float) -> str:
+    """Text of a number as a cell with it is keyed: plain digits, exponents only beyond."""
+    if not math.isfinite(x) or x == 0:
+        return "0" if x == 0 else str(x)
+    if 1e-6 <= abs(x) < 1e21:
+        return plain_text(Decimal(repr(x)))
+    mantissa, exponent = repr(x).split("e")
+    return f"{mantissa}e{int(exponent):+d}"
 
 
 def value_text(v: Any) -> str:
@@ -37,8 +57,10 @@ def value_text(v: Any) -> str:
         return ""
     if isinstance(v, bool):
         return "true" if v else "false"
-    if isinstance(v, float) and v.is_integer() and abs(v) < 1e15:
-        return str(int(v))
+    if isinstance(v, float):
+        return number_text(v)
+    if isinstance(v, Decimal):
+        return plain_text(v)
     if isinstance(v, (dt.date, dt.datetime)):
         return v.strftime("%Y-%m-%d")
     return str(v)
@@ -47,7 +69,7 @@ def value_text(v: Any) -> str:
 def value_number(v: Any) -> float | None:
     if isinstance(v, bool):
         return float(v)
-    if isinstance(v, (int, float)):
+    if isinstance(v, (int, float, Decimal)):
         return float(v) if math.isfinite(v) else None
     if isinstance(v, str) and re.match(NUMERIC_TEXT, v.strip()):
         n = float(v)
@@ -73,8 +95,41 @@ def _number_literal(df: DataFrame, field: str, n: float) -> str:
     return f"{n!r}D"
 
 
-def _day_bounds(day: dt.date) -> tuple[str, str]:
-    return f"DATE'{day}'", f"DATE'{day + dt.timedelta(days=1)}'"
+def _decimal(v: Any) -> Decimal | None:
+    """The exact value of a filter value, in all its digits."""
+    text = value_text(v).strip() if isinstance(v, (int, float, Decimal, str)) and not isinstance(v, bool) else ""
+    if not re.match(NUMERIC_TEXT, text):
+        return None
+    d = Decimal(text)
+    return d if abs(d.adjusted()) < 1000 else None
+
+
+def _decimal_literal(t: T.DecimalType, d: Decimal) -> str:
+    return f"CAST('{plain_text(d)}' AS DECIMAL({t.precision}, {t.scale}))"
+
+
+def _after_sql(day: dt.date) -> str | None:
+    """The first instant after a day; none for the last day that there is."""
+    return f"DATE'{day + dt.timedelta(days=1)}'" if day < dt.date.max else None
+
+
+def _literal(t: T.DataType, text: str) -> str | None:
+    """A literal of the column's own type whose key text is ``text``; none if no cell has that text."""
+    if isinstance(t, T.DateType):
+        day = _value_date(text)
+        return f"DATE'{day}'" if day is not None and value_text(day) == text else None
+    if isinstance(t, DOUBLES):
+        n = value_number(text)
+        # "05" is not how any number is written, so no cell can equal it.
+        return f"{n!r}D" if n is not None and value_text(n) == text else None
+    d = _decimal(text)
+    if d is None or plain_text(d) != text:
+        return None
+    if isinstance(t, T.DecimalType):
+        digits = len(text.lstrip("-").partition(".")[0].lstrip("0"))
+        fits = digits <= t.precision - t.scale and len(text.partition(".")[2]) <= t.scale
+        return _decimal_literal(t, d) if fits else None
+    return text if d == int(d) and abs(d) < 2**63 else None
 
 
 def _equals_sql(df: DataFrame, field: str, text: str) -> str:
@@ -84,27 +139,43 @@ def _equals_sql(df: DataFrame, field: str, text: str) -> str:
         return f"({c} IS NULL OR {c} = '')" if isinstance(t, T.StringType) else f"({c} IS NULL)"
     if isinstance(t, T.StringType):
         return f"({c} IS NOT NULL AND {c} = {text_sql(text)})"
-    if isinstance(t, INTEGRAL + DOUBLES):
-        n = value_number(text)
-        # "05" is not how any number is written, so no cell can equal it.
-        if n is None or value_text(n) != text or (isinstance(t, INTEGRAL) and not n.is_integer()):
-            return "false"
-        return f"({c} IS NOT NULL AND {c} = {_number_literal(df, field, n)})"
-    if isinstance(t, DATES):
+    if isinstance(t, LITERAL):
+        literal = _literal(t, text)
+        return "false" if literal is None else f"({c} IS NOT NULL AND {c} = {literal})"
+    if isinstance(t, TIMESTAMPS):
         day = _value_date(text)
         if day is None or value_text(day) != text:
             return "false"
-        start, end = _day_bounds(day)
-        return f"({c} IS NOT NULL AND {c} >= {start} AND {c} < {end})"
+        end = _after_sql(day)
+        return f"({c} IS NOT NULL AND {c} >= DATE'{day}'" + (f" AND {c} < {end})" if end else ")")
     return f"({key_sql(df, field)} = {text_sql(text)})"
 
 
 def _in_sql(df: DataFrame, field: str, texts: list[str]) -> str:
-    c = quoted(field)
-    if isinstance(dtype(df, field), T.StringType) and any(texts):
-        hit = f"({c} IS NOT NULL AND {c} IN ({list_sql([x for x in texts if x])}))"
-        return f"({hit} OR {_equals_sql(df, field, '')})" if "" in texts else hit
-    return "(" + " OR ".join([_equals_sql(df, field, x) for x in texts] or ["false"]) + ")"
+    t, c = dtype(df, field), quoted(field)
+    present = [x for x in texts if x]
+    if isinstance(t, (T.StringType, *LITERAL)):
+        known = [text_sql(x) if isinstance(t, T.StringType) else _literal(t, x) for x in present]
+        listed = ", ".join(dict.fromkeys(x for x in known if x is not None))
+        hits = [f"({c} IS NOT NULL AND {c} IN ({listed}))"] if listed else []
+    else:
+        hits = [_equals_sql(df, field, x) for x in present]
+    hits += [_equals_sql(df, field, "")] if "" in texts else []
+    return "(" + " OR ".join(hits or ["false"]) + ")"
+
+
+def _ordered_decimal_sql(t: T.DecimalType, c: str, op: str, v: Decimal) -> str:
+    """Compare in the column's own type; a value between two of its steps goes to the lower one."""
+    limit = Decimal(10) ** (t.precision - t.scale)
+    if abs(v) >= limit:
+        return f"({c} IS NOT NULL)" if (v > 0) == (op in ("lt", "lte")) else "false"
+    with localcontext(prec=1100):
+        low = v.quantize(Decimal(1).scaleb(-t.scale), ROUND_FLOOR)
+    if low != v:
+        op = "gt" if op in ("gt", "gte") else "lte"
+    if low <= -limit:
+        return f"({c} IS NOT NULL)" if op == "gt" else "false"
+    return f"({c} {SIGNS[op]} {_decimal_literal(t, low)})"
 
 
 def _ordered_sql(df: DataFrame, field: str, op: str, value: Any) -> str:
@@ -113,8 +184,15 @@ def _ordered_sql(df: DataFrame, field: str, op: str, value: Any) -> str:
         day = _value_date(value)
         if day is None:
             return "false"
-        start, end = _day_bounds(day)
-        return {"gt": f"{c} >= {end}", "gte": f"{c} >= {start}", "lt": f"{c} < {start}", "lte": f"{c} < {end}"}[op]
+        if isinstance(t, T.DateType):
+            return f"({c} {SIGNS[op]} DATE'{day}')"
+        end = _after_sql(day)
+        if end is None and op in ("gt", "lte"):
+            return "false" if op == "gt" else f"({c} IS NOT NULL)"
+        return {"gt": f"{c} >= {end}", "gte": f"{c} >= DATE'{day}'", "lt": f"{c} < DATE'{day}'", "lte": f"{c} < {end}"}[op]
+    if isinstance(t, T.DecimalType):
+        exact = _decimal(value)
+        return "false" if exact is None else _ordered_decimal_sql(t, c, op, exact)
     n = value_number(value)
     if n is None:
         return "false"

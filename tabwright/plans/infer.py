@@ -26,9 +26,10 @@ VOTES = ("boolean", "number", "date", "string")
 SAMPLE_ROWS = 500
 SAMPLE_VALUES = 5
 PREFIX = 1000
-# Longer than this, a text is a number only if it is made of these characters.
-LONG_TEXT = 64
-NUMBER_CHARACTERS = r"^[0-9eE+.,，\s￥¥$€£%％-]*$"
+# Every number and date is made of these characters. A text with others is a string for
+# sure, whatever its length; its hash is shorter once the text is.
+READABLE = r"^[0-9eE+.,，\s￥¥$€£%％/:T年月日-]*$"
+HASHED_FROM = 32
 # Shares of the votes a type needs.
 BOOLEAN_SHARE, DATE_SHARE, NUMBER_SHARE = 0.9, 0.8, 0.8
 
@@ -61,18 +62,21 @@ def _cell_sql(df: DataFrame, name: str) -> str:
 def long_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per cell, so that the reading code is compiled once, not per column.
 
-    A text longer than any number and with other characters is a string for
-    sure; it is represented by its SHA-256, so that long texts are not shuffled.
+    Cells that can still be read as a number, date or boolean keep their text. Any
+    other is a string for sure, and where that is longer than a hash it is represented
+    by its SHA-256, so that long texts are not shuffled.
     """
     cells = df.selectExpr(inline_sql([_cell_sql(df, f) for f in fields]))
-    long_text = f"(length(text) > {LONG_TEXT} AND NOT text RLIKE {text_sql(NUMBER_CHARACTERS)})"
+    long_text = (
+        f"(octet_length(text) > {HASHED_FROM} AND NOT {strip_sql('text')} RLIKE {text_sql(READABLE)})"
+    )
     known = (
         "CASE WHEN known IS NOT NULL THEN known WHEN text IS NULL OR text = '' THEN 'none' "
         f"WHEN {is_boolean_sql('text')} THEN 'boolean' WHEN is_long THEN 'string' END"
     )
     return cells.selectExpr("*", f"known IS NULL AND {long_text} AS is_long").selectExpr(
         "field",
-        "CASE WHEN is_long THEN sha2(text, 256) ELSE coalesce(text, '') END AS text",
+        "CASE WHEN is_long THEN decode(unhex(sha2(text, 256)), 'ISO-8859-1') ELSE coalesce(text, '') END AS text",
         f"{known} AS known",
         "value",
     )

@@ -92,7 +92,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     expected = {
         ("k", "neq", "a"): "Not(EqualTo(k,a))",
         ("v", "gt", 1): "GreaterThan(v,1.0)",
-        ("id", "in", (1, 2)): "EqualTo(id,1)",
+        ("id", "in", (1, 2)): "In(id, [1,2])",
         ("k", "in", ("a", "b")): "In(k, [a,b])",
     }
     for (name, operator, value), pushed in expected.items():
