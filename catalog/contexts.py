@@ -78,12 +78,14 @@ _FRACTIONS = ", ".join(f"({_DRAW.random()!r}::DOUBLE)" for _ in range(RANDOM))
 @query(
     f"""
     WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
-         langs AS (SELECT min(pos) AS pos FROM d WHERE lang <> '' GROUP BY lang),
+         fixed AS (
+            SELECT * FROM d
+            WHERE n <= {SAMPLE_ROWS} OR pos < {HEAD} OR pos >= n - {TAIL}
+               OR (pos >= (n - {MIDDLE}) // 2 AND pos < (n - {MIDDLE}) // 2 + {MIDDLE})),
+         langs AS (SELECT min(pos) AS pos FROM d WHERE lang <> '' AND lang NOT IN (SELECT lang FROM fixed) GROUP BY lang),
          picked AS (
             SELECT DISTINCT pos FROM d
-            WHERE n <= {SAMPLE_ROWS} OR pos < {HEAD} OR pos >= n - {TAIL}
-               OR (pos >= (n - {MIDDLE}) // 2 AND pos < (n - {MIDDLE}) // 2 + {MIDDLE})
-               OR pos IN (SELECT pos FROM langs)
+            WHERE pos IN (SELECT pos FROM fixed) OR pos IN (SELECT pos FROM langs)
                OR pos IN (SELECT floor(n * f)::BIGINT FROM (VALUES {_FRACTIONS}) v(f)))
     SELECT doc_id, lang FROM d WHERE pos IN (SELECT pos FROM picked)
     """
@@ -93,6 +95,38 @@ def stable_sample(t):
     return context.stable_sample(df, ["lang"], seed=0, row_id="doc_id")
 
 
+@query(
+    """
+    SELECT 'class' AS field, count(DISTINCT doc_id % 25) AS values, count(DISTINCT doc_id % 25) AS shown FROM documents
+    """
+)
+def sample_covers_classes(t):
+    """Of 25 values in a 40-row sample none is left out."""
+    df = t.documents.selectExpr("doc_id", "concat('class ', doc_id % 25) AS class")
+    sample = context.stable_sample(df, ["class"], seed=0, row_id="doc_id")
+    return context.sample_coverage(df, sample, ["class"])
+
+
+@query(
+    """
+    SELECT 'hidden' AS part, 'phone' AS field, count(*) AS n FROM customer
+    UNION ALL SELECT 'numbers', 'c_acctbal', count(*) FROM customer
+    UNION ALL SELECT 'values', 'c_mktsegment', count(c_mktsegment) FROM customer
+    """
+)
+def context_sensitive_numbers(t):
+    """No value of a phone number that is held as a number is in any summary."""
+    df = t.customer.selectExpr("13900000000 + c_custkey AS phone", "c_acctbal", "c_mktsegment")
+    roles = {"phone": {"role": "metric"}, "c_mktsegment": {"role": "dimension"}}
+    parts = context.table_context(df, specs_of(df, roles), row_samples=False)
+    n = {"hidden": "count", "numbers": "count", "values": "sum(count)"}
+    rows = [
+        parts[p].groupBy("field").agg(F.expr(f"{c if '(' in c else f'max({c})'} AS n")).withColumn("part", F.lit(p))
+        for p, c in n.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(
     """
     WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),

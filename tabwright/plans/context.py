@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.columns import (
-    col, inline_sql, key_sql, kind, missing_sql, number_sql, quoted, struct_sql, text_sql,
+    col, inline_sql, key_sql, kind, literal_rows, missing_sql, number_sql, quoted, struct_sql, text_sql,
 )
 from tabwright.fields import FieldSpec, mentions
 from tabwright.functions.dates import date_sql
@@ -19,12 +19,11 @@ from tabwright.functions.masking import SENSITIVE_WORDS, looks_sensitive_sql, ma
 from tabwright.functions.quantiles import quantiles
 from tabwright.operators.anomaly import anomaly
 from tabwright.plans import stats
-from tabwright.plans.infer import data_columns, grouped
+from tabwright.plans.infer import data_columns, every_field, grouped
 from tabwright.sources.tables import ROW_ID, ids_at
 
 SAMPLE_ROWS = 40
 HEAD, MIDDLE, TAIL, RANDOM = 8, 6, 6, 12
-CATEGORY_ROWS = 20
 ANOMALY_ROWS = 10
 REPRESENTATIVE_VALUES = 10
 SENSITIVE_SHARE = 0.5
@@ -59,18 +58,19 @@ def sensitive_columns(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     cells = [
         struct_sql(
             field=text_sql(s.name),
-            byName=str(mentions(s.name, SENSITIVE_WORDS)).lower(),
-            byRole=str(s.role == "identifier").lower(),
             text=f"CASE WHEN NOT {missing_sql(df, s.name)} THEN {key_sql(df, s.name)} END",
         )
         for s in specs
     ]
     shares = grouped(
-        df.selectExpr(inline_sql(cells)),
-        ["field", "byName", "byRole"],
-        [f"coalesce(avg(int({looks_sensitive_sql('text')})), 0D) AS matchRate"],
+        df.selectExpr(inline_sql(cells)), ["field"], [f"avg(int({looks_sensitive_sql('text')})) AS rate"]
     )
-    return shares.selectExpr(
+    named = [(s.name, mentions(s.name, SENSITIVE_WORDS), s.role == "identifier") for s in specs]
+    rows = [(f, str(n).lower(), str(r).lower()) for f, n, r in named]
+    fields = literal_rows(df.sparkSession, rows, {"field": "string", "byName": "boolean", "byRole": "boolean"})
+    # Both sides have one row per field; the table may have no rows at all.
+    found = fields.join(F.broadcast(shares), "field", "left")
+    return found.selectExpr("field", "byName", "byRole", "coalesce(rate, 0D) AS matchRate").selectExpr(
         "*", f"byName OR byRole OR matchRate > {SENSITIVE_SHARE}D AS sensitive"
     )
 
@@ -92,28 +92,46 @@ def sample_positions(total: int, seed: int = 0) -> list[int]:
 
 
 def category_ids(
-    df: DataFrame, fields: Sequence[str], row_id: str = ROW_ID, most: int = CATEGORY_ROWS
+    df: DataFrame,
+    fields: Sequence[str],
+    row_id: str = ROW_ID,
+    most: int = SAMPLE_ROWS,
+    shown: Sequence[int] = (),
 ) -> list[int]:
-    """The first row of every value of the low-cardinality fields.
+    """The first rows of values that the rows ``shown`` don't have, at most ``most``.
 
-    Fields are taken in rising order of cardinality while their values fit.
+    Fields with fewer values come first, and within a field the values in row order,
+    so all free places are filled. :func:`sample_coverage` tells what found no room.
     """
     if not fields:
         return []
     cells = [struct_sql(field=text_sql(f), value=key_sql(df, f)) for f in fields]
     rows = df.selectExpr(f"{quoted(row_id)} AS id", inline_sql(cells)).filter("value <> ''")
     firsts = grouped(rows, ["field", "value"], ["min(id) AS id"])
-    # More than `most` values decide against a field, so no more are looked at.
+    if shown:
+        seen = rows.filter(F.col("id").isin(list(shown))).select("field", "value").distinct()
+        # At most a row per shown cell.
+        firsts = firsts.join(F.broadcast(seen), ["field", "value"], "left_anti")
+    sizes = grouped(firsts, ["field"], ["count(*) AS size"])
     place = "row_number() OVER (PARTITION BY field ORDER BY id)"
-    listed = firsts.withColumn("place", F.expr(place)).filter(f"place <= {most + 1}").collect()
-    by_field: dict[str, list[int]] = {f: [] for f in fields}
-    for r in listed:
-        by_field[r["field"]].append(r["id"])
-    chosen: set[int] = set()
-    for f in sorted(by_field, key=lambda f: (len(by_field[f]), f)):
-        if len(chosen | set(by_field[f])) <= most:
-            chosen |= set(by_field[f])
-    return sorted(chosen)
+    listed = firsts.withColumn("place", F.expr(place)).filter(f"place <= {most}").join(F.broadcast(sizes), "field")
+    chosen: dict[int, None] = {}
+    for r in listed.orderBy("size", "field", "id").collect():
+        if len(chosen) < most:
+            chosen.setdefault(r["id"])
+    return list(chosen)
+
+
+def sample_coverage(df: DataFrame, sample: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``field, values, shown``: how many values a field has and how many the sample shows."""
+
+    def counts(part: DataFrame, name: str) -> DataFrame:
+        cells = [struct_sql(field=text_sql(f), value=key_sql(part, f)) for f in fields]
+        values = part.selectExpr(inline_sql(cells)).filter("value <> ''").distinct()
+        return grouped(values, ["field"], [f"count(*) AS {name}"])
+
+    both = every_field(counts(df, "values"), fields).join(F.broadcast(counts(sample, "shown")), "field", "left")
+    return both.na.fill(0)
 
 
 def stable_sample(
@@ -138,7 +156,7 @@ def stable_sample(
         if p < HEAD or middle <= p < middle + MIDDLE or p >= total - TAIL
     ]
     ids = ids_at(df, fixed, row_id)
-    more = category_ids(df, category_fields, row_id)
+    more = category_ids(df, category_fields, row_id, SAMPLE_ROWS - len(ids), ids)
     more += ids_at(df, [p for p in positions if p not in fixed], row_id)
     for i in more:
         if len(ids) < SAMPLE_ROWS and i not in ids:
@@ -199,11 +217,19 @@ def anomaly_rows(
 def column_context(
     df: DataFrame, specs: Sequence[FieldSpec], masked: Sequence[str] = ()
 ) -> dict[str, DataFrame]:
-    """Number, date and value summaries of the columns, with masked texts."""
-    shown = mask_columns(df, list(masked)) if masked else df
+    """Number, date and value summaries of the columns, with masked texts.
+
+    Of masked numbers and dates no cell appears, so their least and greatest don't
+    either: ``hidden`` only counts them.
+    """
+    texts_masked = [m for m in masked if kind(df, m) == "string"]
+    shown = mask_columns(df, texts_masked) if texts_masked else df
     numbers = [s.name for s in specs if kind(df, s.name) == "number"]
     dates = {s.name: date_sql(df, s.name) for s in specs if s.type == "date"}
     texts = [s.name for s in specs if s.name not in numbers and s.name not in dates]
+    hidden = [n for n in (*numbers, *dates) if n in masked]
+    numbers = [n for n in numbers if n not in hidden]
+    dates = {n: d for n, d in dates.items() if n not in hidden}
     out = {}
     if numbers:
         out["numbers"] = stats.numeric_stats(df, numbers)
@@ -211,6 +237,10 @@ def column_context(
         out["dates"] = stats.date_stats(df, dates)
     if texts:
         out["values"] = stats.category_values(shown, texts, REPRESENTATIVE_VALUES, 0)
+    if hidden:
+        cells = [struct_sql(field=text_sql(n), absent=missing_sql(df, n)) for n in hidden]
+        counts = ["count_if(NOT absent) AS count", "count_if(absent) AS nullCount"]
+        out["hidden"] = every_field(grouped(df.selectExpr(inline_sql(cells)), ["field"], counts), hidden)
     return out
 
 
@@ -223,16 +253,18 @@ def table_context(
 ) -> dict[str, DataFrame]:
     """Everything above for one table, masked before anything is picked.
 
-    Numbers are summarised from the original cells; texts of sensitive fields
-    appear nowhere. ``row_samples=False`` leaves the rows out.
+    Cells of sensitive fields appear nowhere, whatever their type. ``row_samples=False`` leaves the rows out.
     """
     hidden = sensitive_names(df, specs)
     out = {"fingerprint": fingerprint(df, [s.name for s in specs])}
-    out |= column_context(df, specs, [h for h in hidden if kind(df, h) == "string"])
+    out |= column_context(df, specs, hidden)
     if row_samples:
         numbers = [s.name for s in specs if kind(df, s.name) == "number" and s.name not in hidden]
         categories = [s.name for s in specs if s.role in ("dimension", "status")]
-        out["sample"] = mask_columns(stable_sample(df, categories, seed, row_id), hidden)
+        sample = stable_sample(df, categories, seed, row_id)
+        out["sample"] = mask_columns(sample, hidden)
+        if categories:
+            out["coverage"] = sample_coverage(df, sample, categories)
         if numbers:
             out["boundary"] = boundary_rows(df, numbers, row_id)
             out["anomalies"] = anomaly_rows(df, numbers, row_id)
