@@ -26,6 +26,10 @@ def aggregate_sql(x: str, how: str, order: Sequence[str] = ()) -> str:
     if how == "last":
         if not order:
             raise ValueError("aggregation 'last' needs order_by: a DataFrame has no row order")
+        if len(order) == 1:
+            # A bare key keeps the aggregate in a hash table; rows without a key come first.
+            keyless = f"max({x}) FILTER (WHERE {order[0]} IS NULL)"
+            return f"coalesce(max_by({x}, {order[0]}) FILTER (WHERE {x} IS NOT NULL), {keyless})"
         return f"max_by({x}, struct({', '.join(order)})) FILTER (WHERE {x} IS NOT NULL)"
     return f"{how}({x})"
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.columns import INFINITY, inline_sql, quoted, struct_sql, text_sql
-from tabwright.scale import BROADCAST_ROWS, SMALL_INPUT_BYTES, estimated_bytes, materialize
+from tabwright.scale import BROADCAST_ROWS, few_rows, materialize
 
 ACCURACY = 10_000
 BINS = 1024
@@ -35,7 +35,7 @@ def resolve_method(df: DataFrame, method: str) -> str:
     if method not in METHODS:
         raise ValueError(f"unknown quantile method {method!r}")
     if method == "auto":
-        return "one_pass" if estimated_bytes(df) <= SMALL_INPUT_BYTES else "narrow"
+        return "one_pass" if few_rows(df) else "narrow"
     return method
 
 

@@ -1,8 +1,7 @@
 """Choices that depend on how big the data is.
 
-Sizes come from Spark's own plan statistics, which for files are the real bytes
-to be read. An unknown size counts as huge, so the distributed way is the
-default and the short cuts need proof.
+The distributed way is the default and the short cuts need proof: counted rows, not
+plan statistics, which see compressed bytes or default widths.
 """
 
 from __future__ import annotations
@@ -10,33 +9,28 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabwright.columns import literal_rows
 
-# Below this, all distinct values of the input fit one task, in memory and time.
-SMALL_INPUT_BYTES = 16 * 1024 * 1024
+# All distinct values of so many rows fit one task, in memory and time.
+SMALL_INPUT_ROWS = 1_000_000
 # A side with at most this many narrow rows is broadcast: a few tens of MB.
 BROADCAST_ROWS = 100_000
-UNKNOWN = 1 << 62
-# Plan nodes that can give more rows than they take: the estimate misses that.
-GROWING = ("Generate ", "Expand ", "InPandas", "InArrow", "MapPartitions", "FlatMap")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's size estimate for the plan, or a huge number when it has none."""
-    if not hasattr(df, "_jdf"):
-        return UNKNOWN
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if any(node in plan.toString() for node in GROWING):
-        return UNKNOWN
-    return int(str(plan.stats().sizeInBytes()))
+def few_rows(df: DataFrame, most: int = SMALL_INPUT_ROWS) -> bool:
+    """Whether there are at most ``most`` rows; no partition is read beyond that many."""
+    return df.select(F.lit(1)).limit(most + 1).count() <= most
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is set."""
+    """The folder that all machines share; a temporary one serves local sessions only."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tabwright-"))
     return shared or sc.getCheckpointDir()
 
@@ -47,7 +41,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-
 def pin(df: DataFrame) -> DataFrame:
     """Compute now and keep as constants.
 

@@ -5,6 +5,7 @@ import pytest
 
 from tabwright.functions import quantiles as q
 from tabwright.plans import stats
+from tabwright.scale import few_rows
 from tests.conftest import mapped
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -81,14 +82,13 @@ def test_methods(spark):
         q.quantiles(df, [], {"x": "v"}, [0.5], "guess")
 
 
-def test_size_decides(spark, monkeypatch):
-    df = spark.range(10).selectExpr("double(id) AS v")
-    monkeypatch.setattr(q, "SMALL_INPUT_BYTES", 1)
-    assert q.resolve_method(df, "auto") == "narrow"
-    assert stats.numeric_stats(df, ["v"]).first()["median"] == 4.5
+def test_counted_rows_decide(spark):
+    df = spark.range(10).selectExpr("explode(sequence(0, 9)) AS v").selectExpr("double(v) AS v")
+    assert q.resolve_method(df, "auto") == "one_pass"
+    assert few_rows(df, 100) and not few_rows(df, 99)
 
 
-def test_an_exploded_input_has_no_known_size(spark):
-    df = spark.range(10).selectExpr("explode(sequence(0, 9)) AS v").selectExpr("double(v) AS v")
-    assert q.resolve_method(df, "auto") == "narrow"
-    assert stats.numeric_stats(df, ["v"]).first()["median"] == 4.5
+def test_a_small_file_of_many_rows_is_narrowed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1_000_001).selectExpr("double(id) AS v").write.parquet(path)
+    assert q.resolve_method(spark.read.parquet(path), "auto") == "narrow"
