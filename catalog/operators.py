@@ -10,6 +10,7 @@ from tabwright import operators as ops
 from tabwright.fields import FieldSpec
 from tabwright.functions.formula import with_derived
 from tabwright.functions.predicates import apply_filters
+from tabwright.plans.summary import summary
 
 PRICE, QTY, FLAG, STATUS = "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"
 TOTAL, DATE, PRIORITY, CUSTOMER = "o_totalprice", "o_orderdate", "o_orderpriority", "o_custkey"
@@ -597,3 +598,139 @@ def profile(t):
 )
 def profile_with_missing(t):
     return ops.profile(orders_with_missing(t), [TOTAL, PRIORITY, DATE])
+
+
+# --- decimals, large fractions, open end dates ------------------------------------
+
+QUANTITY = "CASE WHEN l_quantity < 50 THEN CAST(l_quantity AS DECIMAL(12, 2)) END"
+
+
+def _decimals(t) -> DataFrame:
+    return t.lineitem.selectExpr("l_orderkey", "l_linenumber", f"{QUANTITY} AS quantity")
+
+
+for _name, _operator, _value, _where in (
+    ("eq", "eq", 17, "quantity = 17"),
+    ("neq", "neq", "17", "quantity IS DISTINCT FROM 17"),
+    ("in", "in", [3, "24", 17.0, "5.00"], "quantity IN (3, 24, 17)"),
+    ("not_in", "not_in", [3, "", 24.0], "quantity NOT IN (3, 24)"),
+    ("between", "between", [16.995, "20.0"], "quantity BETWEEN 17 AND 20"),
+):
+
+    def _run_filter(spark, folder, operator=_operator, value=_value) -> DataFrame:
+        return apply_filters(_decimals(Tables(spark, folder)), [flt("quantity", operator, value)])
+
+    QUERIES[f"filter_{_name}_decimal"] = _run_filter
+    SQL[f"filter_{_name}_decimal"] = (
+        f"SELECT * FROM (SELECT l_orderkey, l_linenumber, {QUANTITY} AS quantity FROM lineitem) WHERE {_where}"
+    )
+
+
+@query(
+    """
+    SELECT (9007199254740993 + l_linenumber)::VARCHAR AS key, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1
+    """
+)
+def aggregate_decimal_keys(t):
+    """Keys that differ only beyond the precision of a double."""
+    keyed = t.lineitem.selectExpr(
+        "CAST(9007199254740993 + l_linenumber AS DECIMAL(20, 0)) AS key", "l_quantity AS quantity"
+    )
+    return ops.aggregate(keyed, ["key"], ["quantity"], "sum")
+
+
+@query(
+    """
+    SELECT (12345678.5::DOUBLE + l_linenumber)::VARCHAR AS key, count(l_quantity) AS quantity
+    FROM lineitem WHERE contains((12345678.5::DOUBLE + l_linenumber)::VARCHAR, '680.5') GROUP BY 1
+    """
+)
+def group_by_large_fractions(t):
+    keyed = t.lineitem.selectExpr("12345678.5D + l_linenumber AS key", "l_quantity AS quantity")
+    return ops.aggregate(keyed, ["key"], ["quantity"], "count", [flt("key", "contains", "680.5")])
+
+
+OPEN_END = "CASE WHEN o_orderstatus = 'O' THEN DATE '9999-12-31' ELSE CAST(o_orderdate AS DATE) END"
+
+
+@query(
+    f"""
+    SELECT CAST(d AS VARCHAR) AS "until", count(*) AS n FROM (SELECT {OPEN_END} AS d FROM orders)
+    WHERE d >= '1995-03-01' AND d <= '9999-12-31' GROUP BY 1
+    """
+)
+def filter_open_end_date(t):
+    df = t.orders.selectExpr(f"{OPEN_END} AS until")
+    kept = apply_filters(df, [flt("until", "between", ["1995-03-01", "9999-12-31"]), flt("until", "lte", "9999-12-31")])
+    return kept.groupBy("until").agg(F.count("*").alias("n"))
+
+
+# --- what results leave out --------------------------------------------------------
+
+
+def _summary(task: dict, sql: str, table: str = "orders"):
+    def run(spark, folder) -> DataFrame:
+        df = getattr(Tables(spark, folder), table)
+        out = summary(df, task)
+        return comparable(out.withColumn("warnings", F.array_join("warnings", ",")), 4)
+
+    QUERIES[f"summary_{task['operator']}"] = run
+    SQL[f"summary_{task['operator']}"] = f"""
+        SELECT "rowCount"::BIGINT AS "rowCount", "fullCount"::BIGINT AS "fullCount", "nullCount"::BIGINT AS "nullCount",
+               "rowCount" < "fullCount" AS truncated, warnings
+        FROM ({sql})
+    """
+
+
+_summary(
+    {"operator": "aggregate", "dimensions": [CUSTOMER], "metrics": [TOTAL], "aggregation": "sum", "limit": 5},
+    """SELECT 5 AS "rowCount", count(DISTINCT o_custkey) AS "fullCount", 0 AS "nullCount", 'CUT' AS warnings FROM orders""",
+)
+_summary(
+    {"operator": "ranking", "dimensions": [PRIORITY], "metrics": [TOTAL], "aggregation": "sum",
+     "sort": {"field": TOTAL, "direction": "desc"}},
+    """SELECT n AS "rowCount", n AS "fullCount", 0 AS "nullCount", '' AS warnings
+       FROM (SELECT count(DISTINCT o_orderpriority) AS n FROM orders)""",
+)
+_summary(
+    {"operator": "distribution", "dimensions": ["source"], "limit": 5},
+    """SELECT least(n, 5) AS "rowCount", n AS "fullCount", absent AS "nullCount",
+              concat_ws(',', CASE WHEN n > 8 THEN 'MANY_CLASSES' END, CASE WHEN n > 5 THEN 'CUT' END) AS warnings
+       FROM (SELECT count(DISTINCT source) AS n, count_if(source IS NULL) AS absent FROM documents)""",
+    "documents",
+)
+_summary(
+    {"operator": "anomaly", "metrics": ["value"], "limit": 3},
+    """SELECT least(n, 3) AS "rowCount", n AS "fullCount", 0 AS "nullCount",
+              CASE WHEN n = 0 THEN 'NO_OUTLIER' WHEN n > 3 THEN 'CUT' ELSE '' END AS warnings
+       FROM (WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
+             SELECT count_if(value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS n FROM events, q)""",
+    "events",
+)
+_summary(
+    {"operator": "pivot", "dimensions": [PRIORITY, "o_orderstatus"], "metrics": [TOTAL], "aggregation": "sum"},
+    """SELECT n AS "rowCount", n AS "fullCount", 0 AS "nullCount", CASE WHEN c > 20 THEN 'MANY_COLUMNS' ELSE '' END AS warnings
+       FROM (SELECT count(DISTINCT o_orderpriority) AS n, count(DISTINCT o_orderstatus) AS c FROM orders)""",
+)
+_summary(
+    {"operator": "correlation", "metrics": ["value", "user_id"]},
+    """SELECT 1 AS "rowCount", 1 AS "fullCount", 0 AS "nullCount",
+              CASE WHEN count(*) < 8 THEN 'FEW_PAIRS' WHEN corr(value, user_id) IS NULL THEN 'CONSTANT' ELSE '' END AS warnings
+       FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL""",
+    "events",
+)
+_summary(
+    {"operator": "growth", "metrics": [TOTAL], "time": {"field": DATE, "grain": "month"}, "aggregation": "sum"},
+    """SELECT n AS "rowCount", n AS "fullCount", zero AS "nullCount", CASE WHEN zero > 0 THEN 'ZERO_BASE' ELSE '' END AS warnings
+       FROM (SELECT count(*) AS n, count_if(before = 0) AS zero FROM (
+             SELECT lag(v) OVER (ORDER BY m) AS before FROM (
+             SELECT strftime(o_orderdate, '%Y-%m') AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1)))""",
+)
+_summary(
+    {"operator": "ratio", "formula": {"outputField": "r", "expression": {
+        "op": "safe_divide", "numerator": {"op": "field", "field": "l_tax"}, "denominator": {"op": "field", "field": "l_discount"}}}},
+    """SELECT least(n, 100) AS "rowCount", n AS "fullCount", z AS "nullCount",
+              concat_ws(',', CASE WHEN z > 0 THEN 'NO_VALUE' END, CASE WHEN n > 100 THEN 'CUT' END) AS warnings
+       FROM (SELECT count_if(l_discount <> 0) AS n, count_if(l_discount = 0) AS z FROM lineitem)""",
+    "lineitem",
+)

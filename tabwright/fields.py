@@ -91,7 +91,7 @@ def allows(spec: FieldSpec, aggregation: str) -> bool:
     if spec.type != "number":
         return False
     banned = set()
-    if spec.format == "percentage":
+    if spec.format == "percentage" or spec.behavior == "rate":
         banned.add("sum")
     if spec.role == "identifier":
         banned.update(("sum", "avg"))

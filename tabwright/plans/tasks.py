@@ -20,9 +20,10 @@ from tabwright.columns import col, missing_sql, number_sql
 from tabwright.fields import FieldSpec, check_aggregation
 from tabwright.functions.formula import compile_formula
 from tabwright.functions.predicates import apply_filters
+from tabwright.scale import materialize
 
-HASHED_ROWS = 100
 HEAD_ROWS = 10
+MOST_ROWS = 100  # fixed value: the most rows that a task may ask for
 # The evidence method that goes with each operator.
 METHODS = {
     "profile": "summary",
@@ -37,6 +38,7 @@ METHODS = {
     "anomaly": "outlier",
     "pivot": "pivot",
 }
+OVER_TIME = ("timeseries", "growth")
 ADDITIVE = ("aggregate", "timeseries", "compare", "ranking", "growth", "pivot")
 
 
@@ -57,6 +59,10 @@ def run_task(
         for m in metrics:
             if m in by_name:
                 check_aggregation(by_name[m], how)
+                if name in OVER_TIME and how == "sum" and by_name[m].behavior == "stock":
+                    raise ValueError(f"{m} is a stock: it does not add up over time, use last")
+    if limit is not None and not 1 <= limit <= MOST_ROWS:
+        raise ValueError(f"limit must be between 1 and {MOST_ROWS}")
     exact = {"quantile_method": quantile_method}
     ordered = {"order_by": order_by}
     if name == "profile":
@@ -140,20 +146,22 @@ def null_count(df: DataFrame, task: Mapping[str, Any]) -> DataFrame:
     return kept.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("nullCount"))
 
 
-def result_hash(rows: DataFrame, scalar: DataFrame | None = None, limit: int = HASHED_ROWS) -> DataFrame:
-    """One row ``resultHash``: SHA-256 of the scalar, or of the first rows.
+def result_hash(rows: DataFrame, scalar: DataFrame | None = None) -> DataFrame:
+    """One row ``resultHash``: SHA-256 of the scalar, or of all rows in any order.
 
-    First in the order of their text, so that the hash does not depend on how an
-    unordered result happens to come; at most ``limit`` rows are gathered.
+    Each row gives an MD5; the first and last sixteen digits are added up as numbers,
+    which needs no order and combines before the shuffle.
     """
     if scalar is not None:
         return scalar.select(
             F.sha2(F.coalesce(col(scalar.columns[0]).cast("string"), F.lit("null")), 256).alias("resultHash")
         )
     packed = F.to_json(F.struct(*[col(c) for c in rows.columns]))
-    head = rows.select(packed.alias("row")).orderBy("row").limit(limit)
-    together = F.concat_ws("\n", F.array_sort(F.collect_list("row")))
-    return head.agg(F.sha2(together, 256).alias("resultHash"))
+    halves = rows.select(F.md5(packed.cast("binary")).alias("h"))
+    sums = [
+        f"coalesce(sum(cast(conv(substring(h, {at}, 15), 16, 10) AS DECIMAL(38, 0))), 0)" for at in (1, 17)
+    ]
+    return halves.agg(F.expr(f"sha2(concat_ws(':', count(*), {', '.join(sums)}), 256) AS resultHash"))
 
 
 def evidence(
@@ -163,7 +171,8 @@ def evidence(
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row that says how a result came about and what it starts with."""
-    rows = run_task(df, task, specs, order_by)
+    # The result is read four times below, so it is computed once.
+    rows = materialize(run_task(df, task, specs, order_by))
     scalar = task_scalar(df, task)
     fields = [*(task.get("dimensions") or []), *(task.get("metrics") or [])]
     if task.get("time"):
@@ -191,7 +200,7 @@ def evidence(
 
 @dataclass(frozen=True)
 class Outcome:
-    """``status`` is ``ready``, ``failed`` or ``skipped``; ``rows`` is lazy."""
+    """``status`` is ``ready``, ``failed`` or ``skipped``; ``rows`` of a ready task are computed."""
 
     status: str
     rows: DataFrame | None = None
@@ -204,7 +213,9 @@ def run_tasks(
     specs: Sequence[FieldSpec] = (),
     order_by: Sequence[str] | None = None,
 ) -> dict[str, Outcome]:
-    """All tasks over one table. A bad task does not stop the others.
+    """All tasks over one table, each computed in turn. A bad task does not stop the others.
+
+    Results are checkpoints, so an error that only shows in the rows is an outcome too.
 
     A dependency carries no data, only the wish not to run after a failure: a
     task whose dependency failed, is unknown or leads back to it is skipped.
@@ -222,9 +233,9 @@ def run_tasks(
                 outcomes[task_id] = Outcome("skipped", reason=f"depends on {', '.join(blocked)}")
             else:
                 try:
-                    rows = run_task(df, by_id[task_id], specs, order_by)
+                    rows = materialize(run_task(df, by_id[task_id], specs, order_by))
                     outcomes[task_id] = Outcome("ready", rows)
-                except (ValueError, KeyError, TypeError) as error:
+                except Exception as error:  # whatever a task meets is its outcome
                     outcomes[task_id] = Outcome("failed", reason=str(error))
         return outcomes[task_id].status == "ready"
 

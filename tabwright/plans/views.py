@@ -72,6 +72,8 @@ def series_matrix(df: DataFrame, view: View) -> DataFrame:
         cells = cells.join(totals, "x")
     # Pivoting and unpivoting fills the grid without pairing x with series.
     names = pivot_values(rows, "series") if view.group else [ALL]
+    if not names:
+        return cells.select("x", "series", "value")  # no rows, so nothing to fill
     wide = cells.groupBy("x", "total").pivot("series", names).agg(F.first("value"))
     filled = [struct_sql(series=text_sql(n), value=f"coalesce({quoted(n)}, 0D)") for n in names]
     grid = wide.selectExpr("x", "total", inline_sql(filled))

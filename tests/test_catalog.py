@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from catalog import QUERIES, SQL
 from compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,12 +18,17 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     verdict, _ = compare(spark, con, FOLDER, name)
     assert verdict == "ok" or (name == "fingerprint" and verdict == "rows only (1)"), verdict
 
 
+def test_queries_are_registered():
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert SQL.keys() <= entry.oracle_sql().keys()
+
+
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.columns == ["l_returnflag", "l_linestatus", "l_extendedprice"] and out.count() == 3
