@@ -199,8 +199,8 @@ def accepted(docs: DataFrame, text: str = "text", key: str = "doc_id", floor: fl
     """All columns of the documents that are in some known language.
 
     Rejected: texts without a letter, null ones included, and texts of which less than
-    ``floor`` of the n-grams are typical for the best language. With no labelled
-    document at all nothing is known to judge by: every text with a letter stays.
+    ``floor`` of the n-grams are typical for the best language. Where the labelled
+    documents taught no n-gram there is nothing to judge by: every text with a letter stays.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -211,7 +211,7 @@ def accepted(docs: DataFrame, text: str = "text", key: str = "doc_id", floor: fl
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
-            if machine.languages:
+            if machine.table.any():
                 good = [lang != UNKNOWN and score >= floor for lang, score in map(machine.predict, texts_of(batch, text))]
             else:
                 good = [machine.counts(t)[0] > 0 for t in texts_of(batch, text)]
