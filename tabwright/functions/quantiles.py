@@ -167,6 +167,68 @@ def _brackets(
     return sketches.selectExpr(*[quoted(k) for k in keys], inline_sql(rows)).filter("_n > 0")
 
 
+def _near_values(df: DataFrame, metrics: dict[str, str], brackets: DataFrame) -> DataFrame:
+    """Without keys the brackets are a few constants: one row per metric and prob.
+
+    Rows below are only counted, in one aggregate; rows inside some bracket, a small
+    part, are the only ones that are spread to a row per bracket.
+    """
+    cuts = [
+        (m, r["_prob"], f"double('{r['_lo']}')", f"double('{r['_hi']}')")
+        for m in metrics
+        for r in brackets.filter(F.col("_metric") == m).collect()
+    ]
+    if not cuts:
+        return df.filter("false").selectExpr("_all", "'' AS _metric", "0 AS _prob", "0D AS _v", "0L AS _rows")
+    inside = [f"({metrics[m]} >= {lo} AND {metrics[m]} <= {hi})" for m, _, lo, hi in cuts]
+    spread = [
+        struct_sql(_metric=text_sql(m), _prob=str(p), _v=f"CASE WHEN {c} THEN double({metrics[m]}) END")
+        for (m, p, _, _), c in zip(cuts, inside)
+    ]
+    near = (
+        df.filter(" OR ".join(inside))
+        .selectExpr("_all", inline_sql(spread))
+        .filter("_v IS NOT NULL")
+        .groupBy("_all", "_metric", "_prob", "_v")
+        .agg(F.expr("count(*) AS _rows"))
+    )
+    counts = df.agg(*[F.expr(f"count_if({metrics[m]} < {lo}) AS _{i}") for i, (m, _, lo, _) in enumerate(cuts)])
+    below = counts.selectExpr(
+        "0 AS _all",
+        inline_sql([
+            struct_sql(_metric=text_sql(m), _prob=str(p), _v="cast(NULL AS DOUBLE)", _rows=f"_{i}")
+            for i, (m, p, _, _) in enumerate(cuts)
+        ]),
+    )
+    return near.unionByName(below.filter("_rows > 0"))
+
+
+def _near_group_values(
+    df: DataFrame, group_keys: list[str], metrics: dict[str, str], brackets: DataFrame, side
+) -> DataFrame:
+    """Values inside their group's brackets with counts; all below a bracket are one NULL."""
+    group = group_keys + ["_metric"]
+    # One bracket row per group and metric, so each value meets it once.
+    cuts = _aggregated(
+        brackets, group, ["sort_array(collect_list(struct(_prob, _lo, _hi))) AS _cuts"]
+    )
+    long_form = [struct_sql(_metric=text_sql(m), _v=x) for m, x in metrics.items()]
+    values = df.selectExpr(*[quoted(k) for k in group_keys], inline_sql(long_form))
+    # Rows above a bracket go; rows below it lose their value and become a count.
+    return (
+        values.filter("_v IS NOT NULL")
+        .join(side(cuts), group)
+        .selectExpr(*[quoted(k) for k in group], "_v", "explode(filter(_cuts, c -> _v <= c._hi)) AS _cut")
+        .selectExpr(
+            *[quoted(k) for k in group],
+            "_cut._prob AS _prob",
+            "CASE WHEN _v >= _cut._lo THEN _v END AS _v",
+        )
+        .groupBy(*group, "_prob", "_v")
+        .agg(F.expr("count(*) AS _rows"))
+    )
+
+
 def _narrowed(
     df: DataFrame,
     keys: list[str],
@@ -182,7 +244,7 @@ def _narrowed(
     sketches = materialize(sketches)
     groups = sketches.count() if keys else 1
     group_keys = keys or ["_all"]
-    group, point = group_keys + ["_metric"], group_keys + ["_metric", "_prob"]
+    point = group_keys + ["_metric", "_prob"]
     by_group = ", ".join(quoted(k) for k in group_keys)
     by_point = f"{by_group}, _metric, _prob"
     # Every side joined below has at most two rows per group, metric and prob.
@@ -192,25 +254,8 @@ def _narrowed(
         return F.broadcast(part) if short else part
 
     brackets = _brackets(sketches, group_keys, list(metrics), probs, accuracy)
-    # One bracket row per group and metric, so each value meets it once.
-    cuts = _aggregated(
-        brackets, group, ["sort_array(collect_list(struct(_prob, _lo, _hi))) AS _cuts"]
-    )
-    long_form = [struct_sql(_metric=text_sql(m), _v=x) for m, x in metrics.items()]
-    values = df.selectExpr(*[quoted(k) for k in group_keys], inline_sql(long_form))
-    # Rows above a bracket go; rows below it lose their value and become a count.
     near = materialize(
-        values.filter("_v IS NOT NULL")
-        .join(side(cuts), group)
-        .selectExpr(*[quoted(k) for k in group], "_v", "explode(_cuts) AS _cut")
-        .filter("_v <= _cut._hi")
-        .selectExpr(
-            *[quoted(k) for k in group],
-            "_cut._prob AS _prob",
-            "CASE WHEN _v >= _cut._lo THEN _v END AS _v",
-        )
-        .groupBy(*point, "_v")
-        .agg(F.expr("count(*) AS _rows"))
+        _near_values(df, metrics, brackets) if not keys else _near_group_values(df, group_keys, metrics, brackets, side)
     )
     below = near.filter("_v IS NULL").drop("_v").withColumnRenamed("_rows", "_below")
     wanted = brackets.join(side(below), point, "left").na.fill(0, ["_below"])
