@@ -12,7 +12,7 @@ from tabwright.columns import text_sql
 from tabwright.fields import FieldSpec, split_roles
 from tabwright.plans import stats, trends
 from tabwright.plans.quality import duplicate_rows
-from tabwright.scale import pin
+from tabwright.scale import materialize, pin
 
 MISSING_OVER = 0.3
 LONG_TAIL_OVER, LONG_TAIL_VALUES = 0.5, 5
@@ -68,8 +68,8 @@ def report(
     Roles decide what is computed: statistics and outliers of the metrics,
     values of the categories, trends over the time field, groups of the first
     dimension, warnings in the status fields, and ``insights`` over all of it.
-    The statistics and the number of groups are looked up now, one row per field;
-    the rest is lazy.
+    All parts are a few rows each and are computed now, once, since the insights read
+    them again; only the search for repeated rows stays lazy.
     """
     roles = split_roles(list(specs))
     metrics = [m.name for m in roles.metrics]
@@ -78,7 +78,7 @@ def report(
 
     if metrics:
         out["stats"] = pin(stats.numeric_stats(df, metrics, quantile_method))
-        out["outliers"] = stats.outliers_beyond(df, metrics, stats.bounds_of(out["stats"]))
+        out["outliers"] = pin(stats.outliers_beyond(df, metrics, stats.bounds_of(out["stats"])))
         facts += _metric_insights(out["stats"], out["outliers"])
 
     lead = roles.dimension.name if roles.dimension else None
@@ -86,24 +86,24 @@ def report(
     categories += [d.name for d in roles.dimensions if d.name != lead]
     categories = categories[:CATEGORY_FIELDS]
     if categories:
-        out["categories"] = stats.category_stats(df, categories)
-        out["category_values"] = stats.category_values(df, categories)
+        out["categories"] = pin(stats.category_stats(df, categories))
+        out["category_values"] = pin(stats.category_values(df, categories))
         facts += _category_insights(out["categories"], out["category_values"])
 
     if roles.time and metrics:
-        out["trends"] = trends.trends(df, roles.time.name, roles.metrics[:TREND_METRICS])
+        out["trends"] = materialize(trends.trends(df, roles.time.name, roles.metrics[:TREND_METRICS]))
         facts.append(_trend_insight(out["trends"], roles.time.name))
 
     if lead and metrics:
         few = stats.category_stats(df, [lead]).first()
         if few is not None and few["lowCardinality"]:
             groups = trends.comparisons(df, lead, roles.metrics[:COMPARED_METRICS])
-            out["comparisons"] = trends.top_groups(groups)
+            out["comparisons"] = pin(trends.top_groups(groups))
             facts.append(_gap_insight(out["comparisons"], lead))
 
     for s in roles.statuses:
         first = metrics[0] if metrics else None
-        summary = trends.status_summary(df, s.name, first, warning_words)
+        summary = pin(trends.status_summary(df, s.name, first, warning_words))
         out[f"status:{s.name}"] = summary
         facts += _status_insights(summary, s.name, first)
 
