@@ -24,13 +24,16 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tabwright.llm.common import exists, map_batches, written
 
 VERSION = b"WARC/1.0\r\n"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 8 << 20
 LEVEL = 6
+RECORDS_AT_ONCE = 512
 RECORDS = "archive string, offset bigint, record_id string, uri string, payload binary"
 INDEX = "archive string, offset bigint, length bigint, record_id string, uri string, payload_bytes bigint, payload_digest string"
 
@@ -178,27 +181,29 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
         spark.read.format("binaryFile").option("basePath", f"{path}/kind=archive").load(f"{path}/kind=archive")
         .select(F.col("archive").cast("string").alias("archive"), "content")
     )
-    wanted = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length", "payload_digest")).alias("entries"))
-    cut = lambda e: F.struct(
-        e["offset"].alias("offset"), e["payload_digest"].alias("digest"),
-        F.substring(F.col("content"), (e["offset"] + 1).cast("int"), e["length"].cast("int")).alias("member"),
-    )
-    slices = files.join(wanted, "archive").select("archive", F.explode(F.transform("entries", cut)).alias("x")).select("archive", "x.*")
-
-    def inflate(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"record_id": [], "uri": [], "payload": []}
-        for value, expected in zip(batch.column("member"), batch.column("digest").to_pylist()):
-            stream = zlib.decompressobj(wbits=31)
-            record = stream.decompress(value.as_py()) + stream.flush()
-            ((headers, _, payload),) = _records(iter([record[len(VERSION) :]]))
-            if stream.unused_data or digest(payload) != expected:
-                raise ValueError("the index does not fit the archive")
-            out["record_id"].append(headers.get("warc-record-id"))
-            out["uri"].append(headers.get("warc-target-uri"))
-            out["payload"].append(payload)
-        return {"archive": batch.column("archive"), "offset": batch.column("offset"), **out}
-
-    return map_batches(slices, inflate, RECORDS)
+    entry = F.struct("offset", "length", "payload_digest")
+    wanted = index.groupBy("archive").agg(F.collect_list(entry).alias("entries"))
+
+    def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, entries in zip(*(batch.column(c) for c in ("archive", "content", "entries"))):
+                file, places = memoryview(content.as_buffer()), entries.as_py()
+                for at in range(0, len(places), RECORDS_AT_ONCE):
+                    rows = [_record_at(file, e) for e in places[at : at + RECORDS_AT_ONCE]]
+                    yield pa.RecordBatch.from_pylist([{"archive": name.as_py(), **r} for r in rows], schema=arrow)
+
+    arrow = to_arrow_schema(_parse_datatype_string(RECORDS))
+    return files.join(wanted, "archive").select("archive", "content", "entries").mapInArrow(inflate, RECORDS)
+
+
+def _record_at(file: memoryview, entry: dict) -> dict:
+    stream = zlib.decompressobj(wbits=31)
+    record = stream.decompress(file[entry["offset"] : entry["offset"] + entry["length"]]) + stream.flush()
+    ((headers, _, payload),) = _records(iter([record[len(VERSION) :]]))
+    if stream.unused_data or digest(payload) != entry["payload_digest"]:
+        raise ValueError("the index does not fit the archive")
+    own = {"record_id": headers.get("warc-record-id"), "uri": headers.get("warc-target-uri")}
+    return {"offset": entry["offset"], **own, "payload": payload}
 
 
 def page_key(record_id: Column) -> Column:
