@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.registry import Tables, query
+from tabwright.columns import literal_rows
 from tabwright.fields import FieldSpec
 from tabwright.functions.cells import number_format, parse_number
 from tabwright.operators import aggregate
@@ -17,6 +18,7 @@ from tabwright.plans.normalize import normalization_counts, normalize
 from tabwright.plans.quality import duplicate_rows, quality_report
 from tabwright.scale import checkpoint_dir
 from tabwright.sources import preview, read_delimited, read_table, save_table
+from tabwright.sources import stored_specs as read_specs
 from tabwright.sources.tables import cap_rows, row_counts, rows_at
 
 
@@ -297,6 +299,46 @@ def inferred_customers(t):
     return infer_columns(all_text(t.customer)).select("field", "type", "format")
 
 
+@query(
+    """
+    WITH f AS (SELECT count(DISTINCT c_custkey) = count(*) AS keys, count(DISTINCT c_acctbal) = count(*) AS sums,
+                      count_if(c_acctbal <> floor(c_acctbal)) > 0 AS fractions FROM customer),
+         r AS (SELECT 'c_custkey' AS field, 'number' AS type, CASE WHEN keys THEN 'identifier' ELSE 'metric' END AS role,
+                      'integer' AS format FROM f
+               UNION ALL SELECT 'c_name', 'string', 'dimension', 'plain'
+               UNION ALL SELECT 'c_nationkey', 'number', 'metric', 'integer'
+               UNION ALL SELECT 'c_acctbal', 'number', CASE WHEN sums THEN 'identifier' ELSE 'metric' END,
+                                CASE WHEN fractions THEN 'decimal' ELSE 'integer' END FROM f
+               UNION ALL SELECT 'c_mktsegment', 'string', 'dimension', 'plain')
+    SELECT *, CASE WHEN role = 'metric' THEN 'sum' ELSE 'count' END AS aggregation FROM r
+    """
+)
+def stored_specs(t):
+    """Customers read as text, inferred, kept with their specs, and the specs read back."""
+    raw = all_text(t.customer)
+    specs = infer(raw).specs
+    path = f"{checkpoint_dir(t.spark)}/specs-{uuid.uuid4().hex}"
+    save_table(normalize(raw, specs), path, specs=specs)
+    kept = read_specs(read_table(t.spark, path))
+    columns = ("field", "type", "role", "format", "aggregation")
+    rows = [(s.name, s.type, s.role, s.format, s.aggregation) for s in kept]
+    return literal_rows(t.spark, rows, dict.fromkeys(columns, "string"))
+
+
+@query(
+    """
+    WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n
+               FROM orders WHERE o_orderkey % 3 = 1)
+    SELECT o_orderkey FROM k WHERE pos IN (0, n // 2, n - 1)
+    """
+)
+def positions_of_filtered_rows(t):
+    """Rows by position after others were filtered out."""
+    kept = t.orders.filter("o_orderkey % 3 = 1").select("o_orderkey")
+    n = kept.count()
+    return rows_at(kept, [0, n // 2, n - 1], "o_orderkey")
+
+
 # --- padded and spaced cells ---------------------------------------------------------
 
 PADDED = "concat(repeat(' ', 70), CASE WHEN o_orderkey % 8 = 3 THEN 'soon' ELSE date_format(o_orderdate, 'yyyy/MM/dd') END)"

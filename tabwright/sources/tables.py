@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.columns import col, quoted, require
+from tabwright.fields import FieldSpec
 
 ROW_ID = "_row_id"
 PREVIEW_ROWS = 20
+SPEC = "field_spec"
 # The low bits of a row id count the rows inside one input split.
 SPLIT_BITS = 33
 
@@ -53,18 +57,28 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Keep a confirmed table for later analyses."""
+def save_table(
+    df: DataFrame, path: str, mode: str = "errorifexists", specs: Sequence[FieldSpec] = ()
+) -> None:
+    """Keep a confirmed table for later analyses, its field specs in the columns' metadata."""
+    require(df, [s.name for s in specs])
+    for s in specs:
+        df = df.withMetadata(s.name, {**df.schema[s.name].metadata, SPEC: json.dumps(asdict(s))})
     df.write.mode(mode).parquet(path)
 
 
+def stored_specs(df: DataFrame) -> list[FieldSpec]:
+    """The specs that were saved with a table, for the columns that have one."""
+    kept = [f.metadata[SPEC] for f in df.schema.fields if SPEC in f.metadata]
+    return [FieldSpec(**json.loads(text)) for text in kept]
+
+
 def ids_at(df: DataFrame, positions: Sequence[int], row_id: str = ROW_ID) -> list[int]:
     """Row ids at the given positions in row order, counted from 0.
 
     Ids are consecutive inside an input split, so the splits' sizes are enough:
-    one narrow aggregate instead of ranking the table. Ids must be unchanged
-    since :func:`with_row_id`, or be consecutive integers of the user's own; a
-    split with gaps at a wanted position is an error.
+    one narrow aggregate instead of ranking the table. Where rows were filtered out
+    since :func:`with_row_id`, the splits with gaps at wanted positions are ranked.
     """
     wanted = sorted({int(p) for p in positions})
     if not wanted:
@@ -74,14 +88,28 @@ def ids_at(df: DataFrame, positions: Sequence[int], row_id: str = ROW_ID) -> lis
         F.expr(f"min({c}) AS first_id"), F.expr(f"max({c}) AS last_id"), F.expr("count(*) AS size")
     )
     # One row per input split; the window only sees these.
+    positions_sql = f"array({', '.join(f'{p}L' for p in wanted)})"
     placed = splits.selectExpr("*", "sum(size) OVER (ORDER BY split) - size AS before").selectExpr(
-        "*", f"explode(array({', '.join(f'{p}L' for p in wanted)})) AS position"
-    )
-    found = placed.filter("position >= before AND position < before + size").selectExpr(
-        "CASE WHEN last_id - first_id + 1 = size THEN first_id + position - before "
-        "ELSE bigint(raise_error('row ids have gaps: attach them to the scanned table')) END AS id"
+        "*", f"explode(filter({positions_sql}, p -> p >= before AND p < before + size)) AS position"
     )
-    return sorted(r["id"] for r in found.collect())
+    found = placed.selectExpr(
+        "split", "position - before AS place",
+        "CASE WHEN last_id - first_id + 1 = size THEN first_id + position - before END AS id",
+    ).collect()
+    ids = [r["id"] for r in found if r["id"] is not None]
+    places: dict[int, list[int]] = {}
+    for r in found:
+        if r["id"] is None:
+            places.setdefault(r["split"], []).append(r["place"])
+    if places:
+        touched = df.filter(F.expr(f"shiftright({c}, {SPLIT_BITS})").isin(list(places)))
+        ranked = touched.selectExpr(
+            f"{c} AS id", f"shiftright({c}, {SPLIT_BITS}) AS split",
+            f"row_number() OVER (PARTITION BY shiftright({c}, {SPLIT_BITS}) ORDER BY {c}) - 1 AS place",
+        )
+        at = " OR ".join(f"(split = {s} AND place IN ({', '.join(map(str, ps))}))" for s, ps in places.items())
+        ids += [r["id"] for r in ranked.filter(at).collect()]
+    return sorted(ids)
 
 
 def rows_at(df: DataFrame, positions: Sequence[int], row_id: str = ROW_ID) -> DataFrame:

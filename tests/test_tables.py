@@ -11,7 +11,7 @@ from tabwright.sources import (
     cap_rows, clean_names, drop_placeholders, preview, read_delimited, read_table, save_table, with_row_id,
 )
 from tabwright.sources.delimited import guess_delimiter, has_quoted_newlines
-from tabwright.sources.tables import row_counts, rows_at
+from tabwright.sources.tables import row_counts, rows_at, stored_specs
 from tests.conftest import rows_of
 
 BASIC = """date,客户,托管群数,活跃率,运营状态,金额
@@ -161,10 +161,19 @@ def test_row_positions_across_splits(spark):
     assert found == [0, 142, 143, 500, 999]
 
 
-def test_row_ids_with_gaps_are_an_error(spark):
-    df = with_row_id(spark.range(100).selectExpr("id AS v")).filter("v % 2 = 0")
-    with pytest.raises(Exception, match="gaps"):
-        rows_at(df, [3])
+def test_row_positions_after_a_filter(spark):
+    df = with_row_id(spark.range(0, 1000, 1, 7).selectExpr("id AS v")).filter("v % 2 = 0 OR v < 10")
+    want = [v for v in range(1000) if v % 2 == 0 or v < 10]
+    at = [0, 3, 9, 77, 250, len(want) - 1]
+    assert sorted(r["v"] for r in rows_at(df, [*at, 5000]).collect()) == [want[p] for p in at]
+
+
+def test_specs_are_stored_with_the_table(spark, tmp_path):
+    specs = [FieldSpec("v", "number", "metric", "percentage", "rate", "avg"), FieldSpec("k", include=False)]
+    save_table(spark.createDataFrame([(1.0, "a", 2)], "v double, k string, other int"), str(tmp_path / "t"), specs=specs)
+    assert stored_specs(read_table(spark, str(tmp_path / "t"))) == specs
+    with pytest.raises(ValueError):
+        save_table(spark.range(1), str(tmp_path / "u"), specs=specs)
 
 
 def test_caps_and_storage(spark, tmp_path):
