@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.columns import (
-    group_key, inline_sql, kind, missing_sql, number_sql, require, struct_sql, text_sql,
+    group_key, inline_sql, key_sql, kind, missing_sql, number_sql, require, struct_sql, text_sql,
 )
 from tabwright.functions.aggregates import or_zero
 from tabwright.functions.predicates import apply_filters
@@ -23,12 +23,13 @@ def profile(
 ) -> DataFrame:
     """One row per field: counts for all, min, max, mean and median for numbers.
 
-    All fields share one wide aggregate, turned into rows afterwards.
+    All fields share one wide aggregate, turned into rows afterwards. Exact distinct
+    counts come from a second one with a row per cell, whose key holds the value, so
+    that no field's values meet in one task.
     """
     fields = list(fields or df.columns)
     require(df, fields)
     kept = apply_filters(df, filters)
-    distinct = "approx_count_distinct({})" if approx_distinct else "count(DISTINCT {})"
     numbers = [f for f in fields if kind(kept, f) == "number"]
     names = {f: f"_f{i}" for i, f in enumerate(fields)}
     # What is counted, in its own type; a missing cell is NULL.
@@ -41,7 +42,9 @@ def profile(
     )
     aggs = ["count(*) AS rows"]
     for f, n in names.items():
-        aggs += [f"{distinct.format(n)} AS {n}_distinct", f"count({n}) AS {n}_count"]
+        aggs.append(f"count({n}) AS {n}_count")
+        if approx_distinct:
+            aggs.append(f"approx_count_distinct({n}) AS {n}_distinct")
         if f in numbers:
             aggs.append(
                 struct_sql(count=f"count({n}x)", min=f"min({n}x)", max=f"max({n}x)", mean=f"avg({n}x)")
@@ -65,9 +68,26 @@ def profile(
                 field=text_sql(f),
                 type=text_sql(kind(kept, f)),
                 count=count,
-                distinctCount=f"{n}_distinct",
+                distinctCount=f"{n}_distinct" if approx_distinct else "0L",
                 nullRate=or_zero(f"try_divide(rows - {count}, rows)"),
                 **statistics,
             )
         )
-    return wide.selectExpr(inline_sql(rows))
+    out = wide.selectExpr(inline_sql(rows))
+    if approx_distinct:
+        return out
+    # Both sides have one row per field.
+    counts = F.broadcast(_distinct_counts(kept, fields))
+    columns = [F.coalesce("n", F.lit(0)).alias(c) if c == "distinctCount" else F.col(c) for c in out.columns]
+    return out.join(counts, "field", "left").select(*columns)
+
+
+def _distinct_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``field, n``: distinct values of the cells that are there; long ones by their hash."""
+    cells = [
+        struct_sql(field=text_sql(f), value=f"CASE WHEN NOT {missing_sql(df, f)} THEN {key_sql(df, f)} END")
+        for f in fields
+    ]
+    short = "CASE WHEN octet_length(value) > 32 THEN unhex(sha2(value, 256)) ELSE cast(value AS binary) END"
+    values = df.selectExpr(inline_sql(cells)).filter("value IS NOT NULL").selectExpr("field", f"{short} AS value")
+    return values.distinct().groupBy("field").agg(F.count("*").alias("n"))

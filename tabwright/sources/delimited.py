@@ -57,15 +57,18 @@ def read_delimited(
     delimiter: str | None = None,
     multi_line: bool | None = None,
     row_id: bool = True,
+    lines_to_guess: int = LINES_TO_GUESS,
 ) -> RawTable:
     """Read UTF-8 delimited text whose first row is the header.
 
     Every cell is text and an empty cell is NULL; short rows are padded. Files
     are split across tasks unless a quoted cell contains a line break, which is
-    looked up when ``multi_line`` is not given. ``_row_id`` keeps the file order.
+    looked up when ``multi_line`` is not given. ``lines_to_guess`` lines decide the
+    delimiter where none is given. ``_row_id`` keeps the order inside a file; over
+    several files the order of the files is Spark's.
     """
     if delimiter is None:
-        head = spark.read.text(path).filter(F.trim("value") != "").limit(LINES_TO_GUESS)
+        head = spark.read.text(path).filter(F.trim("value") != "").limit(lines_to_guess)
         delimiter = guess_delimiter([r["value"] for r in head.collect()])
     if multi_line is None:
         multi_line = has_quoted_newlines(spark, path)
