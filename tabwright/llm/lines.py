@@ -134,6 +134,8 @@ def removals(docs: DataFrame, who: str, text: str, least: int = MIN_BLOCK_WORDS)
         .filter(F.col("last") > F.col(f"home.{who}"))
         .select("mark", "check", F.col(f"home.{who}").alias("first"), F.expr(f"home.rank div {SEGMENT}").alias("first_part"))
     )
+    # written, so that both sides of the join come from shuffles that Spark can split
+    shared = written(shared, "shared-lines")
     part = F.expr(f"rank div {SEGMENT}")
     parts = F.when((part > 0) & (F.col("rank") % SEGMENT < OVERLAP), F.array(part, part - 1)).otherwise(F.array(part))
     kept = lines.join(shared, ["mark", "check"]).withColumn("part", F.explode(parts))
