@@ -77,7 +77,40 @@ FROM split
 
 @query
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("longest_match")
+
+
+SQL["op1_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+),
+cut AS (SELECT item_id, w, least(len(w), 10) AS n FROM i WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS x
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM cut)
+),
+sizes AS (SELECT DISTINCT n FROM windows),
+found AS (
+  SELECT r, k, n, item_id FROM (
+    SELECT r, k, n, array_to_string(w[k : k + n - 1], ' ') AS x
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)
+  ) JOIN windows USING (n, x)
+),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM found) GROUP BY r),
+items AS (SELECT r, list(item) AS items FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, 'null') AS item FROM found ORDER BY 1, 2) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(list_sort(items), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
 
 
 @query
@@ -121,7 +154,22 @@ def op2_warc_members(spark: SparkSession, folder: str) -> DataFrame:
     drop(spark, whole)
     records = warc.read_records(spark, single, warc.read_index(spark, single))
     found = warc.with_types(warc.digests(records, "page_id", source.schema["page_id"].dataType.simpleString()), "page_id")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op2_warc_members"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS kept FROM p),
+fives AS (  -- five hexadecimal digits are four of base 32
+  SELECT *, list_transform(range(8), lambda k: ('0x' || substr(hex, 5 * k + 1, 5))::BIGINT) AS f FROM last
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(f, lambda x: array_to_string(list_transform([32768, 1024, 32, 1],
+         lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x // d) % 32 + 1)::BIGINT, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM fives
+"""
 
 
 @query
