@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm.common import fresh, written
+
 PREFIX_DIGITS = 8
 MAX_LENGTHS = 4096
 ALLOW, BLOCK = "allow", "block"
@@ -85,16 +87,19 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = A
         raise ValueError(f"rule paths have more than {MAX_LENGTHS} different lengths")
     host, path = parts("url")
     urls = pages.select(F.col(url).alias("url")).filter("url is not null").distinct().select("url", host.alias("host"), path.alias("path"))
+    same = fresh(pages, "_url")
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.concat("r_host", "r_path").alias("rule"), "r_verdict")
     best = (
         expressions(urls, lengths).join(known, "prefix").filter("digest = r_digest")
         .groupBy("url").agg(F.max(rank).alias("best"))
-        .select(F.col("url").alias("_url"), F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
+        .select(F.col("url").alias(same), F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
     )
+    # written, so that a hot URL's rows come from a shuffle that Spark can split
+    best = written(best, "verdicts")
     own = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict"} or c == url]
     host, path = parts(url)
     return (
         pages.select(*own, host.alias("host"), path.alias("path"))
-        .join(best, F.col(url) == F.col("_url"), "left")
+        .join(best, F.col(url) == F.col(same), "left")
         .select(*own, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
     )

@@ -222,6 +222,8 @@ def with_types(records: DataFrame, key: str, smallest: int = 0) -> DataFrame:
         records.filter(F.col("payload_bytes") >= smallest).groupBy("payload_digest", "payload_bytes")
         .agg(F.max(place).alias("kept"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     )
+    # written, so that a hot payload's rows come from a shuffle that Spark can split
+    kept = written(kept, "kept")
     again = F.col("kept").isNotNull() & (F.col("kept") != place)
     return (
         records.join(kept, ["payload_digest", "payload_bytes"], "left")
