@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import map_batches, texts_of, written
+from tabwright.llm.common import fresh, map_batches, texts_of, written
 
 WINDOW = 10
 # Fixed value: what a word is, after A-Z are lower-cased.
@@ -334,21 +334,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", length:
 def _decontaminate_by_shard(docs, items, text, length, max_span, max_coverage) -> DataFrame:
     """The same for items of several automata, a pass each."""
     columns = docs.columns
+    hits, spans, words, gone = (fresh(docs, n) for n in ("_hits", "_spans", "_words", "_gone"))
+    docs = docs.withColumn(words, F.lit(None).cast("bigint")).withColumn(gone, F.lit(0).cast("bigint"))
+    long = f"filter(arrays_zip(`{hits}`.starts, `{hits}`.ends), s -> s.ends - s.starts > {max_span})"
+    lost = f"aggregate({long}, 0L, (a, s) -> a + s.ends - s.starts)"
     while True:
-        found = written(find(docs, items, text, into="_hits"), "hits")
-        spans = f"filter(arrays_zip(_hits.starts, _hits.ends), s -> s.ends - s.starts > {max_span})"
-        lost = F.expr(f"aggregate({spans}, 0L, (a, s) -> a + s.ends - s.starts)")
-        found = found.withColumn("_spans", F.expr(spans)).withColumn("_lost", lost)
-        if "_n" not in found.columns:
-            found = found.withColumn("_n", F.col("_hits.n_words")).withColumn("_gone", F.lit(0).cast("bigint"))
-        found = found.withColumn("_gone", F.col("_gone") + F.col("_lost"))
-        again = found.filter("_lost > 0").limit(1).count()
+        found = written(find(docs, items, text, into=hits), "hits").withColumns({
+            spans: F.expr(long),
+            words: F.coalesce(words, F.col(hits).getField("n_words")),
+            gone: F.col(gone) + F.expr(lost),
+        })
+        again = not found.filter(F.size(spans) > 0).isEmpty()
         docs = _rewritten(
-            found, text, lambda t, spans: (cut(t, [(s["starts"], s["ends"]) for s in spans]) if spans else t, True),
-            length, extra="_spans",
-        ).drop("_hits", "_spans", "_lost")
+            found, text, lambda t, cuts: (cut(t, [(s["starts"], s["ends"]) for s in cuts]) if cuts else t, True),
+            length, extra=spans,
+        ).drop(hits, spans)
         if not again:
-            return docs.filter(F.col("_gone") <= F.lit(max_coverage) * F.col("_n")).select(*columns)
+            return docs.filter(F.col(gone) <= F.lit(max_coverage) * F.col(words)).select(*columns)
 
 
 def _rewritten(docs: DataFrame, text: str, fn, length: str | None, extra: str | None = None) -> DataFrame:

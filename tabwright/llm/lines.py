@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import map_batches, texts_of, written
+from tabwright.llm.common import fresh, map_batches, texts_of, written
 
 MIN_BLOCK_WORDS = 40
 SEGMENT, OVERLAP = 2048, 64
@@ -177,17 +177,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns = [c for c in docs.columns if c != removed]
+    own, gone_at, count = (fresh(docs, n) for n in ("_who", "_positions", removed or "_removed"))
     who = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("mark"))
-    here = docs.select(*columns, who.alias("_who"))
-    gone = removals(here.select("_who", F.col(text).alias("_text")), "_who", "_text", least).withColumnRenamed("positions", "_positions")
-    found = here.join(gone, "_who", "left").drop("_who")
-    schema = found.drop("_positions").withColumn(removed or "_n", F.lit(0).cast("bigint")).schema
+    here = docs.select(*columns, who.alias(own))
+    gone = removals(here.select(own, F.col(text).alias("_text")), own, "_text", least).withColumnRenamed("positions", gone_at)
+    found = here.join(gone, own, "left").drop(own)
+    schema = found.drop(gone_at).withColumn(removed or count, F.lit(0).cast("bigint")).schema
     arrow = to_arrow_schema(schema)
     counted = length if length in columns else None
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            positions = batch.column("_positions").to_pylist()
+            positions = batch.column(gone_at).to_pylist()
             texts = []
             for t, drop in zip(texts_of(batch, text), positions):
                 if drop:
@@ -198,7 +199,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length
             if counted:
                 old = batch.column(counted).to_pylist()
                 out[counted] = pa.array([len(t) if d else n for t, d, n in zip(texts, positions, old)])
-            out[removed or "_n"] = pa.array([len(d or ()) for d in positions])
+            out[removed or count] = pa.array([len(d or ()) for d in positions])
             yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     return found.mapInArrow(apply, schema).select(*columns, *([removed] if removed else []))

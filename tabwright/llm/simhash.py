@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import map_batches, texts_of, written
+from tabwright.llm.common import fresh, map_batches, texts_of, written
 from tabwright.llm.components import components
 
 BITS, HALF = 64, 32
@@ -219,7 +219,8 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", budg
     kept = grouped_prints(prints, low, budget).groupBy("root").agg(F.min("low").alias("key"))
     # how often the row that stays occurs: only repeated rows need a further look
     kept = written(kept.join(prints, ["key"]).groupBy("key").agg(F.count("*").alias("copies")), "kept")
-    here = docs.withColumn("_who", who)
-    once = here.join(kept.filter("copies = 1").select(F.col("key").alias("_who")), "_who", "left_semi")
-    more = here.join(kept.filter("copies > 1").select(F.col("key").alias("_who")), "_who", "left_semi")
-    return once.unionByName(more.dropDuplicates(["_who"])).drop("_who")
+    own = fresh(docs, "_who")
+    here = docs.withColumn(own, who)
+    once = here.join(kept.filter("copies = 1").select(F.col("key").alias(own)), own, "left_semi")
+    more = here.join(kept.filter("copies > 1").select(F.col("key").alias(own)), own, "left_semi")
+    return once.unionByName(more.dropDuplicates([own])).drop(own)

@@ -62,7 +62,7 @@ def test_report_equals_brute_force(spark, tables, shard, monkeypatch):
 def test_cleaned_texts_hold_no_window_and_clean_ones_stay(spark, tables, shard, monkeypatch):
     monkeypatch.setattr(d, "SHARD_BYTES", shard)
     docs, items = tables
-    frame = spark.createDataFrame([(i, t, -1, "x") for i, t in docs], "doc_id long, text string, n_chars long, items string")
+    frame = spark.createDataFrame([(i, t, -1, "x", 1) for i, t in docs], "doc_id long, text string, n_chars long, items string, _hits int")
     out = d.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"))
     assert out.columns == frame.columns
     rows = out.collect()

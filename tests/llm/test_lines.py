@@ -53,7 +53,7 @@ def test_deleted_blocks(spark, docs, segment, monkeypatch):
     monkeypatch.setattr(m, "SEGMENT", segment)
     monkeypatch.setattr(m, "OVERLAP", min(64, segment // 2))
     odd = [(900, None), (901, ""), (902, "\n\n")]
-    frame = spark.createDataFrame([(i, t, -1, 7) for i, t in docs + odd], "doc_id long, text string, n_chars long, positions long")
+    frame = spark.createDataFrame([(i, t, -1, 7, "w") for i, t in docs + odd], "doc_id long, text string, n_chars long, _Positions long, _who string")
     out = m.dedup_lines(frame.repartition(3))
     assert out.columns == frame.columns
     gone = reference(docs, m.MIN_BLOCK_WORDS)

@@ -91,7 +91,7 @@ def test_documents(spark):
     prose = " ".join(f"w{i}" for i in range(400))
     near = prose.replace("w7 ", "q ")
     rows = [(5, prose), (3, near), (9, prose), (1, "quite other words here and nothing alike"), (7, None), (6, ""), (None, prose), (9, prose)]
-    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp string, root long")
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _who string, root long")
     marks = [brute_fingerprint(t) for _, t in rows]
     low = brute_components(marks)
     keys = {g: min((k for k, _ in (rows[i] for i in range(len(rows)) if low[i] == g) if k is not None), default=None) for g in low}

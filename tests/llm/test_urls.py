@@ -39,10 +39,10 @@ def brute(url):
 @pytest.mark.parametrize("copies", [1, 3])
 def test_verdicts(spark, copies):
     rows = [(i, x, "odd", 1) for i, x in enumerate(URLS)] * copies + [(None, "http://example.com/en/1", None, 0)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, host string, digest int")
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, _url int")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     out = u.judge(pages, rules)
-    assert out.columns == ["page_id", "url", "digest", "host", "path", "rule", "verdict"]
+    assert out.columns == ["page_id", "url", "_url", "host", "path", "rule", "verdict"]
     got = sorted((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in out.collect())
     assert list(map(str, got)) == list(map(str, sorted((str(i), *brute(x)) for i, x, *_ in rows)))
 
