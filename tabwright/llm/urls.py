@@ -94,8 +94,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = A
         .groupBy("url").agg(F.max(rank).alias("best"))
         .select(F.col("url").alias(same), F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
     )
-    # written, so that a hot URL's rows come from a shuffle that Spark can split
-    best = written(best, "verdicts")
+    # written, so that a hot URL's rows come from a shuffle that Spark can split; merged,
+    # since verdicts grow with the URLs and files are smaller than what a broadcast holds
+    best = written(best, "verdicts").hint("merge")
     own = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict"} or c == url]
     host, path = parts(url)
     return (
