@@ -39,8 +39,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``fn`` turns the columns of one batch into lists for the columns of ``schema``."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int | None = None) -> DataFrame:
+    """``fn`` turns the columns of one batch, of at most ``rows`` rows, into lists for the columns of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -48,8 +48,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for at in range(0, batch.num_rows, rows or batch.num_rows or 1):
+                out = fn(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays(
                     [column if isinstance(column := out[f.name], pa.Array) else pa.array(column, f.type) for f in arrow],
                     schema=arrow,
