@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,14 +192,27 @@ def _pieces(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame
     return map_batches(rows, run, "item string, words string").filter("words <> ''")
 
 
-def automata(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> Iterator[Automaton]:
-    """One automaton per shard of items, each from about ``SHARD_BYTES`` of words at most."""
-    pieces = written(_pieces(items, item_id, text, window), "items")
+@dataclass
+class Dealt:
+    """Distinct pieces of items as a written table, and the number of shards they are dealt into."""
+
+    pieces: DataFrame
+    shards: int
+    window: int
+
+
+def dealt(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> Dealt:
+    """Shards hold about ``SHARD_BYTES`` of words at most; repeated items count once."""
+    pieces = written(_pieces(items, item_id, text, window).distinct(), "items")
     size = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = size // SHARD_BYTES + 1
-    for k in range(shards):
-        rows = pieces.filter(F.expr(f"pmod(xxhash64(item, words), {shards}) = {k}")) if shards > 1 else pieces
-        yield Automaton(window).add([(r.item, r.words.split(" ")) for r in rows.collect()])
+    return Dealt(pieces, size // SHARD_BYTES + 1, window)
+
+
+def automata(parts: Dealt) -> Iterator[Automaton]:
+    """One automaton per shard, built when it is asked for."""
+    for k in range(parts.shards):
+        rows = parts.pieces.filter(F.expr(f"pmod(xxhash64(item, words), {parts.shards}) = {k}")) if parts.shards > 1 else parts.pieces
+        yield Automaton(parts.window).add([(r.item, r.words.split(" ")) for r in rows.collect()])
 
 
 @dataclass
@@ -222,18 +236,22 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     id. No items at all leave every document unhit. Extra columns pass through; one
     named like ``into`` is replaced.
     """
-    docs = docs.drop(into)
-    found = None
-    for k, automaton in enumerate(automata(items, item_id, item_text, window)):
-        docs = _find_shard(docs if found is None else written(found, "hits"), automaton, text, into, k)
-        found = docs
+    return _find(docs, dealt(items, item_id, item_text, window), text, into)
+
+
+def _find(docs: DataFrame, parts: Dealt, text: str, into: str) -> DataFrame:
+    found = docs.drop(into)
+    machines = automata(parts)
+    for k in range(parts.shards):
+        # the driver holds one automaton at a time
+        shared = docs.sparkSession.sparkContext.broadcast(next(machines))
+        found = _find_shard(written(found, "hits") if k else found, shared, text, into, k)
     return found
 
 
-def _find_shard(docs: DataFrame, automaton: Automaton, text: str, into: str, shard: int) -> DataFrame:
+def _find_shard(docs: DataFrame, shared: Broadcast, text: str, into: str, shard: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
     before = [c for c in docs.columns if c != into]
     schema = docs.select(*before).withColumn(into, F.lit(None).cast(HITS)).schema
     arrow = to_arrow_schema(schema)
@@ -312,10 +330,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", length:
     that keeps the text's number of characters, where there is one.
     """
     columns = docs.columns
-    machines = list(automata(items))
-    if len(machines) > 1:
-        return _decontaminate_by_shard(docs, items, text, length, max_span, max_coverage)
-    shared = docs.sparkSession.sparkContext.broadcast(machines[0])
+    parts = dealt(items)
+    if parts.shards > 1:
+        return _decontaminate_by_shard(docs, parts, text, length, max_span, max_coverage)
+    shared = docs.sparkSession.sparkContext.broadcast(next(automata(parts)))
 
     def clean(value: str | None) -> tuple[str | None, bool]:
         machine, n, lost = shared.value, None, 0
@@ -331,7 +349,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", length:
     return _rewritten(docs, text, clean, length).select(*columns)
 
 
-def _decontaminate_by_shard(docs, items, text, length, max_span, max_coverage) -> DataFrame:
+def _decontaminate_by_shard(docs, parts, text, length, max_span, max_coverage) -> DataFrame:
     """The same for items of several automata, a pass each."""
     columns = docs.columns
     hits, spans, words, gone = (fresh(docs, n) for n in ("_hits", "_spans", "_words", "_gone"))
@@ -339,7 +357,7 @@ def _decontaminate_by_shard(docs, items, text, length, max_span, max_coverage) -
     long = f"filter(arrays_zip(`{hits}`.starts, `{hits}`.ends), s -> s.ends - s.starts > {max_span})"
     lost = f"aggregate({long}, 0L, (a, s) -> a + s.ends - s.starts)"
     while True:
-        found = written(find(docs, items, text, into=hits), "hits").withColumns({
+        found = written(_find(docs, parts, text, hits), "hits").withColumns({
             spans: F.expr(long),
             words: F.coalesce(words, F.col(hits).getField("n_words")),
             gone: F.col(gone) + F.expr(lost),

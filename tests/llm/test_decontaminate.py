@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from weakref import WeakSet
 
 import pytest
 
@@ -83,3 +84,23 @@ def test_empty_tables(spark):
     assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in out] == [(2, 0, 0, False), (0, 0, 0, False)]
     assert d.report(docs.limit(0), none).count() == 0
     assert d.decontaminate(docs, none).collect() == docs.collect()
+
+
+def test_driver_holds_one_automaton_and_repeated_items_are_one_shard(spark, tables, monkeypatch):
+    monkeypatch.setattr(d, "SHARD_BYTES", 300)
+    docs, items = tables
+    alive, counts, init = WeakSet(), [], d.Automaton.__init__
+
+    def counted(self, *args):
+        init(self, *args)
+        alive.add(self)
+        counts.append(len(alive))
+
+    monkeypatch.setattr(d.Automaton, "__init__", counted)
+    d.decontaminate(
+        spark.createDataFrame(docs[:5], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert len(counts) > 1 and max(counts) == 1
+    same = spark.createDataFrame([(1, "one item of ten words that a table repeats often")] * 500, "item_id long, text string")
+    parts = d.dealt(same)
+    assert parts.shards == 1 and parts.pieces.count() == 1
