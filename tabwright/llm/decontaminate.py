@@ -320,9 +320,12 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", length: str | None = "n_chars",
-                  max_span: int = WINDOW - 1, max_coverage: float = 0.5) -> DataFrame:
+                  max_span: int = WINDOW - 1, max_coverage: float = 0.5, all_hits: bool = False) -> DataFrame:
     """``docs`` without item text: spans of more than ``max_span`` hit words are cut out, and
-    documents of which more than ``max_coverage`` of the words are hit are removed.
+    documents of which more than ``max_coverage`` of the words are cut are removed.
+
+    With ``all_hits`` coverage counts every hit word of the text as it came, also those of
+    spans that are too short to be cut, such as items shorter than a window.
 
     Cutting can bring words together that form a new window; the rest is searched
     again until nothing is found, and coverage is counted over all cuts. Documents
@@ -332,43 +335,60 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", length:
     columns = docs.columns
     parts = dealt(items)
     if parts.shards > 1:
-        return _decontaminate_by_shard(docs, parts, text, length, max_span, max_coverage)
+        return _decontaminate_by_shard(docs, parts, text, length, max_span, max_coverage, all_hits)
     shared = docs.sparkSession.sparkContext.broadcast(next(automata(parts)))
 
     def clean(value: str | None) -> tuple[str | None, bool]:
-        machine, n, lost = shared.value, None, 0
-        while True:
-            words = words_of(value)
-            n = len(words) if n is None else n
-            spans = [s for s in machine.hits(words)[0] if s[1] - s[0] > max_span]
-            if not spans:
-                return value, lost <= max_coverage * n
-            lost += sum(e - s for s, e in spans)
+        machine = shared.value
+        words = words_of(value)
+        lost, places = np.zeros(len(words), bool), np.arange(len(words))  # of the text as it came
+        spans = machine.hits(words)[0]
+        for s, e in spans if all_hits else ():
+            lost[s:e] = True
+        while spans := [s for s in spans if s[1] - s[0] > max_span]:
             value = cut(value, spans)
+            gone = np.concatenate([np.arange(s, e) for s, e in spans])
+            lost[places[gone]] = True
+            places = np.delete(places, gone)
+            spans = machine.hits(words_of(value))[0]
+        return value, lost.sum() <= max_coverage * len(lost)
 
     return _rewritten(docs, text, clean, length).select(*columns)
 
 
-def _decontaminate_by_shard(docs, parts, text, length, max_span, max_coverage) -> DataFrame:
+def _decontaminate_by_shard(docs, parts, text, length, max_span, max_coverage, all_hits) -> DataFrame:
     """The same for items of several automata, a pass each."""
     columns = docs.columns
-    hits, spans, words, gone = (fresh(docs, n) for n in ("_hits", "_spans", "_words", "_gone"))
-    docs = docs.withColumn(words, F.lit(None).cast("bigint")).withColumn(gone, F.lit(0).cast("bigint"))
-    long = f"filter(arrays_zip(`{hits}`.starts, `{hits}`.ends), s -> s.ends - s.starts > {max_span})"
+    hits, spans, words, gone, short = (fresh(docs, n) for n in ("_hits", "_spans", "_words", "_gone", "_short"))
+    docs = docs.withColumns({
+        words: F.lit(None).cast("bigint"), gone: F.lit(0).cast("bigint"), short: F.lit(None).cast("array<bigint>"),
+    })
+    every = f"arrays_zip(`{hits}`.starts, `{hits}`.ends)"
+    long = f"filter({every}, s -> s.ends - s.starts > {max_span})"
     lost = f"aggregate({long}, 0L, (a, s) -> a + s.ends - s.starts)"
+    # words of spans that the first search leaves in, by their place in the text as it is now
+    first = f"flatten(transform(filter({every}, s -> s.ends - s.starts <= {max_span}), s -> sequence(s.starts, s.ends - 1)))"
+    left = f"filter(`{short}`, p -> not exists({long}, s -> p >= s.starts and p < s.ends))"
+    known = f"coalesce(`{short}`, {first if all_hits else 'cast(array() as array<bigint>)'})"
+    moved = "transform({0}, p -> p - aggregate(filter({1}, s -> s.ends <= p), 0L, (a, s) -> a + s.ends - s.starts))"
     while True:
-        found = written(_find(docs, parts, text, hits), "hits").withColumns({
-            spans: F.expr(long),
-            words: F.coalesce(words, F.col(hits).getField("n_words")),
-            gone: F.col(gone) + F.expr(lost),
-        })
+        found = (
+            written(_find(docs, parts, text, hits), "hits")
+            .withColumn(short, F.expr(known))
+            .withColumns({
+                short: F.expr(moved.format(left, long)),
+                spans: F.expr(long),
+                words: F.coalesce(words, F.col(hits).getField("n_words")),
+                gone: F.col(gone) + F.expr(lost),
+            })
+        )
         again = not found.filter(F.size(spans) > 0).isEmpty()
         docs = _rewritten(
             found, text, lambda t, cuts: (cut(t, [(s["starts"], s["ends"]) for s in cuts]) if cuts else t, True),
             length, extra=spans,
         ).drop(hits, spans)
         if not again:
-            return docs.filter(F.col(gone) <= F.lit(max_coverage) * F.col(words)).select(*columns)
+            return docs.filter(F.col(gone) + F.size(short) <= F.lit(max_coverage) * F.col(words)).select(*columns)
 
 
 def _rewritten(docs: DataFrame, text: str, fn, length: str | None, extra: str | None = None) -> DataFrame:

@@ -104,3 +104,33 @@ def test_driver_holds_one_automaton_and_repeated_items_are_one_shard(spark, tabl
     same = spark.createDataFrame([(1, "one item of ten words that a table repeats often")] * 500, "item_id long, text string")
     parts = d.dealt(same)
     assert parts.shards == 1 and parts.pieces.count() == 1
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 100])
+def test_coverage_counts_short_items(spark, shard, monkeypatch, tmp_path):
+    from corpus_pipeline import STAGES
+
+    monkeypatch.setattr(d, "SHARD_BYTES", shard)
+    short, other = "one short item of just eight words here", "another item that has nine words in all now"
+    long = " ".join(f"long{i}" for i in range(12))
+    rest = [f"free{i}" for i in range(40)]
+    split = long.split()
+    docs = {
+        1: short,
+        2: f"{short} x {other} y",  # short spans only
+        3: f"{short} " + " ".join(rest[:8]),  # half of the words
+        4: f"{short} " + " ".join(rest[:7]),
+        5: f"{short} x {long} " + " ".join(rest[:18]),  # 20 of 39 words, 12 of them in a span that goes
+        6: f"{short} x {long} " + " ".join(rest[:19]),
+        7: " ".join(rest), 8: None, 9: "",
+        # cutting the inner passage joins the outer one: 24 of 48 words, and 24 of 47
+        10: " ".join([*split[:6], *split, *split[6:], *rest[:24]]), 11: " ".join([*split[:6], *split, *split[6:], *rest[:23]]),
+        # cutting moves the short item to another place, and a second cut is counted once
+        12: " ".join([*split[:6], *split, *split[6:], "x", *short.split(), *rest[:32]]),
+        13: " ".join([*split[:6], *split, *split[6:], "x", *short.split(), *rest[:30]]),
+    }
+    spark.createDataFrame([(1, short), (2, other), (3, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.createDataFrame([(k, t, -1) for k, t in docs.items()], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r.text for r in dict(STAGES)["benchmark_decontamination"](spark, frame, str(tmp_path)).collect()}
+    assert sorted(out) == [3, 6, 7, 8, 9, 10, 12]
+    assert out[3] == docs[3] and long not in out[6] and short in out[6] and short in out[12]
