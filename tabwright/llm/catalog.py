@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, lines, packing, pages, quality, recount, simhash, urls, warc
+from tabwright.llm import (
+    decontaminate, langid, lines, packing, pages, quality, recount, runs, shards, simhash, spelling, urls, warc,
+)
 from tabwright.llm.common import drop, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +185,58 @@ def op5_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return recount.recount(recount.with_mask_edits(docs), bpe_file(), PATTERN)
+
+
+@query
+def op11_spelling_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"), typos=97)
+
+
+@query
+def op12_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    docs, path = table(spark, folder, "documents").select("doc_id", "text"), shared_folder(spark, "shards")
+    shards.write_shards(docs, path)
+    whole = F.coalesce("text", F.lit(""))
+    return shards.read_shards(spark, path, docs).select(
+        "doc_id",
+        (F.octet_length(whole) + 16).cast("bigint").alias("size"),
+        F.crc32(whole).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The texts in which the contract plants repetitions, the others as they are."""
+    words = r"filter(split(text, r'[\x20\x09-\x0D]+'), w -> w <> '')"
+    h = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    w = h.withColumn("w", F.expr(f"CASE WHEN h % 10 = 0 THEN {words} END"))
+    at = w.selectExpr("*", "size(w) AS n", "h div 10 AS g").selectExpr(
+        "*", "CASE WHEN n > 0 THEN g % n END AS a", "3 + g % 8 AS parts"
+    )
+    shifted = "transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE element_at(w, cast(a + (i - a) % p + 1 AS int)) END)"
+    return at.withColumn("p", F.expr("1 + (n - a) div parts")).selectExpr(
+        "doc_id", f"CASE WHEN n > 0 THEN array_join({shifted}, ' ') ELSE text END AS text"
+    )
+
+
+@query
+def op13_square_catcher(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(with_repeats(table(spark, folder, "documents")))
+    # the first of the longest runs: structs compare field by field
+    longest = found.withColumn("top", F.expr(
+        "array_min(transform(runs, r -> struct(-r.length AS less, r.start AS start, r.period AS period)))"
+    ))
+    lines = "array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\\n'), '')"
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        (-F.col("top.less")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.expr("1000 * -top.less div top.period").alias("exponent_milli"),
+        F.sha2(F.expr(lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

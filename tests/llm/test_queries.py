@@ -1,5 +1,6 @@
 """The registered queries over the driver's smallest tables: SQL or plain programs."""
 
+import hashlib
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -14,7 +15,10 @@ from tabwright.llm import quality
 from tabwright.llm.catalog import QUERIES, SQL
 from tests.llm.test_lines import reference
 from tests.llm.test_quality import brute as base_counts
+from tests.llm.test_runs import brute as brute_runs
+from tests.llm.test_runs import brute_collapse
 from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_spelling import brute_forms, brute_words
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,7 +40,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_language(spark, docs):
@@ -104,3 +108,47 @@ def test_packing(spark, docs):
         lengths[r.sequence_id] += r.length
     assert at == {i: len(x) for i, x in ids.items()}
     assert all(n <= 2048 and n & (n - 1) == 0 for n in lengths.values())
+
+
+def test_spelling(spark, docs):
+    words = brute_words([(i, d.text) for i, d in docs.items()], typos=97)
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows(spark, "op11_spelling_chunks")}
+    assert got == brute_forms(words) and len(got) > 100
+
+
+def test_shards(spark, docs):
+    out = rows(spark, "op12_external_shuffle")
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    slots = defaultdict(list)
+    for r in out:
+        data = docs[r.doc_id].text.encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "rows", None)
+        slots[r.shard].append(r.slot)
+    assert set(slots) == set(range(40)) and all(sorted(x) == list(range(5)) for x in slots.values())
+
+
+def repeated(key, words):
+    """The contract's planted repetition, written word by word."""
+    h, n = zlib.crc32(str(key).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a, p = g % n, 1 + (n - g % n) // (3 + g % 8)
+    return [words[a + (i - a) % p] if i >= a else w for i, w in enumerate(words)]
+
+
+def test_runs(spark, docs):
+    sha, met = (lambda t: hashlib.sha256(t.encode()).hexdigest()), 0
+    for r in rows(spark, "op13_square_catcher"):
+        words = repeated(r.doc_id, [w.decode() for w in docs[r.doc_id].text.encode().split()])
+        if len(words) > 1500:
+            continue
+        found = brute_runs(words)
+        met += bool(found)
+        top = min(found, key=lambda x: (-x.length, x.start, x.period), default=None)
+        want = (top.start, top.length, top.period, 1000 * top.length // top.period) if top else (None,) * 4
+        assert tuple(r)[1:] == (
+            len(found), *want, sha("".join(f"{x.start},{x.length},{x.period}\n" for x in found)),
+            sha(brute_collapse(words, found)),
+        )
+    assert met >= 10
