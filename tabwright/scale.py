@@ -10,6 +10,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.columns import literal_rows
 
@@ -17,6 +18,7 @@ from tabwright.columns import literal_rows
 SMALL_INPUT_ROWS = 1_000_000
 # A side with at most this many narrow rows is broadcast: a few tens of MB.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def few_rows(df: DataFrame, most: int = SMALL_INPUT_ROWS) -> bool:
@@ -24,6 +26,14 @@ def few_rows(df: DataFrame, most: int = SMALL_INPUT_ROWS) -> bool:
     return df.select(F.lit(1)).limit(most + 1).count() <= most
 
 
+def is_light(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether counted rows and counted bytes of texts fit every task beside its own work."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    length = " + ".join(["0L", *(f"coalesce(octet_length(`{c}`), 0)" for c in texts)])
+    n, held = df.agg(F.count("*"), F.sum(F.expr(length))).first()
+    return n <= rows and (held or 0) <= size
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all machines share; a temporary one serves local sessions only."""
     sc = spark.sparkContext

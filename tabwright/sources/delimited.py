@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.columns import col
+from tabwright.scale import is_light, materialize
 from tabwright.sources.headers import clean_names, drop_placeholders
-from tabwright.sources.tables import with_row_id
+from tabwright.sources.records import AT, BLOCK, FILE, PLACE, data_records, scan_files
+from tabwright.sources.tables import ROW_ID
 
 # The delimiters that are tried.
 DELIMITERS = [",", "\t", "|", ";"]
@@ -42,13 +45,9 @@ def guess_delimiter(lines: list[str]) -> str:
     return best
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether any line holds an odd number of quotes, so that a cell runs on.
-
-    One distributed pass over the text; it decides if the files may be split.
-    """
-    quotes = F.length("value") - F.length(F.replace(col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+def has_quoted_newlines(spark: SparkSession, path: str, delimiter: str = ",") -> bool:
+    """Whether a quoted cell of some file runs on to the next line."""
+    return any(scan_files(spark, path, delimiter).values())
 
 
 def read_delimited(
@@ -59,36 +58,64 @@ def read_delimited(
     row_id: bool = True,
     lines_to_guess: int = LINES_TO_GUESS,
 ) -> RawTable:
-    """Read UTF-8 delimited text whose first row is the header.
-
-    Every cell is text and an empty cell is NULL; short rows are padded. Files
-    are split across tasks unless a quoted cell contains a line break, which is
-    looked up when ``multi_line`` is not given. ``lines_to_guess`` lines decide the
-    delimiter where none is given. ``_row_id`` keeps the order inside a file; over
-    several files the order of the files is Spark's.
+    """Read UTF-8 delimited text; the first row of every file is the header.
+
+    Every cell is text and an empty cell is NULL; short rows are padded. All files are
+    split across tasks: those in which a quoted cell contains a line break are put together
+    from their lines, the others are read as they are. ``multi_line`` True or False says that
+    all or none of them have such cells; otherwise one pass over the text finds out.
+    ``lines_to_guess`` lines decide the delimiter where none is given. ``_row_id`` counts the
+    rows from 0 in order of file path and place in the file, however the files are split.
     """
     if delimiter is None:
         head = spark.read.text(path).filter(F.trim("value") != "").limit(lines_to_guess)
         delimiter = guess_delimiter([r["value"] for r in head.collect()])
-    if multi_line is None:
-        multi_line = has_quoted_newlines(spark, path)
-    reader = (
-        spark.read.option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("encoding", "UTF-8")
-        .option("mode", "PERMISSIVE")
-        .option("maxCharsPerColumn", -1)
-    )
-    first = reader.option("header", False).csv(path).limit(1).collect()
+    files = scan_files(spark, path, delimiter)
+    running = [f for f, runs in files.items() if (runs if multi_line is None else multi_line)]
+    whole = [f for f in files if f not in set(running)]
+    options = {
+        "sep": delimiter, "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1",
+    }
+    reader = spark.read.options(**options)
+    top = next(iter(files), None)
+    first = reader.option("multiLine", top in running).csv(top).limit(1).collect() if top else []
     if not first:
         empty = spark.createDataFrame([], T.StructType([]))
         return RawTable(empty, [], [], False)
     raw = [cell or "" for cell in first[0]]
-    positions = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(raw))]
-    cells = reader.option("header", True).schema(T.StructType(positions)).csv(path)
+    columns = [f"_c{i}" for i in range(len(raw))]
+    schema = ", ".join(f"{c} string" for c in columns)
+    parts, sizes = [], []
+    if whole:
+        cells = reader.option("header", True).schema(schema).csv(whole if running else path)
+        if row_id:
+            cells = cells.selectExpr(*columns, *PLACE, f"monotonically_increasing_id() AS {AT}")
+            sizes.append(cells.groupBy(FILE, BLOCK).agg(F.min(AT).alias("first"), F.count("*").alias("size")))
+            cells = cells.withColumnRenamed(AT, "place")
+        parts.append(cells)
+    if running:
+        records = data_records(spark, running, delimiter)
+        cells = records.select(F.from_csv("record", schema, options).alias("cells"), FILE, BLOCK, "place")
+        parts.append(cells.select("cells.*", *([FILE, BLOCK, F.col("place").cast("bigint").alias("place")] if row_id else [])))
+        sizes.append(records.groupBy(FILE, BLOCK).agg(F.lit(0).cast("bigint").alias("first"), F.count("*").alias("size")))
+    cells = reduce(DataFrame.unionByName, parts)
+    if row_id:
+        cells = with_dense_ids(cells, materialize(reduce(DataFrame.unionByName, sizes)))
     keep = drop_placeholders(raw)
     names, renamed = clean_names([raw[i] for i in keep])
-    df = cells.select(*[F.nullif(col(f"_c{i}"), F.lit("")).alias(n) for i, n in zip(keep, names)])
-    return RawTable(with_row_id(df) if row_id else df, names, [raw[i] for i in keep], renamed)
+    df = cells.select(*[F.nullif(col(f"_c{i}"), F.lit("")).alias(n) for i, n in zip(keep, names)], *([ROW_ID] if row_id else []))
+    return RawTable(df, names, [raw[i] for i in keep], renamed)
+
+
+def with_dense_ids(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``_row_id`` from the place in a byte range and the number of rows before that range.
+
+    ``sizes`` has a row per byte range with its ``size`` and the ``first`` place in it. Should
+    Spark cut the files in another way later, places don't fit any more, which is an error.
+    """
+    offsets = sizes.selectExpr(FILE, BLOCK, "first", "size", f"sum(size) OVER (ORDER BY {FILE}, {BLOCK}) - size AS rows_before")
+    side = F.broadcast(offsets) if is_light(sizes) else offsets
+    inside = "place >= first AND place - first < size"
+    changed = "raise_error('the files are split in another way than when they were opened: open them again')"
+    found = rows.join(side, [FILE, BLOCK], "left")
+    return found.withColumn(ROW_ID, F.expr(f"CASE WHEN {inside} THEN rows_before + place - first ELSE cast({changed} AS BIGINT) END"))

@@ -15,8 +15,9 @@ from tabwright.fields import FieldSpec
 ROW_ID = "_row_id"
 PREVIEW_ROWS = 20
 SPEC = "field_spec"
-# The low bits of a row id count the rows inside one input split.
-SPLIT_BITS = 33
+# Rows that share the higher bits of their ids are a stretch of at most this many rows. Ids of
+# ``monotonically_increasing_id`` count in 33 bits inside a split, so a stretch never leaves one.
+STRETCH_BITS = 20
 
 
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
@@ -76,18 +77,18 @@ def stored_specs(df: DataFrame) -> list[FieldSpec]:
 def ids_at(df: DataFrame, positions: Sequence[int], row_id: str = ROW_ID) -> list[int]:
     """Row ids at the given positions in row order, counted from 0.
 
-    Ids are consecutive inside an input split, so the splits' sizes are enough:
+    Ids are consecutive inside a stretch of them, so the stretches' sizes are enough:
     one narrow aggregate instead of ranking the table. Where rows were filtered out
-    since :func:`with_row_id`, the splits with gaps at wanted positions are ranked.
+    since they got their ids, the stretches with gaps at wanted positions are ranked.
     """
     wanted = sorted({int(p) for p in positions})
     if not wanted:
         return []
     c = quoted(row_id)
-    splits = df.groupBy(F.expr(f"shiftright({c}, {SPLIT_BITS})").alias("split")).agg(
+    splits = df.groupBy(F.expr(f"shiftright({c}, {STRETCH_BITS})").alias("split")).agg(
         F.expr(f"min({c}) AS first_id"), F.expr(f"max({c}) AS last_id"), F.expr("count(*) AS size")
     )
-    # One row per input split; the window only sees these.
+    # One row per stretch; the window only sees these.
     positions_sql = f"array({', '.join(f'{p}L' for p in wanted)})"
     placed = splits.selectExpr("*", "sum(size) OVER (ORDER BY split) - size AS before").selectExpr(
         "*", f"explode(filter({positions_sql}, p -> p >= before AND p < before + size)) AS position"
@@ -102,10 +103,10 @@ def ids_at(df: DataFrame, positions: Sequence[int], row_id: str = ROW_ID) -> lis
         if r["id"] is None:
             places.setdefault(r["split"], []).append(r["place"])
     if places:
-        touched = df.filter(F.expr(f"shiftright({c}, {SPLIT_BITS})").isin(list(places)))
+        touched = df.filter(F.expr(f"shiftright({c}, {STRETCH_BITS})").isin(list(places)))
         ranked = touched.selectExpr(
-            f"{c} AS id", f"shiftright({c}, {SPLIT_BITS}) AS split",
-            f"row_number() OVER (PARTITION BY shiftright({c}, {SPLIT_BITS}) ORDER BY {c}) - 1 AS place",
+            f"{c} AS id", f"shiftright({c}, {STRETCH_BITS}) AS split",
+            f"row_number() OVER (PARTITION BY shiftright({c}, {STRETCH_BITS}) ORDER BY {c}) - 1 AS place",
         )
         at = " OR ".join(f"(split = {s} AND place IN ({', '.join(map(str, ps))}))" for s, ps in places.items())
         ids += [r["id"] for r in ranked.filter(at).collect()]

@@ -207,3 +207,74 @@ def test_quality_rules(spark):
         ("POSSIBLE_IDENTIFIER", "info", "id"), ("HIGH_CARDINALITY", "info", "name"),
         ("HIGH_NULL_RATE", "warning", "half"), ("EMPTY_COLUMN", "error", "none"),
     }
+
+
+def by_csv_module(folder):
+    """Records of the files in order, as Python's own reader sees them."""
+    import csv
+
+    out = []
+    for path in sorted(folder.iterdir()):
+        with open(path, newline="", encoding="utf-8") as f:
+            out += [tuple(c.replace("\r\n", "\n") or None for c in r) for r in list(r for r in csv.reader(f) if r)[1:]]
+    return out
+
+
+def read_in_order(spark, folder, names=("k", "v")):
+    raw = read_delimited(spark, str(folder))
+    assert raw.names == list(names)
+    rows = raw.df.orderBy("_row_id").collect()
+    assert [r["_row_id"] for r in rows] == list(range(len(rows)))
+    return raw.df, [tuple(r)[:-1] for r in rows]
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_records_over_many_byte_ranges(spark, tmp_path, small_splits):
+    """Cells that run over lines and whole byte ranges, among plain files; ids are dense in file order."""
+    lines = ['"k","v"']
+    for i in range(60):
+        cell = "\n".join(f"line {j} of , {i}" for j in range(i % 7)) + ('""q""\n' if i % 5 == 0 else "")
+        lines += [f'{i},"{cell}"'] if i % 3 else [f"{i},plain"]
+        lines += [""] if i % 10 == 0 else []
+    (tmp_path / "b.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "a.csv").write_text("k,v\n" + "".join(f"a{i},x\n" for i in range(80)), encoding="utf-8")
+    (tmp_path / "c.csv").write_text('k,v\n' + "".join(f'c{i},"x, ""y"""\n' for i in range(80)), encoding="utf-8")
+    (tmp_path / "d.csv").write_text('k,v\r\n"long\r\n' + "z" * 400 + '\r\nend",1\r\nlast,2', encoding="utf-8")
+    df, rows = read_in_order(spark, tmp_path)
+    assert rows == by_csv_module(tmp_path)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert read_in_order(spark, tmp_path)[1] == rows
+    # the files were opened with other splits, so old places don't fit
+    with pytest.raises(Exception, match="open them again"):
+        df.collect()
+
+
+def test_a_stray_quote_stays_in_its_line(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i:02}.csv").write_text("k,v\n" + "".join(f"{i}-{j},x\n" for j in range(40)), encoding="utf-8")
+    (tmp_path / "g.csv").write_text('k,v\n1,"open\n2,"two ""words"""\n3,6" pipe\n4,"a\nb"\n5,"open for good\n6,7\n', encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    df, rows = read_in_order(spark, tmp_path)
+    assert df.rdd.getNumPartitions() >= 25
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 1200 + 5
+    # the first quote is closed by the next line's, the last one by nothing
+    assert [r[0] for r in rows[1200:]] == ["1", "3", "4", "5", "6"]
+    assert "\n2," in rows[1200][1] and rows[1201] == ("3", '6" pipe')
+    assert rows[-3:] == [("4", "a\nb"), ("5", "open for good"), ("6", "7")]
+
+
+def test_positions_after_a_filter_of_dense_ids(spark):
+    df = spark.range(3_000_000).selectExpr("id AS _row_id", "id AS v").filter("v % 3 = 0")
+    found = sorted(r["v"] for r in rows_at(df, [0, 400_000, 999_999]).collect())
+    assert found == [0, 1_200_000, 2_999_997]
