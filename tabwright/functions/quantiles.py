@@ -9,11 +9,13 @@ for groups that turn out to have few values. A bigger group is narrowed:
 2. one pass counts the rows below each bracket and collects (value, count)
    inside it. All rows below collapse into a single count before the shuffle,
    and equal values collapse too, so a hot group sends almost nothing;
-3. the bracket is cut into equal-width bins, the bins holding the wanted ranks
-   are found from their counts, and only those bins are ranked.
+3. the values of a bracket are cut into bins, and the bin that holds the wanted rank is
+   found from the counts and cut again, until it has few values; only those are ranked.
+   Bins are equal on a logarithmic scale first and on a linear one then, so a few
+   rounds serve any density.
 
-No task holds a big group, and the result is exact: the sketch only decides
-which rows can be ignored, and a wanted rank outside its bracket is an error.
+No task holds a big group, and the result is exact: the sketch only decides which
+rows can be ignored, and a bracket that misses its rank is opened on both sides.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.columns import INFINITY, inline_sql, quoted, struct_sql, text_sql
-from tabwright.scale import BROADCAST_ROWS, few_rows, materialize
+from tabwright.scale import few_rows, is_light, materialize
 
 ACCURACY = 10_000
+MARGIN = 4.0  # the bracket's half width in units of the sketch's error
 BINS = 1024
+BIN_VALUES = 50_000  # so many distinct values are ranked by one task
+WIDE_RATIO = 65536.0  # beyond it bins are equal on a logarithmic scale
+SALTS = 64
 METHODS = ("auto", "one_pass", "narrow", "approx")
 
 
@@ -106,10 +112,9 @@ def _by_group_size(
     counts = [f"count({x}) AS _count_{i}" for i, x in enumerate(metrics.values())]
     is_big = " OR ".join(f"_count_{i} > {_few(accuracy)}" for i in range(len(metrics)))
     big = materialize(_aggregated(df, keys, counts).filter(is_big).select(*keys))
-    groups = big.count()
-    if groups == 0:
+    if big.isEmpty():
         return _one_pass(df, keys, metrics, probs, extra, "one_pass")
-    side = F.broadcast(big) if groups <= BROADCAST_ROWS else big
+    side = F.broadcast(big) if is_light(big) else big
     small = _one_pass(df.join(side, keys, "left_anti"), keys, metrics, probs, extra, "one_pass")
     narrowed = _narrowed(df.join(side, keys, "left_semi"), keys, metrics, probs, extra, accuracy)
     return small.unionByName(narrowed)
@@ -129,7 +134,7 @@ def _sketches(
     accuracy: int,
 ) -> DataFrame:
     """Per group and metric the count and a few values around each quantile."""
-    margin = 4.0 / accuracy
+    margin = MARGIN / accuracy
     ends = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     at = _array([f"{e!r}D" for e in ends])
     aggs = [
@@ -144,7 +149,7 @@ def _brackets(
     sketches: DataFrame, keys: list[str], metrics: list[str], probs: list[float], accuracy: int
 ) -> DataFrame:
     """Per group, metric and prob: the bracket [lo, hi] and the two ranks wanted."""
-    margin = 4.0 / accuracy
+    margin = MARGIN / accuracy
     rows = []
     for i, m in enumerate(metrics):
         n, ends = f"_sketch_{i}.n", f"_sketch_{i}.ends"
@@ -203,21 +208,32 @@ def _near_values(df: DataFrame, metrics: dict[str, str], brackets: DataFrame) ->
     return near.unionByName(below.filter("_rows > 0"))
 
 
+def _meet(values: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Join rows with a ``_v`` to a computed side of few rows per key.
+
+    A light side is broadcast. Otherwise the values of a key are dealt over many tasks by
+    their hash, and the side's rows, narrow and one or two per key, are repeated for them.
+    """
+    if is_light(side):
+        return values.join(F.broadcast(side), keys)
+    salted = values.withColumn("_salt", F.expr(f"int(pmod(xxhash64(_v), {SALTS}))"))
+    return salted.join(side.withColumn("_salt", F.expr(f"explode(sequence(0, {SALTS - 1}))")), [*keys, "_salt"]).drop("_salt")
+
+
 def _near_group_values(
-    df: DataFrame, group_keys: list[str], metrics: dict[str, str], brackets: DataFrame, side
+    df: DataFrame, group_keys: list[str], metrics: dict[str, str], brackets: DataFrame
 ) -> DataFrame:
     """Values inside their group's brackets with counts; all below a bracket are one NULL."""
     group = group_keys + ["_metric"]
     # One bracket row per group and metric, so each value meets it once.
-    cuts = _aggregated(
-        brackets, group, ["sort_array(collect_list(struct(_prob, _lo, _hi))) AS _cuts"]
+    cuts = materialize(
+        _aggregated(brackets, group, ["sort_array(collect_list(struct(_prob, _lo, _hi))) AS _cuts"])
     )
     long_form = [struct_sql(_metric=text_sql(m), _v=x) for m, x in metrics.items()]
     values = df.selectExpr(*[quoted(k) for k in group_keys], inline_sql(long_form))
     # Rows above a bracket go; rows below it lose their value and become a count.
     return (
-        values.filter("_v IS NOT NULL")
-        .join(side(cuts), group)
+        _meet(values.filter("_v IS NOT NULL"), cuts, group)
         .selectExpr(*[quoted(k) for k in group], "_v", "explode(filter(_cuts, c -> _v <= c._hi)) AS _cut")
         .selectExpr(
             *[quoted(k) for k in group],
@@ -229,6 +245,65 @@ def _near_group_values(
     )
 
 
+# The values of a bracket hold both wanted ranks.
+INSIDE = "_below <= _rank_lo AND _rank_hi < _below + _inside"
+
+
+def _with_counts(brackets: DataFrame, near: DataFrame, point: list[str]) -> DataFrame:
+    """Brackets with the number of rows below and inside of them."""
+    counts = _aggregated(
+        near, point,
+        ["coalesce(sum(_rows) FILTER (WHERE _v IS NULL), 0L) AS _below", "coalesce(sum(_rows) FILTER (WHERE _v IS NOT NULL), 0L) AS _inside"],
+    )
+    return brackets.join(counts, point, "left").na.fill(0, ["_below", "_inside"])
+
+
+def _bin_sql() -> str:
+    """The bin of ``_v`` between ``_min`` and ``_max``: by sign, then by magnitude, then by distance.
+
+    The two ends are in different bins, so every round drops some value.
+    """
+    low, high = "abs(_min)", "abs(_max)"
+    wide = f"least({low}, {high}) > 0 AND greatest({low}, {high}) / least({low}, {high}) > {WIDE_RATIO}D"
+    by_size = f"(log2(abs(_v)) - log2({low})) / (log2({high}) - log2({low}))"
+    by_distance = "(_v - _min) / (_max - _min)"
+    return (
+        "CASE WHEN _min = _max THEN 0 WHEN signum(_min) <> signum(_max) THEN int(signum(_v)) "
+        f"ELSE least(int(floor(CASE WHEN {wide} THEN {by_size} ELSE {by_distance} END * {BINS})), {BINS - 1}) END"
+    )
+
+
+def _selected(near: DataFrame, wanted: DataFrame, point: list[str]) -> DataFrame:
+    """``_at_lo`` and ``_at_hi`` per point: the values at the two wanted ranks.
+
+    A round counts the values in at most ``BINS`` bins of each open range and keeps the bin that
+    holds the rank. Ranges shrink about a thousandfold a round, whatever the density.
+    """
+    values = near.filter("_v IS NOT NULL")
+    edge = point + ["_edge"]
+    names = ", ".join(quoted(k) for k in edge)
+    ranges = _aggregated(values, point, ["min(_v) AS _min", "max(_v) AS _max", "count(*) AS _distinct"])
+    ranks = inline_sql([struct_sql(_edge=f"'{e}'", _rank=f"_rank_{e}") for e in ("lo", "hi")])
+    held = [*[quoted(k) for k in point], "_below AS _before", "_min", "_max", "_distinct"]
+    targets = materialize(wanted.join(ranges, point).selectExpr(*held, ranks))
+    while not targets.filter(f"_distinct > {BIN_VALUES} AND _min < _max").isEmpty():
+        is_open = f"_distinct > {BIN_VALUES} AND _min < _max"
+        bins = (
+            _meet(values, materialize(targets.filter(is_open)), point)
+            .filter("_v BETWEEN _min AND _max")
+            .withColumn("_bin", F.expr(_bin_sql()))
+            .groupBy(*edge, "_rank", "_before", "_bin")
+            .agg(*[F.expr(x) for x in ("sum(_rows) AS _n", "min(_v) AS _min", "max(_v) AS _max", "count(*) AS _distinct")])
+        )
+        placed = bins.withColumn("_at", F.expr(f"_before + sum(_n) OVER (PARTITION BY {names} ORDER BY _bin) - _n"))
+        chosen = placed.filter("_at <= _rank AND _rank < _at + _n").drop("_before").withColumnRenamed("_at", "_before")
+        targets = materialize(targets.filter(f"NOT ({is_open})").unionByName(chosen.select(*targets.columns)))
+    through = f"_before + sum(_rows) OVER (PARTITION BY {names} ORDER BY _v)"
+    ranked = _meet(values, targets, point).filter("_v BETWEEN _min AND _max").withColumn("_through", F.expr(through))
+    at = [f"min(_v) FILTER (WHERE _edge = '{e}' AND _through > _rank) AS _at_{e}" for e in ("lo", "hi")]
+    return _aggregated(ranked, point, at)
+
+
 def _narrowed(
     df: DataFrame,
     keys: list[str],
@@ -242,65 +317,21 @@ def _narrowed(
         # A constant key lets the joins below serve the global case too.
         sketches, df = sketches.withColumn("_all", F.lit(0)), df.withColumn("_all", F.lit(0))
     sketches = materialize(sketches)
-    groups = sketches.count() if keys else 1
     group_keys = keys or ["_all"]
     point = group_keys + ["_metric", "_prob"]
-    by_group = ", ".join(quoted(k) for k in group_keys)
-    by_point = f"{by_group}, _metric, _prob"
-    # Every side joined below has at most two rows per group, metric and prob.
-    short = 2 * groups * len(metrics) * len(probs) <= BROADCAST_ROWS
-
-    def side(part: DataFrame) -> DataFrame:
-        return F.broadcast(part) if short else part
-
-    brackets = _brackets(sketches, group_keys, list(metrics), probs, accuracy)
-    near = materialize(
-        _near_values(df, metrics, brackets) if not keys else _near_group_values(df, group_keys, metrics, brackets, side)
-    )
-    below = near.filter("_v IS NULL").drop("_v").withColumnRenamed("_rows", "_below")
-    wanted = brackets.join(side(below), point, "left").na.fill(0, ["_below"])
-
-    # Equal-width bins inside each bracket, with the running count before each.
-    bin_of = (
-        f"CASE WHEN _hi > _lo AND _hi - _lo < {INFINITY} "
-        f"THEN least(floor((_v - _lo) / (_hi - _lo) * {BINS}), {BINS - 1}) ELSE 0 END"
-    )
-    binned = (
-        near.filter("_v IS NOT NULL")
-        .join(side(brackets.select(*point, "_lo", "_hi")), point)
-        .selectExpr(*[quoted(k) for k in point], "_v", "_rows", f"{bin_of} AS _bin")
-    )
-    bins = (
-        binned.groupBy(*point, "_bin")
-        .agg(F.expr("sum(_rows) AS _in_bin"))
-        .withColumn(
-            "_earlier",
-            F.expr(f"sum(_in_bin) OVER (PARTITION BY {by_point} ORDER BY _bin) - _in_bin"),
-        )
-        .join(side(wanted), point)
-        .withColumn("_before", F.expr("_earlier + _below"))
-        .filter(
-            "(_before <= _rank_lo AND _rank_lo < _before + _in_bin) "
-            "OR (_before <= _rank_hi AND _rank_hi < _before + _in_bin)"
-        )
-        .select(*point, "_bin", "_before", "_rank_lo", "_rank_hi")
-    )
-    through = f"_before + sum(_rows) OVER (PARTITION BY {by_point}, _bin ORDER BY _v)"
-    picked = (
-        binned.join(side(bins), point + ["_bin"])
-        .withColumn("_through", F.expr(through))
-        .groupBy(*point)
-        .agg(
-            F.expr("min(CASE WHEN _through > _rank_lo THEN _v END) AS _at_lo"),
-            F.expr("min(CASE WHEN _through > _rank_hi THEN _v END) AS _at_hi"),
-        )
-    )
-    value = (
-        "CASE WHEN _at_lo IS NULL OR _at_hi IS NULL "
-        "THEN cast(raise_error('a quantile lies outside its bracket') AS DOUBLE) "
-        "WHEN _fraction = 0 THEN _at_lo ELSE _at_lo * (1 - _fraction) + _at_hi * _fraction END"
-    )
-    found = brackets.join(side(picked), point, "left").withColumn("_value", F.expr(value))
+    brackets = materialize(_brackets(sketches, group_keys, list(metrics), probs, accuracy))
+
+    def near_values(cuts: DataFrame) -> DataFrame:
+        return _near_group_values(df, group_keys, metrics, cuts) if keys else _near_values(df, metrics, cuts)
+
+    near = materialize(near_values(brackets))
+    missed = materialize(_with_counts(brackets, near, point).filter(f"NOT ({INSIDE})").select(*brackets.columns))
+    if not missed.isEmpty():
+        opened = missed.withColumns({"_lo": F.expr(f"-{INFINITY}"), "_hi": F.expr(INFINITY)})
+        near = materialize(near.join(missed.select(*point), point, "left_anti").unionByName(near_values(opened)))
+    picked = _selected(near, _with_counts(brackets, near, point), point)
+    value = "CASE WHEN _fraction = 0 THEN _at_lo ELSE _at_lo * (1 - _fraction) + _at_hi * _fraction END"
+    found = brackets.join(picked, point, "left").withColumn("_value", F.expr(value))
     arrays = [
         _array(
             [
@@ -311,7 +342,7 @@ def _narrowed(
         + f" AS _q_{i}"
         for i, m in enumerate(metrics)
     ]
-    out = sketches.join(side(_aggregated(found, group_keys, arrays)), group_keys, "left")
+    out = sketches.join(_aggregated(found, group_keys, arrays), group_keys, "left")
     kept = [c for c in sketches.columns if not c.startswith("_sketch_") and c != "_all"]
     structs = [
         struct_sql(n=f"_sketch_{i}.n", q=f"CASE WHEN _sketch_{i}.n > 0 THEN _q_{i} END")

@@ -58,7 +58,7 @@ def test_a_hot_group_and_many_small_ones(spark):
 
 
 def test_wide_joins_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(q, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(q, "is_light", lambda df: False)
     df = spark.range(5000).selectExpr("string(id % 3) AS k", "double(id) AS v", "double(id % 7) AS w")
     found = mapped(narrow(df, ["k"], 50), "k", "x")
     for k in range(3):
@@ -92,3 +92,49 @@ def test_a_small_file_of_many_rows_is_narrowed(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(1_000_001).selectExpr("double(id) AS v").write.parquet(path)
     assert q.resolve_method(spark.read.parquet(path), "auto") == "narrow"
+
+
+def counted_selection(monkeypatch):
+    """Count the rounds of the selection by the eager steps it takes."""
+    steps = []
+    real = q._meet
+    monkeypatch.setattr(q, "_meet", lambda *a: steps.append(1) or real(*a))
+    return steps
+
+
+@pytest.mark.parametrize("shape", ["steps", "cluster", "signs", "tiny"])
+def test_uneven_density_is_narrowed_in_few_rounds(spark, monkeypatch, shape):
+    """A bracket whose values lie a million times denser in places: no task ranks more than a few."""
+    monkeypatch.setattr(q, "BIN_VALUES", 20)
+    steps = counted_selection(monkeypatch)
+    rng = np.random.default_rng(11)
+    values = {
+        "steps": np.concatenate([10.0**6 * k + rng.random(400) * 10.0**-k for k in range(8)]),
+        "cluster": np.concatenate([[-1e18, 1e18], 5 + rng.random(3000) * 1e-9, rng.random(300) * 1e12]),
+        "signs": np.concatenate([-(10.0 ** rng.uniform(-12, 12, 1500)), [0.0] * 50, 10.0 ** rng.uniform(-12, 12, 1500)]),
+        "tiny": np.concatenate([np.arange(2000) * 5e-324, 10.0 ** rng.uniform(-300, 300, 1000)]),
+    }[shape]
+    df = spark.createDataFrame([(float(v), float(-v)) for v in values], "v double, w double")
+    row = narrow(df, [], 20).first()
+    check(row["x"], list(values))
+    check(row["y"], list(-values))
+    assert len(steps) <= 12
+
+
+def test_a_bracket_that_misses_is_opened(spark, monkeypatch):
+    """With no margin the sketch of a coarse accuracy misses ranks; the result is exact all the same."""
+    monkeypatch.setattr(q, "MARGIN", 0.0)
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=4000)
+    df = spark.createDataFrame([(f"k{i % 2}", float(v), 1.0) for i, v in enumerate(values)], "k string, v double, w double").repartition(7)
+    for keys in ([], ["k"]):
+        found = narrow(df, keys, 10).collect()
+        for r in found:
+            check(r["x"], [v for i, v in enumerate(values) if not keys or f"k{i % 2}" == r["k"]])
+
+
+def test_both_ways_agree_on_the_same_rows(spark):
+    df = spark.range(60_000).selectExpr("string(id % 2 * id % 5) AS k", "double(id * 7919 % 60007) AS v", "double(id % 11) AS w")
+    one = {r["k"]: r for r in q.quantiles(df, ["k"], {"x": "v", "y": "w"}, PROBS, "one_pass").collect()}
+    two = {r["k"]: r for r in q.quantiles(df, ["k"], {"x": "v", "y": "w"}, PROBS, "narrow", accuracy=100).collect()}
+    assert one == two
