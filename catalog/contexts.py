@@ -177,12 +177,6 @@ def masked_top_values(t):
     return context.column_context(df, specs_of(df), masked=["c_name"])["values"]
 
 
-@query()
-def fingerprint(t):
-    """A hash of the whole table; there is no equal function in SQL to compare with."""
-    return context.fingerprint(t.documents)
-
-
 @query(f"SELECT conv_id, turn, {MASK_SQL.format('role')} AS role, length(text) AS n FROM conversations")
 def masked_roles(t):
     return t.conversations.select(

@@ -388,3 +388,27 @@ def task_list(t):
 def task_evidence(t):
     found = tasks.evidence(t.lineitem, TASKS[-1])
     return found.select("taskId", "operator", "method", "sampleSize", "rowCount", "nullCount")
+
+
+@query(
+    """
+    SELECT 'by_flag' AS task, l_returnflag AS key, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 2
+    UNION ALL
+    SELECT 'top_suppliers', k, v FROM (SELECT l_suppkey::VARCHAR AS k, round(sum(l_quantity), 2) AS v
+                                       FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+    UNION ALL SELECT 'by_month', strftime(l_shipdate, '%Y-%m'), round(sum(l_quantity), 2) FROM lineitem GROUP BY 2
+    UNION ALL
+    SELECT 'per_discount', l_returnflag, round(avg(l_quantity / l_discount), 2) FROM lineitem
+    WHERE l_quantity <= 40 AND l_discount <> 0 GROUP BY 2
+    """,
+    2,
+)
+def task_rows(t):
+    """The rows of the tasks that group the table, all from one scan."""
+    out = None
+    for name, outcome in tasks.run_tasks(t.lineitem, TASKS).items():
+        if outcome.rows is not None:
+            key, value = outcome.rows.columns[-2:]
+            rows = outcome.rows.select(F.lit(name).alias("task"), F.col(key).alias("key"), F.col(value).alias("value"))
+            out = rows if out is None else out.unionByName(rows)
+    return out

@@ -87,10 +87,14 @@ def _sql(df: DataFrame, node: Mapping[str, Any]) -> str:
     return quotient
 
 
+def formula_sql(df: DataFrame, node: Mapping[str, Any]) -> str:
+    check(node, df.columns)
+    return _sql(df, node)
+
+
 def compile_formula(df: DataFrame, node: Mapping[str, Any]) -> Column:
     """The checked formula as a double column over ``df``."""
-    check(node, df.columns)
-    return F.expr(_sql(df, node))
+    return F.expr(formula_sql(df, node))
 
 
 def with_derived(df: DataFrame, name: str, node: Mapping[str, Any]) -> DataFrame:

@@ -232,11 +232,14 @@ def predicate_sql(df: DataFrame, flt: Mapping[str, Any]) -> str:
     return _ordered_sql(df, field, op, value)
 
 
+def filters_sql(df: DataFrame, filters: Sequence[Mapping[str, Any]] | None) -> str:
+    """All filters as one condition, empty where there are none."""
+    return " AND ".join(predicate_sql(df, f) for f in filters or ())
+
+
 def apply_filters(df: DataFrame, filters: Sequence[Mapping[str, Any]] | None) -> DataFrame:
     """Keep the rows that pass every filter."""
-    if not filters:
-        return df
-    return df.filter(" AND ".join(predicate_sql(df, f) for f in filters))
+    return df.filter(filters_sql(df, filters)) if filters else df
 
 
 def sort_columns(

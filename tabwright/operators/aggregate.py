@@ -33,11 +33,12 @@ def aggregate(
     limit: int | None = None,
     order_by: Sequence[str] | None = None,
     quantile_method: str = "auto",
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """One aggregate of up to five metrics over up to three dimensions."""
     check_columns(df, dimensions, metrics, (0, 3), (1, 5), "aggregate")
     kept = apply_filters(df, filters)
-    out = group_metrics(
+    out = groups if groups is not None else group_metrics(
         kept,
         keys_of(kept, dimensions),
         dict.fromkeys(metrics, aggregation),

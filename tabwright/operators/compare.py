@@ -26,6 +26,7 @@ def compare(
     limit: int | None = None,
     order_by: Sequence[str] | None = None,
     quantile_method: str = "auto",
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Groups side by side; a mode also compares the first metric with the second.
 
@@ -36,7 +37,7 @@ def compare(
     if mode is not None and mode not in MODES:
         raise ValueError(f"compare mode must be one of {', '.join(MODES)}, not {mode!r}")
     kept = apply_filters(df, filters)
-    out = group_metrics(
+    out = groups if groups is not None else group_metrics(
         kept,
         keys_of(kept, dimensions),
         dict.fromkeys(metrics, aggregation),

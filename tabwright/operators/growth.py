@@ -24,6 +24,7 @@ def growth(
     filters: Sequence[Mapping[str, Any]] | None = None,
     order_by: Sequence[str] | None = None,
     quantile_method: str = "auto",
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Change against the previous bucket that has data.
 
@@ -34,7 +35,7 @@ def growth(
     if mode not in MODES:
         raise ValueError(f"growth mode must be one of {', '.join(MODES)}, not {mode!r}")
     kept, bucket = dated(apply_filters(df, filters), time, grain)
-    series = group_metrics(
+    series = groups if groups is not None else group_metrics(
         kept, [bucket], {metric: aggregation}, order_by, quantile_method, drop_missing=True
     )
     # One partition is enough here: the window sees one row per calendar bucket.

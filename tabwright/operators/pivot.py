@@ -33,6 +33,7 @@ def pivot(
     values: Sequence[str] | None = None,
     order_by: Sequence[str] | None = None,
     quantile_method: str = "auto",
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """The last dimension becomes columns ``metric[value]``; the rest stay as rows.
 
@@ -44,8 +45,8 @@ def pivot(
     kept = apply_filters(df, filters)
     rows, across = list(dimensions[:-1]), dimensions[-1]
     if values is None:
-        values = pivot_values(kept, across)
-    cells = group_metrics(
+        values = pivot_values(kept if groups is None else groups, across)
+    cells = groups if groups is not None else group_metrics(
         kept,
         keys_of(kept, dimensions),
         dict.fromkeys(metrics, aggregation),

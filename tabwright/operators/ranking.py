@@ -24,6 +24,7 @@ def ranking(
     filters: Sequence[Mapping[str, Any]] | None = None,
     order_by: Sequence[str] | None = None,
     quantile_method: str = "auto",
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """The first ``limit`` groups by a metric, with their position as ``rank``.
 
@@ -35,7 +36,7 @@ def ranking(
     if not sort or sort.get("field") not in metrics:
         raise ValueError("ranking must be sorted by one of its metrics")
     kept = apply_filters(df, filters)
-    groups = group_metrics(
+    groups = groups if groups is not None else group_metrics(
         kept,
         keys_of(kept, dimensions),
         dict.fromkeys(metrics, aggregation),

@@ -28,6 +28,7 @@ def ratio(
     filters: Sequence[Mapping[str, Any]] | None = None,
     limit: int | None = None,
     order_by: Sequence[str] | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """A formula per row, and its mean per group when there are dimensions.
 
@@ -38,7 +39,7 @@ def ratio(
     require(df, list(dimensions))
     valued = _computed(df, formula, output, filters).filter(col(output).isNotNull())
     if dimensions:
-        return group_metrics(valued, keys_of(valued, dimensions), {output: "avg"})
+        return groups if groups is not None else group_metrics(valued, keys_of(valued, dimensions), {output: "avg"})
     check_limit(limit)
     order = order_columns(valued, order_by)
     rows = valued.orderBy(*order) if order else valued

@@ -36,6 +36,7 @@ def timeseries(
     filters: Sequence[Mapping[str, Any]] | None = None,
     order_by: Sequence[str] | None = None,
     quantile_method: str = "auto",
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Metrics per calendar bucket, ascending.
 
@@ -47,5 +48,5 @@ def timeseries(
     behaviors = {s.name: s for s in specs}
     how = {m: aggregation or behavior_aggregation(behaviors.get(m)) for m in metrics}
     kept, bucket = dated(apply_filters(df, filters), time, grain)
-    out = group_metrics(kept, [bucket], how, order_by, quantile_method)
+    out = groups if groups is not None else group_metrics(kept, [bucket], how, order_by, quantile_method)
     return out.orderBy(col(time))

@@ -6,12 +6,12 @@ import random
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.columns import (
-    col, inline_sql, key_sql, kind, literal_rows, missing_sql, number_sql, quoted, struct_sql, text_sql,
+    NESTED, col, inline_sql, key_sql, kind, list_sql, literal_rows, missing_sql, number_sql, quoted, struct_sql, text_sql,
 )
 from tabwright.fields import FieldSpec, mentions
 from tabwright.functions.dates import date_sql
@@ -20,33 +20,90 @@ from tabwright.functions.quantiles import quantiles
 from tabwright.operators.anomaly import anomaly
 from tabwright.plans import stats
 from tabwright.plans.infer import data_columns, every_field, grouped
+from tabwright.scale import materialize
 from tabwright.sources.tables import ROW_ID, ids_at
 
 SAMPLE_ROWS = 40
 HEAD, MIDDLE, TAIL, RANDOM = 8, 6, 6, 12
 ANOMALY_ROWS = 10
 REPRESENTATIVE_VALUES = 10
+CANDIDATES = 1000  # rows that one round of the coverage brings to the driver
 SENSITIVE_SHARE = 0.5
 
 
 def fingerprint(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
-    """One row: a digest that any changed cell alters and row order does not.
+    """One row: a digest that any changed cell alters and row order does not."""
+    return digest(fingerprint_state(df, fields))
 
-    Row hashes are combined by XOR and by a wide sum, both on the map side.
+
+def _row_md5(df: DataFrame, fields: Sequence[str]) -> str:
+    """MD5 of a row; each cell tells its length, so neighbours can't be mistaken, or that it is NULL."""
+    cells = []
+    for f in fields:
+        c, t = quoted(f), df.schema[f].dataType
+        text = f"to_json({c})" if isinstance(t, NESTED) else f"hex({c})" if isinstance(t, T.BinaryType) else f"string({c})"
+        cells.append(f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(char_length({text}), ':', {text}) END")
+    return f"md5(encode(concat({', '.join(cells)}), 'UTF-8'))"
+
+
+def fingerprint_state(df: DataFrame, fields: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """``rows, high, low`` (per ``keys``): the row count and the sums of both halves of the rows' MD5.
+
+    States of parts of a table add up to the state of the whole, in any order; all combining
+    is done on the map side.
     """
     fields = list(fields or data_columns(df))
-    cells = [
-        f"to_json({quoted(f)})" if isinstance(df.schema[f].dataType, T.MapType) else quoted(f)
-        for f in fields
+    rows = df.selectExpr(*[quoted(k) for k in keys], f"{_row_md5(df, fields)} AS h")
+    sums = [
+        f"coalesce(sum(cast(conv(substring(h, {at}, 16), 16, 10) AS DECIMAL(38, 0))), 0) AS {name}"
+        for at, name in ((1, "high"), (17, "low"))
     ]
-    # A NULL does not change a hash, so the row also says which cells are there.
-    present = ", ".join(f"CASE WHEN {quoted(f)} IS NULL THEN '0' ELSE '1' END" for f in fields)
-    rows = df.selectExpr(f"xxhash64({', '.join(cells)}, concat({present})) AS h")
-    digest = (
-        "concat_ws(':', string(count(*)), string(coalesce(bit_xor(h), 0L)), "
-        "string(coalesce(sum(cast(h AS DECIMAL(38, 0))), 0)))"
-    )
-    return rows.agg(F.expr(f"sha2({digest}, 256) AS fingerprint"))
+    return rows.groupBy(*[col(k) for k in keys]).agg(F.expr("count(*) AS rows"), *[F.expr(x) for x in sums])
+
+
+def digest(states: DataFrame) -> DataFrame:
+    """One row ``fingerprint`` from the states of all parts."""
+    total = [f"coalesce(sum({c}), 0)" for c in ("rows", "high", "low")]
+    return states.agg(F.expr(f"sha2(concat_ws(':', {', '.join(f'string({x})' for x in total)}), 256) AS fingerprint"))
+
+
+def growing_fingerprint(spark: SparkSession, path: str, states: str, fields: Sequence[str] | None = None) -> DataFrame:
+    """The fingerprint of a folder of Parquet files that grows; only files not met before are read.
+
+    ``states`` is a table with a row per file: its path, length and time of change, and its
+    state. Files that are gone or were written anew don't count any more, because a file counts by
+    all three. The state table is only ever appended to, so a job that was lost is run again.
+    """
+    # the listing reads no content
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter("length > 0")
+    listed = listed.filter("path LIKE '%.parquet'").select("path", "length", "modificationTime")
+    known = listed.sparkSession.createDataFrame([], f"path string, length bigint, modificationTime timestamp, {STATE}")
+    if _exists(spark, states):
+        known = spark.read.parquet(states)
+    file = ["path", "length", "modificationTime"]
+    new = [r["path"] for r in listed.join(known, file, "left_anti").select("path").collect()]
+    if new:
+        df = spark.read.parquet(*new)
+        with_file = df.withColumn("_path", F.expr("_metadata.file_path"))
+        found = fingerprint_state(with_file, list(fields or data_columns(df)), ["_path"])
+        # a file without rows has a state too, or it would be read each time
+        fresh = listed.filter(F.col("path").isin(new)).join(found, F.expr(f"{_plain('path')} = {_plain('_path')}"), "left")
+        fresh.select(*file, F.expr("coalesce(rows, 0L) AS rows"), *[F.expr(f"coalesce({c}, 0) AS {c}") for c in ("high", "low")]).write.mode("append").parquet(states)
+        known = spark.read.parquet(states)
+    return digest(known.join(listed, file, "left_semi").dropDuplicates(file))
+
+
+STATE = "rows bigint, high decimal(38,0), low decimal(38,0)"
+
+
+def _plain(c: str) -> str:
+    """A file path without the difference between file:/ and file:///."""
+    return f"regexp_replace({c}, '^([a-z0-9]+):/+', '$1:/')"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def sensitive_columns(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
@@ -98,28 +155,50 @@ def category_ids(
     most: int = SAMPLE_ROWS,
     shown: Sequence[int] = (),
 ) -> list[int]:
-    """The first rows of values that the rows ``shown`` don't have, at most ``most``.
+    """Rows that show the most values which the rows ``shown`` and earlier picks don't show, at most ``most``.
 
-    Fields with fewer values come first, and within a field the values in row order,
-    so all free places are filled. :func:`sample_coverage` tells what found no room.
+    Greedy maximum coverage; of rows with equal gain the first is taken. Rows with the same values
+    are one candidate. A round fetches the candidates of highest gain; since gains only fall,
+    picks among these hold as long as none that was left behind can gain more.
+    :func:`sample_coverage` tells what found no room.
     """
-    if not fields:
+    if not fields or most <= 0:
         return []
-    cells = [struct_sql(field=text_sql(f), value=key_sql(df, f)) for f in fields]
-    rows = df.selectExpr(f"{quoted(row_id)} AS id", inline_sql(cells)).filter("value <> ''")
-    firsts = grouped(rows, ["field", "value"], ["min(id) AS id"])
+    keys = [f"k{i}" for i in range(len(fields))]
+    cells = df.selectExpr(f"{quoted(row_id)} AS id", *[f"{key_sql(df, f)} AS {k}" for f, k in zip(fields, keys)])
+    kinds = materialize(cells.groupBy(*keys).agg(F.min("id").alias("id")))
+    seen: list[set[str]] = [{""} for _ in fields]
+
+    def gain_of(row) -> int:
+        return sum(row[k] not in s for k, s in zip(keys, seen))
+
+    def show(row) -> None:
+        for k, s in zip(keys, seen):
+            s.add(row[k])
+
     if shown:
-        seen = rows.filter(F.col("id").isin(list(shown))).select("field", "value").distinct()
-        # At most a row per shown cell.
-        firsts = firsts.join(F.broadcast(seen), ["field", "value"], "left_anti")
-    sizes = grouped(firsts, ["field"], ["count(*) AS size"])
-    place = "row_number() OVER (PARTITION BY field ORDER BY id)"
-    listed = firsts.withColumn("place", F.expr(place)).filter(f"place <= {most}").join(F.broadcast(sizes), "field")
-    chosen: dict[int, None] = {}
-    for r in listed.orderBy("size", "field", "id").collect():
-        if len(chosen) < most:
-            chosen.setdefault(r["id"])
-    return list(chosen)
+        for row in cells.filter(F.col("id").isin(list(shown))).collect():
+            show(row)
+    chosen: list[int] = []
+    while len(chosen) < most:
+        # what is seen has at most a value per field and chosen row
+        gain = " + ".join(f"CASE WHEN {k} IN ({list_sql(sorted(s))}) THEN 0 ELSE 1 END" for k, s in zip(keys, seen))
+        fetched = (
+            kinds.withColumn("gain", F.expr(gain)).filter("gain > 0")
+            .orderBy(col("gain").desc(), col("id")).limit(CANDIDATES).collect()
+        )
+        left_behind = (fetched[-1]["gain"], -fetched[-1]["id"]) if len(fetched) == CANDIDATES else (0, 0)
+        picked = False
+        while fetched and len(chosen) < most:
+            best = max(fetched, key=lambda r: (gain_of(r), -r["id"]))
+            if gain_of(best) == 0 or (gain_of(best), -best["id"]) < left_behind:
+                break
+            chosen.append(best["id"])
+            show(best)
+            picked = True
+        if not picked or len(fetched) < CANDIDATES:
+            break
+    return chosen
 
 
 def sample_coverage(df: DataFrame, sample: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -142,8 +221,8 @@ def stable_sample(
 ) -> DataFrame:
     """At most forty rows, the same ones on every call; a small table whole.
 
-    Head, middle and tail come first, then one row per value of the
-    low-cardinality fields, then the seeded random rows as far as there is room.
+    Head, middle and tail come first, then rows that together show as many values of the
+    low-cardinality fields as possible, then the seeded random rows as far as there is room.
     """
     total = df.count()
     if total <= SAMPLE_ROWS:

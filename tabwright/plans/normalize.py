@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from tabwright.columns import (
-    double_text_sql, inline_sql, key_sql, kind, missing_sql, number_sql, quoted, strip_sql,
+    double_text_sql, inline_sql, key_sql, kind, literal_rows, missing_sql, number_sql, quoted, strip_sql,
     struct_sql, text_sql,
 )
 from tabwright.fields import FieldSpec
 from tabwright.functions.cells import with_cells
 from tabwright.plans.infer import every_field, grouped
+from tabwright.sources.tables import save_table
 
 
 def _reads_text(df: DataFrame, spec: FieldSpec) -> bool:
@@ -36,12 +38,8 @@ def _typed_sql(df: DataFrame, spec: FieldSpec) -> str:
     return f"date({quoted(name)})" if have == "date" else quoted(name)
 
 
-def normalize(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
-    """All rows under the final types; other columns stay as they are.
-
-    It always starts from the raw text, so a corrected type can be applied again
-    without losing what an earlier type could not read. Unreadable cells are NULL.
-    """
+def _staged(df: DataFrame, specs: Sequence[FieldSpec]) -> tuple[DataFrame, list[str], dict[str, tuple[str, str]]]:
+    """The raw cells beside the cells read, how both become the final columns, and where a field was read."""
     by_name = {s.name: s for s in specs}
     read = {
         s.name: (f"_final_{i}", s.type) for i, s in enumerate(specs) if _reads_text(df, s)
@@ -58,7 +56,44 @@ def normalize(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
             out.append(f"{_typed_sql(df, by_name[c])} AS {quoted(c)}")
         else:
             out.append(quoted(c))
-    return with_cells(df, texts("number"), texts("date"), texts("boolean")).selectExpr(*out)
+    return with_cells(df, texts("number"), texts("date"), texts("boolean")), out, read
+
+
+def normalize(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
+    """All rows under the final types; other columns stay as they are.
+
+    It always starts from the raw text, so a corrected type can be applied again
+    without losing what an earlier type could not read. Unreadable cells are NULL.
+    """
+    staged, out, _ = _staged(df, specs)
+    return staged.selectExpr(*out)
+
+
+def normalize_and_save(df: DataFrame, specs: Sequence[FieldSpec], path: str, mode: str = "errorifexists") -> DataFrame:
+    """Normalize, keep the table, and count on the way: no second scan.
+
+    One row per field: ``field, rows, invalidNumber, invalidDate, changed``, as
+    :func:`normalization_counts` has them. The counts are observed by the tasks that write.
+    """
+    staged, out, read = _staged(df, specs)
+    counted = [s for s in specs if s.type in ("number", "date") and s.name in read and kind(df, s.name) == "string"]
+    metrics = [F.expr("count(*) AS rows")]
+    for i, s in enumerate(counted):
+        text, final = f"CASE WHEN NOT {missing_sql(df, s.name)} THEN {strip_sql(key_sql(df, s.name))} END", read[s.name][0]
+        metrics.append(F.expr(f"count_if(({text}) IS NOT NULL AND {final} IS NULL) AS unread_{i}"))
+        if s.type == "number":
+            metrics.append(F.expr(f"count_if({double_text_sql(final)} <> ({text})) AS changed_{i}"))
+    seen = Observation()
+    save_table(staged.observe(seen, *metrics).selectExpr(*out), path, mode, specs)
+    got = seen.get
+    at = {s.name: i for i, s in enumerate(counted)}
+    rows = []
+    for s in specs:
+        unread = got[f"unread_{at[s.name]}"] if s.name in at else 0
+        changed = got.get(f"changed_{at[s.name]}", 0) if s.name in at else 0
+        rows.append((s.name, got["rows"], unread if s.type == "number" else 0, unread if s.type == "date" else 0, changed))
+    columns = ("rows", "invalidNumber", "invalidDate", "changed")
+    return literal_rows(df.sparkSession, rows, {"field": "string", **dict.fromkeys(columns, "bigint")})
 
 
 def normalization_counts(df: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.columns import (
-    inline_sql, key_sql, number_sql, quoted, require, struct_sql, text_sql,
+    inline_sql, key_sql, missing_sql, number_sql, quoted, require, struct_sql, text_sql,
 )
 from tabwright.functions.aggregates import or_zero
 from tabwright.functions.quantiles import quantiles
@@ -244,3 +244,26 @@ def date_stats(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
         for i, name in enumerate(fields)
     ]
     return wide.selectExpr(inline_sql(rows))
+
+
+# Sketches of 2^15 registers err by about 0.6 %.
+SKETCH_LOG = 15
+
+
+def distinct_sketches(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``field, sketch``: a HyperLogLog sketch of the values of each field, missing cells left out.
+
+    The sketches of parts can be kept as a table and merged later; the exact distinct counts of
+    :func:`category_stats` stay the default.
+    """
+    sketches = [
+        f"hll_sketch_agg(CASE WHEN NOT {missing_sql(df, f)} THEN {key_sql(df, f)} END, {SKETCH_LOG}) AS s{i}"
+        for i, f in enumerate(fields)
+    ]
+    rows = [struct_sql(field=text_sql(f), sketch=f"s{i}") for i, f in enumerate(fields)]
+    return df.agg(*[F.expr(x) for x in sketches]).selectExpr(inline_sql(rows))
+
+
+def merged_distinct(sketches: DataFrame) -> DataFrame:
+    """``field, distinctCount`` (estimated) of all parts together."""
+    return grouped(sketches, ["field"], ["hll_sketch_estimate(hll_union_agg(sketch)) AS distinctCount"])

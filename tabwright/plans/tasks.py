@@ -20,6 +20,7 @@ from tabwright.columns import col, missing_sql, number_sql
 from tabwright.fields import FieldSpec, check_aggregation
 from tabwright.functions.formula import compile_formula
 from tabwright.functions.predicates import apply_filters
+from tabwright.plans.shared import groups_of, shared_groups
 from tabwright.scale import materialize
 
 HEAD_ROWS = 10
@@ -48,8 +49,12 @@ def run_task(
     specs: Sequence[FieldSpec] = (),
     order_by: Sequence[str] | None = None,
     quantile_method: str = "auto",
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """The rows of one task, as a lazy DataFrame; bad arguments raise at once."""
+    """The rows of one task, as a lazy DataFrame; bad arguments raise at once.
+
+    ``groups`` are the task's grouped rows where they are computed already.
+    """
     name = task["operator"]
     dims, metrics = list(task.get("dimensions") or []), list(task.get("metrics") or [])
     filters, sort, limit = task.get("filters"), task.get("sort"), task.get("limit")
@@ -65,17 +70,18 @@ def run_task(
         raise ValueError(f"limit must be between 1 and {MOST_ROWS}")
     exact = {"quantile_method": quantile_method}
     ordered = {"order_by": order_by}
+    given = {"groups": groups}
     if name == "profile":
         return ops.profile(df, metrics or dims or None, filters, **exact)
     if name == "aggregate":
-        return ops.aggregate(df, dims, metrics, how or "sum", filters, sort, limit, **ordered, **exact)
+        return ops.aggregate(df, dims, metrics, how or "sum", filters, sort, limit, **ordered, **exact, **given)
     if name == "compare":
         mode = task.get("compareMode")
-        return ops.compare(df, dims, metrics, how or "sum", mode, filters, sort, limit, **ordered, **exact)
+        return ops.compare(df, dims, metrics, how or "sum", mode, filters, sort, limit, **ordered, **exact, **given)
     if name == "ranking":
-        return ops.ranking(df, dims, metrics, how, sort, limit or 10, filters, **ordered, **exact)
+        return ops.ranking(df, dims, metrics, how, sort, limit or 10, filters, **ordered, **exact, **given)
     if name == "pivot":
-        return ops.pivot(df, dims, metrics, how or "sum", filters, **ordered, **exact)
+        return ops.pivot(df, dims, metrics, how or "sum", filters, **ordered, **exact, **given)
     if name in ("timeseries", "growth"):
         if not time.get("field"):
             raise ValueError(f"{name} needs time.field")
@@ -84,10 +90,10 @@ def run_task(
         grain = time.get("grain", "month")
         if name == "growth":
             mode = task.get("compareMode") or "rate"
-            return ops.growth(df, time["field"], metrics[0], grain, how or "sum", mode, filters, **ordered, **exact)
+            return ops.growth(df, time["field"], metrics[0], grain, how or "sum", mode, filters, **ordered, **exact, **given)
         if dims or sort or limit:
             raise ValueError("timeseries takes no dimensions, sort or limit")
-        return ops.timeseries(df, time["field"], metrics, grain, how, specs, filters, **ordered, **exact)
+        return ops.timeseries(df, time["field"], metrics, grain, how, specs, filters, **ordered, **exact, **given)
     if name == "distribution":
         if not dims:
             raise ValueError("distribution needs a dimension")
@@ -105,7 +111,7 @@ def run_task(
         formula = task.get("formula")
         if not formula:
             raise ValueError("ratio needs a formula")
-        return ops.ratio(df, formula["expression"], formula["outputField"], dims, filters, limit, **ordered)
+        return ops.ratio(df, formula["expression"], formula["outputField"], dims, filters, limit, **ordered, **given)
     raise ValueError(f"unknown operator {name!r}")
 
 
@@ -159,7 +165,7 @@ def result_hash(rows: DataFrame, scalar: DataFrame | None = None) -> DataFrame:
     packed = F.to_json(F.struct(*[col(c) for c in rows.columns]))
     halves = rows.select(F.md5(packed.cast("binary")).alias("h"))
     sums = [
-        f"coalesce(sum(cast(conv(substring(h, {at}, 15), 16, 10) AS DECIMAL(38, 0))), 0)" for at in (1, 17)
+        f"coalesce(sum(cast(conv(substring(h, {at}, 16), 16, 10) AS DECIMAL(38, 0))), 0)" for at in (1, 17)
     ]
     return halves.agg(F.expr(f"sha2(concat_ws(':', count(*), {', '.join(sums)}), 256) AS resultHash"))
 
@@ -207,20 +213,40 @@ class Outcome:
     reason: str | None = None
 
 
+def _shared(df: DataFrame, tasks: Sequence[Mapping[str, Any]], specs: Sequence[FieldSpec]) -> dict[str, DataFrame]:
+    wanted = {}
+    for t in tasks:
+        try:
+            groups = groups_of(df, t, specs)
+        except Exception:
+            continue  # the task meets the same error by itself, and that is its outcome
+        if groups is not None:
+            wanted[t["id"]] = groups
+    if len(wanted) < 2:
+        return {}
+    try:
+        return shared_groups(df, wanted)
+    except Exception:
+        return {}  # one of them fails on its rows: which, is seen when each runs by itself
+
+
 def run_tasks(
     df: DataFrame,
     tasks: Sequence[Mapping[str, Any]],
     specs: Sequence[FieldSpec] = (),
     order_by: Sequence[str] | None = None,
 ) -> dict[str, Outcome]:
-    """All tasks over one table, each computed in turn. A bad task does not stop the others.
+    """All tasks over one table. A bad task does not stop the others.
 
-    Results are checkpoints, so an error that only shows in the rows is an outcome too.
+    Tasks that group the table share one scan, see :mod:`tabwright.plans.shared`; the others are
+    computed in turn. Results are checkpoints, so an error that only shows in the rows is an
+    outcome too; should the shared scan meet one, its tasks are computed by themselves.
 
     A dependency carries no data, only the wish not to run after a failure: a
     task whose dependency failed, is unknown or leads back to it is skipped.
     """
     by_id = {t["id"]: t for t in tasks}
+    shared = _shared(df, tasks, specs)
     outcomes: dict[str, Outcome] = {}
 
     def settle(task_id: str, waiting: tuple[str, ...] = ()) -> bool:
@@ -233,7 +259,7 @@ def run_tasks(
                 outcomes[task_id] = Outcome("skipped", reason=f"depends on {', '.join(blocked)}")
             else:
                 try:
-                    rows = materialize(run_task(df, by_id[task_id], specs, order_by))
+                    rows = materialize(run_task(df, by_id[task_id], specs, order_by, groups=shared.get(task_id)))
                     outcomes[task_id] = Outcome("ready", rows)
                 except Exception as error:  # whatever a task meets is its outcome
                     outcomes[task_id] = Outcome("failed", reason=str(error))

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.columns import (
-    col, inline_sql, key_sql, kind, missing_sql, number_sql, quoted, require, struct_sql, text_sql,
+    col, key_sql, kind, missing_sql, number_sql, quoted, require, text_sql,
 )
 from tabwright.fields import FieldSpec, resolve_aggregation, split_roles
-from tabwright.operators.pivot import pivot_values
 from tabwright.plans.infer import grouped
 from tabwright.plans.stats import category_totals, value_counts
 from tabwright.sources.tables import preview
@@ -37,13 +36,15 @@ class View:
     aggregation: str = "sum"
     group: str | None = None
     limit: int | None = None
+    max_series: int | None = None
 
 
 def series_matrix(df: DataFrame, view: View) -> DataFrame:
     """``x, series, value`` for every pair of a category and a series.
 
     Cells without data are 0. Lines are in x order; the other types come by
-    falling total, and only their first ``limit`` categories are kept.
+    falling total, and only their first ``limit`` categories are kept. With ``max_series``
+    the series of the greatest totals are kept and all others become one, ``其他``.
     """
     if view.aggregation not in VIEW_AGGREGATIONS:
         raise ValueError(f"a view cannot be aggregated by {view.aggregation!r}")
@@ -70,14 +71,29 @@ def series_matrix(df: DataFrame, view: View) -> DataFrame:
             # A top-k is as short as its limit, so a small one can be broadcast.
             totals = F.broadcast(totals) if view.limit <= FEW_CATEGORIES else totals
         cells = cells.join(totals, "x")
-    # Pivoting and unpivoting fills the grid without pairing x with series.
-    names = pivot_values(rows, "series") if view.group else [ALL]
-    if not names:
-        return cells.select("x", "series", "value")  # no rows, so nothing to fill
-    wide = cells.groupBy("x", "total").pivot("series", names).agg(F.first("value"))
-    filled = [struct_sql(series=text_sql(n), value=f"coalesce({quoted(n)}, 0D)") for n in names]
-    grid = wide.selectExpr("x", "total", inline_sql(filled))
-    return grid.orderBy(*order, col("series")).select("x", "series", "value")
+    if not view.group:
+        return cells.orderBy(*order).select("x", "series", "value")
+    if view.max_series is not None:
+        cells = _top_series(rows, cells, how, view.max_series)
+    # Every category is spread over the list of series, which the result has once per category
+    # anyway, and meets its own cells by an equi-join on both names.
+    names = rows.select("series").distinct() if view.max_series is None else cells.select("series").distinct()
+    listed = names.agg(F.sort_array(F.collect_list("series"))).scalar()
+    grid = cells.select("x", "total").distinct().withColumn("series", F.explode(listed))
+    filled = grid.join(cells.drop("total"), ["x", "series"], "left").na.fill(0.0, ["value"])
+    return filled.orderBy(*order, col("series")).select("x", "series", "value")
+
+
+def _top_series(rows: DataFrame, cells: DataFrame, how: str, most: int) -> DataFrame:
+    """Cells of the ``most`` series with the greatest totals; the rows of the others are one series more.
+
+    The others are aggregated from their rows, so that an average or a maximum of them is right.
+    """
+    totals = grouped(cells, ["series"], ["sum(value) AS series_total"])
+    top = totals.orderBy(col("series_total").desc(), col("series")).limit(most).select("series", F.lit(True).alias("top"))
+    named = rows.join(cells.select("x", "total").distinct(), "x").join(F.broadcast(top) if most <= FEW_CATEGORIES else top, "series", "left")
+    named = named.withColumn("series", F.expr(f"CASE WHEN top THEN series ELSE {text_sql(OTHER)} END"))
+    return grouped(named, ["x", "total", "series"], [f"coalesce(double({how}(v)), 0D) AS value"])
 
 
 def heatmap(df: DataFrame, x: str, y: str, value: str) -> DataFrame:

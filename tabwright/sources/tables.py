@@ -9,7 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.columns import col, quoted, require
+from tabwright.columns import NESTED, col, quoted, require
 from tabwright.fields import FieldSpec
 
 ROW_ID = "_row_id"
@@ -59,13 +59,31 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_table(
-    df: DataFrame, path: str, mode: str = "errorifexists", specs: Sequence[FieldSpec] = ()
+    df: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    specs: Sequence[FieldSpec] = (),
+    cluster_by: Sequence[str] = (),
+    lookup: Sequence[str] = (),
 ) -> None:
-    """Keep a confirmed table for later analyses, its field specs in the columns' metadata."""
+    """Keep a confirmed table for later analyses, its field specs in the columns' metadata.
+
+    ``cluster_by`` lays the rows out by ranges of these columns, so that a filter on the first
+    ones meets few files and row groups; rows of a frequent value are dealt over several
+    ranges by a hash of the row. ``lookup`` columns get Bloom filters, for equality on values of any order.
+    """
     require(df, [s.name for s in specs])
     for s in specs:
         df = df.withMetadata(s.name, {**df.schema[s.name].metadata, SPEC: json.dumps(asdict(s))})
-    df.write.mode(mode).parquet(path)
+    writer = df
+    if cluster_by:
+        require(df, list(cluster_by))
+        columns = [col(c) for c in cluster_by]
+        hashed = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
+        writer = df.repartitionByRange(*columns, F.xxhash64(*hashed)).sortWithinPartitions(*columns)
+    require(df, list(lookup))
+    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in lookup}
+    writer.write.mode(mode).options(**options).parquet(path)
 
 
 def stored_specs(df: DataFrame) -> list[FieldSpec]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabwright.columns import number, text_sql
 from tabwright.fields import FieldSpec, specs_of, split_roles
-from tabwright.plans import context, insights, stats, tasks, trends, views
+from tabwright.plans import context, insights, shared, stats, tasks, trends, views
 from tabwright.plans.views import View
 from tabwright.sources import with_row_id
 from tests.conftest import mapped, rows_of
@@ -287,3 +287,125 @@ def test_number_read_of_texts(spark):
     df = spark.createDataFrame([(" 12 ",), ("1e3",), ("12d",), ("NaN",), ("",), ("0x1",)], "v string")
     assert [r[0] for r in df.select(number(df, "v")).collect()] == [12.0, 1000.0, None, None, None, None]
     assert text_sql("a'b\\c") == "'a\\'b\\\\c'"
+
+
+def test_task_lists_share_a_scan(spark, kpi, tmp_path):
+    """Rows equal single runs, and the table's files are read once for all grouped tasks."""
+    path = str(tmp_path / "kpi")
+    kpi.write.parquet(path)
+    df = spark.read.parquet(path)
+    rev, tgt, month, city = "业务收入", "目标收入", "月份", "地市"
+    half = {"op": "divide", "left": {"op": "field", "field": rev}, "right": {"op": "field", "field": tgt}}
+    over = [{"field": rev, "operator": "gt", "value": 900}]
+    wanted = [
+        {"id": "a", "operator": "aggregate", "dimensions": [city], "metrics": [rev, tgt], "aggregation": "avg"},
+        {"id": "b", "operator": "aggregate", "metrics": [rev], "filters": over},
+        {"id": "c", "operator": "compare", "dimensions": [month, city], "metrics": [rev, tgt], "compareMode": "rate"},
+        {"id": "d", "operator": "ranking", "dimensions": [month], "metrics": [tgt], "aggregation": "max",
+         "sort": {"field": tgt, "direction": "desc"}, "limit": 2, "filters": over},
+        {"id": "e", "operator": "timeseries", "metrics": [rev, tgt], "time": {"field": month, "grain": "quarter"}},
+        {"id": "f", "operator": "growth", "metrics": [rev], "time": {"field": month}},
+        {"id": "g", "operator": "ratio", "dimensions": [city], "formula": {"outputField": "x", "expression": half}},
+        {"id": "h", "operator": "pivot", "dimensions": [city, month], "metrics": [rev], "filters": over},
+        {"id": "i", "operator": "aggregate", "dimensions": [city], "metrics": [rev], "aggregation": "count",
+         "filters": [{"field": rev, "operator": "gt", "value": 10**9}]},
+        {"id": "bad", "operator": "aggregate", "metrics": ["nope"]},
+    ]
+    groups = {t["id"]: shared.groups_of(df, t) for t in wanted[:-1]}
+    assert None not in groups.values()
+    found = shared.shared_groups(df, groups)
+    assert found["i"].collect() == []
+    out = tasks.run_tasks(df, wanted)
+    for t in wanted[:-1]:
+        assert sorted(map(str, rows_of(out[t["id"]].rows))) == sorted(map(str, rows_of(tasks.run_task(df, t)))), t["id"]
+    assert out["bad"].status == "failed"
+    assert shared.groups_of(df, {**wanted[0], "aggregation": "median"}) is None
+    # nothing that is left to do reads the table's files
+    assert not any(path in f for o in out.values() if o.rows is not None for f in o.rows.inputFiles())
+
+
+def test_the_sample_covers_values_with_few_rows(spark):
+    """Six fields of eight values: a value of each field is shown by each of eight rows somewhere in the middle."""
+    fields = [f"f{i}" for i in range(6)]
+    cells = [f"CASE WHEN id BETWEEN 700 AND 707 THEN string((id + {i}) % 8) WHEN id = {100 + i} THEN string(id % 8) ELSE '0' END AS f{i}" for i in range(6)]
+    df = spark.range(2000).selectExpr("id AS _row_id", *cells)
+    sample = context.stable_sample(df, fields)
+    assert sample.count() <= 40
+    assert all(r["shown"] == r["values"] == 8 for r in rows_of(context.sample_coverage(df, sample, fields)))
+
+
+def test_greedy_coverage_equals_a_plain_program(spark, monkeypatch):
+    import random
+
+    random.seed(4)
+    rows = [(i, str(random.randrange(9)), str(random.randrange(30)), random.choice(["", "a", "b"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "_row_id long, a string, b string, c string")
+    seen, want = {("c", ""), ("a", rows[5][1]), ("b", rows[5][2]), ("c", rows[5][3])}, []
+    while len(want) < 25:
+        best = max(rows, key=lambda r: (len({("a", r[1]), ("b", r[2]), ("c", r[3])} - seen), -r[0]))
+        new = {("a", best[1]), ("b", best[2]), ("c", best[3])} - seen
+        if not new:
+            break
+        want.append(best[0])
+        seen |= new
+    for fetched in (3, 1000):
+        monkeypatch.setattr(context, "CANDIDATES", fetched)
+        assert context.category_ids(df, ["a", "b", "c"], most=25, shown=[5]) == want
+
+
+def test_many_series_fill_a_grid(spark):
+    """Over eleven thousand series, more than a pivot takes."""
+    df = spark.range(11_500).selectExpr("string(id) AS g", "string(id % 2) AS x", "double(id) AS v")
+    grid = views.series_matrix(df, View("bar", "x", "v", group="g"))
+    assert grid.count() == 23_000 and grid.filter("value <> 0").count() == 11_499
+    few = rows_of(views.series_matrix(df, View("bar", "x", "v", "avg", group="g", max_series=2)))
+    others = {r["x"]: r["value"] for r in few if r["series"] == views.OTHER}
+    assert others == {"0": (2 * sum(range(0, 5749))) / 5749, "1": sum(range(1, 11_498, 2)) / 5749}
+    assert {r["series"] for r in few} == {"11499", "11498", views.OTHER}
+
+
+def test_fingerprints_of_growing_files(spark, tmp_path):
+    path, states = str(tmp_path / "t"), str(tmp_path / "states")
+    first = spark.createDataFrame([(1, "a", 0.5), (2, None, None)], "i int, s string, d double")
+    first.write.parquet(path)
+    one = context.growing_fingerprint(spark, path, states).first()
+    assert one == context.fingerprint(first).first()
+    known = spark.read.parquet(states).count()
+    assert context.growing_fingerprint(spark, path, states).first() == one and spark.read.parquet(states).count() == known
+    more = spark.createDataFrame([(2, None, None)], first.schema)
+    more.coalesce(1).write.mode("append").parquet(path)
+    two = context.growing_fingerprint(spark, path, states).first()
+    assert two == context.fingerprint(first.union(more)).first() != one
+    assert spark.read.parquet(states).count() == known + 1
+    spark.read.parquet(path).limit(0).coalesce(1).write.mode("overwrite").parquet(path)
+    assert context.growing_fingerprint(spark, path, states).first() == context.fingerprint(first.limit(0)).first()
+    shifted = spark.createDataFrame([("a", "b1:c"), ("ab", "1:c")], "p string, q string")
+    assert context.fingerprint(shifted.limit(1)).first() != context.fingerprint(shifted.filter("p = 'ab'")).first()
+
+
+def scanned_rows(df):
+    """Rows that the scan of an executed plan gave out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_laid_out_table_is_read_in_part(spark, tmp_path):
+    from tabwright.functions.predicates import apply_filters
+    from tabwright.sources import read_table, save_table
+
+    df = spark.range(40_000).selectExpr("id * 7919 % 40000 AS v", "hash(id) AS h", "'x' AS same")
+    save_table(df, str(tmp_path / "t"), cluster_by=["v"], lookup=["h"])
+    kept = read_table(spark, str(tmp_path / "t"))
+    between = apply_filters(kept, [{"field": "v", "operator": "between", "value": [100, 900]}])
+    assert between.count() == 801
+    assert scanned_rows(between) <= 10_500
+    # an equal value of the column without an order is in one file, and the others' Bloom filters say so
+    one = apply_filters(kept, [{"field": "h", "operator": "eq", "value": kept.first()["h"]}])
+    assert one.count() == 1
+    assert scanned_rows(one) <= 20_500
+    # a single value is dealt over several ranges
+    save_table(df, str(tmp_path / "u"), cluster_by=["same"])
+    assert len(read_table(spark, str(tmp_path / "u")).inputFiles()) > 1
