@@ -22,8 +22,10 @@ from tabwright.llm.common import map_batches, texts_of
 # Parts of a page, from what is never shown to what is the article. Headers and forms end
 # where an article begins inside them, and whole pages stand in forms.
 SKIP, BAD, HEADER, FORM, NEUTRAL, GOOD = -4, -3, -2, -1, 0, 1
+HINTED = 2  # inside an article, in an element whose name may mean something else
 
 # Elements and words of HTML and of common page templates.
+NESTED_TAGS = set("svg object template canvas audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = set("script style noscript template svg iframe object select button textarea head title canvas audio video datalist".split())
 BLOCKS = set(
@@ -39,6 +41,17 @@ BAD_WORDS = set(
     "respond reply replies disqus discussion share sharing social related recommended breadcrumb breadcrumbs pagination "
     "pager subscribe newsletter signup login widget toolbar search hidden".split()
 )
+# Inside an article these name the element's use for sure, the other words may name its subject.
+SURE_WORDS = BAD_WORDS - set(
+    "navigation menu header footer notice notices alert comment respond reply replies discussion share sharing social related recommended "
+    "login signup search toolbar widget hidden promotion sponsor banner overlay".split()
+)
+STRUCTURE_WORDS = set(
+    "box container wrapper wrap inner outer area section list item items block blocks slot unit bar row col column left right top bottom "
+    "main link links icon icons button buttons btn form group panel content post posts article entry page site body".split()
+)
+# Elements that begin no new content: what else comes ends an open head.
+HEAD_TAGS = set("base link meta title script style noscript template".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 GOOD_WORDS = set("article content post entry story articlebody main maincontent".split())
 WHOLE_PAGE = {"html", "body", "main"}
@@ -51,8 +64,10 @@ CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 class Blocks(HTMLParser):
     """Collects ``(text, words, linked words, part, heading)`` of every block with a word or sign."""
 
-    def __init__(self) -> None:
+    def __init__(self, page: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        self.page, self.lines = page, None
+        self.loose: list[int] = []  # depths of skipped elements that nothing closes
         self.blocks: list[tuple[str, int, int, int, bool]] = []
         self.stack: list[tuple[str, int, int, bool]] = []
         self.open: dict[str, int] = {}
@@ -68,8 +83,22 @@ class Blocks(HTMLParser):
                 self.blocks.append((text, len(WORDS.findall(text)), linked, self.part, self.heading))
             self.text, self.linked = [], []
 
+    def closes(self, tag: str) -> bool:
+        """Whether the element that begins here has an end tag before another of its name begins."""
+        if self.lines is None:
+            self.lines = [0, *(m.end() for m in re.finditer("\n", self.page))]
+        line, column = self.getpos()
+        found = re.compile(rf"<(/?){tag}\b", re.IGNORECASE).search(self.page, self.lines[line - 1] + column + 1)
+        return bool(found and (found[1] or tag in NESTED_TAGS))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.stack and self.stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            self._pop()
         if tag in BLOCKS:
+            while self.loose:  # a block ends what was skipped and never closed
+                depth = self.loose[-1]
+                while len(self.stack) > depth:
+                    self._pop()
             self.flush()
             if self.links and tag != "a":
                 self.links = 0  # a link that was never closed ends with its block
@@ -79,6 +108,8 @@ class Blocks(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
+        if tag in SKIPPED and tag != "head" and self.part != SKIP and not self.closes(tag):
+            self.loose.append(len(self.stack))
         self.stack.append((tag, self.part, self.links, self.heading))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.part = part_of(tag, attrs, self.part)
@@ -100,9 +131,13 @@ class Blocks(HTMLParser):
     def _pop(self) -> str:
         tag, self.part, self.links, self.heading = self.stack.pop()
         self.open[tag] -= 1
+        if self.loose and len(self.stack) <= self.loose[-1]:
+            self.loose.pop()
         return tag
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._pop()  # text has no place in a head
         if self.part != SKIP:
             self.text.append(data)
             if self.links:
@@ -115,9 +150,16 @@ def part_of(tag: str, attrs: list[tuple[str, str | None]], outer: int) -> int:
     if outer == BAD or tag in BAD_TAGS:
         return BAD
     hints: set[str] = set()
+    doubted = False
     for name, value in attrs:
         if name in ("class", "id", "itemprop") and value and tag not in WHOLE_PAGE:
-            hints.update(HINTS.findall(value.lower()))
+            if outer >= GOOD:
+                judged = [_judge_name(x) for x in value.lower().split()]
+                if BAD in judged:
+                    return BAD
+                doubted = doubted or HINTED in judged
+            else:
+                hints.update(HINTS.findall(value.lower()))
         elif name == "role" and value:
             if value.lower() in BAD_ROLES:
                 return BAD
@@ -127,25 +169,36 @@ def part_of(tag: str, attrs: list[tuple[str, str | None]], outer: int) -> int:
             return BAD
         elif name == "style" and value and re.search(r"display\s*:\s*none", value):
             return BAD
+    if outer >= GOOD:
+        return BAD if tag == "form" else HINTED if doubted else outer
     if hints & BAD_WORDS:
         return BAD
     if tag in ("article", "main"):
         return GOOD
     if tag == "form":
-        return BAD if outer == GOOD else FORM
+        return FORM
     if tag == "header" or "header" in hints or "masthead" in hints:
-        return outer if outer == GOOD else HEADER
+        return HEADER
     if outer in (NEUTRAL, FORM) and hints & GOOD_WORDS:
         return GOOD
     return outer
 
 
+def _judge_name(name: str) -> int:
+    """What one class or id says inside an article: a name with other words in it says nothing."""
+    words = {w for w in HINTS.findall(name) if not w.isdigit()}
+    if not words & BAD_WORDS or not words <= BAD_WORDS | STRUCTURE_WORDS:
+        return GOOD
+    return BAD if words & SURE_WORDS else HINTED
+
+
 def blocks_of(page: str | None) -> list[tuple[str, int, int, int, bool]]:
     if not page:
         return []
-    parser = Blocks()
     cut = CUT_TAG.search(page)  # a page can end inside a tag
-    parser.feed(page[: cut.start()] if cut else page)
+    page = page[: cut.start()] if cut else page
+    parser = Blocks(page)
+    parser.feed(page)
     parser.close()
     parser.flush()
     return parser.blocks
@@ -194,6 +247,7 @@ LABELLED = [
     (3, 0.0, 2, 1.0, 5, 1.0, 0, 0, 1, 0), (2, 0.0, 60, 0.0, 2, 1.0, 0, 0, 1, 0), (90, 0.7, 20, 0.9, 5, 1.0, 0, 0, 0, 0),
 ]
 MAX_DEPTH = 8
+LINKED_TEXT = 0.34
 
 
 @cache
@@ -230,10 +284,16 @@ def judge(node: tuple | bool, row: tuple) -> bool:
 def features(blocks: list[tuple[str, int, int, int, bool]]) -> list[tuple]:
     edge = (0, 0.0)
     size = [edge, *((b[1], min(1.0, b[2] / b[1]) if b[1] else 0.0) for b in blocks), edge]
-    marked = int(any(b[3] == GOOD for b in blocks))
-    return [
-        (*size[i + 1], *size[i], *size[i + 2], max(-1, b[3]), marked, int(b[4])) for i, b in enumerate(blocks)
-    ]
+    marked = int(any(b[3] >= GOOD for b in blocks))
+    parts = [_place(b[3], size[i + 1][1]) for i, b in enumerate(blocks)]
+    return [(*size[i + 1], *size[i], *size[i + 2], parts[i], marked, int(b[4])) for i, b in enumerate(blocks)]
+
+
+def _place(part: int, link: float) -> int:
+    """A doubtful name inside an article lowers a block only if its links speak against it too."""
+    if part == HINTED:
+        return GOOD if link < LINKED_TEXT else -1
+    return max(-1, part)
 
 
 def main_text(page: str | None) -> str:

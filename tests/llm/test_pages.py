@@ -82,3 +82,48 @@ def test_rows(spark):
         str(r) for r in spark.createDataFrame([(1, "u", text, len(text))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], out.schema).collect()
     )
     assert p.extract(frame.limit(0)).count() == 0
+
+
+FIRST, LAST = "The first paragraph has words enough to stand here.", "The last paragraph has words enough as well."
+
+
+@pytest.mark.parametrize(
+    "middle",
+    [
+        '<section id="discussion"><h2>Discussion</h2><p>{}</p></section>', '<section class="search-methods"><p>{}</p></section>',
+        '<div class="share">{}</div>', '<section id="social-history"><p>{}</p></section>', '<div class="login-flow"><p>{}</p></div>',
+        '<h2 id="related-work">{}</h2>', '<div class="comment">{}</div>', '<p class="notice">{}</p>', '<div class="widget widget-text"><p>{}</p></div>',
+        '<header class="header"><p>{}</p></header>',
+    ],
+)
+def test_names_inside_an_article_may_be_its_subject(middle):
+    body = f"<article><p>{FIRST}</p>{middle.format('We share what we found.')}<p>{LAST}</p></article>"
+    found = p.main_text(inside(body)).split("\n")
+    assert found[0] == FIRST and found[-1] == LAST and "We share what we found." in found
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        '<div class="share"><a href=/f>Facebook</a> <a href=/t>Twitter</a></div>', '<div class="ad-slot">Buy it now, it is cheap.</div>',
+        '<div class="related-posts"><a href=/1>One more</a><a href=/2>Another one</a></div>', '<div id="comments"><p>I like it a lot.</p></div>',
+        '<div class="cookie-notice">We use cookies here.</div>', "<aside>See also the others.</aside>", "<form><p>Your mail address</p></form>",
+        "<footer>Posted in: things</footer>", '<div class="newsletter-signup">Sign up today for more.</div>', "<button><div>Send</div></button>",
+        '<p hidden>Not shown</p>', "<svg><svg><text>x</text></svg></svg>", "<noscript><p>Turn it on</p></noscript>",
+    ],
+)
+def test_noise_inside_an_article_goes(noise):
+    assert p.main_text(inside(f"<article><p>{FIRST}</p>{noise}<p>{LAST}</p></article>")) == f"{FIRST}\n{LAST}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=x><body>{}</body>", "<head><title>T</title>{}", "<head><link href=x>{}</html>",
+        "<html><head><title>T</title></head><body><button>OK{}", "<body><select><option>a<option>b{}<select><option>c</select>",
+        "<body><noscript>no{}", "<body><button>One<div><button>Two</button></div>{}", "<body><video src=x>{}",
+    ],
+)
+def test_what_is_never_closed_ends_with_the_next_block(page):
+    body = f"<article><p>{FIRST}</p><p>{LAST}</p></article>"
+    assert p.main_text(page.format(body)) == f"{FIRST}\n{LAST}"
