@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are overlapping candidates. A line links every later
-document to the first one that has it, so a line that a million documents share gives a
-million links and not their pairs; nothing needs a cap. Each linked pair is aligned with
-patience diff over the lines that occur in several documents, and aligned common blocks
-of enough words are deleted from the later document. The first document that has a line
-always keeps it.
+Documents that share the hash of a run of lines with enough words are overlapping candidates:
+such runs are rare, where single lines are common. A run links every later document to the
+first one that has it, so a run that a million documents share gives a million links and
+not their pairs, and yet every passage that some earlier document has meets it in
+the first holder of each of its runs; nothing needs a cap. Each linked pair is aligned with patience
+diff, again and again until no common block of enough words is left, and the blocks are deleted
+from the later document. The first document that has a passage always keeps it.
 
 Lines are compared without outer white space, inner white space as one space. Long
 documents are aligned in overlapping segments of lines, so a pair is small at any length.
@@ -16,7 +17,9 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +88,7 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_blocks(later: list[tuple], first: list[tuple], least: int) -> list[int]:
+def aligned_blocks(later: list[tuple], first: list[tuple], least: int) -> list[int]:
     """Positions in the later document of aligned blocks of at least ``least`` words.
 
     Lines are ``(rank, mark, check, words, position)``; lines of neighbouring ranks on
@@ -105,20 +108,96 @@ def common_blocks(later: list[tuple], first: list[tuple], least: int) -> list[in
     return found + ([x[4] for x in block] if words >= least else [])
 
 
-def line_table(docs: DataFrame, who: str, text: str) -> DataFrame:
-    """``who, rank, position, mark, check, words``: a row per line with a word."""
-    clean = F.transform(
-        F.split(text, "\n", -1),
-        lambda x, i: F.struct(i.alias("position"), F.trim(F.regexp_replace(x, r"[ \t\r\f\x0b]+", " ")).alias("line")),
+def common_blocks(later: list[tuple], first: list[tuple], least: int) -> list[int]:
+    """Positions in the later document of all blocks of ``least`` words that the first one has anywhere.
+
+    The alignment is repeated on the lines that are left until it finds no block; each time
+    other lines are anchors, so passages in another order are found too. Lines that are no anchor
+    because they repeat are found by their shortest runs.
+    """
+    gone: set[int] = set()
+    left = later
+    while found := aligned_blocks(left, first, least):
+        gone.update(found)
+        left = [x for x in left if x[4] not in gone]
+    known = {tuple(x[1:3] for x in first[i:j]) for i, j in least_runs([x[3] for x in first], least)}
+    for i, j in least_runs([x[3] for x in later], least):
+        if tuple(x[1:3] for x in later[i:j]) in known:
+            gone.update(x[4] for x in later[i:j])
+    return sorted(gone)
+
+
+def least_runs(words: list[int], least: int) -> list[tuple[int, int]]:
+    """Start and end of the shortest runs of lines with ``least`` words, of those that begin and of those that end with a line."""
+    n, spans = len(words), set()
+    end = total = 0
+    for start in range(n):
+        while end < n and total < least:
+            total += words[end]
+            end += 1
+        if total < least:
+            break
+        spans.add((start, end))
+        total -= words[start]
+    start = total = 0
+    for end in range(1, n + 1):
+        total += words[end - 1]
+        while start < end and total - words[start] >= least:
+            total -= words[start]
+            start += 1
+        if total >= least:
+            spans.add((start, end))
+    return sorted(spans)
+
+
+def lists_of(sizes: list[int], **fields: np.ndarray) -> pa.Array:
+    """A list column of structs whose fields lie one list after another."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields)))
+
+
+def line_arrays(docs: DataFrame, who: str, text: str, least: int) -> DataFrame:
+    """``who, lines, runs``, a row per document with a line.
+
+    ``lines`` are structs ``rank, mark, check, words, position`` of the lines with a word. ``runs`` are
+    its :func:`least_runs`: place of the first line and a hash of all. Two documents share a passage
+    of ``least`` words if and only if they share such a run, and the shared runs cover all of it.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict:
+        digests, words, positions, ranks, sizes = [], [], [], [], []
+        run_digests, run_starts, run_sizes = [], [], []
+        for t in texts_of(batch, "t"):
+            own, own_words = [], []
+            for position, raw in enumerate(t.encode().split(b"\n") if t else ()):
+                if cells := raw.split():
+                    own.append(xxhash.xxh3_128_digest(b" ".join(cells)))
+                    own_words.append(len(cells))
+                    positions.append(position)
+            spans = least_runs(own_words, least)
+            run_digests += [xxhash.xxh3_128_digest(b"".join(own[i:j])) for i, j in spans]
+            run_starts += [i for i, _ in spans]
+            run_sizes.append(len(spans))
+            digests += own
+            words += own_words
+            ranks += range(len(own))
+            sizes.append(len(own))
+        mark, check = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T.copy()
+        run_mark, run_check = np.frombuffer(b"".join(run_digests), "<i8").reshape(-1, 2).T.copy()
+        small = [np.array(x, np.int32) for x in (ranks, words, positions, run_starts)]
+        return {
+            "who": batch.column("who"),
+            "lines": lists_of(sizes, rank=small[0], mark=mark, check=check, words=small[1], position=small[2]),
+            "runs": lists_of(run_sizes, rank=small[3], mark=run_mark, check=run_check),
+        }
+
+    kind = docs.schema[who].dataType.simpleString()
+    schema = (
+        f"who {kind}, lines array<struct<rank:int,mark:bigint,check:bigint,words:int,position:int>>, "
+        "runs array<struct<rank:int,mark:bigint,check:bigint>>"
     )
-    return (
-        docs.select(who, F.posexplode(F.filter(clean, lambda x: x["line"] != "")).alias("rank", "x"))
-        .select(
-            who, "rank", F.col("x.position").alias("position"),
-            F.xxhash64("x.line").alias("mark"), F.xxhash64(F.lit("check"), "x.line").alias("check"),
-            F.size(F.split("x.line", " ")).alias("words"),
-        )
-    )
+    found = map_batches(docs.select(F.col(who).alias("who"), F.col(text).alias("t")), run, schema, rows=1024)
+    return found.filter("size(runs) > 0").withColumnRenamed("who", who)
 
 
 def removals(docs: DataFrame, who: str, text: str, least: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -126,27 +205,32 @@ def removals(docs: DataFrame, who: str, text: str, least: int = MIN_BLOCK_WORDS)
 
     ``who`` orders the documents; rows that repeat it are the same document.
     """
-    lines = written(line_table(docs, who, text), "lines")
-    place = F.struct(F.col(who), F.col("rank"))
+    overlap = max(OVERLAP, least)
+    arrays = written(line_arrays(docs, who, text, least), "lines")
+    runs = arrays.select(who, F.explode("runs").alias("run")).select(who, "run.*")
     shared = (
-        lines.groupBy("mark", "check")
-        .agg(F.min(place).alias("home"), F.max(who).alias("last"))
+        runs.groupBy("mark", "check")
+        .agg(F.min(F.struct(F.col(who), F.col("rank"))).alias("home"), F.max(who).alias("last"))
         .filter(F.col("last") > F.col(f"home.{who}"))
-        .select("mark", "check", F.col(f"home.{who}").alias("first"), F.expr(f"home.rank div {SEGMENT}").alias("first_part"))
+        .select("mark", "check", F.col(f"home.{who}").alias("first"), F.col("home.rank").alias("first_rank"))
     )
     # written, so that both sides of the join come from shuffles that Spark can split
-    shared = written(shared, "shared-lines")
-    part = F.expr(f"rank div {SEGMENT}")
-    parts = F.when((part > 0) & (F.col("rank") % SEGMENT < OVERLAP), F.array(part, part - 1)).otherwise(F.array(part))
-    kept = lines.join(shared, ["mark", "check"]).withColumn("part", F.explode(parts))
-    kept = written(kept, "shared")
-    pairs = kept.filter(F.col("first") < F.col(who)).select(who, "part", "first", "first_part").distinct()
-    line = F.struct("rank", "mark", "check", "words", "position")
-    runs = written(kept.groupBy(who, "part").agg(F.sort_array(F.collect_set(line)).alias("lines")), "runs")
-    both = pairs.join(runs, [who, "part"]).join(
-        runs.select(F.col(who).alias("first"), F.col("part").alias("first_part"), F.col("lines").alias("first_lines")),
-        ["first", "first_part"],
-    )
+    shared = written(shared, "shared-runs")
+    part = f"cast(rank div {SEGMENT} as int)"
+    links = runs.join(shared, ["mark", "check"]).filter(F.col("first") < F.col(who))
+    pairs = links.selectExpr(who, f"{part} AS part", "first", f"cast(first_rank div {SEGMENT} as int) AS first_part").distinct()
+    pairs = written(pairs, "pairs")
+
+    def segments(name: str, number: str, lines: str, others: DataFrame) -> DataFrame:
+        """The lines of the segments that pairs ask for; a run that begins in a segment ends inside its overlap."""
+        cut = f"slice(lines, {number} * {SEGMENT} + 1, {SEGMENT + overlap}) AS {lines}"
+        own = arrays.select(F.col(who).alias(name), "lines")
+        found = others.select(name, number).distinct().join(own, name).selectExpr(name, number, cut)
+        return found.dropDuplicates([name, number])  # rows that repeat a document
+
+    later = written(segments(who, "part", "lines", pairs), "later-lines")
+    first = written(segments("first", "first_part", "first_lines", pairs), "first-lines")
+    both = pairs.join(later, [who, "part"]).join(first, ["first", "first_part"])
 
     def align(batch: pa.RecordBatch) -> dict:
         out = []
@@ -155,8 +239,8 @@ def removals(docs: DataFrame, who: str, text: str, least: int = MIN_BLOCK_WORDS)
             out.append(common_blocks(a, b, least))
         return {"who": batch.column("who"), "positions": out}
 
-    kind = kept.schema[who].dataType.simpleString()
-    found = map_batches(both.select(F.col(who).alias("who"), "lines", "first_lines"), align, f"who {kind}, positions array<int>")
+    kind = arrays.schema[who].dataType.simpleString()
+    found = map_batches(both.select(F.col(who).alias("who"), "lines", "first_lines"), align, f"who {kind}, positions array<int>", rows=64)
     return (
         found.select(F.col("who").alias(who), F.explode("positions").alias("position"))
         .groupBy(who)
