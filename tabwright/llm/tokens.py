@@ -1,9 +1,4 @@
-"""Token ids of texts by a byte-level BPE tokenizer, with a bounded cache.
-
-The tokenizer cuts a text into pre-tokens and encodes each on its own. A space whose
-neighbours are not both white space always begins a pre-token, so a stretch from one
-such space to the next can be encoded once and looked up afterwards. Stretches that are
-new are encoded together, with a line feed between them that is a token of its own.
+"""Token ids of texts by a byte-level BPE tokenizer.
 
 The vocabulary file is one of the tokenizers library. Where its merges are in the order
 of their ids, the same ranks serve tiktoken, which gives the same ids several times
@@ -15,21 +10,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse
+from functools import cache
 from pathlib import Path
 
 import numpy as np
 import tiktoken
 
-# A space between white space (or before the end): there the cut would be wrong.
-UNSAFE = re.compile(r"\s (?:\s|\Z)")
-CACHE_ENTRIES = 300_000
-CACHE_CHARS = 40  # a text with longer stretches is encoded whole
-TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 21
-BETWEEN = "\n"
-
-
 # Fixed value: how a byte-level BPE with its own rule cuts a text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -58,6 +46,20 @@ def ranks_of(path: str) -> dict[bytes, int] | None:
     return {bytes(signs[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
 
+# A space between two other signs begins a pre-token, so a long text can be cut before it.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+CHARS_AT_ONCE = 1 << 20
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A long text in parts that are encoded alike by themselves."""
+    at = 0
+    while len(text) - at > CHARS_AT_ONCE and (cut := CUT.search(text, at + CHARS_AT_ONCE)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,17 +68,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
         ranks = ranks_of(path)
         self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
-        self.between = int(self._one(BETWEEN)[0])
+        self.code = "H" if self.width.itemsize == 2 else "I"
 
-    def _one(self, text: str) -> np.ndarray:
+    def ids(self, text: str | None) -> np.ndarray:
+        """Ids of a text; none for a null or empty one."""
+        if not text:
+            return np.empty(0, self.width)
         if self.fast and not any(s in text for s in self.special):
-            return np.array(self.fast.encode_ordinary(text), self.width)
+            out = array(self.code)
+            for part in pieces(text):
+                out.extend(self.fast.encode_ordinary(part))
+            return np.frombuffer(out, self.width)
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, self.width)
 
+    def ids_of(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        return map(self.ids, texts)
+
     def count(self, text: str) -> int:
         """Tokens of a text in which the names of special tokens are ordinary."""
         if self.fast:
@@ -84,58 +94,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Put stretches, that a space precedes in their texts, into the cache."""
-        # one with white space inside or at an end would blur the borders
-        plain = [s for s in stretches if len(s.split()) == 1 and s[0].strip() and s[-1].strip()]
-        ids = self._one(BETWEEN.join([" " + s for s in plain]))
-        size = self.width.itemsize
-        ends = [*(np.flatnonzero(ids == self.between) * size).tolist(), len(ids) * size]
-        if len(ends) == len(plain):
-            data, start = ids.tobytes(), 0
-            for s, end in zip(plain, ends):
-                self.known[s] = data[start:end]
-                start = end + size
-        for s in stretches:
-            if s not in self.known:
-                self.known[s] = self._one(" " + s).tobytes()
 
-    def ids(self, text: str | None) -> np.ndarray:
-        return next(self.ids_of([text]))
-
-    def ids_of(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text; none for a null or empty one."""
-        held: list[str] = []
-        chars = 0
-        for text in texts:
-            held.append(text or "")
-            chars += len(held[-1])
-            if len(held) == TEXTS_AT_ONCE or chars >= CHARS_AT_ONCE:
-                yield from self._ids_of(held)
-                held, chars = [], 0
-        yield from self._ids_of(held)
-
-    def _ids_of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            parts = None
-            if not UNSAFE.search(text) and not any(s in text for s in self.special):
-                parts = text.split(" ")
-                if max(map(len, parts)) > CACHE_CHARS:
-                    parts = None
-            cut.append(parts)
-            if parts:
-                new.update(filterfalse(self.known.__contains__, parts[1:]))
-        if new:
-            # clearing the cache would lose what these texts have
-            if len(self.known) + len(new) > CACHE_ENTRIES:
-                new = {s for parts in cut if parts for s in parts[1:]}
-                self.known.clear()
-            self._learn(new)
-        for text, parts in zip(texts, cut):
-            if parts is None:
-                yield self._one(text)
-            else:
-                head = self._one(parts[0]).tobytes() if parts[0] else b""
-                yield np.frombuffer(head + b"".join(map(self.known.__getitem__, parts[1:])), self.width)
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks that a worker runs."""
+    return Encoder(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tabwright.llm import packing
+from tabwright.llm import packing, tokens
 from tabwright.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,14 @@ def test_ids_equal_the_tokenizer(tokenizer):
         assert encoder.ids(t).tolist() == want, repr(t)
 
 
+def test_long_texts_are_encoded_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CHARS_AT_ONCE", 50)
+    rng, encoder = random.Random(9), Encoder(PATH)
+    for _ in range(60):
+        t = "".join(rng.choice(["a", "Be", " ", "  ", "\n", " \n", "'s", "12", ".", "é"]) for _ in range(400))
+        assert len(list(tokens.pieces(t))) > 3 and encoder.ids(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("shard", [1 << 21, 3000])
 def test_round_trip(spark, tokenizer, shard, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", shard)
@@ -75,6 +83,51 @@ def test_neighbours_share_rare_terms():
     assert index.neighbours(1, unused)[0] == 4
 
 
+def topics_per_window(rows, topic_of):
+    windows = {}
+    for r in rows:
+        windows.setdefault(r.sequence_id, set()).add(r.doc_id)
+    full = [w for w in windows.values() if len(w) > 2]
+    return np.mean([len({topic_of(i) for i in w}) / len(w) for w in full])
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_neighbours_are_found_in_all_partitions(spark, partitions):
+    """A hundred topics in turn: windows hold few of them, however the documents are spread."""
+    rng = random.Random(3)
+    common = ["and", "the", "of", "in", "to", "was"]
+    words = ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(4)) for _ in range(3000)]
+    rows = []
+    for i in range(800):
+        own = words[30 * (i % 100) : 30 * (i % 100) + 30]
+        rows.append((i, " ".join(rng.choice(common if rng.random() < 0.3 else own) for _ in range(90))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions, "doc_id")
+    out = packing.pack(docs, PATH).collect()
+    found = topics_per_window(out, lambda i: i % 100)
+    order = rng.sample(range(800), 800)
+    by_chance = topics_per_window(out, dict(zip(range(800), (order[i] % 100 for i in range(800)))).get)
+    assert found < 0.6 < 0.8 < by_chance
+
+
+def test_statistics_are_those_of_the_corpus(spark, tokenizer):
+    texts = ["alpha beta", "beta gamma beta", None, "", "delta"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    encoder = Encoder(PATH)
+    got = packing.statistics(packing.encoded(docs, PATH, "doc_id", "text"), encoder.width)
+    ids = [tokenizer.encode(t).ids if t else [] for t in texts]
+    assert got.docs == 15 and abs(got.mean - (sum(map(len, ids)) / 15 + 1)) < 1e-9
+    assert all(got.df[t] == sum(t in x for x in ids) for t in {t for x in ids for t in x})
+
+
+def test_a_token_that_a_third_shares_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 200)
+    docs = spark.range(300).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same copy' ELSE concat('text number ', id) END AS text")
+    ids = packing.encoded(docs, PATH, "doc_id", "text")
+    width = Encoder(PATH).width
+    groups = packing.together(ids, packing.statistics(ids, width), width).groupBy("term", "tile").count().collect()
+    assert sum(r["count"] for r in groups) == 300 and max(r["count"] for r in groups) <= 60
+
+
 def test_crc_of_pieces(spark):
     from pyspark.sql import functions as F
 
