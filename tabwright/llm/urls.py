@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import fresh, written
 
 PREFIX_DIGITS = 8
-MAX_LENGTHS = 4096
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -56,20 +55,20 @@ def rule_table(rules: DataFrame) -> DataFrame:
     )
 
 
-def expressions(urls: DataFrame, lengths: list[int]) -> DataFrame:
+def expressions(urls: DataFrame, lengths: Column) -> DataFrame:
     """``urls(url, host, path)`` to a row per host suffix and rule-path length that the path has."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     return (
-        urls.filter("host <> ''")
-        .select("url", "path", F.explode(suffixes).alias("suffix"))
+        urls.filter("host <> ''").withColumn("lengths", lengths)
+        .select("url", "path", "lengths", F.explode(suffixes).alias("suffix"))
         .select("url", "suffix", F.explode(F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("start"))
         .withColumn("digest", _digest("suffix", "start"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
-    )
+    )
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW) -> DataFrame:
@@ -78,13 +77,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = A
     ``pages`` may hold nulls, repeated rows and columns of the same names; those are
     replaced. A URL without host gets the default, as does one that no rule fits. Of
     rules of equal length the one with the longer host decides. Repeated URLs are
-    judged once. The rules' path lengths are the one thing known to the driver: numbers,
-    at most ``MAX_LENGTHS`` of them.
+    judged once. The different lengths of the rules' paths, numbers of which there are no more
+    than characters in the longest path, are a scalar of the plan; each URL is cut at those it has.
     """
     known = rule_table(rules)
-    lengths = sorted(r[0] for r in known.select(F.length("r_path")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rule paths have more than {MAX_LENGTHS} different lengths")
+    lengths = known.agg(F.sort_array(F.collect_set(F.length("r_path")))).scalar()
     host, path = parts("url")
     urls = pages.select(F.col(url).alias("url")).filter("url is not null").distinct().select("url", host.alias("host"), path.alias("path"))
     same = fresh(pages, "_url")
