@@ -59,5 +59,5 @@ def test_rules_of_very_many_lengths(spark):
     """Five thousand lengths of paths: no bound on them, and the longest that fits decides."""
     rules = spark.range(5000).selectExpr("'a.com' AS host", "concat('/', repeat('x', int(id))) AS path", "if(id % 2 = 0, 'allow', 'block') AS verdict")
     pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 3001), (2, "http://b.a.com/xy"), (3, "http://a.com")], "page_id long, url string")
-    found = {r.page_id: (len(r.rule or ""), r.verdict) for r in urls.judge(pages, rules).collect()}
+    found = {r.page_id: (len(r.rule or ""), r.verdict) for r in u.judge(pages, rules).collect()}
     assert found == {1: (len("a.com/") + 3001, "block"), 2: (len("a.com/x"), "block"), 3: (0, "allow")}
