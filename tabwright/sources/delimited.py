@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.columns import col
+from tabwright.columns import col, literal_rows
 from tabwright.scale import is_light, materialize
 from tabwright.sources.headers import clean_names, drop_placeholders
 from tabwright.sources.records import AT, BLOCK, FILE, PLACE, data_records, scan_files
@@ -19,6 +19,7 @@ from tabwright.sources.tables import ROW_ID
 # The delimiters that are tried.
 DELIMITERS = [",", "\t", "|", ";"]
 LINES_TO_GUESS = 20
+FEW_RANGES = 500
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,7 @@ def read_delimited(
         sizes.append(records.groupBy(FILE, BLOCK).agg(F.lit(0).cast("bigint").alias("first"), F.count("*").alias("size")))
     cells = reduce(DataFrame.unionByName, parts)
     if row_id:
-        cells = with_dense_ids(cells, materialize(reduce(DataFrame.unionByName, sizes)))
+        cells = with_dense_ids(cells, reduce(DataFrame.unionByName, sizes))
     keep = drop_placeholders(raw)
     names, renamed = clean_names([raw[i] for i in keep])
     df = cells.select(*[F.nullif(col(f"_c{i}"), F.lit("")).alias(n) for i, n in zip(keep, names)], *([ROW_ID] if row_id else []))
@@ -114,7 +115,14 @@ def with_dense_ids(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     Spark cut the files in another way later, places don't fit any more, which is an error.
     """
     offsets = sizes.selectExpr(FILE, BLOCK, "first", "size", f"sum(size) OVER (ORDER BY {FILE}, {BLOCK}) - size AS rows_before")
-    side = F.broadcast(offsets) if is_light(sizes) else offsets
+    few = offsets.limit(FEW_RANGES + 1).collect()
+    if len(few) <= FEW_RANGES:
+        # constants spare every later query a job
+        types = {f.name: f.dataType.simpleString() for f in offsets.schema.fields}
+        side = F.broadcast(literal_rows(rows.sparkSession, [tuple(r) for r in few], types))
+    else:
+        offsets = materialize(offsets)
+        side = F.broadcast(offsets) if is_light(offsets) else offsets
     inside = "place >= first AND place - first < size"
     changed = "raise_error('the files are split in another way than when they were opened: open them again')"
     found = rows.join(side, [FILE, BLOCK], "left")
