@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabwright.llm import (
     decontaminate, langid, lines, packing, pages, quality, recount, runs, shards, simhash, spelling, urls, warc,
 )
-from tabwright.llm.common import drop, shared_folder
+from tabwright.llm.common import drop, shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,7 +184,8 @@ def op5_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return recount.recount(recount.with_mask_edits(docs), bpe_file(), PATTERN)
+    trees = written(recount.build_trees(docs, bpe_file(), PATTERN), "trees")
+    return recount.edit_trees(recount.with_mask_edits(trees), bpe_file(), PATTERN).select("doc_id", *recount.COUNTS)
 
 
 @query

@@ -5,10 +5,14 @@ sum over its pre-tokens. A segment tree keeps characters and tokens of every pre
 and of every subtree. An edit finds its place by descending the character sums; only the
 touched pre-tokens, with the few characters before and after on which their borders
 depend, are cut and encoded again, and the sums on the way to the root are mended.
+
+Trees are a table: ``build_trees`` makes it, ``edit_trees`` reads it and returns it as the
+edits leave it, and no later round encodes more than its own edits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,6 +30,7 @@ from tabwright.llm.tokens import Encoder
 LOOKAHEAD = 2
 CUT_STEP = 1 << 12  # characters cut at a time while looking for the old borders
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 40
+BATCH = 256  # documents whose trees a task holds at once
 
 
 class Counter:
@@ -55,28 +60,93 @@ class Tree:
     """Sums of characters and tokens over slots; a slot is one pre-token of the first text.
 
     After an edit the first touched slot holds all pre-tokens of the new region and the
-    others hold none, so the tree keeps its shape.
+    others hold none, so the tree keeps its shape. The first text is never copied: a slot
+    that an edit changed has a text of its own, the others lie in the first text.
     """
 
     def __init__(self, text: str, counter: Counter) -> None:
-        self.counter, self.text = counter, text
         pieces = counter.cut(text)
-        n = self.leaves = 1 << max(0, (len(pieces) - 1).bit_length())
+        self._plant(text, counter, np.fromiter(map(len, pieces), np.int64, len(pieces)), counter.count(pieces))
+
+    @classmethod
+    def kept(cls, text: str, counter: Counter, chars: np.ndarray, tokens: np.ndarray) -> Tree:
+        """The tree of a text whose pre-tokens are known: nothing is cut or encoded."""
+        tree = cls.__new__(cls)
+        tree._plant(text, counter, chars, tokens)
+        return tree
+
+    def _plant(self, text: str, counter: Counter, chars: np.ndarray, tokens: np.ndarray | list[int]) -> None:
+        self.counter, self.first = counter, text
+        self.starts = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
+        n = self.leaves = 1 << max(0, (len(chars) - 1).bit_length())
         self.sums = np.zeros((2 * n, 2), np.int64)
-        self.sums[n : n + len(pieces), 0] = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.sums[n : n + len(pieces), 1] = counter.count(pieces)
+        self.sums[n : n + len(chars), 0] = chars
+        self.sums[n : n + len(chars), 1] = tokens
         level = n
         while level > 1:
             below = self.sums[level : 2 * level]
             self.sums[level // 2 : level] = below[::2] + below[1::2]
             level //= 2
         self.inner: dict[int, list[tuple[int, int]]] = {}  # pre-tokens of slots that edits made
+        self.texts: dict[int, str] = {}  # and their texts
+        self.changed: list[int] = []  # those slots in order
         self.encoded = 0
 
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
 
+    @property
+    def size(self) -> int:
+        return int(self.sums[1, 0])
+
+    @property
+    def text(self) -> str:
+        return "".join(self._parts(0))
+
+    def leaf_sums(self) -> np.ndarray:
+        """Characters and tokens of all pre-tokens of the present text, in order."""
+        out, at = [], 0
+        for slot in self.changed:
+            out += [self.sums[self.leaves + at : self.leaves + slot], np.array(self.inner[slot], np.int64).reshape(-1, 2)]
+            at = slot + 1
+        found = np.concatenate([*out, self.sums[self.leaves + at :]])
+        return found[found[:, 0] > 0]
+
+    def _place(self, slot: int) -> int:
+        """Where a slot begins in the first text."""
+        return int(self.starts[min(slot, len(self.starts) - 1)])
+
+    def _own(self, slot: int) -> str:
+        """The present text of a slot."""
+        own = self.texts.get(slot)
+        return self.first[self._place(slot) : self._place(slot + 1)] if own is None else own
+
+    def _parts(self, slot: int) -> Iterator[str]:
+        """The present text from a slot on, unchanged stretches and changed slots in turn."""
+        for k in range(bisect_left(self.changed, slot), len(self.changed)):
+            other = self.changed[k]
+            yield self.first[self._place(slot) : self._place(other)]
+            yield self.texts[other]
+            slot = other + 1
+        yield self.first[self._place(slot) :]
+
+    def _stretches(self, at: int) -> Iterator[str]:
+        """The present text from a character on, in parts of at most ``CUT_STEP`` characters."""
+        slot, begin = self.find(at)
+        skip = at - begin
+        k = bisect_left(self.changed, slot)
+        while slot < self.leaves:
+            other = self.changed[k] if k < len(self.changed) else self.leaves
+            left, right = self._place(slot) + (skip if slot < other else 0), self._place(other)
+            for x in range(left, right, CUT_STEP):
+                yield self.first[x : min(right, x + CUT_STEP)]
+            if other < self.leaves:
+                own = self.texts[other]
+                for x in range(skip if slot == other else 0, len(own), CUT_STEP):
+                    yield own[x : x + CUT_STEP]
+            slot, skip, k = other + 1, 0, k + 1
+
     def find(self, at: int) -> tuple[int, int]:
         """The slot that holds the character at ``at``, or the last one, and where it begins."""
         node, start = 1, 0
@@ -116,10 +186,10 @@ class Tree:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace the characters from ``start`` to ``end`` of the present text."""
-        text = self.text[:start] + new + self.text[end:]
         shift = len(new) - (end - start)
         safe = max(0, start - LOOKAHEAD)
         first, begin = self.find(safe)
+        slot_at = begin
         before: list[tuple[int, int]] = []
         for n, tokens in self.pieces(first):
             if begin + n > safe:
@@ -127,34 +197,47 @@ class Tree:
             before.append((n, tokens))
             begin += n
         # the last slot may end at the text's end, before the lookahead: its last piece can grow
-        if before and begin >= len(self.text):
+        if before and begin >= self.size:
             begin -= before.pop()[0]
+        head = self._own(first)[: begin - slot_at]
         old = self._borders(end)
         border = next(old, None)
         fresh: list[str] = []
-        last, after = None, []
+        last, after, tail = None, [], ""
         at = begin
-        for piece in self._cut_from(text, begin):
+        for piece in self._cut_parts(self._edited(begin, start, end, new)):
             while border is not None and (border[0] < end or border[0] + shift < at):
                 border = next(old, None)
             if border is not None and border[0] + shift == at and at >= start + len(new):
-                last, after = border[1], self.pieces(border[1])[border[2] :]
+                last = border[1]
+                skipped, after = self.pieces(last)[: border[2]], self.pieces(last)[border[2] :]
+                tail = self._own(last)[sum(n for n, _ in skipped) :]
                 break
             fresh.append(piece)
             at += len(piece)
         counts = self.counter.count(fresh)
         self.encoded += len(fresh)
         made = before + [(len(p), n) for p, n in zip(fresh, counts)]
-        changed: dict[int, list[tuple[int, int]]] = {}
-        for slot in list(self._until(first, last)):
-            changed[slot] = []
+        changed: dict[int, tuple[list[tuple[int, int]], str]] = {slot: ([], "") for slot in list(self._until(first, last))}
+        head += "".join(fresh)
         if last == first:
-            made = made + after
+            made, head = made + after, head + tail
         elif last is not None:
-            changed[last] = after
-        changed[first] = made
+            changed[last] = after, tail
+        changed[first] = made, head
         self._set(changed)
-        self.text = text
+
+    def _edited(self, begin: int, start: int, end: int, new: str) -> Iterator[str]:
+        """The text from ``begin`` on as the edit will leave it."""
+        left = start - begin
+        for part in self._stretches(begin) if left > 0 else ():
+            yield part[:left]
+            left -= len(part)
+            if left <= 0:
+                break
+        yield new
+        if end < self.size:
+            yield from self._stretches(end)
 
     def _until(self, first: int, last: int | None) -> Iterator[int]:
         for slot in self.following(first):
@@ -162,24 +245,34 @@ class Tree:
                 return
             yield slot
 
-    def _cut_from(self, text: str, begin: int) -> Iterator[str]:
-        """Pre-tokens from a border on, a stretch at a time; the last of a stretch may be cut short."""
-        step = CUT_STEP
-        while begin < len(text):
-            stretch = text[begin : begin + step]
-            end = len(stretch) - (LOOKAHEAD if begin + len(stretch) < len(text) else 0)
-            size = 0
-            for piece in self.counter.cut(stretch):
-                if size + len(piece) > end:
+    def _cut_parts(self, parts: Iterator[str]) -> Iterator[str]:
+        """Pre-tokens of a text that comes in parts; the last of a stretch may be cut short."""
+        held, step, more = "", CUT_STEP, True
+        while more or held:
+            gathered = [held]
+            size = len(held)
+            while size < step and (part := next(parts, None)) is not None:
+                gathered.append(part)
+                size += len(part)
+            more = size >= step
+            held = "".join(gathered)
+            end = len(held) - (LOOKAHEAD if more else 0)
+            done = 0
+            for piece in self.counter.cut(held):
+                if done + len(piece) > end:
                     break
-                size += len(piece)
+                done += len(piece)
                 yield piece
-            begin += size
-            step = CUT_STEP if size else 2 * step
+            held = held[done:]
+            step = CUT_STEP if done else 2 * step
+            if not more and not done:
+                return
 
-    def _set(self, changed: dict[int, list[tuple[int, int]]]) -> None:
-        for slot, pieces in changed.items():
-            self.inner[slot] = pieces
+    def _set(self, changed: dict[int, tuple[list[tuple[int, int]], str]]) -> None:
+        for slot, (pieces, text) in changed.items():
+            if slot not in self.texts:
+                insort(self.changed, slot)
+            self.inner[slot], self.texts[slot] = pieces, text
             self.sums[self.leaves + slot] = [sum(n for n, _ in pieces), sum(t for _, t in pieces)]
         nodes = {self.leaves + slot for slot in changed}
         while nodes := {n // 2 for n in nodes if n > 1}:
@@ -188,7 +281,8 @@ class Tree:
 
 
 EDIT = "struct<start: int, end: int, text: string>"
-SCHEMA = "key {key}, n_tokens bigint, n_tokens_edited bigint, n_edits bigint, n_pretokens bigint, n_reencoded bigint"
+TREE = "struct<chars: binary, tokens: binary, n_pretokens: bigint, n_tokens: bigint>"
+COUNTS = ["n_tokens", "n_tokens_edited", "n_edits", "n_pretokens", "n_reencoded"]
 
 
 def in_order(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
@@ -207,30 +301,90 @@ def in_order(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
     return out[::-1]
 
 
-def recount(docs: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
-    """Token counts before and after ``edits``, an array of ``(start, end, text)`` in code points.
+def packed(values: np.ndarray) -> bytes:
+    """Numbers in 1, 2 or 4 bytes each, as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}") if n else np.empty(0, np.uint8)
+
 
-    ``tokenizer`` is a byte-level BPE file and ``pattern`` its rule for pre-tokens. A row
-    per input row: counts, edits made, pre-tokens of the first text, and how many were
-    encoded again. Null and empty texts have no tokens; edits may insert into them.
+def tree_row(leaves: np.ndarray) -> dict:
+    """A tree as it is kept: characters and tokens of its leaves, and the sum of tokens at the root.
+
+    The sums between them are added up again when the tree is read, which is faster than reading them.
+    """
+    return {
+        "chars": packed(leaves[:, 0]), "tokens": packed(leaves[:, 1]),
+        "n_pretokens": len(leaves), "n_tokens": int(leaves[:, 1].sum()),
+    }
+
+
+def build_trees(
+    docs: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(key, text, tree)`` and the columns ``keep``, a row per input row, to be written as a table.
+
+    This alone encodes whole texts; ``edit_trees`` goes on from the table. ``tokenizer`` is a
+    byte-level BPE file and ``pattern`` its rule for pre-tokens. Null and empty texts have a
+    tree without leaves.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict:
+        counter = _counter(tokenizer, pattern)
+        trees = [tree_row(Tree(t or "", counter).leaf_sums()) for t in texts_of(batch, "t")]
+        return {**{name: batch.column(name) for name in names}, "tree": trees}
+
+    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *kept)
+    names = rows.columns
+    found = map_batches(rows, run, f"{_columns(rows)}, tree {TREE}", BATCH)
+    return found.select(F.col("k").alias(key), F.col("t").alias(text), "tree", *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def edit_trees(
+    trees: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text", edits: str = "edits"
+) -> DataFrame:
+    """Make ``edits``, an array of ``(start, end, text)`` in code points, in kept trees.
+
+    ``(key, text, tree)`` after the edits, to be written for the edits that follow, and
+    ``COUNTS``: tokens before and after, edits made, pre-tokens before, and how many were
+    encoded. Only pre-tokens that an edit touches are encoded; a row without an edit costs
+    no more than its copy. Edits may insert into null and empty texts; without edits a
+    null text stays null.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
         counter = _counter(tokenizer, pattern)
-        rows = []
-        for t, e in zip(texts_of(batch, "t"), batch.column("e")):
-            tree = Tree(t or "", counter)
-            before, pieces = tree.tokens, int((tree.sums[tree.leaves :, 0] > 0).sum())
-            made = in_order(e.as_py(), len(tree.text))
-            for start, end, new in made:
-                tree.edit(start, end, new)
-            rows.append((before, tree.tokens, len(made), pieces, tree.encoded))
-        return {"key": batch.column("k"), **dict(zip(names, map(list, zip(*rows))))}
-
-    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(edits).cast(f"array<{EDIT}>").alias("e"))
-    return map_batches(rows, run, SCHEMA.format(key=kind)).withColumnRenamed("key", key)
+        out: dict[str, list] = {name: [] for name in ["t", "tree", *COUNTS]}
+        for t, kept, e in zip(texts_of(batch, "t"), batch.column("tree"), batch.column("e")):
+            row = kept.as_py()
+            before, n, encoded = row["n_tokens"], row["n_pretokens"], 0
+            made = in_order(e.as_py(), len(t or ""))
+            if made:
+                tree = Tree.kept(t or "", counter, unpacked(row["chars"], n), unpacked(row["tokens"], n))
+                for start, end, new in made:
+                    tree.edit(start, end, new)
+                t, row, encoded = tree.text, tree_row(tree.leaf_sums()), tree.encoded
+            for name, value in zip(out, (t, row, before, row["n_tokens"], len(made), n, encoded)):
+                out[name].append(value)
+        return {"k": batch.column("k"), **out}
+
+    rows = trees.select(F.col(key).alias("k"), F.col(text).alias("t"), "tree", F.col(edits).cast(f"array<{EDIT}>").alias("e"))
+    schema = f"{_columns(rows.select('k'))}, t string, tree {TREE}, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    found = map_batches(rows, run, schema, BATCH)
+    return found.select(F.col("k").alias(key), F.col("t").alias(text), "tree", *COUNTS)
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def recount(docs: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
+    """``key`` and ``COUNTS`` of a single round of edits, for which no tree is kept."""
+    trees = build_trees(docs, tokenizer, pattern, key, text, keep=(edits,))
+    return edit_trees(trees, tokenizer, pattern, key, text, edits).select(key, *COUNTS)
 
 
 @cache

@@ -1,6 +1,7 @@
 """The registered queries over the driver's smallest tables: SQL or plain programs."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -11,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from compare import compare, connect
-from tabwright.llm import quality
+from tabwright.llm import quality, recount
 from tabwright.llm.catalog import QUERIES, SQL
 from tests.llm.test_lines import reference
 from tests.llm.test_quality import brute as base_counts
@@ -62,8 +63,25 @@ def test_lines(spark, docs):
 
 def test_counts(spark, docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = lambda text: len(t.encode(text, add_special_tokens=False).ids)
+    edited = 0
     for r in rows(spark, "op5_edit_aware_counts"):
-        assert r.n_tokens == len(t.encode(docs[r.doc_id].text, add_special_tokens=False).ids)
+        text = docs[r.doc_id].text
+        cuts = [(m.start(), m.end(), new) for p, new in recount.MASKS for m in re.finditer(p, text)]
+        at, seen = 0, set()
+        for line in text.split("\n"):
+            if line and line in seen:
+                cuts.append((at - 1, at + len(line), ""))
+            seen.add(line)
+            at += len(line) + 1
+        out, done = [], 0
+        for start, end, new in sorted(cuts):
+            if start >= done:
+                out += [text[done:start], new]
+                done = end
+        assert (r.n_tokens, r.n_tokens_edited) == (size(text), size("".join(out) + text[done:]))
+        edited += r.n_edits > 0
+    assert edited
 
 
 def test_quality(spark, docs):

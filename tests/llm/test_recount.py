@@ -62,3 +62,48 @@ def test_rows(spark, full):
     masked = r.recount(r.with_mask_edits(frame), PATH, PATTERN).filter("doc_id = 1").first()
     assert masked.n_tokens_edited == full("word mail <email> or <ip>\n<number> end") and masked.n_edits == 4
     assert r.recount(frame.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_later_rounds_go_on_from_the_table(spark, full, tmp_path):
+    """Kept trees are read, edited and written; no round encodes more than what its edits touch."""
+    rng, counter = random.Random(5), r.Counter(PATH, PATTERN)
+    texts = {i: "".join(rng.choice(BITS) for _ in range(rng.randint(0, 300))) for i in range(60)} | {60: "plain words " * 30_000, 61: None}
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], "doc_id long, text string, chars string, n_tokens int")
+    r.build_trees(docs, PATH, PATTERN).write.parquet(f"{tmp_path}/0")
+    for turn in range(3):
+        trees = spark.read.parquet(f"{tmp_path}/{turn}")
+        edits = {}
+        for i, t in texts.items():
+            places = sorted(rng.sample(range(len(t or "") + 1), min(4, len(t or "") // 2 * 2)))
+            edits[i] = [(a, b, rng.choice(BITS)) for a, b in zip(places[::2], places[1::2])] if i % 3 else None
+        edits[60] = [(7_000 * (turn + 1), 7_000 * (turn + 1) + 5, "new")]
+        side = spark.createDataFrame(list(edits.items()), f"doc_id long, edits array<{r.EDIT}>")
+        r.edit_trees(trees.join(side, "doc_id"), PATH, PATTERN).write.parquet(f"{tmp_path}/{turn + 1}")
+        for row in spark.read.parquet(f"{tmp_path}/{turn + 1}").collect():
+            old = texts[row.doc_id]
+            want = old
+            for a, b, new in reversed(edits[row.doc_id] or []):
+                want = want[:a] + new + want[b:]
+            assert row.text == want and row.n_tokens == full(old or "") and row.n_tokens_edited == full(want or "")
+            leaves = [r.unpacked(row.tree[c], row.tree.n_pretokens) for c in ("chars", "tokens")]
+            assert leaves[0].sum() == len(want or "") and leaves[1].sum() == row.tree.n_tokens == row.n_tokens_edited
+            assert leaves[0].tolist() == list(map(len, counter.cut(want or "")))
+            assert edits[row.doc_id] or row.n_reencoded == 0
+            texts[row.doc_id] = want
+            if row.doc_id == 60:
+                assert row.n_pretokens > 59_000 and 0 < row.n_reencoded < 10
+
+
+def test_nothing_is_encoded_for_rows_without_edits(spark, monkeypatch):
+    counter = r.Counter(PATH, PATTERN)
+    tree = r.Tree("some words, and more", counter)
+    row = r.tree_row(tree.leaf_sums())
+    monkeypatch.setattr(r.Counter, "cut", None)
+    again = r.Tree.kept(tree.text, counter, r.unpacked(row["chars"], row["n_pretokens"]), r.unpacked(row["tokens"], row["n_pretokens"]))
+    assert (again.sums == tree.sums).all() and again.tokens == row["n_tokens"]
+
+
+@pytest.mark.parametrize("top", [0, 1, 255, 256, 65_535, 65_536, 1 << 31])
+def test_leaves_of_any_size(top):
+    values = r.np.array([1, top, 3], r.np.int64)
+    assert r.unpacked(r.packed(values), 3).tolist() == values.tolist()
