@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import written
 
-MAX_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link the larger neighbours of every node to the node's smallest neighbour."""
@@ -38,12 +36,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` longs to ``(node, root)``: every node of an edge, its smallest reachable node.
 
-    Roots themselves appear too. No edges give no rows; self links, repeated
+    The rounds go on until one changes nothing; their number grows with the square of the
+    logarithm of the number of nodes at most. Roots themselves appear too. No edges give no rows; self links, repeated
     links and nulls are ignored.
     """
     stars = written(edges.filter("a is not null and b is not null and a <> b").select("a", "b"), "edges")
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         stars = written(_small_star(_large_star(stars)), "stars")
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
@@ -52,4 +51,3 @@ def components(edges: DataFrame) -> DataFrame:
                 .unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
             )
         seen = state
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -24,11 +24,11 @@ from tabwright.llm.common import map_batches, texts_of, written
 N = 4
 HASHES = 3
 UNKNOWN = "und"
-# Bounds of the model: labelled documents to learn from per language (about so many,
-# by a hash of the key), n-grams kept per language, and languages.
+# Bounds of the sample to learn from: about so many labelled documents and characters per
+# language, by a hash of the key. All that the sample teaches is kept, so a filter holds at
+# most FIT_CHARS / MIN_COUNT n-grams.
 FIT_ROWS = 8_000
-MAX_NGRAMS = 200_000
-MAX_LANGUAGES = 1_024
+FIT_CHARS = 1 << 25
 MIN_COUNT = 3
 # An n-gram is typical for a language if it is at least this fraction as frequent there
 # as in the language where it is most frequent.
@@ -138,19 +138,19 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filters:
     """Learn the filters from rows with a label; null labels and texts teach nothing.
 
-    At most about ``FIT_ROWS`` documents per language are read, chosen by a hash of the
-    key; n-gram counts are summed before they leave the executors. The model that comes
-    to the driver has at most ``MAX_NGRAMS`` entries per language.
+    About ``FIT_ROWS`` documents and ``FIT_CHARS`` characters per language are read, chosen by
+    a hash of the key; n-gram counts are summed before they leave the executors. What comes to
+    the driver grows with that sample and the number of languages, not with the table.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).filter("l is not null and t is not null")
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r.l: (r.n, r.chars) for r in rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars")).collect()}
     if not sizes:
         return Filters.build([], {})
-    share = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, FIT_ROWS / n))))
+    shares = [(l, min(1.0, FIT_ROWS / n, FIT_CHARS / max(1, chars))) for l, (n, chars) in sizes.items()]
     draw = F.expr("pmod(xxhash64(k, 'fit'), 1048576) / 1048576")
-    chosen = rows.filter(draw < F.element_at(share, F.col("l")))
+    chosen = rows.join(F.broadcast(spark.createDataFrame(shares, "l string, share double")), "l").filter(draw < F.col("share"))
+    chosen = chosen.select("t", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,17 +163,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 yield pa.RecordBatch.from_pydict({"l": pa.array([l] * len(code)), "code": code.view(np.int64), "n": n.astype(np.int64)})
 
     counted = written(chosen.mapInArrow(count, "l string, code bigint, n bigint").groupBy("l", "code").agg(F.sum("n").alias("n")), "ngrams")
-    totals = {r.l: r.n for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}
-    # documents without a letter can leave a language without n-grams: it is known all the same
-    rate = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for kv in totals.items() for x in kv)), F.col("l")) if totals else F.lit(0.0)
-    top = counted.withColumn("rate", rate)
+    totals = counted.groupBy("l").agg(F.sum("n").alias("total"))  # a row per language
+    top = counted.join(F.broadcast(totals), "l").select("l", "code", "n", (F.col("n") / F.col("total")).alias("rate"))
     peak = top.groupBy("code").agg(F.max("rate").alias("peak"))
     typical = top.join(peak, "code").filter((F.col("n") >= MIN_COUNT) & (F.col("rate") >= TYPICAL * F.col("peak")))
+    found: pd.DataFrame = typical.select("l", "code").toPandas()
+    by_language = {l: codes.to_numpy(np.int64).view(np.uint64) for l, codes in found.groupby("l")["code"]}
+    # documents without a letter can leave a language without n-grams: it is known all the same
     languages = sorted(sizes)
-    members = {}
-    for k, l in enumerate(languages):
-        kept: pd.DataFrame = typical.filter(F.col("l") == l).select("code", "n").orderBy(F.desc("n"), "code").limit(MAX_NGRAMS).toPandas()
-        members[k] = kept["code"].to_numpy(np.int64).view(np.uint64)
+    members = {k: by_language.get(l, np.empty(0, np.uint64)) for k, l in enumerate(languages)}
     return Filters.build(languages, members)
 
 

@@ -32,6 +32,7 @@ from tabwright.llm.common import exists, map_batches, written
 VERSION = b"WARC/1.0\r\n"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 ARCHIVE_BYTES = 8 << 20
+TASK_BYTES = 64 << 20  # archives that one task reads, about
 LEVEL = 6
 RECORDS_AT_ONCE = 512
 RECORDS = "archive string, offset bigint, record_id string, uri string, payload binary"
@@ -179,10 +180,15 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
         return spark.createDataFrame([], RECORDS)
     files = (
         spark.read.format("binaryFile").option("basePath", f"{path}/kind=archive").load(f"{path}/kind=archive")
-        .select(F.col("archive").cast("string").alias("archive"), "content")
+        .select(F.col("archive").cast("string").alias("archive"), "length", "content")
     )
     entry = F.struct("offset", "length", "payload_digest")
-    wanted = index.groupBy("archive").agg(F.collect_list(entry).alias("entries"))
+    places = index.select("archive", "offset", "length", "payload_digest")
+    parts = -(-files.select("length").agg(F.sum("length")).first()[0] // TASK_BYTES)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        # the session's partitions would be too large for archives to meet their entries there
+        files, places = files.repartition(parts, "archive"), places.repartition(parts, "archive")
+    wanted = places.groupBy("archive").agg(F.collect_list(entry).alias("entries"))
 
     def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -72,3 +72,18 @@ def test_nothing_to_learn_from(spark, docs):
     unlabelled = docs.drop("lang").selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert g.accepted(unlabelled).count() == docs.count() - 3
     assert g.accepted(docs.limit(0)).count() == 0
+
+
+def test_any_number_of_languages(spark):
+    """A language has its bit whatever its position, also beyond a thousand of them."""
+    word = lambda i: "".join(chr(0x4E00 + 4 * i + k) for k in range(4))
+    rows = [(i, f"{word(i)} " * 4, f"l{i:04}") for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = g.predict(docs, g.fit(docs)).collect()
+    assert all(r.lang_pred == f"l{r.doc_id:04}" for r in out)
+
+
+def test_sample_is_bounded_by_characters_too(spark, docs, monkeypatch):
+    whole = g.fit(docs)
+    monkeypatch.setattr(g, "FIT_CHARS", 4_000)
+    assert 0 < g.fit(docs).table.sum() < whole.table.sum()

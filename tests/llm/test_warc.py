@@ -27,9 +27,10 @@ def written_back(spark, rows):
     return whole, single, w.read_index(spark, single)
 
 
-@pytest.mark.parametrize("archive", [1 << 24, 500])
-def test_round_trip(spark, archive, monkeypatch):
+@pytest.mark.parametrize("archive,task", [(1 << 24, 1 << 26), (500, 1 << 26), (500, 100)])
+def test_round_trip(spark, archive, task, monkeypatch):
     monkeypatch.setattr(w, "ARCHIVE_BYTES", archive)
+    monkeypatch.setattr(w, "TASK_BYTES", task)
     whole, single, index = written_back(spark, ROWS)
     records = w.read_records(spark, single, index).collect()
     got = sorted((str(r.record_id and r.record_id[10:-1]), bytes(r.payload)) for r in records)
