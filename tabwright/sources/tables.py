@@ -18,6 +18,7 @@ SPEC = "field_spec"
 # Rows that share the higher bits of their ids are a stretch of at most this many rows. Ids of
 # ``monotonically_increasing_id`` count in 33 bits inside a split, so a stretch never leaves one.
 STRETCH_BITS = 20
+RANGE_SAMPLE = 2_000  # rows sampled per range when a table is laid out
 
 
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
@@ -83,7 +84,14 @@ def save_table(
         writer = df.repartitionByRange(*columns, F.xxhash64(*hashed)).sortWithinPartitions(*columns)
     require(df, list(lookup))
     options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in lookup}
-    writer.write.mode(mode).options(**options).parquet(path)
+    # with Spark's 100 sampled rows a range may be a tenth larger than another; it samples a million at most
+    conf, name = df.sparkSession.conf, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = conf.get(name)
+    conf.set(name, str(max(int(before), RANGE_SAMPLE)))
+    try:
+        writer.write.mode(mode).options(**options).parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def stored_specs(df: DataFrame) -> list[FieldSpec]:
