@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.columns import col, literal_rows
+from tabwright.columns import col, text_sql
 from tabwright.scale import is_light, materialize
 from tabwright.sources.headers import clean_names, drop_placeholders
 from tabwright.sources.records import AT, BLOCK, FILE, PLACE, data_records, scan_files
@@ -19,7 +19,7 @@ from tabwright.sources.tables import ROW_ID
 # The delimiters that are tried.
 DELIMITERS = [",", "\t", "|", ";"]
 LINES_TO_GUESS = 20
-FEW_RANGES = 500
+FEW_RANGES = 64  # a lookup compares the keys one after another
 
 
 @dataclass(frozen=True)
@@ -117,13 +117,15 @@ def with_dense_ids(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     offsets = sizes.selectExpr(FILE, BLOCK, "first", "size", f"sum(size) OVER (ORDER BY {FILE}, {BLOCK}) - size AS rows_before")
     few = offsets.limit(FEW_RANGES + 1).collect()
     if len(few) <= FEW_RANGES:
-        # constants spare every later query a job
-        types = {f.name: f.dataType.simpleString() for f in offsets.schema.fields}
-        side = F.broadcast(literal_rows(rows.sparkSession, [tuple(r) for r in few], types))
+        # constants spare every later query a join, and go where nobody asks for the ids
+        entry = "{}, named_struct('first', {}L, 'size', {}L, 'rows_before', {}L)"
+        pairs = [entry.format(text_sql(f"{r[BLOCK]} {r[FILE]}"), r["first"], r["size"], r["rows_before"]) for r in few]
+        kind = "map<string, struct<first: bigint, size: bigint, rows_before: bigint>>"
+        found = rows.withColumn("_range", F.expr(f"cast(map({', '.join(pairs)}) AS {kind})[concat({BLOCK}, ' ', {FILE})]"))
+        found = found.withColumns({c: F.col(f"_range.{c}") for c in ("first", "size", "rows_before")})
     else:
         offsets = materialize(offsets)
-        side = F.broadcast(offsets) if is_light(offsets) else offsets
+        found = rows.join(F.broadcast(offsets) if is_light(offsets) else offsets, [FILE, BLOCK], "left")
     inside = "place >= first AND place - first < size"
     changed = "raise_error('the files are split in another way than when they were opened: open them again')"
-    found = rows.join(side, [FILE, BLOCK], "left")
     return found.withColumn(ROW_ID, F.expr(f"CASE WHEN {inside} THEN rows_before + place - first ELSE cast({changed} AS BIGINT) END"))

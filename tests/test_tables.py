@@ -237,8 +237,11 @@ def small_splits(spark):
     spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-def test_records_over_many_byte_ranges(spark, tmp_path, small_splits):
-    """Cells that run over lines and whole byte ranges, among plain files; ids are dense in file order."""
+@pytest.mark.parametrize("few", [0, 1000])
+def test_records_over_many_byte_ranges(spark, tmp_path, small_splits, monkeypatch, few):
+    """Cells that run over lines and whole byte ranges, among plain files; ids are dense in file
+    order, whether the places of ranges are constants or a table."""
+    monkeypatch.setattr("tabwright.sources.delimited.FEW_RANGES", few)
     lines = ['"k","v"']
     for i in range(60):
         cell = "\n".join(f"line {j} of , {i}" for j in range(i % 7)) + ('""q""\n' if i % 5 == 0 else "")
@@ -274,6 +277,18 @@ def test_a_stray_quote_stays_in_its_line(spark, tmp_path):
     assert rows[-3:] == [("4", "a\nb"), ("5", "open for good"), ("6", "7")]
 
 
+def test_files_without_rows_have_no_ids(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n", encoding="utf-8")
+    assert read_delimited(spark, str(tmp_path / "a.csv")).df.collect() == []
+
+
+def test_unused_row_ids_cost_no_join(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n", encoding="utf-8")
+    raw = read_delimited(spark, str(tmp_path / "a.csv"))
+    plan = raw.df.select("k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "rows_before" not in plan
+
+
 def test_positions_after_a_filter_of_dense_ids(spark):
     df = spark.range(3_000_000).selectExpr("id AS _row_id", "id AS v").filter("v % 3 = 0")
     found = sorted(r["v"] for r in rows_at(df, [0, 400_000, 999_999]).collect())
