@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, lines, minhash, packing
+from tabwright.llm import decontaminate, langid, lines, near_copies, packing
 from tabwright.llm.catalog import bpe_file
 from tabwright.llm.common import written
 
@@ -29,8 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return minhash.first_of_each(docs)
+    """One document of each group of near copies stays: pairs from walks of SimHash tries, confirmed by a
+    Jaccard similarity of five-word shingles of 0.8 or more."""
+    return near_copies.first_of_each(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,31 +94,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFr
     return found.filter(both >= F.lit(least) * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """The documents, all columns, without those that link to an earlier one.
-
-    Of a group the row with the smallest key stays (nulls last, then by text hash); of
-    rows that repeat both key and text, one. Texts without a word are one group.
-    """
-    who = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("mark"))
-    own = fresh(docs, "_who")
-    here = docs.withColumn(own, who)
-    seen = written(prints(here, own, text, width), "prints")
-    nodes = written(seen.groupBy("node").agg(F.min("key").alias("low")), "nodes")
-    pairs = written(candidates(seen.select("node", "bands")), "candidates")
+def sets_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``(node, marks)``: the shingles of the nodes in ``pairs(a, b)``, from the texts of ``rows(low, t)``."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = (
-        here.select(F.col(own).alias("low"), F.col(text).alias("t"))
-        .join(nodes.join(asked, "node"), "low")
-        .dropDuplicates(["node"])
-        .select("node", "t")
-    )
+    texts = rows.join(nodes.select("node", "low").join(asked, "node"), "low").dropDuplicates(["node"]).select("node", "t")
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"node": batch.column("node"), "marks": [shingles(t, width).view(np.int64) for t in texts_of(batch, "t")]}
 
-    sets = written(map_batches(texts, run, "node bigint, marks array<bigint>", ROWS_AT_ONCE), "shingles")
-    roots = components(confirmed(pairs, sets, least)).withColumnRenamed("node", "other")
+    return map_batches(texts, run, "node bigint, marks array<bigint>", ROWS_AT_ONCE)
+
+
+def rows_kept(here: DataFrame, own: str, seen: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``here`` with the smallest key of a group; ``roots(node, root)`` groups nodes, others stand alone."""
+    roots = roots.withColumnRenamed("node", "other")
     named = nodes.join(roots, nodes["node"] == roots["other"], "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min("low").alias("key"))
     # how often the row that stays occurs: only repeated rows need a further look
@@ -126,3 +115,19 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     once = here.join(kept.filter("copies = 1").select(F.col("key").alias(own)), own, "left_semi")
     more = here.join(kept.filter("copies > 1").select(F.col("key").alias(own)), own, "left_semi")
     return once.unionByName(more.dropDuplicates([own])).drop(own)
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH) -> DataFrame:
+    """The documents, all columns, without those that link to an earlier one.
+
+    Of a group the row with the smallest key stays (nulls last, then by text hash); of
+    rows that repeat both key and text, one. Texts without a word are one group.
+    """
+    who = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("mark"))
+    own = fresh(docs, "_who")
+    here = docs.withColumn(own, who)
+    seen = written(prints(here, own, text, width), "prints")
+    nodes = written(seen.groupBy("node").agg(F.min("key").alias("low")), "nodes")
+    pairs = written(candidates(seen.select("node", "bands")), "candidates")
+    sets = written(sets_of(pairs, nodes, here.select(F.col(own).alias("low"), F.col(text).alias("t")), width), "shingles")
+    return rows_kept(here, own, seen, nodes, components(confirmed(pairs, sets, least)))

@@ -18,6 +18,7 @@ smallest one that it found connected, never all pairs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,22 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, start: int, budget: i
     lefts = np.unique(left)
     rights = lefts if right is None else np.unique(right)
     at_l, at_r = np.searchsorted(leaves, lefts), np.searchsorted(leaves, rights)
+    allowed = np.where(np.arange(BITS + 1) <= HALF, 1, budget)
+    for i, j in near_leaves(lefts, None if right is None else rights, start, allowed, budget):
+        _roots(parent, at_l[i], at_r[j])
+    linked = parent != np.arange(len(leaves))
+    return leaves[linked], leaves[parent[linked]]
+
+
+def near_leaves(
+    lefts: np.ndarray, right: np.ndarray | None, start: int, allowed: np.ndarray, budget: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Walk two sorted arrays of fingerprints as tries; yields the places of leaves with at most ``budget`` differing bits.
+
+    A pair of nodes goes on while its error in the first d bits is at most ``allowed[d]``. ``right`` None joins
+    ``lefts`` with itself; then a place also meets itself, and some pairs come in both orders.
+    """
+    rights = lefts if right is None else right
     one, stack = np.array([0]), []
     if len(lefts) and len(rights):
         walked = (lefts[:1] ^ rights[:1]) >> np.uint64(BITS - start) if start else one
@@ -99,7 +116,7 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, start: int, budget: i
             continue
         small = ((lb - la) * (rb - ra) <= BRUTE) | (depth >= BITS)
         if small.any():
-            _compare(lefts, rights, at_l, at_r, la[small], lb[small], ra[small], rb[small], budget, parent)
+            yield from _compare(lefts, rights, la[small], lb[small], ra[small], rb[small], budget)
             la, lb, ra, rb, err = (x[~small] for x in (la, lb, ra, rb, err))
         if not len(la):
             continue
@@ -107,7 +124,6 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, start: int, budget: i
         above = np.uint64((1 << BITS) - (1 << (BITS - depth)))
         lm = np.searchsorted(lefts, (lefts[la] & above) | bit)
         rm = np.searchsorted(rights, (rights[ra] & above) | bit)
-        allowed = 1 if depth < HALF else budget
         grown = []
         for l_from, l_to, l_bit in ((la, lm, 0), (lm, lb, 1)):
             for r_from, r_to, r_bit in ((ra, rm, 0), (rm, rb, 1)):
@@ -117,24 +133,30 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, start: int, budget: i
                 else:
                     keep = np.ones(len(la), bool)
                 e = err + (l_bit != r_bit)
-                keep &= (l_from < l_to) & (r_from < r_to) & (e <= allowed)
+                keep &= (l_from < l_to) & (r_from < r_to) & (e <= allowed[depth + 1])
                 grown.append(tuple(x[keep] for x in (l_from, l_to, r_from, r_to, e)))
         stack.append((depth + 1, *(np.concatenate(x) for x in zip(*grown))))
-    linked = parent != np.arange(len(leaves))
-    return leaves[linked], leaves[parent[linked]]
 
 
-def _compare(lefts, rights, at_l, at_r, la, lb, ra, rb, budget, parent) -> None:
-    """Compare the leaves of small node pairs and merge those within the budget."""
+def _compare(lefts, rights, la, lb, ra, rb, budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Compare the leaves of small node pairs; yields the places of those within the budget."""
     wide = rb - ra
     counts = (lb - la) * wide
+    huge = counts > 4 * PAIRS_AT_ONCE
+    for k in np.flatnonzero(huge):  # only arrays that repeat leaves have such pairs
+        cuts = np.arange(la[k], lb[k] + (step := max(1, 4 * PAIRS_AT_ONCE // wide[k])), step).clip(max=lb[k])
+        for at, to in zip(cuts[:-1], cuts[1:]):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(at, to), np.arange(ra[k], rb[k]), indexing="ij"))
+            near = np.bitwise_count(lefts[i] ^ rights[j]) <= budget
+            yield i[near], j[near]
+    la, ra, wide, counts = (x[~huge] for x in (la, ra, wide, counts))
     for chunk in np.array_split(np.arange(len(la)), max(1, int(counts.sum()) // (4 * PAIRS_AT_ONCE) + 1)):
         n = counts[chunk]
         pair = np.repeat(chunk, n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         i, j = la[pair] + inside // wide[pair], ra[pair] + inside % wide[pair]
         near = np.bitwise_count(lefts[i] ^ rights[j]) <= budget
-        _roots(parent, at_l[i[near]], at_r[j[near]])
+        yield i[near], j[near]
 
 
 def _swapped(fp: np.ndarray) -> np.ndarray:
