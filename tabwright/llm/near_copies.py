@@ -9,9 +9,11 @@ in all. By the binomial law a pair of similarity 0.8 passes one walk with a prob
 0.117, and one of the 68 with 0.9997.
 
 Pairs that pass are held against another fingerprint, then against all 2,176 bits, and
-then their sets of shingles are intersected. A task gives a node a bounded number of pairs
-and names the nodes that have more. Those are walked again with the groups confirmed so far,
-inside of which nothing is left to ask, and a bound 64 times as large, until no pair is held back.
+then their sets of shingles are intersected. Where both nodes of a pair have many pairs in a
+task, the task gives no pairs of that dense part but only that its nodes belong together. The
+nodes so brought together are a crowd. Crowds are walked again with their sets beside them, each
+pair of tiles in one task that intersects what passes and gives the groups it finds. So no
+table of pairs grows with the square of a group's size; the comparisons in tasks do.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import fresh, map_batches, texts_of, written
 from tabwright.llm.components import components
 from tabwright.llm.minhash import LEAST, ROWS_AT_ONCE, WIDTH, confirmed, rows_kept, sets_of, shingles
-from tabwright.llm.simhash import BITS, HALF, near_leaves
+from tabwright.llm.simhash import BITS, HALF, _roots, near_leaves
 
 WORDS = 34
 WALKS = 2 * WORDS
@@ -40,7 +42,10 @@ ALLOWED = np.repeat([0, 1, 15], [PREFIX + 1, UPPER - PREFIX, BITS - UPPER])
 # similarity of 0.8, up to 19 where the sets have very few shingles
 MATE, APART, APART_FEW, FEW = 20, 0.19, 0.23, 32
 TILE = 16_384  # nodes in one side of a task
-PAIRS = 4  # pairs a node gets from a task in the first round
+PAIRS = 4  # a pair of nodes that both have more pairs in a task is left to the walk of crowds
+# nodes in one side of a task on a crowd; a set counts as one more node for so many shingles
+CROWD, SET = 2_048, 256
+CHECKS_AT_ONCE = 1 << 14
 MARKS_AT_ONCE = 1 << 10
 
 
@@ -95,12 +100,16 @@ def prints(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFram
     return map_batches(rows, run, f"key {kind}, node bigint, n int, sig binary", ROWS_AT_ONCE)
 
 
-def _walked(batch: pa.RecordBatch) -> np.ndarray:
+def _walked(words: np.ndarray) -> np.ndarray:
     """A row per node with its fingerprint for each walk."""
-    words = _words(batch.column("sig"))
     return np.concatenate([words, (words << np.uint64(HALF)) | (words >> np.uint64(HALF))], axis=1)
 
 
+def _mates(words: np.ndarray) -> np.ndarray:
+    """A row per node with the other fingerprint that pairs of each walk are held against."""
+    return np.tile(np.roll(words, -1, axis=1), 2)
+
+
 def _rank(x: np.ndarray) -> np.ndarray:
     """How often each value came before."""
     order = np.argsort(x, kind="stable")
@@ -111,23 +120,27 @@ def _rank(x: np.ndarray) -> np.ndarray:
 
 
 def meetings(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
-    """``nodes(node, sig, root)`` to pairs ``(a, b)`` that pass a walk and have different roots.
+    """``nodes(node, sig)`` to pairs ``(a, b)``, a > b, that pass a walk.
 
-    A task gives every pair of which a node has fewer than ``most`` pairs yet. Of the pairs that
-    are held back it gives both nodes as ``(a, a)``.
+    Pairs of which both nodes have ``most`` pairs in a task already are not given, nor any other pair
+    of the nodes that pairs of the task connect with them. Each of those nodes is linked to
+    one of them instead, as ``(a, b)`` with a < b.
     """
     depth = min(PREFIX, max(0, math.ceil(math.log2(max(nodes.count(), 1) / tile)) + 1))
 
     def loads(batch: pa.RecordBatch) -> dict:
-        homes = _walked(batch) >> np.uint64(BITS - depth) if depth else np.zeros((batch.num_rows, WALKS), np.uint64)
+        homes = _walked(_words(batch.column("sig"))) >> np.uint64(BITS - depth) if depth else np.zeros((batch.num_rows, WALKS), np.uint64)
         at, n = np.unique(homes.astype(np.int64) + (np.arange(WALKS) << depth), return_counts=True)
         return {"walk": at >> depth, "home": at & ((1 << depth) - 1), "n": n}
 
     def spread(batch: pa.RecordBatch) -> dict:
-        words = _walked(batch)
-        mates = np.tile(np.roll(_words(batch.column("sig")), -1, axis=1), 2)
-        out = {"walk": np.tile(np.arange(WALKS), len(words)), "word": words.ravel().view(np.int64), "mate": mates.ravel().view(np.int64)}
-        return out | {c: np.repeat(batch.column(c).to_numpy(), WALKS) for c in ("node", "root")}
+        words = _words(batch.column("sig"))
+        return {
+            "walk": np.tile(np.arange(WALKS), len(words)),
+            "word": _walked(words).ravel().view(np.int64),
+            "mate": _mates(words).ravel().view(np.int64),
+            "node": np.repeat(batch.column("node").to_numpy(), WALKS),
+        }
 
     heavy = (
         map_batches(nodes.select("sig"), loads, "walk int, home int, n bigint")
@@ -135,9 +148,9 @@ def meetings(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
         .filter("tiles > 1")
     )
     heavy = written(heavy, "heavy")
-    rows = map_batches(nodes, spread, "walk int, word bigint, mate bigint, node bigint, root bigint", ROWS_AT_ONCE)
+    rows = map_batches(nodes, spread, "walk int, word bigint, mate bigint, node bigint", ROWS_AT_ONCE)
     rows = rows.withColumn("home", F.expr(f"cast(shiftrightunsigned(word, {BITS - depth}) as int)") if depth else F.lit(0))
-    sides = ["walk", "home", "word", "mate", "node", "root"]
+    sides = ["walk", "home", "word", "mate", "node"]
     if heavy.isEmpty():
         rows = rows.select(*sides, F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(True).alias("first"))
     else:
@@ -153,26 +166,107 @@ def meetings(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
         alone = key[2] == key[3]
         parts = [rows] if alone else [rows[rows["first"]], rows[~rows["first"]]]
         parts = [p.iloc[np.argsort(p["word"].to_numpy().view(np.uint64), kind="stable")] for p in parts]
-        left, right = ({c: p[c].to_numpy() for c in ("word", "mate", "node", "root")} for p in (parts[0], parts[-1]))
-        given = [np.zeros(len(p), np.int64) for p in parts]
+        left, right = ({c: p[c].to_numpy() for c in ("word", "mate", "node")} for p in (parts[0], parts[-1]))
+        nodes = left["node"] if alone else np.concatenate([left["node"], right["node"]])
+        after = 0 if alone else len(left["node"])
+        parent, given, full = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
         found = [np.empty((2, 0), np.int64)]
         walk = near_leaves(left["word"].view(np.uint64), None if alone else right["word"].view(np.uint64), depth, ALLOWED, int(ALLOWED[-1]))
         for i, j in walk:
-            near = (np.bitwise_count(left["mate"].view(np.uint64)[i] ^ right["mate"].view(np.uint64)[j]) <= MATE) & (left["root"][i] != right["root"][j])
+            near = np.bitwise_count(left["mate"].view(np.uint64)[i] ^ right["mate"].view(np.uint64)[j]) <= MATE
             if alone:
                 near &= i < j
-            i, j = i[near], j[near]
-            room = (given[0][i] + _rank(i) < most) | (given[-1][j] + _rank(j) < most)
-            np.add.at(given[0], i[room], 1)
-            np.add.at(given[-1], j[room], 1)
-            found.append(np.array([left["node"][i[room]], right["node"][j[room]]]))
-            found.extend(np.array([held, held]) for held in (np.unique(left["node"][i[~room]]), np.unique(right["node"][j[~room]])))
-        a, b = np.concatenate(found, axis=1)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+            i, j = i[near], j[near] + after
+            _roots(parent, i, j)
+            room = (given[i] + _rank(i) < most) | (given[j] + _rank(j) < most)
+            np.add.at(given, i[room], 1)
+            np.add.at(given, j[room], 1)
+            found.append(np.array([i[room], j[room]]))
+            full[i[~room]] = True
+        crowded = np.zeros(len(nodes), bool)
+        crowded[parent[full]] = True
+        i, j = np.concatenate(found, axis=1)
+        open_ = ~crowded[parent[i]]
+        a, b = nodes[i[open_]], nodes[j[open_]]
+        inside = np.flatnonzero(crowded[parent] & (parent != np.arange(len(nodes))))
+        c, d = nodes[inside], nodes[parent[inside]]
+        return pd.DataFrame({"a": np.r_[np.maximum(a, b), np.minimum(c, d)], "b": np.r_[np.minimum(a, b), np.maximum(c, d)]})
 
     return rows.groupBy("walk", "home", "s", "t").applyInPandas(join_nodes, "a bigint, b bigint")
 
 
+class _Sets:
+    """The sets of shingles of some nodes, ascending ids of the shingles in one array."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n = np.array(list(map(len, sets)))
+        self.at = np.cumsum(self.n) - self.n
+        marks, self.ids, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.flags = np.zeros(len(marks), bool)
+        # shingles that another of the nodes has too: no intersection is larger
+        self.shared = np.add.reduceat(held[self.ids] > 1, self.at, dtype=np.int64)
+
+    def possible(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+        return self._enough(i, j, np.minimum(self.shared[i], self.shared[j]), least)
+
+    def similar(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+        both = np.empty(len(i), np.int64)
+        order = np.argsort(i, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+            mine, others = i[part[0]], j[part]
+            own = self.ids[self.at[mine] : self.at[mine] + self.n[mine]]
+            self.flags[own] = True
+            n = self.n[others]
+            start = np.cumsum(n) - n
+            places = np.repeat(self.at[others] - start, n) + np.arange(n.sum())
+            both[part] = np.add.reduceat(self.flags[self.ids[places]], start, dtype=np.int64)
+            self.flags[own] = False
+        return self._enough(i, j, both, least)
+
+    def _enough(self, i: np.ndarray, j: np.ndarray, both: np.ndarray, least: float) -> np.ndarray:
+        return both >= least * (self.n[i] + self.n[j] - both)
+
+
+def crowd_links(crowds: DataFrame, least: float = LEAST, tile: int = CROWD) -> DataFrame:
+    """``crowds(crowd, node, sig, marks)`` to links ``(a, b)`` that join all nodes of a crowd that pass a walk and
+    are similar enough. A task gives a link per node at most."""
+    loads = crowds.groupBy("crowd").agg(F.ceil(F.sum(1 + F.size("marks") / SET) / tile).cast("int").alias("tiles")).filter("tiles > 1")
+    # each pair of tiles is a task of its own
+    rows = (
+        crowds.join(written(loads, "crowded"), "crowd", "left")
+        .withColumn("mine", F.expr("cast(pmod(xxhash64(node), coalesce(tiles, 1)) as int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, coalesce(tiles, 1) - 1)")))
+        .select("crowd", "node", "sig", "marks", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"), F.expr("mine <= other").alias("first"))
+    )
+
+    def join_nodes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        alone = key[1] == key[2]
+        nodes, first = rows["node"].to_numpy(), rows["first"].to_numpy()
+        sides = [np.arange(len(nodes))] if alone else [np.flatnonzero(first), np.flatnonzero(~first)]
+        words = _words(pa.array(rows["sig"]))
+        walked, mates, sets = _walked(words), _mates(words), _Sets(list(rows["marks"]))
+        parent = np.arange(len(nodes))
+        for walk in range(WALKS):
+            word, mate = walked[:, walk], mates[:, walk]
+            left, right = (x[np.argsort(word[x], kind="stable")] for x in (sides[0], sides[-1]))
+            for i, j in near_leaves(word[left], None if alone else word[right], 0, ALLOWED, int(ALLOWED[-1])):
+                if alone:
+                    i, j = i[i < j], j[i < j]
+                i, j = left[i], right[j]
+                near = (np.bitwise_count(mate[i] ^ mate[j]) <= MATE) & sets.possible(i, j, least)
+                i, j = i[near], j[near]
+                # nodes that are joined already need no look at their sets
+                while len(i := i[open_ := parent[i] != parent[j]]):
+                    j = j[open_]
+                    a, b, i, j = i[:CHECKS_AT_ONCE], j[:CHECKS_AT_ONCE], i[CHECKS_AT_ONCE:], j[CHECKS_AT_ONCE:]
+                    links = sets.similar(a, b, least)
+                    _roots(parent, a[links], b[links])
+        joined = parent != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[joined], "b": nodes[parent[joined]]})
+
+    return rows.groupBy("crowd", "s", "t").applyInPandas(join_nodes, "a bigint, b bigint")
+
+
 def close(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs ``(a, b)`` that all bits and the sizes of their sets leave possible."""
     of_a, of_b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
@@ -205,20 +299,13 @@ def first_of_each(
     nodes = written(seen.groupBy("node").agg(F.min("key").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     texts = here.select(F.col(own).alias("low"), F.col(text).alias("t"))
     worded = nodes.filter("sig is not null").select("node", "n", "sig")
-    todo, asked, links = worded.select("node", "sig", F.col("node").alias("root")), None, None
-    while True:
-        met = written(meetings(todo, most, tile), "met")
-        pairs = met.filter("a <> b").distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = written(close(pairs, worded, least), "candidates")
-        asked = pairs if asked is None else asked.unionByName(pairs)
-        sets = written(sets_of(pairs, nodes, texts, width), "shingles")
-        fresh_links = written(confirmed(pairs, sets, least), "links")
-        links = fresh_links if links is None else links.unionByName(fresh_links)
-        roots = components(links)
-        held = met.filter("a = b").select(F.col("a").alias("node")).distinct()
-        if held.isEmpty():
-            return rows_kept(here, own, seen, nodes, roots)
-        todo = worded.join(held, "node").join(roots.distinct(), "node", "left").select("node", "sig", F.coalesce("root", "node").alias("root"))
-        todo, most = written(todo, "held-back"), 64 * most
+    met = written(meetings(worded.select("node", "sig"), most, tile), "met")
+    pairs = written(close(met.filter("a > b").distinct(), worded, least), "candidates")
+    links = confirmed(pairs, written(sets_of(pairs, nodes, texts, width), "shingles"), least)
+    dense = met.filter("a < b").distinct()
+    if not dense.isEmpty():
+        crowds = written(components(dense), "crowds")
+        sets = sets_of(crowds.selectExpr("node a", "root b"), nodes, texts, width)
+        crowds = crowds.withColumnRenamed("root", "crowd").join(worded.select("node", "sig"), "node").join(sets, "node")
+        links = links.unionByName(crowd_links(written(crowds, "crowd-sets"), least, min(tile, CROWD)))
+    return rows_kept(here, own, seen, nodes, components(links))
